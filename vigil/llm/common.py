@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
     """Parts of a batch of about SLICE_BYTES of text, with the texts (None for null)."""
     texts = batch.column(batch.schema.get_field_index(column))
     start, held = 0, 0
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     for i, n in enumerate(sizes):
         held += n
         if held >= SLICE_BYTES:
