@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe
+from vigil.llm import bpe, langid, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.query,
+        "op2_language_id": langid.query,
         "op3_bpe_encoding": bpe.query,
     }
 
