@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, langid, toxicity
+from vigil.llm import bpe, langid, mixing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": toxicity.query,
         "op2_language_id": langid.query,
         "op3_bpe_encoding": bpe.query,
+        "op7_mixing": mixing.query,
     }
 
 
