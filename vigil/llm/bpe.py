@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from vigil.llm.common import slices, table
 
-#: Distinct words whose encodings a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 150_000
+#: Words whose encodings a worker remembers: so many recent ones, and as many older ones.
+CACHE_WORDS = 200_000
 #: White space to str.split() but not to the vocabulary's pre-tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -72,8 +72,8 @@ class WordBPE:
         shown = byte_characters()
         self.inner = [self.ids.get(shown[b], -1) for b in range(256)]
         self.final = [self.ids.get(shown[b] + self.suffix, -1) for b in range(256)]
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.known, self.older = {}, {}  # packed ids by word; bytes, which the garbage collector needn't visit
+        self.pieces: dict[str, bytes] = {}
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
@@ -113,57 +113,55 @@ class WordBPE:
                 heapq.heappush(queue, m << 32 | h)
         return [s for s in symbols if s >= 0]
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        """Packed ids (little-endian, 32 bits each) and the decoded string of text without white space."""
-        ids: list[int] = []
-        pieces = self.pieces
+    def word(self, word: str) -> bytes:
+        """Ids of text without white space, packed (little-endian, 32 bits each)."""
+        out, pieces = [], self.pieces
         for piece in self.pre.findall(word):
             x = pieces.get(piece)
             if x is None:
-                x = self.merge(piece)
+                ids = self.merge(piece)
+                x = struct.pack(f"<{len(ids)}I", *ids)
                 if len(piece) <= 32:
                     if len(pieces) >= CACHE_WORDS:
                         pieces.clear()
                     pieces[piece] = x
-            ids += x
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.strings.__getitem__, ids))
-
-    def plain(self, text: str) -> tuple[list[bytes], list[str]]:
+            out.append(x)
+        return b"".join(out)
+
+    def remember(self, word: str) -> bytes:
+        x = self.older.get(word)
+        if x is None:
+            x = self.word(word)
+        if len(word) <= 64:
+            if len(self.known) >= CACHE_WORDS:
+                self.known, self.older = {}, self.known
+            self.known[word] = x
+        return x
+
+    def plain(self, text: str) -> bytes:
         """A text without special tokens. Lower case goes character by character, without a final sigma."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         if SEPARATORS.search(text):
-            found = [self.word(text)]
-            return [x[0] for x in found], [x[1] for x in found if x[0]]
-        known, found = self.known, []
-        for w in text.split():
-            x = known.get(w)
-            if x is None:
-                x = self.word(w)
-                if len(w) <= 64:
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                    known[w] = x
-            found.append(x)
-        return [x[0] for x in found], [x[1] for x in found if x[0]]
-
-    def encode(self, text: str | None) -> tuple[bytes, str]:
+            return self.word(text)
+        words = text.split()
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [self.remember(w) if x is None else x for w, x in zip(words, found, strict=True)]
+        return b"".join(found)
+
+    def encode(self, text: str | None) -> bytes:
+        """Packed ids of a text."""
         if not text:
-            return b"", ""
+            return b""
         if self.cut is None or "<|" not in text:
-            packed, shown = self.plain(text)
-            return b"".join(packed), " ".join(shown)
-        packed, shown = [], []
-        for part in self.cut.split(text):
-            if part in self.special:
-                packed.append(self.special[part].to_bytes(4, "little"))
-                shown.append(part)
-            elif part:
-                p, s = self.plain(part)
-                packed += p
-                shown += s
-        return b"".join(packed), " ".join(shown)
+            return self.plain(text)
+        parts = (self.special[x].to_bytes(4, "little") if x in self.special else self.plain(x) for x in self.cut.split(text) if x)
+        return b"".join(parts)
+
+    def decode(self, packed: bytes) -> str:
+        return " ".join(map(self.strings.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -183,14 +181,14 @@ def bpe_encode(df: DataFrame, text: str = "text", path: str | None = None, ids:
         bpe = vocabulary(path)
         for batch in batches:
             for part, texts in slices(batch, text):
-                both = [bpe.encode(t) for t in texts]
+                codes = [bpe.encode(t) for t in texts]
                 if packed:
-                    out = pa.array([x[0] for x in both], pa.binary())
+                    out = pa.array(codes, pa.binary())
                 else:
-                    ends = np.cumsum([0] + [len(x[0]) // 4 for x in both])
-                    flat = np.frombuffer(b"".join(x[0] for x in both), "<i4")
+                    ends = np.cumsum([0] + [len(x) // 4 for x in codes])
+                    flat = np.frombuffer(b"".join(codes), "<i4")
                     out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                columns = [*part.columns, out, pa.array([x[1] for x in both], pa.string())]
+                columns = [*part.columns, out, pa.array(map(bpe.decode, codes), pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, ids, decoded])
 
     return df.mapInArrow(run, schema)
