@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, langid, mixing, toxicity
+from vigil.llm import bpe, langid, mixing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": toxicity.query,
         "op2_language_id": langid.query,
         "op3_bpe_encoding": bpe.query,
+        "op6_quality_rules": quality.query,
         "op7_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_quality_rules": quality.ORACLE,
+    }
