@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, langid, mixing, quality, toxicity
+from vigil.llm import bpe, langid, mixing, ngram_join, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": toxicity.query,
         "op2_language_id": langid.query,
         "op3_bpe_encoding": bpe.query,
+        "op4_ngram_jaccard_join": ngram_join.query,
         "op6_quality_rules": quality.query,
         "op7_mixing": mixing.query,
     }
@@ -21,5 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_ngram_jaccard_join": ngram_join.ORACLE,
         "op6_quality_rules": quality.ORACLE,
     }
