@@ -64,14 +64,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of a batch of about SLICE_BYTES of text, with the texts (None for null)."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of a batch of about so many bytes of text, with the texts (None for null)."""
     texts = batch.column(batch.schema.get_field_index(column))
     start, held = 0, 0
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     for i, n in enumerate(sizes):
         held += n
-        if held >= SLICE_BYTES:
+        if held >= most:
             yield batch.slice(start, i + 1 - start), texts.slice(start, i + 1 - start).to_pylist()
             start, held = i + 1, 0
     if start < len(sizes):

@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from vigil.llm.common import forget, materialise
 
@@ -45,8 +46,9 @@ def link(signatures: DataFrame, verify: Callable[[DataFrame], DataFrame], simila
     signatures: sig, id, size. similar_size tells whether two sizes (as column names) can be alike. ready gets the
     ids that share a signature with another before verify gets pairs (a, b) of them and returns those that are alike.
     """
-    groups = signatures.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    shared = signatures.join(groups.where("low <> high").hint("shuffle_hash"), "sig")
+    # one shuffle of all signatures: the window passes over each group in order, spilling what memory can't hold
+    group = W.partitionBy("sig")
+    shared = signatures.withColumn("low", F.min("id").over(group)).withColumn("high", F.max("id").over(group)).where("low <> high")
     shared = materialise(shared.distinct(), f"{name}-shared")
     ready(shared.select("id").distinct())
 

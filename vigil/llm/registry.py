@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, langid, mixing, ngram_join, quality, toxicity
+from vigil.llm import bpe, langid, line_dedup, mixing, ngram_join, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard_join": ngram_join.query,
         "op6_quality_rules": quality.query,
         "op7_mixing": mixing.query,
+        "op10_line_dedup": line_dedup.query,
     }
 
 
