@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, langid, line_dedup, mixing, ngram_join, quality, toxicity, url_filter
+from vigil.llm import bpe, brown, langid, line_dedup, mixing, ngram_join, quality, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_jaccard_join": ngram_join.query,
         "op6_quality_rules": quality.query,
         "op7_mixing": mixing.query,
+        "op8_brown_lm": brown.query,
         "op9_url_filters": url_filter.query,
         "op10_line_dedup": line_dedup.query,
     }
@@ -26,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_ngram_jaccard_join": ngram_join.ORACLE,
         "op6_quality_rules": quality.ORACLE,
+        "op8_brown_lm": brown.query,
         "op9_url_filters": url_filter.ORACLE,
     }
