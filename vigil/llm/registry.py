@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, brown, langid, line_dedup, mixing, ngram_join, quality, toxicity, url_filter
+from vigil.llm import ann, bpe, brown, langid, line_dedup, mixing, ngram_join, quality, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": langid.query,
         "op3_bpe_encoding": bpe.query,
         "op4_ngram_jaccard_join": ngram_join.query,
+        "op5_nearest_neighbours": ann.query,
         "op6_quality_rules": quality.query,
         "op7_mixing": mixing.query,
         "op8_brown_lm": brown.query,
