@@ -43,6 +43,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "vigil", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    # what df was computed from is unreachable now; a collection lets Spark's cleaner drop its shuffle files
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

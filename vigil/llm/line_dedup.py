@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import free_name, materialise, slices, table
-from vigil.llm.links import link
+from vigil.llm.links import link, similar_pairs
 from vigil.llm.ngram_join import mixed
 
 #: Characters of a shingle, least characters of a line, least similarity in per cent.
@@ -43,6 +43,10 @@ def line_form(line: str) -> str:
     return line.strip().lower()
 
 
+def line_hash(form: str) -> int:
+    return xxhash.xxh3_64_intdigest(form.encode("utf-8", "surrogatepass")) >> 1
+
+
 def shingle_hashes(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all character shingles of some lines of at least SHINGLE characters, and the line of each."""
     codes = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -100,7 +104,7 @@ def line_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
                         form = line_form(line)
                         if len(form) < MIN_CHARS:
                             continue
-                        h = xxhash.xxh3_64_intdigest(form.encode("utf-8", "surrogatepass")) >> 1
+                        h = line_hash(form)
                         rows.append(i)
                         at.append(j)
                         ids.append(h)
@@ -125,26 +129,13 @@ def line_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, at int, line_id long, size int, bands array<long>")
 
 
-def shingle_sets(lines: DataFrame) -> DataFrame:
-    """line_id and the sorted distinct shingle hashes of its form; lines: line_id, form."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, forms in slices(batch, "form", PART_CHARS):
-                h, line = shingle_hashes(forms)
-                order = np.lexsort((h, line))
-                h, line = h[order], line[order]
-                keep = np.ones(len(h), bool)
-                keep[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-                h, line = h[keep], line[keep]
-                ends = np.searchsorted(line, np.arange(len(forms) + 1))
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("line_id")), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))], names=["line_id", "tokens"])
-
-    return lines.select("line_id", "form").mapInArrow(run, "line_id long, tokens array<long>")
+def shingles_of(form: str) -> np.ndarray:
+    """Sorted distinct shingle hashes of one line."""
+    return np.unique(shingle_hashes([form])[0])
 
 
 def wanted_lines(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """line_id, form of the lines that wanted (_key, places: positions and ids) names."""
+    """id, body (form) of the lines that wanted (_key, places: positions and ids) names."""
     d, w = docs.alias("d"), wanted.hint("shuffle_hash").alias("w")
     rows = d.join(w, F.col(f"d.{key}") == F.col("w._key")).select(F.col(f"d.{text}").alias("_text"), "places")
 
@@ -157,13 +148,14 @@ def wanted_lines(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Dat
                 for t, named in zip(texts, places[first : first + len(texts)], strict=True):
                     lines = (t or "").split("\n")
                     for p in named:
-                        if p["at"] < len(lines):
+                        form = line_form(lines[p["at"]]) if p["at"] < len(lines) else ""
+                        if line_hash(form) == p["line_id"]:  # not so where another row has this id
                             ids.append(p["line_id"])
-                            forms.append(line_form(lines[p["at"]]))
+                            forms.append(form)
                 first += len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.string())], names=["line_id", "form"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.string())], names=["id", "body"])
 
-    return rows.mapInArrow(run, "line_id long, form string")
+    return rows.mapInArrow(run, "id long, body string")
 
 
 def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -171,21 +163,17 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_key").isNotNull())
     lines = materialise(line_classes(rows, "_key", "_text"), "line-classes")
     sigs = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("sig"), F.col("line_id").alias("id"), "size")
-    tokens: dict[str, DataFrame] = {}
+    bodies: dict[str, DataFrame] = {}
 
     def ready(ids: DataFrame) -> None:
-        """Shingle sets of the lines that share a band with another, from one place of each."""
+        """The forms of lines that share a band with another, from one place of each."""
         one = lines.join(ids.select(F.col("id").alias("line_id")).hint("shuffle_hash"), "line_id")
         one = one.groupBy("line_id").agg(F.min(F.struct("_key", "at")).alias("place"))
         wanted = one.groupBy(F.col("place._key").alias("_key")).agg(F.collect_set(F.struct(F.col("place.at").alias("at"), "line_id")).alias("places"))
-        tokens["all"] = materialise(shingle_sets(wanted_lines(rows, wanted, "_key", "_text")).dropDuplicates(["line_id"]), "line-shingles")
+        bodies["all"] = materialise(wanted_lines(rows, wanted, "_key", "_text"), "line-forms")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = tokens["all"].select(F.col("line_id").alias("a"), F.col("tokens").alias("x"))
-        b = tokens["all"].select(F.col("line_id").alias("b"), F.col("tokens").alias("y"))
-        both = pairs.join(b, "b").join(a, "a")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where(100 * common >= least * (F.size("x") + F.size("y") - common)).select("a", "b")
+        return similar_pairs(pairs, bodies["all"], lambda: shingles_of, least)
 
     def similar_size(x: str, y: str) -> Column:
         # distinct shingles may be far fewer than characters, so lengths rule nothing out

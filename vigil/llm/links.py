@@ -9,8 +9,10 @@ what is still apart in some group is compared pair by pair.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -40,6 +42,31 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return parts.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def similar_pairs(pairs: DataFrame, bodies: DataFrame, shingles: Callable[[], Callable[[str], np.ndarray]], least: int) -> DataFrame:
+    """Those pairs (a, b) whose sets are similar by least %; bodies: id, body; shingles() makes sorted distinct hashes of a body.
+
+    Bodies are shipped rather than sets: their text is a fraction of the hashes.
+    """
+    a = bodies.select(F.col("id").alias("a"), F.col("body").alias("x"))
+    b = bodies.select(F.col("id").alias("b"), F.col("body").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last, mine = shingles(), None, np.empty(0, np.uint64)
+        for batch in batches:
+            ids, others = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
+            for i, a in enumerate(ids):
+                if a != last:  # the pairs of one a mostly come together
+                    last, mine = a, of(batch.column(2)[i].as_py())
+                other = of(batch.column(3)[i].as_py())
+                common = len(np.intersect1d(mine, other, assume_unique=True))
+                if 100 * common >= least * (len(mine) + len(other) - common):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([others[i] for i in keep], pa.int64())], names=["a", "b"])
+
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def link(signatures: DataFrame, verify: Callable[[DataFrame], DataFrame], similar_size: Callable[[str, str], Column], ready: Callable[[DataFrame], None], name: str) -> DataFrame:
     """id, component of all ids that verified links connect.
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import as_bytes, forget, materialise, table
-from vigil.llm.links import link
+from vigil.llm.links import link, similar_pairs
 
 WORDS = 4
 #: Similarity in per cent.
@@ -81,6 +81,9 @@ class Shingler:
             out = mixed(out + h[k : len(h) - n + 1 + k] * FACTORS[k])
         return np.unique(mixed(out + np.uint64(n)))
 
+    def of_text(self, text: str) -> np.ndarray:
+        return self(text.encode("utf-8", "surrogatepass"))
+
 
 def needed(size: int, least: int) -> int:
     """Length of a plain prefix: size - ceil(least % of size) + 1."""
@@ -204,21 +207,6 @@ def shingle_sets(docs: DataFrame, key: str, text: str, n: int, least: int, frequ
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, set_id long, sigs array<long>")
 
 
-def token_sets(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """set_id and tokens (array of hashes) of rows with set_id and text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(n)
-        for batch in batches:
-            for part, texts in as_bytes(batch, text):
-                sets = [shingles(t) for t in texts]
-                ends = np.cumsum([0, *map(len, sets)])
-                flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("set_id")), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["set_id", "tokens"])
-
-    return docs.select("set_id", text).mapInArrow(run, "set_id long, tokens array<long>")
-
-
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, least: int = LEAST) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable by links of similarity least %) of each row."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
@@ -226,22 +214,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sets = materialise(shingle_sets(rows, "_key", "_text", n, least, frequent), "ngram-sets")
     known = sets.select("_key", "n_shingles", "set_id")
     sigs = sets.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), F.col("set_id").alias("id"), F.col("n_shingles").alias("size"))
-    tokens: dict[str, DataFrame] = {}
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = tokens["all"].select(F.col("set_id").alias("a"), F.col("tokens").alias("x"))
-        b = tokens["all"].select(F.col("set_id").alias("b"), F.col("tokens").alias("y"))
-        both = pairs.join(b, "b").join(a, "a")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where(100 * common >= least * (F.size("x") + F.size("y") - common)).select("a", "b")
+    bodies: dict[str, DataFrame] = {}
 
     def ready(ids: DataFrame) -> None:
-        """The sets that share a signature with another, each from the text of one document."""
+        """The texts of sets that share a signature with another, of one document for each."""
         one = known.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("_key").alias("_one"))
-        one = one.join(ids, F.col("set_id") == F.col("id")).select("set_id", "_one")
+        one = one.join(ids, F.col("set_id") == F.col("id")).select("id", "_one")
         r, o = rows.alias("r"), one.hint("shuffle_hash").alias("o")
-        texts = r.join(o, F.col("r._key") == F.col("o._one")).select("set_id", "_text")
-        tokens["all"] = materialise(token_sets(texts, "_text", n).dropDuplicates(["set_id"]), "ngram-tokens")
+        bodies["all"] = materialise(r.join(o, F.col("r._key") == F.col("o._one")).select("id", F.col("_text").alias("body")), "ngram-texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return similar_pairs(pairs, bodies["all"], lambda: Shingler(n).of_text, least)
 
     linked = link(sigs, verify, lambda x, y: (100 * F.col(x) >= least * F.col(y)) & (100 * F.col(y) >= least * F.col(x)), ready, "ngram")
     linked = linked.select(F.col("id").alias("set_id"), "component")
