@@ -3,8 +3,9 @@
 Signatures are rows (sig, id, size). Two ids that share a signature may be
 alike; verify() decides. A group whose members are already connected needs no
 further pairs, so a large group of near copies costs about one pair a member:
-first every id meets the smallest id of its groups, then the largest, and only
-what is still apart in some group is compared pair by pair.
+in the order of sizes every id first meets one that comes before it, then one
+that comes after it, and only what is still apart in some group is compared
+pair by pair.
 """
 
 from __future__ import annotations
@@ -73,34 +74,36 @@ def link(signatures: DataFrame, verify: Callable[[DataFrame], DataFrame], simila
     signatures: sig, id, size. similar_size tells whether two sizes (as column names) can be alike. ready gets the
     ids that share a signature with another before verify gets pairs (a, b) of them and returns those that are alike.
     """
-    # one shuffle of all signatures: the window passes over each group in order, spilling what memory can't hold
-    group = W.partitionBy("sig")
-    shared = signatures.withColumn("low", F.min("id").over(group)).withColumn("high", F.max("id").over(group)).where("low <> high")
-    shared = materialise(shared.distinct(), f"{name}-shared")
+    # one shuffle of all signatures; in a group ordered by size, who has no neighbour of a similar size has no partner
+    each = signatures.repartition("sig").distinct()
+    order = W.partitionBy("sig").orderBy("size", "id")
+    x = each.withColumn("p", F.lag(F.struct("id", "size")).over(order)).withColumn("n", F.lead(F.struct("id", "size")).over(order))
+    beside = lambda c: F.when(F.col(c).isNotNull() & similar_size("size", f"{c}.size"), F.col(f"{c}.id"))
+    x = x.withColumn("before", beside("p")).withColumn("after", beside("n")).drop("p", "n")
+    shared = materialise(x.where(F.col("before").isNotNull() | F.col("after").isNotNull()), f"{name}-shared")
     ready(shared.select("id").distinct())
 
     def new_links(pairs: DataFrame, links: DataFrame | None, part: str) -> DataFrame:
         found = materialise(verify(pairs), f"{name}-{part}")
         return found if links is None else links.unionByName(found)
 
-    # each id with the smallest id of its groups: a pair an id
-    star = shared.where("id <> low").groupBy(F.col("id").alias("b")).agg(F.min("low").alias("a")).select("a", "b")
-    links = new_links(star, None, "low")
+    # each id with one that comes before it in its groups: a pair an id
+    first = shared.where("before IS NOT NULL").groupBy(F.col("id").alias("b")).agg(F.min("before").alias("a")).select("a", "b")
+    links = new_links(first, None, "before")
     parts = materialise(components(links, f"{name}-cc"), f"{name}-parts")
 
     def apart(parts: DataFrame) -> DataFrame:
         """Members of groups that hold more than one component."""
         x = shared.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
         g = x.groupBy("sig").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("sig")
-        return x.join(g.hint("shuffle_hash"), "sig").select("sig", "id", "size", "part", "low", "high")
+        return x.join(g.hint("shuffle_hash"), "sig").select("sig", "id", "size", "part", "after")
 
-    # then with the largest, where that is apart
+    # then with one that comes after it, where that is apart
     x = materialise(apart(parts), f"{name}-apart")
-    ends = x.select(F.col("id").alias("high"), F.col("part").alias("high_part")).distinct()
-    star = x.where("id <> high").join(ends, "high").where("part <> high_part")
-    star = star.groupBy(F.col("id").alias("b")).agg(F.max("high").alias("a")).select("a", "b")
-    links = new_links(star, links, "high")
-    forget(parts)
+    next_ = parts.select(F.col("id").alias("after"), F.col("component").alias("other"))
+    second = x.where("after IS NOT NULL").join(next_, "after", "left").where(F.col("part") != F.coalesce("other", "after"))
+    second = second.groupBy(F.col("id").alias("b")).agg(F.max("after").alias("a")).select("a", "b")
+    links = new_links(second, links, "after")
     parts = materialise(components(links, f"{name}-cc"), f"{name}-parts")
 
     # the rest pair by pair
