@@ -40,10 +40,10 @@ def _(spark, d):
     return view(spark, d, "boxes").select("box_id", clip("x1", 399), clip("y1", 299), clip("x2", 399), clip("y2", 299))
 
 
-@query("normalise_roundtrip", "SELECT box_id, round(x1 / 640 * 640, 6) AS x1, round((x2 - x1) / 640 * (y2 - y1) / 480, 5) AS area FROM boxes", "boxes")
+@query("normalise_roundtrip", "SELECT box_id, round(x1 / 640 * 640, 6) AS x1, round((x2 - x1) * (y2 - y1), 3) AS area FROM boxes", "boxes")
 def _(spark, d):
     n = view(spark, d, "boxes").withColumns({c: C(c) / s for c, s in (("x1", 640), ("x2", 640), ("y1", 480), ("y2", 480))})
-    return n.select("box_id", F.round(C("x1") * 640, 6).alias("x1"), F.round(geometry.area(C("x1"), C("y1"), C("x2"), C("y2")), 5).alias("area"))
+    return n.select("box_id", F.round(C("x1") * 640, 6).alias("x1"), F.round(geometry.area(C("x1"), C("y1"), C("x2"), C("y2")) * 640 * 480, 3).alias("area"))
 
 
 @query("crop_boxes", "SELECT box_id, CAST(floor(greatest(x1 - 0.1e0 * (x2 - x1), 0)) AS INT) AS px1, CAST(floor(least(x2 + 0.1e0 * (x2 - x1), 640)) AS INT) AS px2, y1 + 0.35e0 * (y2 - y1) AS face_y2, greatest(x1 - 0.15e0 * (x2 - x1), 0) AS ex1 FROM boxes", "boxes")
