@@ -76,9 +76,11 @@ def sainte_lague(parties: DataFrame, votes: str, seats: Column, within: list[str
     down = F.transform(F.sequence(F.lit(1), F.least(reach.cast("long"), F.col("_q")).cast("int")), lambda i: F.col("_v") / (2 * (F.col("_q") - i) + 1))
     none = F.array().cast("array<double>")
     moves = F.when(F.col("_gap") > 0, up).when((F.col("_gap") < 0) & (F.col("_q") > 0), down).otherwise(none)
-    m = x.select(*within, *tie, "_gap", F.explode(moves).alias("_quotient"))
-    first = F.when(F.col("_gap") > 0, -F.col("_quotient")).otherwise(F.col("_quotient"))
-    m = m.withColumn("_rank", F.row_number().over(group.orderBy(first, *tie))).where(F.col("_rank") <= F.abs("_gap"))
+    x = x.withColumn("_place", F.row_number().over(group.orderBy(*tie)))
+    m = x.select(*within, *tie, "_gap", "_place", F.explode(moves).alias("_quotient"))
+    # seats won go to the first of equal quotients, seats lost come from the last
+    sign = F.when(F.col("_gap") > 0, -1).otherwise(1)
+    m = m.withColumn("_rank", F.row_number().over(group.orderBy(sign * F.col("_quotient"), -sign * F.col("_place")))).where(F.col("_rank") <= F.abs("_gap"))
     moved = m.groupBy(*within, *tie).agg(F.sum(F.signum("_gap")).cast("long").alias("_moved"))
     condition = F.lit(True)
     for c in dict.fromkeys([*within, *tie]):
