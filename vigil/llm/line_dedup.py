@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import free_name, materialise, slices, table
-from vigil.llm.links import link, similar_pairs
+from vigil.llm.links import link, similar_pairs, with_sketches
 from vigil.llm.ngram_join import mixed
 
 #: Characters of a shingle, least characters of a line, least similarity in per cent.
@@ -170,7 +170,7 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         one = lines.join(ids.select(F.col("id").alias("line_id")).hint("shuffle_hash"), "line_id")
         one = one.groupBy("line_id").agg(F.min(F.struct("_key", "at")).alias("place"))
         wanted = one.groupBy(F.col("place._key").alias("_key")).agg(F.collect_set(F.struct(F.col("place.at").alias("at"), "line_id")).alias("places"))
-        bodies["all"] = materialise(wanted_lines(rows, wanted, "_key", "_text"), "line-forms")
+        bodies["all"] = materialise(with_sketches(wanted_lines(rows, wanted, "_key", "_text"), lambda: shingles_of), "line-forms")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return similar_pairs(pairs, bodies["all"], lambda: shingles_of, least)

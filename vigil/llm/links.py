@@ -18,7 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vigil.llm.common import forget, materialise
+from vigil.llm.common import forget, materialise, slices
+
+#: Places of a sketch.
+SKETCH_BITS = 1024
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -43,11 +46,40 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return parts.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def with_sketches(bodies: DataFrame, shingles: Callable[[], Callable[[str], np.ndarray]]) -> DataFrame:
+    """id, body, n (size of its set) and bits (which of SKETCH_BITS places its shingle hashes fall on, as longs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shingles()
+        for batch in batches:
+            for part, texts in slices(batch, "body"):
+                sizes, bits = [], np.zeros((len(texts), SKETCH_BITS // 8), np.uint8)
+                for i, t in enumerate(texts):
+                    h = of(t)
+                    sizes.append(len(h))
+                    at = (h >> np.uint64(20)) % np.uint64(SKETCH_BITS)
+                    flags = np.zeros(SKETCH_BITS, np.uint8)
+                    flags[at.astype(np.int64)] = 1
+                    bits[i] = np.packbits(flags)
+                flat = pa.array(bits.reshape(-1).view(np.int64))
+                ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (SKETCH_BITS // 64))
+                columns = [part.column(part.schema.get_field_index("id")), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "body", "n", "bits"])
+
+    return bodies.select("id", "body").mapInArrow(run, "id long, body string, n int, bits array<long>")
+
+
 def similar_pairs(pairs: DataFrame, bodies: DataFrame, shingles: Callable[[], Callable[[str], np.ndarray]], least: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar by least %; bodies: id, body; shingles() makes sorted distinct hashes of a body.
+    """Those pairs (a, b) whose sets are similar by least %; bodies: as with_sketches() makes them.
 
-    Bodies are shipped rather than sets: their text is a fraction of the hashes.
+    Sketches first: places that only one of two sketches has are no more than the elements that only one of the sets
+    has, and similar sets have few of those, so most pairs go without a look at their texts. Texts are shipped for
+    the rest, rather than sets: they are a fraction of the hashes.
     """
+    of = lambda x: bodies.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    hopeful = pairs.join(of("b"), "b").join(of("a"), "a").where((100 + least) * apart <= (100 - least) * (F.col("na") + F.col("nb")))
+    hopeful = materialise(hopeful.select("a", "b"), "hopeful")
     a = bodies.select(F.col("id").alias("a"), F.col("body").alias("x"))
     b = bodies.select(F.col("id").alias("b"), F.col("body").alias("y"))
 
@@ -65,7 +97,7 @@ def similar_pairs(pairs: DataFrame, bodies: DataFrame, shingles: Callable[[], Ca
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([others[i] for i in keep], pa.int64())], names=["a", "b"])
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return hopeful.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def link(signatures: DataFrame, verify: Callable[[DataFrame], DataFrame], similar_size: Callable[[str, str], Column], ready: Callable[[DataFrame], None], name: str) -> DataFrame:

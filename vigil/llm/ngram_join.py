@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import as_bytes, forget, materialise, table
-from vigil.llm.links import link, similar_pairs
+from vigil.llm.links import link, similar_pairs, with_sketches
 
 WORDS = 4
 #: Similarity in per cent.
@@ -221,7 +221,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         one = known.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("_key").alias("_one"))
         one = one.join(ids, F.col("set_id") == F.col("id")).select("id", "_one")
         r, o = rows.alias("r"), one.hint("shuffle_hash").alias("o")
-        bodies["all"] = materialise(r.join(o, F.col("r._key") == F.col("o._one")).select("id", F.col("_text").alias("body")), "ngram-texts")
+        texts = r.join(o, F.col("r._key") == F.col("o._one")).select("id", F.col("_text").alias("body"))
+        bodies["all"] = materialise(with_sketches(texts, lambda: Shingler(n).of_text), "ngram-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return similar_pairs(pairs, bodies["all"], lambda: Shingler(n).of_text, least)
