@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import free_name, materialise, slices, table
-from vigil.llm.links import link, similar_pairs, with_sketches
+from vigil.llm.links import link
 from vigil.llm.ngram_join import mixed
 
 #: Characters of a shingle, least characters of a line, least similarity in per cent.
@@ -163,23 +163,18 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_key").isNotNull())
     lines = materialise(line_classes(rows, "_key", "_text"), "line-classes")
     sigs = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("sig"), F.col("line_id").alias("id"), "size")
-    bodies: dict[str, DataFrame] = {}
-
-    def ready(ids: DataFrame) -> None:
-        """The forms of lines that share a band with another, from one place of each."""
+    def bodies_of(ids: DataFrame) -> DataFrame:
+        """The forms of some lines, from one place of each."""
         one = lines.join(ids.select(F.col("id").alias("line_id")).hint("shuffle_hash"), "line_id")
         one = one.groupBy("line_id").agg(F.min(F.struct("_key", "at")).alias("place"))
         wanted = one.groupBy(F.col("place._key").alias("_key")).agg(F.collect_set(F.struct(F.col("place.at").alias("at"), "line_id")).alias("places"))
-        bodies["all"] = materialise(with_sketches(wanted_lines(rows, wanted, "_key", "_text"), lambda: shingles_of), "line-forms")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return similar_pairs(pairs, bodies["all"], lambda: shingles_of, least)
+        return wanted_lines(rows, wanted, "_key", "_text")
 
     def similar_size(x: str, y: str) -> Column:
         # distinct shingles may be far fewer than characters, so lengths rule nothing out
         return F.lit(True)
 
-    linked = link(sigs, verify, similar_size, ready, "lines").select(F.col("id").alias("line_id"), "component")
+    linked = link(sigs, bodies_of, lambda: shingles_of, least, similar_size, "lines").select(F.col("id").alias("line_id"), "component")
     # the first place of each class, then of each component; the place of a hot class is found before it is joined
     firsts = lines.groupBy("line_id").agg(F.min(F.struct("_key", "at")).alias("place"), F.count("*").alias("n"))
     parts = firsts.join(linked, "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))

@@ -1,7 +1,7 @@
 """From shared signatures to verified links and connected components, as Spark jobs.
 
 Signatures are rows (sig, id, size). Two ids that share a signature may be
-alike; verify() decides. A group whose members are already connected needs no
+alike; the similarity of their sets decides. A group whose members are already connected needs no
 further pairs, so a large group of near copies costs about one pair a member:
 in the order of sizes every id first meets one that comes before it, then one
 that comes after it, and only what is still apart in some group is compared
@@ -69,6 +69,12 @@ def with_sketches(bodies: DataFrame, shingles: Callable[[], Callable[[str], np.n
     return bodies.select("id", "body").mapInArrow(run, "id long, body string, n int, bits array<long>")
 
 
+def may_be_similar(bits_a: str, bits_b: str, n_a: str, n_b: str, least: int) -> Column:
+    """False only where two sketches prove that their sets are less similar than least %."""
+    apart = F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    return (100 + least) * apart <= (100 - least) * (F.col(n_a) + F.col(n_b))
+
+
 def similar_pairs(pairs: DataFrame, bodies: DataFrame, shingles: Callable[[], Callable[[str], np.ndarray]], least: int) -> DataFrame:
     """Those pairs (a, b) whose sets are similar by least %; bodies: as with_sketches() makes them.
 
@@ -77,8 +83,7 @@ def similar_pairs(pairs: DataFrame, bodies: DataFrame, shingles: Callable[[], Ca
     the rest, rather than sets: they are a fraction of the hashes.
     """
     of = lambda x: bodies.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    hopeful = pairs.join(of("b"), "b").join(of("a"), "a").where((100 + least) * apart <= (100 - least) * (F.col("na") + F.col("nb")))
+    hopeful = pairs.join(of("b"), "b").join(of("a"), "a").where(may_be_similar("bitsa", "bitsb", "na", "nb", least))
     hopeful = materialise(hopeful.select("a", "b"), "hopeful")
     a = bodies.select(F.col("id").alias("a"), F.col("body").alias("x"))
     b = bodies.select(F.col("id").alias("b"), F.col("body").alias("y"))
@@ -100,11 +105,13 @@ def similar_pairs(pairs: DataFrame, bodies: DataFrame, shingles: Callable[[], Ca
     return hopeful.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def link(signatures: DataFrame, verify: Callable[[DataFrame], DataFrame], similar_size: Callable[[str, str], Column], ready: Callable[[DataFrame], None], name: str) -> DataFrame:
-    """id, component of all ids that verified links connect.
+def link(
+    signatures: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], shingles: Callable[[], Callable[[str], np.ndarray]], least: int, similar_size: Callable[[str, str], Column], name: str
+) -> DataFrame:
+    """id, component of all ids that links of similarity least % connect.
 
-    signatures: sig, id, size. similar_size tells whether two sizes (as column names) can be alike. ready gets the
-    ids that share a signature with another before verify gets pairs (a, b) of them and returns those that are alike.
+    signatures: sig, id, size. similar_size tells whether two sizes (as column names) can be alike. bodies_of gives
+    id, body for the ids that share a signature with another, and shingles() makes sets of bodies.
     """
     # one shuffle of all signatures; in a group ordered by size, who has no neighbour of a similar size has no partner
     each = signatures.repartition("sig").distinct()
@@ -113,10 +120,10 @@ def link(signatures: DataFrame, verify: Callable[[DataFrame], DataFrame], simila
     beside = lambda c: F.when(F.col(c).isNotNull() & similar_size("size", f"{c}.size"), F.col(f"{c}.id"))
     x = x.withColumn("before", beside("p")).withColumn("after", beside("n")).drop("p", "n")
     shared = materialise(x.where(F.col("before").isNotNull() | F.col("after").isNotNull()), f"{name}-shared")
-    ready(shared.select("id").distinct())
+    bodies = materialise(with_sketches(bodies_of(shared.select("id").distinct()), shingles), f"{name}-bodies")
 
     def new_links(pairs: DataFrame, links: DataFrame | None, part: str) -> DataFrame:
-        found = materialise(verify(pairs), f"{name}-{part}")
+        found = materialise(similar_pairs(pairs, bodies, shingles, least), f"{name}-{part}")
         return found if links is None else links.unionByName(found)
 
     # each id with one that comes before it in its groups: a pair an id
@@ -138,10 +145,11 @@ def link(signatures: DataFrame, verify: Callable[[DataFrame], DataFrame], simila
     links = new_links(second, links, "after")
     parts = materialise(components(links, f"{name}-cc"), f"{name}-parts")
 
-    # the rest pair by pair
-    y = materialise(apart(parts).select("sig", "id", "size", "part"), f"{name}-rest")
+    # the rest pair by pair, where sizes and sketches allow
+    y = apart(parts).select("sig", "id", "size", "part").join(bodies.select("id", "n", "bits"), "id")
+    y = materialise(y, f"{name}-rest")
     p, q = y.alias("p"), y.alias("q")
-    near = similar_size("p.size", "q.size")
+    near = similar_size("p.size", "q.size") & may_be_similar("p.bits", "q.bits", "p.n", "q.n", least)
     rest = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.part") != F.col("q.part")) & near)
     rest = rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
     links = new_links(rest, links, "all")

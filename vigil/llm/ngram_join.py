@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import as_bytes, forget, materialise, table
-from vigil.llm.links import link, similar_pairs, with_sketches
+from vigil.llm.links import link
 
 WORDS = 4
 #: Similarity in per cent.
@@ -214,20 +214,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sets = materialise(shingle_sets(rows, "_key", "_text", n, least, frequent), "ngram-sets")
     known = sets.select("_key", "n_shingles", "set_id")
     sigs = sets.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), F.col("set_id").alias("id"), F.col("n_shingles").alias("size"))
-    bodies: dict[str, DataFrame] = {}
-
-    def ready(ids: DataFrame) -> None:
-        """The texts of sets that share a signature with another, of one document for each."""
+    def bodies_of(ids: DataFrame) -> DataFrame:
+        """The texts of some sets, each of one document."""
         one = known.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("_key").alias("_one"))
         one = one.join(ids, F.col("set_id") == F.col("id")).select("id", "_one")
         r, o = rows.alias("r"), one.hint("shuffle_hash").alias("o")
-        texts = r.join(o, F.col("r._key") == F.col("o._one")).select("id", F.col("_text").alias("body"))
-        bodies["all"] = materialise(with_sketches(texts, lambda: Shingler(n).of_text), "ngram-texts")
+        return r.join(o, F.col("r._key") == F.col("o._one")).select("id", F.col("_text").alias("body"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return similar_pairs(pairs, bodies["all"], lambda: Shingler(n).of_text, least)
+    def similar_size(x: str, y: str) -> Column:
+        return (100 * F.col(x) >= least * F.col(y)) & (100 * F.col(y) >= least * F.col(x))
 
-    linked = link(sigs, verify, lambda x, y: (100 * F.col(x) >= least * F.col(y)) & (100 * F.col(y) >= least * F.col(x)), ready, "ngram")
+    linked = link(sigs, bodies_of, lambda: Shingler(n).of_text, least, similar_size, "ngram")
     linked = linked.select(F.col("id").alias("set_id"), "component")
     placed = known.join(linked, "set_id", "left").withColumn("_part", F.coalesce("component", "set_id"))
     smallest = placed.where(F.col("_part").isNotNull()).groupBy("_part").agg(F.min("_key").alias("_least"))
