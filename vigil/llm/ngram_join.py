@@ -41,7 +41,6 @@ LEAST = 85
 FREQUENT_FROM, MAX_FREQUENT = 12, 1 << 17
 #: Frequent shingles that a class has in a prefix, about.
 CLASS_SIZE = 8
-CACHE_WORDS = 150_000
 MASK = (1 << 64) - 1
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -53,28 +52,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that part words.
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+BASE = np.uint64(0x9E6C63D0876A9A35)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text in UTF-8, in order: polynomials in BASE over their bytes, mixed."""
+    a = np.frombuffer(text, np.uint8)
+    word = ~SPACE[a]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    at = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a)))) if starts[0] == 0 else None
+    if at is None:  # white space comes first
+        return word_hashes(text[starts[0] :])
+    powers = np.full(int(at.max()) + 1, BASE, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    value = np.where(word, (a.astype(np.uint64) + np.uint64(1)) * powers[at], np.uint64(0))
+    return mixed(np.add.reduceat(value, starts))
+
+
 class Shingler:
-    """Sorted distinct shingle hashes of texts in UTF-8, with a bounded memory of word hashes."""
+    """Sorted distinct hashes of the shingles of n words of texts in UTF-8."""
 
     def __init__(self, n: int):
-        self.n, self.known = n, {}
-
-    def word(self, w: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(w)
-        if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
-        if len(w) <= 64:
-            self.known[w] = h
-        return h
+        self.n = n
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        words = text.lower().split() if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        found = list(map(self.known.get, words))
-        if None in found:
-            found = [self.word(w) if h is None else h for w, h in zip(words, found, strict=True)]
-        h = np.array(found, np.uint64)
+        h = word_hashes(text.lower()) if text else np.empty(0, np.uint64)
+        if not len(h):
+            return h
         n = min(self.n, len(h))
         out = np.zeros(len(h) - n + 1, np.uint64)
         for k in range(n):
