@@ -48,3 +48,20 @@ def test_edge_rows(docs, nothing):
     assert parts[11] == 1  # its repetitions add 3 shingles to the 57 of row 1
     assert all(parts[k] == k for k in (4, 5, 6, 7, 10))
     assert nj.jaccard_components(nothing).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    def words(a, head=0, tail=0):
+        return " ".join([f"{a}h{i}" for i in range(head)] + [f"{a}{i}" for i in range(head, 60 - tail)] + [f"{a}t{i}" for i in range(tail)])
+
+    # of a, only the row without an id is near both 5 and 6; b and c have no id at all; 7 stands for different texts
+    rows = [(5, words("a", 4)), (None, words("a")), (6, words("a", 0, 4)), (7, words("a", 4, 1)), (7, words("d")), (7, words("d")), (4, words("e"))]
+    rows += [(None, words("b")), (None, words("b", 1)), (None, words("c")), (None, None), (None, ""), (None, " \n")]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, _row string")
+    parts = nj.jaccard_components(df).collect()
+    assert {(r.doc_id, r.component_id) for r in parts} == {(5, 5), (6, 5), (7, 5), (7, 7), (None, 5), (None, None), (4, 4)}
+    kept = nj.stage(spark, df, "").collect()
+    got = sorted((r.doc_id or 0, (r.text or "")[:1]) for r in kept)
+    assert got == [(0, ""), (0, ""), (0, " "), (0, "b"), (0, "c"), (4, "e"), (5, "a"), (7, "d")]
+    assert kept[0].asDict().keys() == {"doc_id", "text", "_row"}
+    assert nj.stage(spark, df.where("false"), "").count() == 0

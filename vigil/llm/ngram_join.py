@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import as_bytes, forget, materialise, table
+from vigil.llm.common import as_bytes, forget, free_name, materialise, table
 from vigil.llm.links import link
 
 WORDS = 4
@@ -53,7 +53,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes that part words.
-SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+SPACES = " \t\n\x0b\f\r"
+SPACE = np.isin(np.arange(256), list(SPACES.encode()))
 BASE = np.uint64(0x9E6C63D0876A9A35)
 
 
@@ -188,8 +189,13 @@ def frequent_shingles(docs: DataFrame, key: str, text: str, n: int, least: int)
     return np.sort(found.view(np.uint64))
 
 
+def row_hash(key: Column, text: Column) -> Column:
+    """A hash of id and text, never null: the same for repeated rows alone, whether or not they have an id."""
+    return F.xxhash64(key, text)
+
+
 def shingle_sets(docs: DataFrame, key: str, text: str, n: int, least: int, frequent: np.ndarray) -> DataFrame:
-    """key, n_shingles, set_id and sigs of each row; of equal sets in a task only the first has signatures."""
+    """key, _row (its row_hash()), n_shingles, set_id and sigs of each row; of equal sets in a task only the first has signatures."""
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -211,33 +217,40 @@ def shingle_sets(docs: DataFrame, key: str, text: str, n: int, least: int, frequ
                 ends = np.cumsum([0, *map(len, sigs)])
                 flat = np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(key)), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                    names=[key, "n_shingles", "set_id", "sigs"],
+                    [*(part.column(part.schema.get_field_index(c)) for c in (key, "_row")), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                    names=[key, "_row", "n_shingles", "set_id", "sigs"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, set_id long, sigs array<long>")
+    rows = docs.select(key, row_hash(F.col(key), F.col(text)).alias("_row"), text)
+    return rows.mapInArrow(run, f"`{key}` {kind}, _row long, n_shingles long, set_id long, sigs array<long>")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, least: int = LEAST) -> DataFrame:
-    """key, n_shingles, component_id (smallest key reachable by links of similarity least %) of each row."""
+def jaccard_parts(docs: DataFrame, key: str, text: str, n: int, least: int) -> DataFrame:
+    """_key, _row, n_shingles and _part (its component under links of similarity least %, null without a word) of each row."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     frequent = frequent_shingles(rows, "_key", "_text", n, least)
     sets = materialise(shingle_sets(rows, "_key", "_text", n, least, frequent), "ngram-sets")
-    known = sets.select("_key", "n_shingles", "set_id")
+    known = sets.select("_key", "_row", "n_shingles", "set_id")
     sigs = sets.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), F.col("set_id").alias("id"), F.col("n_shingles").alias("size"))
     def bodies_of(ids: DataFrame) -> DataFrame:
-        """The texts of some sets, each of one document."""
-        one = known.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("_key").alias("_one"))
+        """The texts of some sets, each of one document, which need not have an id."""
+        one = known.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("_row").alias("_one"))
         one = one.join(ids, F.col("set_id") == F.col("id")).select("id", "_one")
-        r, o = rows.alias("r"), one.hint("shuffle_hash").alias("o")
-        return r.join(o, F.col("r._key") == F.col("o._one")).select("id", F.col("_text").alias("body"))
+        r, o = rows.withColumn("_row", row_hash(F.col("_key"), F.col("_text"))).alias("r"), one.hint("shuffle_hash").alias("o")
+        found = r.join(o, F.col("r._row") == F.col("o._one")).select("id", F.col("_text").alias("body"), F.col("o._one").alias("_one"))
+        return found.dropDuplicates(["_one"]).select("id", "body")  # repeated rows lie in one task already
 
     def similar_size(x: str, y: str) -> Column:
         return (100 * F.col(x) >= least * F.col(y)) & (100 * F.col(y) >= least * F.col(x))
 
     linked = link(sigs, bodies_of, lambda: Shingler(n).of_text, least, similar_size, "ngram")
     linked = linked.select(F.col("id").alias("set_id"), "component")
-    placed = known.join(linked, "set_id", "left").withColumn("_part", F.coalesce("component", "set_id"))
+    return known.join(linked, "set_id", "left").select("_key", "_row", "n_shingles", F.coalesce("component", "set_id").alias("_part"))
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, least: int = LEAST) -> DataFrame:
+    """key, n_shingles, component_id (smallest key reachable by links of similarity least %) of each row."""
+    placed = jaccard_parts(docs, key, text, n, least)
     smallest = placed.where(F.col("_part").isNotNull()).groupBy("_part").agg(F.min("_key").alias("_least"))
     out = placed.join(smallest, "_part", "left")
     return out.select(F.col("_key").alias(key), "n_shingles", F.coalesce("_least", "_key").alias("component_id"))
@@ -263,7 +276,15 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Third stage of the pipeline: of each group of similar documents (5 words, 80 %) the one with the smallest id stays."""
-    found = jaccard_components(docs, n=5, least=80).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    d, k = docs.alias("d"), found.hint("shuffle_hash").alias("k")
-    return d.join(k, F.col("d.doc_id") == F.col("k._kept"), "left_semi").select(*docs.columns)
+    """Third stage of the pipeline: of each group of similar documents (5 words, 80 %) one row stays.
+
+    That is one of the smallest id, or one without an id where no row of the group has one. Rows without a word all stay.
+    """
+    mark = free_name(docs, "_row")
+    parts = jaccard_parts(docs, "doc_id", "text", 5, 80).where(F.col("_part").isNotNull())
+    first = parts.groupBy("_part").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")).alias("first"))
+    wordless = F.coalesce(F.trim(F.col("text"), F.lit(SPACES)), F.lit("")) == ""
+    d = docs.where(~wordless).withColumn(mark, row_hash(F.col("doc_id"), F.col("text"))).alias("d")
+    k = first.select(F.col("first._row").alias("_kept")).hint("shuffle_hash").alias("k")
+    kept = d.join(k, F.col(f"d.{mark}") == F.col("k._kept"), "left_semi").dropDuplicates([mark]).select(*docs.columns)
+    return kept.unionByName(docs.where(wordless))
