@@ -66,3 +66,11 @@ def test_language_model_of_odd_texts(docs, nothing):
     assert model.tokens == 0
     assert [r.n_known for r in brown.score_texts(docs, model, counts).collect()] == [0] * 12
     assert brown.score_texts(nothing, model, counts).count() == 0
+
+
+def test_line_frequency_of_repeated_rows(spark):
+    line = "a common line that all of them have in them"
+    rows = [(i, line + "\n" + " ".join(f"x{i}y{k}" for k in range(21)), "h") for i in range(60)]
+    rows += [(0, rows[0][1], "h"), (0, rows[0][1], "h"), (0, rows[0][1], None), (1, line + "\n" + line + "\n" + " ".join(f"z{k}" for k in range(21)), "h")]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id < 2").collect()
+    assert sorted((r.doc_id, r.n_words, r.removed_words, r.kept) for r in got) == [(0, 31, 0, True), (0, 31, 10, True), (0, 31, 10, True), (0, 31, 10, True), (1, 31, 10, True), (1, 41, 20, False)]  # the last for its repeated windows

@@ -20,3 +20,10 @@ def test_bands_find_similar_lines():
     keys = ld.minhash_bands([a, a[:150] + "#" + a[151:], a[::-1]])
     assert (keys[0] == keys[1]).any()
     assert not (keys[0] == keys[2]).any()
+
+
+def test_rows_of_one_id(spark):
+    long = "one line that stands in two of these documents, at the same place"
+    rows = [(1, long + "\nshort"), (2, long + "\nanother line that only one of the documents has"), (2, "the other text of this id has no line twice anywhere\nlast"), (2, "the other text of this id has no line twice anywhere\nlast"), (3, "short\n" + long), (3, long + "\nand more of the third")]
+    got = sorted(r.text for r in ld.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id > 1").collect())
+    assert got == sorted(["another line that only one of the documents has", rows[2][1], rows[3][1], "short", "and more of the third"])

@@ -5,12 +5,13 @@ are one class. Each class gets a one-permutation MinHash signature over its
 character shingles, cut into bands; classes that share a band are verified by
 the exact Jaccard similarity of their shingle sets, verified links make
 components, and of each component the first line (smallest document id, then
-position) stays.
+position, then the row's hash) stays.
 
 Defined results: lines under MIN_CHARS characters are never removed, nor are
 lines without a word; a null text stays null and an empty one empty; of equal
 lines in one document the first stays; a text that loses lines keeps the others
-in order; repeated rows of an id lose lines alike; rows with a null id stay as
+in order; repeated rows (equal id and text) lose lines alike, and rows of one
+id with other texts are documents of their own; rows with a null id stay as
 they are; an empty table gives an empty table; other columns stay.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import free_name, materialise, slices, table
 from vigil.llm.links import link
-from vigil.llm.ngram_join import mixed
+from vigil.llm.ngram_join import mixed, row_hash
 
 #: Characters of a shingle, least characters of a line, least similarity in per cent.
 SHINGLE, MIN_CHARS, LEAST = 7, 20, 80
@@ -91,7 +92,7 @@ def part_bands(forms: list[str]) -> np.ndarray:
 
 
 def line_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, at (position), line_id (hash of its form), size, bands of each line that counts; equal lines of a task have bands once."""
+    """key, _row (its row_hash()), at (position), line_id (hash of its form), size, bands of each line that counts; equal lines of a task have bands once."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +123,12 @@ def line_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
                 bands = minhash_bands(forms).reshape(-1).view(np.int64) if forms else np.empty(0, np.int64)
                 ends = np.cumsum([0, *fresh])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index(key)).take(pa.array(rows)), pa.array(at, pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands))],
-                    names=[key, "at", "line_id", "size", "bands"],
+                    [*(part.column(part.schema.get_field_index(c)).take(pa.array(rows)) for c in (key, "_row")), pa.array(at, pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands))],
+                    names=[key, "_row", "at", "line_id", "size", "bands"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, at int, line_id long, size int, bands array<long>")
+    rows = docs.select(key, row_hash(F.col(key), F.col(text)).alias("_row"), text)
+    return rows.mapInArrow(run, f"`{key}` {kind}, _row long, at int, line_id long, size int, bands array<long>")
 
 
 def shingles_of(form: str) -> np.ndarray:
@@ -135,9 +137,9 @@ def shingles_of(form: str) -> np.ndarray:
 
 
 def wanted_lines(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """id, body (form) of the lines that wanted (_key, places: positions and ids) names."""
+    """id, body (form) of the lines that wanted (_row, places: positions and ids) names."""
     d, w = docs.alias("d"), wanted.hint("shuffle_hash").alias("w")
-    rows = d.join(w, F.col(f"d.{key}") == F.col("w._key")).select(F.col(f"d.{text}").alias("_text"), "places")
+    rows = d.join(w, row_hash(F.col(f"d.{key}"), F.col(f"d.{text}")) == F.col("w._row")).select(F.col(f"d.{text}").alias("_text"), "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +151,7 @@ def wanted_lines(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Dat
                     lines = (t or "").split("\n")
                     for p in named:
                         form = line_form(lines[p["at"]]) if p["at"] < len(lines) else ""
-                        if line_hash(form) == p["line_id"]:  # not so where another row has this id
+                        if line_hash(form) == p["line_id"]:
                             ids.append(p["line_id"])
                             forms.append(form)
                 first += len(texts)
@@ -159,15 +161,15 @@ def wanted_lines(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Dat
 
 
 def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """key, at, line_id, component, first_key, first_at and removed of each line that counts."""
+    """key, _row, at, line_id, component, first_key, first_at and removed of each line that counts."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_key").isNotNull())
     lines = materialise(line_classes(rows, "_key", "_text"), "line-classes")
     sigs = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("sig"), F.col("line_id").alias("id"), "size")
     def bodies_of(ids: DataFrame) -> DataFrame:
         """The forms of some lines, from one place of each."""
         one = lines.join(ids.select(F.col("id").alias("line_id")).hint("shuffle_hash"), "line_id")
-        one = one.groupBy("line_id").agg(F.min(F.struct("_key", "at")).alias("place"))
-        wanted = one.groupBy(F.col("place._key").alias("_key")).agg(F.collect_set(F.struct(F.col("place.at").alias("at"), "line_id")).alias("places"))
+        one = one.groupBy("line_id").agg(F.min(F.struct("_key", "at", "_row")).alias("place"))
+        wanted = one.groupBy(F.col("place._row").alias("_row")).agg(F.collect_set(F.struct(F.col("place.at").alias("at"), "line_id")).alias("places"))
         return wanted_lines(rows, wanted, "_key", "_text")
 
     def similar_size(x: str, y: str) -> Column:
@@ -176,26 +178,26 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     linked = link(sigs, bodies_of, lambda: shingles_of, least, similar_size, "lines").select(F.col("id").alias("line_id"), "component")
     # the first place of each class, then of each component; the place of a hot class is found before it is joined
-    firsts = lines.groupBy("line_id").agg(F.min(F.struct("_key", "at")).alias("place"), F.count("*").alias("n"))
+    firsts = lines.groupBy("line_id").agg(F.min(F.struct("_key", "at", "_row")).alias("place"), F.count("*").alias("n"))
     parts = firsts.join(linked, "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
     best = parts.groupBy("component").agg(F.min("place").alias("first"), F.sum("n").alias("of")).where("of > 1")
-    named = parts.join(best, "component").select("line_id", "component", F.col("first._key").alias("first_key"), F.col("first.at").alias("first_at"))
-    out = lines.select("_key", "at", "line_id").join(named, "line_id")
-    gone = (F.col("_key") != F.col("first_key")) | (F.col("at") != F.col("first_at"))
-    return out.select(F.col("_key").alias(key), "at", "line_id", "component", "first_key", "first_at", gone.alias("removed"))
+    named = parts.join(best, "component").select("line_id", "component", F.col("first._key").alias("first_key"), F.col("first.at").alias("first_at"), F.col("first._row").alias("first_row"))
+    out = lines.select("_key", "_row", "at", "line_id").join(named, "line_id")
+    gone = (F.col("_key") != F.col("first_key")) | (F.col("at") != F.col("first_at")) | (F.col("_row") != F.col("first_row"))
+    return out.select(F.col("_key").alias(key), "_row", "at", "line_id", "component", "first_key", "first_at", gone.alias("removed"))
 
 
-def removed_places(lines: DataFrame, key: str) -> DataFrame:
-    """_key and the sorted positions that go."""
-    return lines.where("removed").groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_set("at")).alias("_gone"))
+def removed_places(lines: DataFrame) -> DataFrame:
+    """_row and the sorted positions that go."""
+    return lines.where("removed").groupBy("_row").agg(F.sort_array(F.collect_set("at")).alias("_gone"))
 
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """docs with the texts that remain."""
     mark = free_name(docs, "_gone")
-    gone = removed_places(duplicate_lines(docs, key, text, least), key).withColumnRenamed("_gone", mark)
+    gone = removed_places(duplicate_lines(docs, key, text, least)).withColumnRenamed("_gone", mark)
     d, g = docs.alias("d"), gone.hint("shuffle_hash").alias("g")
-    both = d.join(g, F.col(f"d.`{key}`") == F.col("g._key"), "left").select("d.*", F.col(f"g.{mark}"))
+    both = d.join(g, row_hash(F.col(f"d.`{key}`"), F.col(f"d.`{text}`")) == F.col("g._row"), "left").select("d.*", F.col(f"g.{mark}"))
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

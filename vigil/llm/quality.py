@@ -10,7 +10,7 @@ its words, or under 20, is rejected as depleted.
 Defined results: null text counts as empty, so it fails for want of words;
 lines without a word are neither counted nor removed; a line counts once a
 document however often it repeats there; a null host is a host of its own;
-repeated rows of one id count apart; an empty table gives an empty table;
+repeated rows of one id count apart, and none of them gets another's words; an empty table gives an empty table;
 other columns of the input don't matter and are not returned.
 """
 
@@ -78,7 +78,7 @@ def base_features(df: DataFrame) -> DataFrame:
 
 
 def removed_words(rows: DataFrame) -> DataFrame:
-    """_key, _text_hash and how many words stand in lines above the limits; rows has _key, _host and _text."""
+    """_key, _host, _text_hash and how many words of one such row stand in lines above the limits; rows has _key, _host and _text."""
     lines = F.filter(F.split("_text", "\n"), lambda s: F.char_length(F.translate(s, SPACES, "")) > 0)
     x = rows.select("_key", "_host", F.xxhash64("_text").alias("_text_hash"), lines.alias("_lines"))
     # the outer forms keep the optimizer from computing the arrays once more, for a filter on their size
@@ -89,11 +89,12 @@ def removed_words(rows: DataFrame) -> DataFrame:
     c, o = counted.alias("c"), hosts.alias("o")
     over = c.join(o, F.col("c._host").eqNullSafe(F.col("o._of"))).where(F.col("_docs") > MAX_LINE_SHARE * F.col("_all"))
     over = over.select(F.col("_host").alias("_of"), F.col("_h").alias("_line"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    each = hashed.select("_key", "_text_hash", "_host", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).alias("_salted"), F.explode_outer("_hashed").alias("_e"))
+    each = hashed.select("_key", "_text_hash", "_host", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).alias("_salted"), F.posexplode_outer("_hashed").alias("_at", "_e"))
     e, v = each.alias("e"), over.alias("v")
     same = F.col("e._host").eqNullSafe(F.col("v._of")) & (F.col("e._e.h") == F.col("v._line")) & (F.col("e._salted") == F.col("v._salt"))
-    gone = e.join(v, same).groupBy("_key", "_text_hash").agg(F.sum("e._e.n").cast("long").alias("_gone"))
-    return gone
+    # repeated rows have the same lines at the same places: each place counts once
+    gone = e.join(v, same).groupBy("_key", "e._host", "_text_hash").agg(F.collect_set(F.struct("_at", F.col("_e.n").alias("n"))).alias("_places"))
+    return gone.select("_key", "_host", "_text_hash", F.aggregate("_places", F.lit(0).cast("long"), lambda s, p: s + p["n"]).alias("_gone"))
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -101,7 +102,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
     rows = docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     base = base_features(rows).withColumn("_text_hash", F.xxhash64("_text"))
     b, g = base.alias("b"), removed_words(rows).alias("g")
-    x = b.join(g, F.col("b._key").eqNullSafe(F.col("g._key")) & (F.col("b._text_hash") == F.col("g._text_hash")), "left")
+    x = b.join(g, F.col("b._key").eqNullSafe(F.col("g._key")) & F.col("b._host").eqNullSafe(F.col("g._host")) & (F.col("b._text_hash") == F.col("g._text_hash")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (left < MIN_WORDS) | (left < MIN_KEPT_SHARE * F.col("n_words"))
