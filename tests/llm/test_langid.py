@@ -15,3 +15,17 @@ def test_operator(spark, docs, nothing):
     assert len(got) == 12 and all(0 <= r.score <= 1 for r in got)
     assert langid.identify(nothing, d).count() == 0
     assert langid.fit_dictionaries(nothing) == {}
+
+
+def test_dictionaries_learn_from_whole_texts(spark):
+    header = "the same header stands before every document of this source " * 10
+    rows = [("header", header + " ".join(f"w{i}x{k}" for k in range(200))) for i in range(500)]
+    rows += [("short", f"{i:06} " + "one of very many short texts, of fifty characters") for i in range(4000)]
+    rows += [("twice", "a copy that stands many times"), ("empty", "")] + [("twice", "a copy that stands many times")] * 1000
+    rows += [(f"l{i}", f"a language of one text, number {i}") for i in range(300)]
+    got = langid.fit_dictionaries(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(got) == 303 and got["l299"] == b"a language of one text, number 299"
+    assert len(got["header"]) == len(got["short"]) == langid.DICT_BYTES
+    assert len({w.split(b"x")[0] for w in got["header"].split() if w[:1] == b"w" and w[1:2].isdigit()}) > 200
+    assert got["twice"] == b"a copy that stands many times"
+    langid.classify("a language of one text", langid.compressors(tuple(sorted(got.items())), langid.LEVEL))

@@ -1,14 +1,15 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary made from a bounded,
-hash-chosen sample of its labelled texts. A text is cut into blocks, all of
+Each language, however many there are, has a zstandard raw-content dictionary
+of bounded size. It is filled with pieces of hash-chosen labelled texts, one
+from a hash-chosen place of each text; equal pieces count once. A text is cut into blocks, all of
 them are compressed with every dictionary, and the language with the smallest
 sum wins; a narrow margin is a rejection.
 
 Defined results: text that is null, empty or without a letter is ``und`` with
 score 0 and not accepted; equal sums go to the first language by code point;
 with no labelled text at all everything is ``und``; texts of any length are
-read whole; repeated rows are sampled like others; an input that already has a
+read whole; repeated rows and copies are sampled as one; an input that already has a
 column of the output is refused.
 """
 
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 
 from vigil.llm.common import fold, slices, table
 
-#: Bounds of the fit: documents per language, characters of each, bytes of a dictionary, languages.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, MAX_LANGUAGES = 400, 400, 112_000, 256
+#: Documents of a language that are drawn first, characters of a document's piece, bytes of a dictionary.
+SAMPLE_DOCS, PIECE_CHARS, DICT_BYTES = 400, 400, 112_000
 BLOCK_BYTES = 1024
 LEVEL = 6
 #: A margin below this share of the runner-up's bytes is a rejection.
@@ -35,25 +36,31 @@ MIN_MARGIN = 0.02
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
-    """Raw-content dictionaries by language from a bounded sample, the same for the same rows.
+def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
+    """Raw-content dictionaries by language, the same for the same rows.
 
-    Languages are counted over all rows; then about SAMPLE_DOCS rows of each are taken by the hash of their key.
+    Languages are counted over all rows; then about SAMPLE_DOCS rows of each are drawn by the hash of their text, and
+    four times as many until their distinct pieces fill the dictionary or all rows are drawn.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES)
-    counts = {r[0]: r[1] for r in counts.collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, SAMPLE_DOCS / n)])
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(draw < F.try_element_at(share, F.col(lang))).select(
-        F.col(lang).alias("l"), draw.alias("d"), F.left(text, F.lit(SAMPLE_CHARS)).alias("t")
-    )
-    found: dict[str, list] = {}
-    for r in picked.collect():
-        found.setdefault(r.l, []).append((r.d, r.t))
-    return {k: "\n".join(t for _, t in sorted(v)).lower().encode()[:DICT_BYTES] for k, v in found.items()}
+    shares = {r[0]: min(1.0, SAMPLE_DOCS / r[1]) for r in rows.groupBy(lang).count().collect()}
+    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
+    places = F.greatest(F.char_length(text) - PIECE_CHARS, F.lit(0)) + 1
+    place = F.pmod(F.xxhash64(F.lit("place"), F.col(text)), places).cast("int") + 1
+    found: dict[str, bytes] = {}
+    while shares:
+        share = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])
+        picked = rows.where(draw < F.try_element_at(share, F.col(lang))).select(
+            F.col(lang).alias("l"), draw.alias("d"), F.substr(F.col(text), place, F.lit(PIECE_CHARS)).alias("t")
+        )
+        pieces: dict[str, list] = {}
+        for r in picked.groupBy("l", "t").agg(F.min("d").alias("d")).collect():
+            pieces.setdefault(r.l, []).append((r.d, r.t))
+        raw = {k: "\n".join(t for _, t in sorted(pieces.get(k, []))).lower().encode() for k in shares}
+        done = {k for k, s in shares.items() if s >= 1 or len(raw[k]) >= DICT_BYTES}
+        found |= {k: raw[k][:DICT_BYTES] for k in done if raw[k]}
+        shares = {k: min(1.0, 4 * s) for k, s in shares.items() if k not in done}
+    return found
 
 
 @lru_cache(maxsize=4)
