@@ -56,3 +56,7 @@ def test_pipeline(spark, tiny):
     out = corpus_pipeline.run(spark, tiny)
     assert {"doc_id", "text", "lang", "source", "n_chars", "ids", "decoded"} == set(out.columns)
     assert out.count() > 0
+
+
+def test_oracles_are_sql():
+    assert all(isinstance(sql, str) for sql in registry.oracle_sql().values())

@@ -28,6 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_ngram_jaccard_join": ngram_join.ORACLE,
         "op6_quality_rules": quality.ORACLE,
-        "op8_brown_lm": brown.query,
         "op9_url_filters": url_filter.ORACLE,
     }
