@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from vigil.llm.common import shared_dir
+from vigil.operators.graph import shared_folder
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -25,7 +25,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = os.path.join(shared_dir(spark), "vigil", f"pipeline-{uuid.uuid4().hex}")
+    root = os.path.join(shared_folder(spark), "vigil", f"pipeline-{uuid.uuid4().hex}")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{root}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
