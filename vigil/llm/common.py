@@ -6,9 +6,6 @@ Words are runs of ``[^\\x20\\x09-\\x0D]``; on UTF-8 bytes that is exactly
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.operators.graph import remove as forget
+from vigil.operators.graph import shared_folder
+from vigil.operators.graph import written as materialise
+
+__all__ = ["as_bytes", "fold", "forget", "free_name", "materialise", "shared_folder", "slices", "table"]
+
 #: Text bytes that one slice of a batch holds at most (one longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
 
@@ -29,35 +32,6 @@ def fold(column: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="vigil-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "vigil", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    # what df was computed from is unreachable now; a collection lets Spark's cleaner drop its shuffle files
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete what materialise() wrote, once nothing will read it again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if "/vigil/" in path.toString():
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -80,8 +54,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(start), texts.slice(start).to_pylist()
 
 
-def as_bytes(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
+def as_bytes(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """slices() with the texts as UTF-8 bytes."""
     i = batch.schema.get_field_index(column)
     cast = batch.column(i).cast(pa.binary())
-    yield from slices(batch.set_column(i, pa.field(column, pa.binary()), cast), column)
+    yield from slices(batch.set_column(i, pa.field(column, pa.binary()), cast), column, most)

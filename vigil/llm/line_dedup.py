@@ -5,36 +5,42 @@ are one class. Each class gets a one-permutation MinHash signature over its
 character shingles, cut into bands; classes that share a band are verified by
 the exact Jaccard similarity of their shingle sets, verified links make
 components, and of each component the first line (smallest document id, then
-position, then the row's hash) stays.
-
-Defined results: lines under MIN_CHARS characters are never removed, nor are
-lines without a word; a null text stays null and an empty one empty; of equal
-lines in one document the first stays; a text that loses lines keeps the others
-in order; repeated rows (equal id and text) lose lines alike, and rows of one
-id with other texts are documents of their own; rows with a null id stay as
-they are; an empty table gives an empty table; other columns stay.
+position, then the row's hash) stays. Lines too short for a shingle are
+compared for equality alone.
+
+Defined results: lines without a letter or digit are never removed; a null text
+stays null and an empty one empty; of equal lines in one document the first
+stays; a text that loses lines keeps the others in order; repeated rows (equal
+id and text) lose lines alike, and rows of one id with other texts are
+documents of their own; rows with a null id stay as they are; an empty table
+gives an empty table; other columns stay.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import free_name, materialise, slices, table
-from vigil.llm.links import link
+from vigil.llm.links import SKETCH, Sets, link, with_sketches
 from vigil.llm.ngram_join import mixed, row_hash
 
-#: Characters of a shingle, least characters of a line, least similarity in per cent.
-SHINGLE, MIN_CHARS, LEAST = 7, 20, 80
+#: Characters of a shingle, least similarity in per cent.
+SHINGLE, LEAST = 7, 80
+COUNTS = re.compile(r"[^\W_]").search
+#: Lines that a task remembers so as to give bands once; beyond, some get them again, which changes no result.
+MAX_SEEN = 500_000
 #: Bands and values of each: similar lines (0.8) share a band with probability 1 - (1 - 0.8 ** 5) ** 10 = 0.98.
 BANDS, ROWS = 10, 5
 BINS = BANDS * ROWS
 STEP = np.uint64(0x9E3779B97F4A7C15)
+STEP2 = np.uint64(0x9E3779B97F4A7C15**2 % 2**64)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Characters whose hashes are in memory at once.
 PART_CHARS = 400_000
@@ -49,17 +55,19 @@ def line_hash(form: str) -> int:
 
 
 def shingle_hashes(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all character shingles of some lines of at least SHINGLE characters, and the line of each."""
-    codes = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    """Hashes of all character shingles of some lines of at least SHINGLE characters, and how many each has."""
+    c = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, forms), np.int64, len(forms))
-    n = len(codes) - SHINGLE + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        h = (h * np.uint64(0x100000001B3) + codes[k : k + n]) * STEP if k else codes[:n] * STEP
-    line = np.repeat(np.arange(len(forms)), lengths)[:n]
-    last = np.cumsum(lengths)[line]
-    inside = np.arange(n) + SHINGLE <= last
-    return mixed(h[inside]), line[inside]
+    # polynomials over 2, 4, 6 and then 7 characters
+    two = c[:-1] * STEP + c[1:]
+    four = two[:-2] * STEP2 + two[2:]
+    six = four[:-2] * STEP2 + two[4:]
+    h = six[:-1] * STEP + c[6:]
+    inside = np.ones(len(h), bool)
+    ends = np.cumsum(lengths)[:-1]
+    for k in range(1, SHINGLE):  # shingles that reach into the next line
+        inside[ends - k] = False
+    return mixed(h[inside]), lengths - SHINGLE + 1
 
 
 def minhash_bands(forms: list[str]) -> np.ndarray:
@@ -74,10 +82,10 @@ def minhash_bands(forms: list[str]) -> np.ndarray:
 
 
 def part_bands(forms: list[str]) -> np.ndarray:
-    h, line = shingle_hashes(forms)
+    h, n = shingle_hashes(forms)
     bins = np.full(len(forms) * BINS, EMPTY, np.uint64)
-    at = line * BINS + (h % np.uint64(BINS)).astype(np.int64)
-    np.minimum.at(bins, at, h // np.uint64(BINS))
+    at = np.repeat(np.arange(len(forms)) * BINS, n) + ((h >> np.uint64(40)) * np.uint64(BINS) >> np.uint64(24)).astype(np.int64)
+    np.minimum.at(bins, at, h * STEP)
     bins = bins.reshape(len(forms), BINS)
     for _ in range(BINS):
         empty = bins == EMPTY
@@ -91,6 +99,18 @@ def part_bands(forms: list[str]) -> np.ndarray:
     return mixed(keys + np.arange(BANDS, dtype=np.uint64))
 
 
+def sets_of(forms: list[str]) -> Sets:
+    """Sorted distinct shingle hashes of lines."""
+    h, n = shingle_hashes(forms)
+    ends = np.concatenate(([0], np.cumsum(n)))
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[ends[:-1]] = True
+    return h[new], np.concatenate(([0], np.cumsum(new)))[ends]
+
+
 def line_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, _row (its row_hash()), at (position), line_id (hash of its form), size, bands of each line that counts; equal lines of a task have bands once."""
     kind = docs.schema[key].dataType.simpleString()
@@ -103,21 +123,21 @@ def line_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
                 for i, t in enumerate(texts):
                     for j, line in enumerate(t.split("\n") if t else ()):
                         form = line_form(line)
-                        if len(form) < MIN_CHARS:
+                        if not COUNTS(form):
                             continue
                         h = line_hash(form)
                         rows.append(i)
                         at.append(j)
                         ids.append(h)
                         sizes.append(len(form))
-                        if h in seen:
+                        if len(form) < SHINGLE or h in seen:
                             fresh.append(0)
                         else:
-                            if len(seen) > 500_000:
-                                seen.clear()
                             seen.add(h)
                             fresh.append(BANDS)
                             forms.append(form)
+                if len(seen) > MAX_SEEN:
+                    seen.clear()
                 if not rows:
                     continue
                 bands = minhash_bands(forms).reshape(-1).view(np.int64) if forms else np.empty(0, np.int64)
@@ -131,11 +151,6 @@ def line_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"`{key}` {kind}, _row long, at int, line_id long, size int, bands array<long>")
 
 
-def shingles_of(form: str) -> np.ndarray:
-    """Sorted distinct shingle hashes of one line."""
-    return np.unique(shingle_hashes([form])[0])
-
-
 def wanted_lines(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """id, body (form) of the lines that wanted (_row, places: positions and ids) names."""
     d, w = docs.alias("d"), wanted.hint("shuffle_hash").alias("w")
@@ -160,42 +175,55 @@ def wanted_lines(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Dat
     return rows.mapInArrow(run, "id long, body string")
 
 
-def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """key, _row, at, line_id, component, first_key, first_at and removed of each line that counts."""
+def classes(docs: DataFrame, key: str, text: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """All lines that count, as line_classes() makes them, and line_id, n, place, component, first of the classes that lose a line.
+
+    place is the first one of a class, first that of its component.
+    """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_key").isNotNull())
-    lines = materialise(line_classes(rows, "_key", "_text"), "line-classes")
+    lines = materialise(line_classes(rows, "_key", "_text"), "lines")
+    firsts = materialise(lines.groupBy("line_id").agg(F.min(F.struct("_key", "at", "_row")).alias("place"), F.count("*").alias("n")), "line-firsts")
     sigs = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("sig"), F.col("line_id").alias("id"), "size")
-    def bodies_of(ids: DataFrame) -> DataFrame:
-        """The forms of some lines, from one place of each."""
-        one = lines.join(ids.select(F.col("id").alias("line_id")).hint("shuffle_hash"), "line_id")
-        one = one.groupBy("line_id").agg(F.min(F.struct("_key", "at", "_row")).alias("place"))
+
+    def prepare(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Sketches and forms of some lines, from the first place of each."""
+        one = firsts.join(ids, F.col("line_id") == F.col("id"))
         wanted = one.groupBy(F.col("place._row").alias("_row")).agg(F.collect_set(F.struct(F.col("place.at").alias("at"), "line_id")).alias("places"))
-        return wanted_lines(rows, wanted, "_key", "_text")
+        found = wanted_lines(rows, wanted, "_key", "_text").dropDuplicates(["id"])  # repeated rows give their lines again
+        bodies = materialise(with_sketches(found, sets_of), "line-bodies")
+        return bodies.select("id", "n", *SKETCH), bodies.select("id", "body")
 
-    def similar_size(x: str, y: str) -> Column:
-        # distinct shingles may be far fewer than characters, so lengths rule nothing out
-        return F.lit(True)
+    # distinct shingles may be far fewer than characters, so lengths rule nothing out
+    linked = link(sigs, prepare, sets_of, least, 0, "lines")
+    linked = linked.select(F.col("id").alias("line_id"), "component")
+    parts = firsts.join(linked, "line_id", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "line_id"))
+    parts = materialise(parts, "line-parts")
+    first = parts.groupBy("component").agg(F.min("place").alias("first"))
+    return lines, parts.join(first, "component")
 
-    linked = link(sigs, bodies_of, lambda: shingles_of, least, similar_size, "lines").select(F.col("id").alias("line_id"), "component")
-    # the first place of each class, then of each component; the place of a hot class is found before it is joined
-    firsts = lines.groupBy("line_id").agg(F.min(F.struct("_key", "at", "_row")).alias("place"), F.count("*").alias("n"))
-    parts = firsts.join(linked, "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
-    best = parts.groupBy("component").agg(F.min("place").alias("first"), F.sum("n").alias("of")).where("of > 1")
-    named = parts.join(best, "component").select("line_id", "component", F.col("first._key").alias("first_key"), F.col("first.at").alias("first_at"), F.col("first._row").alias("first_row"))
-    out = lines.select("_key", "_row", "at", "line_id").join(named, "line_id")
-    gone = (F.col("_key") != F.col("first_key")) | (F.col("at") != F.col("first_at")) | (F.col("_row") != F.col("first_row"))
-    return out.select(F.col("_key").alias(key), "_row", "at", "line_id", "component", "first_key", "first_at", gone.alias("removed"))
+
+def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """key, _row, at, line_id, component, first_key, first_at and removed of each line that has a duplicate."""
+    lines, parts = classes(docs, key, text, least)
+    out = lines.select("_key", "_row", "at", "line_id").join(parts, "line_id")
+    return out.select(F.col("_key").alias(key), "_row", "at", "line_id", "component", F.col("first._key").alias("first_key"), F.col("first.at").alias("first_at"), (F.struct("_key", "at", "_row") != F.col("first")).alias("removed"))
 
 
-def removed_places(lines: DataFrame) -> DataFrame:
-    """_row and the sorted positions that go."""
-    return lines.where("removed").groupBy("_row").agg(F.sort_array(F.collect_set("at")).alias("_gone"))
+def removed_places(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """_row and the positions that go."""
+    lines, parts = classes(docs, key, text, least)
+    parts = materialise(parts, "line-components")
+    single = parts.where("n = 1 AND place <> first").select("place._row", "place.at")
+    # the lines of a common class are many: they meet it where they are, by broadcast or in split partitions
+    often = lines.select("_key", "_row", "at", "line_id").join(parts.where("n > 1").select("line_id", "first"), "line_id")
+    gone = often.where(F.struct("_key", "at", "_row") != F.col("first")).select("_row", "at").unionByName(single)
+    return gone.groupBy("_row").agg(F.collect_set("at").alias("_gone"))
 
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """docs with the texts that remain."""
     mark = free_name(docs, "_gone")
-    gone = removed_places(duplicate_lines(docs, key, text, least)).withColumnRenamed("_gone", mark)
+    gone = removed_places(docs, key, text, least).withColumnRenamed("_gone", mark)
     d, g = docs.alias("d"), gone.hint("shuffle_hash").alias("g")
     both = d.join(g, row_hash(F.col(f"d.`{key}`"), F.col(f"d.`{text}`")) == F.col("g._row"), "left").select("d.*", F.col(f"g.{mark}"))
     names, at = docs.columns, docs.columns.index(text)

@@ -1,11 +1,18 @@
 """From shared signatures to verified links and connected components, as Spark jobs.
 
 Signatures are rows (sig, id, size). Two ids that share a signature may be
-alike; the similarity of their sets decides. A group whose members are already connected needs no
-further pairs, so a large group of near copies costs about one pair a member:
-in the order of sizes every id first meets one that comes before it, then one
-that comes after it, and only what is still apart in some group is compared
-pair by pair.
+alike; the similarity of their sets decides. Every id is first verified against
+one partner: of those next to it in the order of its groups, the one it stands
+next to most often. Then members of a group that are still apart are verified against
+the most alike of those near them in a few chance orders. That connects groups of near
+copies with a few pairs an id. Only what is still apart in some group then meets
+each other, and of these only pairs whose sketches leave their similarity open
+are verified on whole sets, so none of the groups' links is lost.
+
+A sketch is the parity of how many elements of a set fall on each of its
+places. Where two sketches differ, exactly one of the sets has an element, so
+the number of such places never exceeds what the sets differ in: dropping a
+pair for that loses no link.
 """
 
 from __future__ import annotations
@@ -16,141 +23,217 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
-
-from vigil.llm.common import forget, materialise, slices
-
-#: Places of a sketch.
-SKETCH_BITS = 1024
-
-
-def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """id, component (its smallest reachable id) for the ids of edges (a, b), by alternating large and small stars."""
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = materialise(e, name)
-    mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-    while mark[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").alias("x").join(low.alias("y"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.alias("x").join(low.alias("y"), "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("p"))
-        after = materialise(small.select(F.col("p.a").alias("u"), F.col("p.b").alias("v")).where("u <> v").distinct(), name)
-        now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        forget(e)
-        e = after
-        if now == mark:
-            break
-        mark = now
-    parts = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-    return parts.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+from vigil.llm.common import forget, materialise
+from vigil.operators.graph import components
+
+#: 64-bit parts of a sketch, and their names.
+SKETCH_LONGS = 16
+SKETCH = [f"s{k}" for k in range(SKETCH_LONGS)]
+SKETCH_BITS = 64 * SKETCH_LONGS
+#: Chance orders at most; members ahead in an order that each is held against, by stretches; links for each row below which no further order is worth it.
+ROUNDS, AHEAD, STRETCH, FEW = 3, 64, 16, 0.004
+#: Bytes of text that are made into sets at once.
+PART_BYTES = 1 << 18
+
+#: Sorted distinct 64-bit hashes of each of some texts, end to end, and where each text's begin and end.
+Sets = tuple[np.ndarray, np.ndarray]
+
+
+def sketches(sets: Sets) -> list[pa.Array]:
+    """SKETCH_LONGS columns of the parities of each set."""
+    values, ends = sets
+    n = len(ends) - 1
+    place = np.repeat(np.arange(n), np.diff(ends)) * SKETCH_BITS + ((values >> np.uint64(23)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n * SKETCH_BITS) & 1).astype(np.uint8)
+    packed = np.packbits(odd).view(np.int64).reshape(n, SKETCH_LONGS)
+    return [pa.array(np.ascontiguousarray(packed[:, k])) for k in range(SKETCH_LONGS)]
 
 
-def with_sketches(bodies: DataFrame, shingles: Callable[[], Callable[[str], np.ndarray]]) -> DataFrame:
-    """id, body, n (size of its set) and bits (which of SKETCH_BITS places its shingle hashes fall on, as longs)."""
+def in_parts(texts: list, size: Callable[..., int] = len) -> Iterator[list]:
+    """Runs of texts (or what else has a size) of about PART_BYTES."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += size(t)
+        if held >= PART_BYTES:
+            yield texts[start : i + 1]
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
+def with_sketches(bodies: DataFrame, sets_of: Callable[[list[str]], Sets]) -> DataFrame:
+    """id, body, n (size of its set) and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shingles()
         for batch in batches:
-            for part, texts in slices(batch, "body"):
-                sizes, bits = [], np.zeros((len(texts), SKETCH_BITS // 8), np.uint8)
-                for i, t in enumerate(texts):
-                    h = of(t)
-                    sizes.append(len(h))
-                    at = (h >> np.uint64(20)) % np.uint64(SKETCH_BITS)
-                    flags = np.zeros(SKETCH_BITS, np.uint8)
-                    flags[at.astype(np.int64)] = 1
-                    bits[i] = np.packbits(flags)
-                flat = pa.array(bits.reshape(-1).view(np.int64))
-                ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (SKETCH_BITS // 64))
-                columns = [part.column(part.schema.get_field_index("id")), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "body", "n", "bits"])
-
-    return bodies.select("id", "body").mapInArrow(run, "id long, body string, n int, bits array<long>")
-
-
-def may_be_similar(bits_a: str, bits_b: str, n_a: str, n_b: str, least: int) -> Column:
-    """False only where two sketches prove that their sets are less similar than least %."""
-    apart = F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    return (100 + least) * apart <= (100 - least) * (F.col(n_a) + F.col(n_b))
-
-
-def similar_pairs(pairs: DataFrame, bodies: DataFrame, shingles: Callable[[], Callable[[str], np.ndarray]], least: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar by least %; bodies: as with_sketches() makes them.
-
-    Sketches first: places that only one of two sketches has are no more than the elements that only one of the sets
-    has, and similar sets have few of those, so most pairs go without a look at their texts. Texts are shipped for
-    the rest, rather than sets: they are a fraction of the hashes.
-    """
-    of = lambda x: bodies.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-    hopeful = pairs.join(of("b"), "b").join(of("a"), "a").where(may_be_similar("bitsa", "bitsb", "na", "nb", least))
-    hopeful = materialise(hopeful.select("a", "b"), "hopeful")
-    a = bodies.select(F.col("id").alias("a"), F.col("body").alias("x"))
-    b = bodies.select(F.col("id").alias("b"), F.col("body").alias("y"))
+            done = 0
+            for texts in in_parts(batch.column(1).to_pylist()):
+                sets = sets_of(texts)
+                part = batch.slice(done, len(texts))
+                done += len(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(sets[1]).astype(np.int32)), *sketches(sets)], names=["id", "body", "n", *SKETCH])
+
+    return bodies.select("id", "body").mapInArrow(run, "id long, body string, n int, " + ", ".join(f"{s} long" for s in SKETCH))
+
+
+def may_be_similar(a: str, b: str, least: int) -> Column:
+    """False only where the sketches of a and b (aliases with n and a sketch) prove that their sets are less similar than least %."""
+    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0))
+    return (100 + least) * apart <= (100 - least) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def similar_pairs(pairs: DataFrame, bodies: DataFrame, sets_of: Callable[[list[str]], Sets], least: int) -> DataFrame:
+    """Those pairs (a, b) whose sets are similar by least %, on their whole texts; bodies: id, body."""
+    x = bodies.select(F.col("id").alias("a"), F.col("body").alias("x"))
+    y = bodies.select(F.col("id").alias("b"), F.col("body").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, last, mine = shingles(), None, np.empty(0, np.uint64)
         for batch in batches:
-            ids, others = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            left, right, first = batch.column(2).to_pylist(), batch.column(3).to_pylist(), 0
             keep = []
-            for i, a in enumerate(ids):
-                if a != last:  # the pairs of one a mostly come together
-                    last, mine = a, of(batch.column(2)[i].as_py())
-                other = of(batch.column(3)[i].as_py())
-                common = len(np.intersect1d(mine, other, assume_unique=True))
-                if 100 * common >= least * (len(mine) + len(other) - common):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([others[i] for i in keep], pa.int64())], names=["a", "b"])
-
-    return hopeful.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
+            for some in in_parts(list(zip(left, right, strict=True)), lambda p: len(p[0]) + len(p[1])):
+                of = {t: k for k, t in enumerate(dict.fromkeys(t for p in some for t in p))}
+                values, ends = sets_of(list(of))
+                for i, (x, y) in enumerate(some):
+                    p, q = values[ends[of[x]] : ends[of[x] + 1]], values[ends[of[y]] : ends[of[y] + 1]]
+                    both = np.concatenate((p, q))
+                    both.sort(kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    if 100 * common >= least * (len(both) - common):
+                        keep.append(first + i)
+                first += len(some)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def neighbours(signatures: DataFrame, similar_size: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """sig, id, size, before of the ids that may have a partner in some group; before: the one ahead in the order of sizes, if alike in size.
+
+    Rows are range-partitioned in that order, so a large group goes to several tasks. What has no neighbour of a
+    similar size there has no partner at all; the first and last rows of a task stay, as their neighbours are elsewhere.
+    """
+    kinds = "sig long, id long, size int, before long"
 
-def link(
-    signatures: DataFrame, bodies_of: Callable[[DataFrame], DataFrame], shingles: Callable[[], Callable[[str], np.ndarray]], least: int, similar_size: Callable[[str, str], Column], name: str
-) -> DataFrame:
-    """id, component of all ids that links of similarity least % connect.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[np.ndarray, ...] | None = None  # sig, id, size, before and whether it stays, of the latest row
+        for batch in batches:
+            sig, ids, size = (batch.column(k).to_numpy() for k in range(3))
+            if not len(sig):
+                continue
+            if last is not None:
+                sig, ids, size = (np.concatenate((p, q)) for p, q in zip(last[:3], (sig, ids, size), strict=True))
+            fresh = np.ones(len(sig), bool)
+            fresh[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
+            sig, ids, size = sig[fresh], ids[fresh], size[fresh]
+            alike = np.zeros(len(sig), bool)
+            alike[1:] = (sig[1:] == sig[:-1]) & similar_size(size[:-1], size[1:])
+            before = np.where(alike, np.roll(ids, 1), -1)
+            stays = alike.copy()
+            stays[:-1] |= alike[1:]
+            if last is None:
+                stays[0] = True
+            else:
+                before[0] = last[3][0]
+                stays[0] |= last[4][0]
+            last = tuple(x[-1:] for x in (sig, ids, size, before, stays))
+            yield rows(*(x[:-1] for x in (sig, ids, size, before, stays)))
+        if last is not None:
+            yield rows(*last[:4], np.ones(1, bool))
+
+    def rows(sig: np.ndarray, ids: np.ndarray, size: np.ndarray, before: np.ndarray, stays: np.ndarray) -> pa.RecordBatch:
+        before = before[stays]
+        return pa.RecordBatch.from_arrays([pa.array(sig[stays]), pa.array(ids[stays]), pa.array(size[stays], pa.int32()), pa.array(before, mask=before < 0)], names=["sig", "id", "size", "before"])
+
+    order = signatures.select("sig", "id", F.col("size").cast("int").alias("size")).repartitionByRange("sig", "size", "id")
+    return order.sortWithinPartitions("sig", "size", "id").mapInArrow(run, kinds)
+
+
+def chance_pairs(members: DataFrame, k: int, least: int, ratio: int) -> DataFrame:
+    """Pairs (a, b) of one group in the k-th chance order: each member with those of the AHEAD before it, in other parts, whose sketches are most like its own in each stretch, if similar.
+
+    Range-partitioned in that order, so a large group goes to several tasks.
+    """
+    columns = ["sig", "id", "size", "part", "n", *SKETCH]
 
-    signatures: sig, id, size. similar_size tells whether two sizes (as column names) can be alike. bodies_of gives
-    id, body for the ids that share a signature with another, and shingles() makes sets of bodies.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[np.ndarray] | None = None
+        for batch in batches:
+            x = [batch.column(c).to_numpy() for c in columns]
+            old = 0
+            if last is not None:
+                old, x = len(last[0]), [np.concatenate((p, q)) for p, q in zip(last, x, strict=True)]
+            sig, ids, size, part, n, *sketch = x
+            pairs = []
+            for first in range(1, AHEAD, STRETCH):
+                nearest, least_apart = np.full(len(sig), -1), np.full(len(sig), SKETCH_BITS + 1)
+                for ahead in range(first, first + STRETCH):
+                    at = np.arange(max(old, ahead), len(sig))
+                    at = at[(sig[at] == sig[at - ahead]) & (part[at] != part[at - ahead])]
+                    at = at[100 * np.minimum(size[at], size[at - ahead]).astype(np.int64) >= ratio * np.maximum(size[at], size[at - ahead]).astype(np.int64)]
+                    if len(at):
+                        apart = sum(np.bitwise_count(s[at] ^ s[at - ahead]).astype(np.int64) for s in sketch)
+                        closer = ((100 + least) * apart <= (100 - least) * (n[at] + n[at - ahead])) & (apart < least_apart[at])
+                        nearest[at[closer]], least_apart[at[closer]] = at[closer] - ahead, apart[closer]
+                at = np.flatnonzero(nearest >= 0)
+                pairs.append(np.sort(np.stack((ids[at], ids[nearest[at]])), axis=0))
+            one, other = np.concatenate(pairs, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(other)], names=["a", "b"])
+            last = [c[-AHEAD:] for c in x]
+
+    chance = F.xxhash64(F.lit(k), "id")
+    order = members.select(*columns, chance.alias("chance")).repartitionByRange("sig", "chance").sortWithinPartitions("sig", "chance")
+    return order.select(*columns).mapInArrow(run, "a long, b long")
+
+
+def link(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame, DataFrame]], sets_of: Callable[[list[str]], Sets], least: int, ratio: int, name: str) -> DataFrame:
+    """id, component of all ids that links of similarity least % connect. Ids are not negative.
+
+    signatures: sig, id, size. Sizes can only be alike if the smaller one is at least ratio % of the larger. For ids
+    that share a signature, prepare writes id, n and sketch, and id and body; sets_of makes sets of bodies.
     """
-    # one shuffle of all signatures; in a group ordered by size, who has no neighbour of a similar size has no partner
-    each = signatures.repartition("sig").distinct()
-    order = W.partitionBy("sig").orderBy("size", "id")
-    x = each.withColumn("p", F.lag(F.struct("id", "size")).over(order)).withColumn("n", F.lead(F.struct("id", "size")).over(order))
-    beside = lambda c: F.when(F.col(c).isNotNull() & similar_size("size", f"{c}.size"), F.col(f"{c}.id"))
-    x = x.withColumn("before", beside("p")).withColumn("after", beside("n")).drop("p", "n")
-    shared = materialise(x.where(F.col("before").isNotNull() | F.col("after").isNotNull()), f"{name}-shared")
-    bodies = materialise(with_sketches(bodies_of(shared.select("id").distinct()), shingles), f"{name}-bodies")
-
-    def new_links(pairs: DataFrame, links: DataFrame | None, part: str) -> DataFrame:
-        found = materialise(similar_pairs(pairs, bodies, shingles, least), f"{name}-{part}")
-        return found if links is None else links.unionByName(found)
-
-    # each id with one that comes before it in its groups: a pair an id
-    first = shared.where("before IS NOT NULL").groupBy(F.col("id").alias("b")).agg(F.min("before").alias("a")).select("a", "b")
-    links = new_links(first, None, "before")
-    parts = materialise(components(links, f"{name}-cc"), f"{name}-parts")
-
-    def apart(parts: DataFrame) -> DataFrame:
-        """Members of groups that hold more than one component."""
-        x = shared.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
-        g = x.groupBy("sig").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("sig")
-        return x.join(g.hint("shuffle_hash"), "sig").select("sig", "id", "size", "part", "after")
-
-    # then with one that comes after it, where that is apart
-    x = materialise(apart(parts), f"{name}-apart")
-    next_ = parts.select(F.col("id").alias("after"), F.col("component").alias("other"))
-    second = x.where("after IS NOT NULL").join(next_, "after", "left").where(F.col("part") != F.coalesce("other", "after"))
-    second = second.groupBy(F.col("id").alias("b")).agg(F.max("after").alias("a")).select("a", "b")
-    links = new_links(second, links, "after")
-    parts = materialise(components(links, f"{name}-cc"), f"{name}-parts")
+    shared = materialise(neighbours(signatures, lambda x, y: 100 * np.minimum(x, y).astype(np.int64) >= ratio * np.maximum(x, y).astype(np.int64)), f"{name}-shared")
+    sketch, bodies = prepare(shared.select("id").distinct())
+
+    def apart(members: DataFrame, parts: DataFrame) -> DataFrame:
+        """Members of groups that hold more than one component, with their part."""
+        x = members.drop("part").join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+        mixed = x.groupBy("sig").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("sig")
+        return x.join(mixed, "sig", "left_semi")
+
+    def alike(p: str, q: str) -> Column:
+        sizes = (100 * F.col(f"{p}.size") >= ratio * F.col(f"{q}.size")) & (100 * F.col(f"{q}.size") >= ratio * F.col(f"{p}.size"))
+        return (F.col(f"{p}.part") != F.col(f"{q}.part")) & sizes & may_be_similar(p, q, least)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return materialise(similar_pairs(pairs, bodies, sets_of, least), f"{name}-links")
+
+    # each id with the neighbour that most of its groups give it
+    often = shared.where("before IS NOT NULL").groupBy("id", "before").agg(F.count("*").alias("k"))
+    first = often.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("k", (-F.col("before")).alias("back"))).alias("m")).select((-F.col("m.back")).alias("a"), "b")
+    first = first.alias("p").join(sketch.alias("x"), F.col("p.a") == F.col("x.id")).join(sketch.alias("y"), (F.col("p.b") == F.col("y.id")) & may_be_similar("x", "y", least)).select("p.a", "p.b")
+    links = verified(first)
+    parts = components(links, f"{name}-parts")
+
+    # members of a group with those near them in chance orders, until that hardly connects any more
+    y = materialise(apart(shared.select("sig", "id", "size"), parts).join(sketch.select("id", "n", *SKETCH), "id"), f"{name}-apart")
+    forget(shared)
+    for k in range(ROUNDS):
+        more = verified(chance_pairs(y, k, least, ratio).distinct())
+        found = more.count()
+        if found:
+            links = links.unionByName(more)
+            parts = components(links, f"{name}-parts")
+            after = materialise(apart(y, parts), f"{name}-apart")
+            forget(y)
+            y = after
+        if found <= y.count() * FEW:
+            break
 
     # the rest pair by pair, where sizes and sketches allow
-    y = apart(parts).select("sig", "id", "size", "part").join(bodies.select("id", "n", "bits"), "id")
-    y = materialise(y, f"{name}-rest")
     p, q = y.alias("p"), y.alias("q")
-    near = similar_size("p.size", "q.size") & may_be_similar("p.bits", "q.bits", "p.n", "q.n", least)
-    rest = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.part") != F.col("q.part")) & near)
-    rest = rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    links = new_links(rest, links, "all")
-    return components(links, f"{name}-cc")
+    rest = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.id") < F.col("q.id")) & alike("p", "q"))
+    links = links.unionByName(verified(rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()))
+    forget(y)
+    return components(links, f"{name}-components")

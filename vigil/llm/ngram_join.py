@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import as_bytes, forget, free_name, materialise, table
-from vigil.llm.links import link
+from vigil.llm.links import PART_BYTES, SKETCH, Sets, link, sketches
 
 WORDS = 4
 #: Similarity in per cent.
@@ -41,6 +41,8 @@ LEAST = 85
 FREQUENT_FROM, MAX_FREQUENT = 12, 1 << 17
 #: Frequent shingles that a class has in a prefix, about.
 CLASS_SIZE = 8
+#: Sets that a task remembers so as to give signatures once; beyond, some get them again, which changes no result.
+MAX_SEEN = 500_000
 MASK = (1 << 64) - 1
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -54,47 +56,69 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 #: Bytes that part words.
 SPACES = " \t\n\x0b\f\r"
-SPACE = np.isin(np.arange(256), list(SPACES.encode()))
+WORD = ~np.isin(np.arange(256), list(SPACES.encode()))
+VALUE = np.where(WORD, np.arange(1, 257), 0).astype(np.uint64)
 BASE = np.uint64(0x9E6C63D0876A9A35)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text in UTF-8, in order: polynomials in BASE over their bytes, mixed."""
-    a = np.frombuffer(text, np.uint8)
-    word = ~SPACE[a]
-    first = word.copy()
-    first[1:] &= ~word[:-1]
-    starts = np.flatnonzero(first)
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts in UTF-8, in order, and the text of each: polynomials in BASE over their bytes, mixed."""
+    a = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)  # a space comes first and last
+    word = WORD[a]
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    starts, last = edge[::2] + 1, edge[1::2]
     if not len(starts):
-        return np.empty(0, np.uint64)
-    at = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a)))) if starts[0] == 0 else None
-    if at is None:  # white space comes first
-        return word_hashes(text[starts[0] :])
-    powers = np.full(int(at.max()) + 1, BASE, np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers)
-    value = np.where(word, (a.astype(np.uint64) + np.uint64(1)) * powers[at], np.uint64(0))
-    return mixed(np.add.reduceat(value, starts))
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    up, down = powers(len(a))
+    value = VALUE[a]
+    value *= up
+    total = np.cumsum(value, out=value)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return mixed((total[last] - total[starts - 1]) * down[starts]), np.searchsorted(ends, starts, side="right")
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """BASE and its inverse (mod 2 ** 64) to the powers from 0 to n - 1 at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(n, 1 << 16), x, np.uint64)))) for x in (BASE, INVERSE)]
+    return [x[:n] for x in _POWERS]
 
 
 class Shingler:
-    """Sorted distinct hashes of the shingles of n words of texts in UTF-8."""
+    """Sorted distinct hashes of the shingles of n words of texts in UTF-8, end to end, and where each text's begin and end."""
 
     def __init__(self, n: int):
         self.n = n
 
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        h = word_hashes(text.lower()) if text else np.empty(0, np.uint64)
-        if not len(h):
-            return h
-        n = min(self.n, len(h))
-        out = np.zeros(len(h) - n + 1, np.uint64)
+    def __call__(self, texts: list[bytes | None]) -> Sets:
+        h, text = word_hashes([t.lower() if t else b"" for t in texts])
+        n, words = self.n, np.bincount(text, minlength=len(texts))
+        first = np.cumsum(words) - words
+        out = np.zeros(max(0, len(h) - n + 1), np.uint64)
         for k in range(n):
-            out = mixed(out + h[k : len(h) - n + 1 + k] * FACTORS[k])
-        return np.unique(mixed(out + np.uint64(n)))
-
-    def of_text(self, text: str) -> np.ndarray:
-        return self(text.encode("utf-8", "surrogatepass"))
+            out += h[k : len(h) - n + 1 + k] * FACTORS[k]
+        out = mixed(out)
+        sizes = np.where(words >= n, words - n + 1, words > 0)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        values = np.empty(ends[-1], np.uint64)
+        whole = text[: len(out)] == text[n - 1 :] if len(out) else np.empty(0, bool)
+        values[np.repeat(words >= n, sizes)] = out[whole]
+        for i in np.flatnonzero((words > 0) & (words < n)):  # the whole sequence as one
+            w = h[first[i] : first[i] + words[i]]
+            values[ends[i]] = mixed(mixed((w * FACTORS[: len(w)]).sum(keepdims=True)) + np.uint64(len(w)))[0]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            values[a:b].sort()
+        new = np.ones(len(values), bool)
+        new[1:] = values[1:] != values[:-1]
+        new[ends[:-1][sizes > 0]] = True
+        return values[new], np.concatenate(([0], np.cumsum(new)))[ends]
+
+    def of_texts(self, texts: list[str]) -> Sets:
+        return self([t.encode("utf-8", "surrogatepass") for t in texts])
 
 
 def needed(size: int, least: int) -> int:
@@ -112,35 +136,21 @@ def classes(b: int, least: int) -> int:
     return max(1, int(largest * (100 - least) / 100 / CLASS_SIZE))
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, least: int) -> np.ndarray:
-    """Signatures of one set (sorted hashes), given the sorted hashes of frequent shingles."""
+def combinations(tokens: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """Signatures of one set (sorted hashes, of which some are common) with fewer rare shingles than a plain prefix has."""
     size = len(tokens)
-    if size * 100 < least * (size + 1):
-        return np.empty(0, np.uint64)  # so small that only an equal set is similar
-    p = needed(size, least)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        common = frequent[at] == tokens
-        rare = tokens[~common]
-    else:
-        common, rare = None, tokens
-    if len(rare) >= p:
-        return rare[:p]
-    often, out, missing = tokens[common], [rare], p - len(rare)
+    often, rare = tokens[common], tokens[~common]
+    out, missing = [rare], needed(size, least) - len(rare)
     b = band(size, least)
     for tag in (b, b + 1):
         n = classes(tag, least)
         group = ((often >> np.uint64(8)) % np.uint64(n)).astype(np.int64)
-        seen = np.zeros(n, np.int64)
-        gained, end = 0, len(often)
-        for i, g in enumerate(group.tolist()):
-            if seen[g]:
-                gained += 1
-            seen[g] += 1
-            if gained >= missing:
-                end = i + 1
-                break
-        assert gained >= missing, "a prefix of too many classes"
+        # each shingle but the first of its class takes the prefix one further
+        first = np.zeros(len(often), bool)
+        first[np.unique(group, return_index=True)[1]] = True
+        gained = np.cumsum(~first)
+        assert gained[-1] >= missing, "a prefix of too many classes"
+        end = int(np.searchsorted(gained, missing)) + 1
         salt = np.uint64(tag * 0x9E3779B97F4A7C15 & MASK)
         order = np.argsort(group[:end], kind="stable")
         chosen, group = often[:end][order], group[:end][order]
@@ -148,7 +158,40 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, least: int) -> np.ndarr
             if len(part) > 1:
                 i, j = np.triu_indices(len(part), 1)
                 out.append(mixed(mixed(part[i] + salt) + part[j]))
-    return np.concatenate(out)
+    return np.unique(np.concatenate(out))
+
+
+class Signer:
+    """Signatures of sets, given the sorted hashes of frequent shingles."""
+
+    def __init__(self, frequent: np.ndarray, least: int):
+        self.frequent, self.least = frequent, least
+        self.maybe = np.zeros(1 << 22, bool)  # by the low bits, before a search in the list
+        self.maybe[(frequent & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def common(self, values: np.ndarray) -> np.ndarray:
+        out = self.maybe[(values & np.uint64((1 << 22) - 1)).astype(np.int64)]
+        at = np.flatnonzero(out)
+        if len(at):
+            out[at] = self.frequent[np.minimum(np.searchsorted(self.frequent, values[at]), len(self.frequent) - 1)] == values[at]
+        return out
+
+    def __call__(self, sets: Sets, wanted: np.ndarray) -> Sets:
+        """Signatures of each wanted set, none for the others."""
+        values, ends = sets
+        sizes = np.diff(ends)
+        p = sizes - -(-self.least * sizes // 100) + 1
+        p[~wanted | (sizes * 100 < self.least * (sizes + 1))] = 0  # so small that only an equal set is similar
+        common = self.common(values)
+        rare_before = np.concatenate(([0], np.cumsum(~common)))
+        rare = rare_before[ends[1:]] - rare_before[ends[:-1]]
+        plain = rare >= p
+        place = rare_before[:-1] - np.repeat(rare_before[ends[:-1]], sizes)
+        chosen = ~common & (place < np.repeat(np.where(plain, p, 0), sizes))
+        each = np.split(values[chosen], np.cumsum(np.where(plain, p, 0))[:-1])
+        for i in np.flatnonzero(~plain):
+            each[i] = combinations(values[ends[i] : ends[i + 1]], common[ends[i] : ends[i + 1]], self.least)
+        return np.concatenate(each) if each else values[:0], np.cumsum([0, *map(len, each)])
 
 
 def frequent_shingles(docs: DataFrame, key: str, text: str, n: int, least: int) -> np.ndarray:
@@ -157,11 +200,12 @@ def frequent_shingles(docs: DataFrame, key: str, text: str, n: int, least: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, held, total = Shingler(n), [], 0
         for batch in batches:
-            for _, texts in as_bytes(batch, text):
-                for t in texts:
-                    x = shingles(t)
-                    held.append(x[: needed(len(x), least)] if len(x) else x)
-                    total += len(held[-1])
+            for _, texts in as_bytes(batch, text, PART_BYTES):
+                values, ends = shingles(texts)
+                sizes = np.diff(ends)
+                p = sizes - -(-least * sizes // 100) + 1
+                held.append(values[np.arange(len(values)) - np.repeat(ends[:-1], sizes) < np.repeat(p, sizes)])
+                total += len(held[-1])
                 if total > 1_000_000:
                     yield counted(held)
                     held, total = [], 0
@@ -195,34 +239,35 @@ def row_hash(key: Column, text: Column) -> Column:
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, n: int, least: int, frequent: np.ndarray) -> DataFrame:
-    """key, _row (its row_hash()), n_shingles, set_id and sigs of each row; of equal sets in a task only the first has signatures."""
+    """key, _row (its row_hash()), n_shingles, set_id, sigs and the sketch of each row; of equal sets in a task only the first has signatures and a sketch."""
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, frequent, seen = Shingler(n), shared.value, set()
+        shingles, signer, seen = Shingler(n), Signer(shared.value, least), set()
         for batch in batches:
-            for part, texts in as_bytes(batch, text):
-                sizes, ids, sigs = [], [], []
-                for t in texts:
-                    x = shingles(t)
-                    s = xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 if len(x) else None
-                    sizes.append(len(x))
+            for part, texts in as_bytes(batch, text, PART_BYTES):
+                values, ends = sets = shingles(texts)
+                sizes, ids, fresh = np.diff(ends), [], np.zeros(len(texts), bool)
+                if len(seen) > MAX_SEEN:
+                    seen.clear()
+                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                    s = xxhash.xxh3_64_intdigest(values[a:b].data) >> 1 if b > a else None
                     ids.append(s)
-                    if s is None or s in seen:
-                        sigs.append(np.empty(0, np.uint64))
-                    else:
+                    if s is not None and s not in seen:
                         seen.add(s)
-                        sigs.append(np.unique(signatures(x, frequent, least)))
-                ends = np.cumsum([0, *map(len, sigs)])
-                flat = np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64)
+                        fresh[i] = True
+                sigs, at = signer(sets, fresh)
+                some = pa.array(np.flatnonzero(fresh))
+                back = np.cumsum(fresh) - 1
+                sketch = [c.take(pa.array(back, mask=~fresh)) for c in sketches((values[np.repeat(fresh, sizes)], np.concatenate(([0], np.cumsum(sizes[fresh])))))] if len(some) else [pa.nulls(len(texts), pa.int64())] * len(SKETCH)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(part.schema.get_field_index(c)) for c in (key, "_row")), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                    names=[key, "_row", "n_shingles", "set_id", "sigs"],
+                    [*(part.column(part.schema.get_field_index(c)) for c in (key, "_row")), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sigs.view(np.int64))), *sketch],
+                    names=[key, "_row", "n_shingles", "set_id", "sigs", *SKETCH],
                 )
 
     rows = docs.select(key, row_hash(F.col(key), F.col(text)).alias("_row"), text)
-    return rows.mapInArrow(run, f"`{key}` {kind}, _row long, n_shingles long, set_id long, sigs array<long>")
+    return rows.mapInArrow(run, f"`{key}` {kind}, _row long, n_shingles long, set_id long, sigs array<long>, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
 def jaccard_parts(docs: DataFrame, key: str, text: str, n: int, least: int) -> DataFrame:
@@ -232,18 +277,19 @@ def jaccard_parts(docs: DataFrame, key: str, text: str, n: int, least: int) -> D
     sets = materialise(shingle_sets(rows, "_key", "_text", n, least, frequent), "ngram-sets")
     known = sets.select("_key", "_row", "n_shingles", "set_id")
     sigs = sets.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), F.col("set_id").alias("id"), F.col("n_shingles").alias("size"))
-    def bodies_of(ids: DataFrame) -> DataFrame:
-        """The texts of some sets, each of one document, which need not have an id."""
+
+    def prepare(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Sketches and texts of some sets, each of one document, which need not have an id."""
+        made = sets.where(F.col(SKETCH[0]).isNotNull()).select(F.col("set_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), *SKETCH)
+        sketch = materialise(made.join(ids, "id", "left_semi").dropDuplicates(["id"]), "ngram-sketches")
         one = known.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("_row").alias("_one"))
         one = one.join(ids, F.col("set_id") == F.col("id")).select("id", "_one")
         r, o = rows.withColumn("_row", row_hash(F.col("_key"), F.col("_text"))).alias("r"), one.hint("shuffle_hash").alias("o")
         found = r.join(o, F.col("r._row") == F.col("o._one")).select("id", F.col("_text").alias("body"), F.col("o._one").alias("_one"))
-        return found.dropDuplicates(["_one"]).select("id", "body")  # repeated rows lie in one task already
-
-    def similar_size(x: str, y: str) -> Column:
-        return (100 * F.col(x) >= least * F.col(y)) & (100 * F.col(y) >= least * F.col(x))
+        bodies = found.dropDuplicates(["_one"]).select("id", "body")  # repeated rows lie in one task already
+        return sketch, materialise(bodies, "ngram-bodies")
 
-    linked = link(sigs, bodies_of, lambda: Shingler(n).of_text, least, similar_size, "ngram")
+    linked = link(sigs, prepare, Shingler(n).of_texts, least, least, "ngram")
     linked = linked.select(F.col("id").alias("set_id"), "component")
     return known.join(linked, "set_id", "left").select("_key", "_row", "n_shingles", F.coalesce("component", "set_id").alias("_part"))
 
