@@ -16,6 +16,8 @@ def connection(sf_dir):
 
 
 def plain(x):
+    if isinstance(x, list | tuple | np.ndarray):
+        return "[" + ", ".join(plain(y) for y in x) + "]"
     if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float | np.floating) and np.isnan(x)):
         return "null"
     if isinstance(x, bool | np.bool_):

@@ -97,19 +97,66 @@ def polyline_length(points: Column) -> Column:
     return F.aggregate(legs, F.lit(0.0), lambda s, x: s + x)
 
 
+def meet(e: Column, f: Column) -> Column:
+    """Whether two segments (struct ax, ay, bx, by) have a point in common."""
+    side = lambda s, x, y: F.signum(cross(s["ax"], s["ay"], s["bx"], s["by"], x, y))
+    within = lambda s, x, y: x.between(F.least(s["ax"], s["bx"]), F.greatest(s["ax"], s["bx"])) & y.between(F.least(s["ay"], s["by"]), F.greatest(s["ay"], s["by"]))
+    a, b, c, d = side(f, e["ax"], e["ay"]), side(f, e["bx"], e["by"]), side(e, f["ax"], f["ay"]), side(e, f["bx"], f["by"])
+    touch = ((a == 0) & within(f, e["ax"], e["ay"])) | ((b == 0) & within(f, e["bx"], e["by"])) | ((c == 0) & within(e, f["ax"], f["ay"])) | ((d == 0) & within(e, f["bx"], f["by"]))
+    return ((a * b < 0) & (c * d < 0)) | touch
+
+
+def crosses_itself(points: Column) -> Column:
+    """Whether sides of a polygon that aren't next to each other meet."""
+    sides = F.transform(edges(points), lambda e, i: F.struct(e["ax"].alias("ax"), e["ay"].alias("ay"), e["bx"].alias("bx"), e["by"].alias("by"), i.alias("i")))
+    n = F.size(points)
+    apart = lambda e, f: (f["i"] - e["i"] > 1) & ~((e["i"] == 0) & (f["i"] == n - 1))
+    return F.exists(sides, lambda e: F.exists(sides, lambda f: apart(e, f) & meet(e, f)))
+
+
 def problems(points: Column, kind: str = "polygon") -> Column:
-    """Messages about normalised points: number, range, area or length."""
-    out = F.array_compact(
+    """Messages about normalised points: whether there are any, their number, range, and area and crossings, or length."""
+    number = lambda v: v.isNotNull() & ~F.isnan(v)
+    shape = [F.when(crosses_itself(points), "crosses itself"), F.when(shoelace(points) <= 0, "no area")] if kind == "polygon" else [F.when(polyline_length(points) < 0.05, "too short")]
+    return F.array_compact(
         F.array(
+            F.when(points.isNull(), "no points"),
             F.when(F.size(points) < (3 if kind == "polygon" else 2), "too few points"),
+            F.when(F.exists(points, lambda p: ~number(p["x"]) | ~number(p["y"])), "not a number"),
             F.when(F.exists(points, lambda p: ~p["x"].between(0, 1) | ~p["y"].between(0, 1)), "outside 0 to 1"),
-            F.when(shoelace(points) <= 0, "no area") if kind == "polygon" else F.when(polyline_length(points) < 0.05, "too short"),
+            *shape,
         )
     )
-    return out
 
 
 def letterbox(w: Column, h: Column, to_w: int, to_h: int) -> tuple[Column, Column, Column]:
     """Scale and truncated size of a frame fitted into another."""
     r = F.least(to_w / w, to_h / h)
     return r, F.floor(w * r).cast("int"), F.floor(h * r).cast("int")
+
+
+def padded(x1: Column, y1: Column, x2: Column, y2: Column, px: float, py: float, width: float, height: float) -> tuple[Column, Column, Column, Column]:
+    """A box grown by shares of its sides, within the frame."""
+    w, h = x2 - x1, y2 - y1
+    low = lambda v: F.greatest(v, F.lit(0.0))
+    return low(x1 - px * w), low(y1 - py * h), F.least(x2 + px * w, F.lit(float(width))), F.least(y2 + py * h, F.lit(float(height)))
+
+
+def face(x1: Column, y1: Column, x2: Column, y2: Column, width: float, height: float, share: float = 0.35) -> tuple[Column, Column, Column, Column]:
+    """The upper part of a person's box, where a face is, within the frame."""
+    low = lambda v: F.greatest(v, F.lit(0.0))
+    return low(x1), low(y1), F.least(x2, F.lit(float(width))), F.least(y1 + share * (y2 - y1), F.lit(float(height)))
+
+
+def decode(px: Column, py: Column, pw: Column, ph: Column, gx: Column, gy: Column, stride: Column, objectness: Column, classes: Column, ratio: Column) -> Column:
+    """A detector's raw row as struct x1, y1, x2, y2 (in pixels of the frame), score and klass (the first of the best)."""
+    cx, cy, w, h = (px + gx) * stride, (py + gy) * stride, F.exp(pw) * stride, F.exp(ph) * stride
+    best = F.array_max(classes)
+    sides = [((c + s * d / 2) / ratio).alias(n) for c, d, s, n in ((cx, w, -1, "x1"), (cy, h, -1, "y1"), (cx, w, 1, "x2"), (cy, h, 1, "y2"))]
+    return F.struct(*sides, (objectness * best).alias("score"), (F.array_position(classes, best) - 1).cast("int").alias("klass"))
+
+
+def helmet_probability(klass: Column, score: Column, threshold: float) -> Column:
+    """Probability of a helmet: with one (class 0) from 0.65 to 1, with a bare head (class 1) from 0.35 to 0, by how far a score is above the threshold."""
+    above = F.least(F.greatest((score - threshold) / (1 - threshold), F.lit(0.0)), F.lit(1.0))
+    return F.when(klass == 0, 0.65 + 0.35 * above).when(klass == 1, 0.35 * (1 - above)).otherwise(0.5)

@@ -58,41 +58,65 @@ def notifications(alerts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def message(alerts: DataFrame) -> DataFrame:
-    """alert_id and its text."""
+    """alert_id and its text, by kind and subtype; a null subtype of a boundary, protective item or crowd reads as the plain form."""
     who = F.when(F.col("identity_status") == "known", "A known person").when(F.col("identity_status") == "unknown_face", "An unrecognised person").otherwise("Someone")
-    where = F.coalesce("zone_id", F.lit("the scene"))
+    where, sub = F.coalesce("zone_id", F.lit("the scene")), F.coalesce("subtype", F.lit(""))
+    on = F.concat(F.lit(" on "), F.col("camera_id"))
     text = (
-        F.when(F.col("kind") == "boundary", F.concat(who, F.when(F.col("subtype") == "entry", " entered ").otherwise(" left "), where))
-        .when(F.col("kind") == "crowd", F.concat(F.lit("Crowd "), F.col("subtype"), F.lit(" in "), where))
-        .when(F.col("kind") == "ppe", F.concat(F.lit("Missing "), F.col("subtype"), F.lit(" in "), where))
-        .otherwise(F.concat(F.initcap("kind"), F.lit(" detected on "), F.col("camera_id")))
+        F.when(F.col("kind") == "boundary", F.concat(who, F.when(sub == "entry", " entered ").when(sub == "exit", " left ").otherwise(" crossed "), where))
+        .when((F.col("kind") == "crowd") & (sub == "dispersed"), F.concat(F.lit("Crowd dispersed in "), where))
+        .when(F.col("kind") == "crowd", F.concat(F.lit("Crowd formed in "), where))
+        .when(F.col("kind") == "ppe", F.concat(F.lit("Missing "), F.coalesce("subtype", F.lit("equipment")), F.lit(" in "), where))
+        .when(F.col("kind") == "access", F.concat(who, F.lit(" is not allowed in "), where))
+        .when(F.col("kind") == "welding", F.concat(F.lit("Welding started"), on))
+        .when(F.col("kind") == "health", F.concat(F.lit("Feed "), F.when(sub == "feed_lost", "lost").otherwise("restored"), on))
+        .otherwise(F.concat(F.initcap("kind"), F.lit(" detected"), on))
     )
     return alerts.select("alert_id", text.alias("message"))
 
 
+def subject(alerts: DataFrame) -> DataFrame:
+    """alert_id and the subject of its mail."""
+    return alerts.select("alert_id", F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.initcap("kind"), F.lit(" - "), F.col("camera_id")).alias("subject"))
+
+
 def clip_decision(alerts: DataFrame, triggers: dict[str, str], urgent: tuple[str, ...]) -> DataFrame:
-    """alert_id, record and urgent: what the policy says of the alert's kind ('on', 'off' or 'unregistered')."""
+    """alert_id, record, urgent and reason: what the policy says of the alert's kind ('on', 'off' or 'unregistered')."""
     rule = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in triggers.items() for x in kv]), F.col("kind")), F.lit("on"))
-    record = F.when(rule == "unregistered", F.coalesce(F.col("identity_status") != "known", F.lit(True))).otherwise(rule == "on")
-    return alerts.select("alert_id", record.alias("record"), F.col("kind").isin(*urgent).alias("urgent"))
+    registered = (rule == "unregistered") & F.coalesce(F.col("identity_status") == "known", F.lit(False))
+    reason = F.when(rule == "off", "off").when(registered, "registered person").when(rule == "unregistered", "unregistered person").otherwise("on")
+    return alerts.select("alert_id", ((rule != "off") & ~registered).alias("record"), F.col("kind").isin(*urgent).alias("urgent"), reason.alias("reason"))
 
 
 def evidence_key(alerts: DataFrame) -> DataFrame:
+    """alert_id and where its clip is stored: kind of file, camera, date, id."""
     return alerts.select("alert_id", F.concat_ws("/", F.lit("clips"), "camera_id", F.date_format("ts", "yyyy-MM-dd"), F.concat(F.col("alert_id").cast("string"), F.lit(".mp4"))).alias("key"))
 
 
-def exit_identities(alerts: DataFrame) -> DataFrame:
-    """Exits with the identity of their track's last entry on that camera."""
-    w = W.partitionBy("camera_id", "track_id").orderBy("alert_id").rowsBetween(W.unboundedPreceding, -1)
-    b = alerts.where("kind = 'boundary'")
-    entered = F.last(F.when(F.col("subtype") == "entry", F.col("identity_status")), ignorenulls=True).over(w)
-    return b.withColumn("identity", entered).where("subtype = 'exit'").select("alert_id", "camera_id", "track_id", "identity")
+def exit_identities(events: DataFrame, sightings: DataFrame, ttl: float) -> DataFrame:
+    """Exits (alert_id, camera_id, track_id) with the identity of their track's last entry, null if it was forgotten.
+
+    events: alert_id, camera_id, track_id, ts, subtype, identity_status; sightings: camera_id, track_id, ts. An identity
+    is kept as long as no two sightings of its track on the camera lie over ttl seconds apart.
+    """
+    none = F.lit(None)
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    e = events.select("camera_id", "track_id", seconds.alias("at"), "alert_id", "subtype", "identity_status")
+    s = sightings.select("camera_id", "track_id", seconds.alias("at"), none.cast("long").alias("alert_id"), none.cast("string").alias("subtype"), none.cast("string").alias("identity_status"))
+    w = W.partitionBy("camera_id", "track_id").orderBy("at", F.col("alert_id").asc_nulls_first())
+    x = s.unionByName(e).withColumn("new", F.when(F.col("at") - F.lag("at").over(w) > ttl, 1).otherwise(0))
+    x = x.withColumn("visit", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    before = W.partitionBy("camera_id", "track_id", "visit").orderBy("at", F.col("alert_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    entered = F.last(F.when(F.col("subtype") == "entry", F.coalesce("identity_status", F.lit("no_face"))), ignorenulls=True).over(before)
+    return x.withColumn("identity", entered).where("subtype = 'exit'").select("alert_id", "camera_id", "track_id", "identity")
 
 
-def access_violations(alerts: DataFrame, zone: str) -> DataFrame:
-    """Entries into a restricted zone by anyone whose identity isn't known."""
-    hit = (F.col("kind") == "boundary") & (F.col("subtype") == "entry") & (F.col("zone_id") == zone)
-    return alerts.where(hit & (F.col("identity_status") != "known")).select("alert_id", "camera_id", "track_id", F.lit("critical").alias("severity"))
+def access_violations(alerts: DataFrame, lists: DataFrame) -> DataFrame:
+    """Entries into zones with an allow-list (zone_id, persons) by anyone but its known persons (person_id); every one is critical."""
+    e, z = alerts.where((F.col("kind") == "boundary") & (F.col("subtype") == "entry")).alias("e"), lists.where(F.size("persons") > 0).alias("z")
+    listed = (F.col("e.identity_status") == "known") & F.array_contains("z.persons", F.col("e.person_id"))
+    x = e.join(z, F.col("e.zone_id") == F.col("z.zone_id")).where(F.col("e.identity_status").isNotNull() & ~F.coalesce(listed, F.lit(False)))
+    return x.select("e.alert_id", "e.camera_id", "e.track_id", F.lit("critical").alias("severity"))
 
 
 def retention(alerts: DataFrame, cutoff: Column) -> DataFrame:
@@ -111,3 +135,48 @@ def prune_to_budget(files: DataFrame, order: list[str], size: str, budget: float
     w = W.partitionBy(*keys)
     before = F.coalesce(F.sum(size).over(w.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     return files.where("true").withColumn("left", F.sum(size).over(w) - before).where(F.col("left") > budget).drop("left")
+
+
+def tiles(alerts: DataFrame, today: Column) -> DataFrame:
+    """The numbers of the overview page."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    return alerts.agg(
+        n(F.col("ts") >= today, "today"), n(F.col("kind") == "boundary", "boundary"), n(F.col("kind").isin("fire", "smoke"), "fire"), F.count("*").alias("total"),
+        n(F.col("identity_status") == "known", "recognised"), n(F.col("identity_status") == "unknown_face", "unrecognised"),
+    )
+
+
+def with_evidence(alerts: DataFrame, kinds: list[str]) -> DataFrame:
+    """Alerts that have evidence of some kind."""
+    return alerts.where(F.coalesce(*[F.col(k) for k in kinds]).isNotNull())
+
+
+def seen_once(alerts: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first alert of each key."""
+    return alerts.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in alerts.columns if c not in keys]), order).alias("_a")).select(*keys, "_a.*")
+
+
+def since(alerts: DataFrame, ident: str, cursor: int) -> DataFrame:
+    """Alerts from a cursor on, each id once."""
+    return alerts.where(F.col(ident) >= cursor).dropDuplicates([ident])
+
+
+def expired(files: DataFrame, at: str, now: Column, days: int) -> DataFrame:
+    """Files older than so many days."""
+    return files.where(F.col(at) < now - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def clip_frames(alerts: DataFrame, frames: DataFrame, ring_s: int, after_s: int) -> DataFrame:
+    """Alerts with the frames of their camera that a ring of ring_s seconds holds after_s seconds after them; meets on equal slots of the ring's length."""
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    ring, cut = ring_s * 1_000_000, at("t") + after_s * 1_000_000
+    slot = lambda c: F.floor(c / ring)
+    a = alerts.select("alert_id", "camera_id", F.col("ts").alias("t")).withColumn("slot", F.explode(F.array(slot(cut) - 1, slot(cut))))
+    f = frames.select("camera_id", "det_id", F.col("ts").alias("u")).withColumn("slot", slot(at("u")))
+    hits = a.join(f, ["camera_id", "slot"]).where((at("u") <= cut) & (at("u") >= cut - ring)).select("alert_id", "det_id")
+    return alerts.select("alert_id").join(hits, "alert_id", "left")
+
+
+def stored_as(alerts: DataFrame, folder: Column, extension: Column) -> DataFrame:
+    """alert_id and the key of its evidence: folder, camera, date, id and extension."""
+    return alerts.select("alert_id", F.concat_ws("/", folder, "camera_id", F.date_format("ts", "yyyy-MM-dd"), F.concat(F.col("alert_id").cast("string"), extension)).alias("key"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from vigil.operators.dimensions import split_of, stem
+
 
 def guarded(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(0.0)
@@ -89,6 +91,79 @@ def warped_box(strength: float, width: float, height: float) -> list[Column]:
 
 def family_keys(name: Column) -> list[Column]:
     """Three levels of what a file name says of its source: without hash and extension, without its number, its first letters."""
-    plain = F.regexp_replace(F.regexp_replace(name, r"\.rf\.[0-9a-f]+", ""), r"(_jpg|\.[A-Za-z]+)$", "")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z]+$", ""), r"\.rf\.[0-9a-f]+$", ""), "_jpg$", "")
     stem = F.regexp_replace(plain, r"[-_/]?[0-9]+$", "")
     return [plain, stem, F.regexp_extract(stem, r"^([A-Za-z]+)", 1)]
+
+
+def labelled(images: DataFrame, labels: DataFrame, path: str, label_path: str) -> DataFrame:
+    """Images with the label of the same split and stem; what has no partner is left out."""
+    i = images.withColumns({"_split": split_of(F.col(path)), "_stem": stem(F.col(path))})
+    x = labels.withColumns({"_split": split_of(F.col(label_path)), "_stem": stem(F.col(label_path))})
+    return i.join(x, ["_split", "_stem"]).drop("_split", "_stem")
+
+
+def track_report(detections: DataFrame) -> DataFrame:
+    """Tracks of each camera, their median length and how many there are at a time on average."""
+    a = detections.groupBy("camera_id", "track_id").agg(F.count("*").alias("n")).groupBy("camera_id").agg(F.count("*").alias("tracks"), F.median("n").alias("median_len"))
+    b = detections.groupBy("camera_id", "tick").agg(F.count_distinct("track_id").alias("k")).groupBy("camera_id").agg(F.round(F.avg("k"), 6).alias("mean_at_once"))
+    return a.join(b, "camera_id")
+
+
+def bench_report(rows: DataFrame, keys: list[str], seconds: str) -> DataFrame:
+    """keys, the median time and how many a second."""
+    return rows.groupBy(*keys).agg(F.median(seconds).alias("median"), F.round(guarded(F.count("*"), F.sum(seconds)), 6).alias("fps"))
+
+
+def manifest_of(rows: DataFrame, classes: DataFrame, klass: str, domain: str, image: str) -> DataFrame:
+    """manifest() over every named class and domain, 0 where there is nothing."""
+    every = classes.select(klass).join(rows.select(domain).distinct(), F.lit(True))  # names and domains are a few each
+    c, m = every.alias("c"), manifest(rows, klass, domain, image).alias("m")
+    same = F.col(f"c.{klass}").eqNullSafe(F.col(f"m.{klass}")) & F.col(f"c.{domain}").eqNullSafe(F.col(f"m.{domain}"))
+    return c.join(m, same, "left").select(f"c.{klass}", f"c.{domain}", F.coalesce("images", F.lit(0)).alias("images"), F.coalesce("instances", F.lit(0)).alias("instances"))
+
+
+def top_share(rows: DataFrame, group: str, top: int) -> DataFrame:
+    """The share of all rows that the largest groups have."""
+    n = rows.groupBy(group).agg(F.count("*").alias("n"))
+    largest = n.orderBy(F.desc("n"), group).limit(top).agg(F.sum("n").alias("a"))
+    return largest.join(n.agg(F.sum("n").alias("b")), F.lit(True)).select(guarded(F.col("a"), F.col("b")).alias("top_share"))
+
+
+def modes(rows: DataFrame, value: str, top: int) -> DataFrame:
+    """The most frequent values and how often they occur, the smaller of equally frequent ones first."""
+    return rows.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(top)
+
+
+def band(rate: Column, raised: float, high: float) -> Column:
+    return F.when(rate >= high, "high").when(rate >= raised, "raised").otherwise("low")
+
+
+def blanks(rows: DataFrame, image: str, blank: Column, unreadable: Column) -> DataFrame:
+    """Distinct images that are blank, that can't be read, and all."""
+    some = lambda c: F.count_distinct(F.when(c, F.col(image)))
+    return rows.agg(some(blank).alias("blank"), some(unreadable).alias("unreadable"), F.count_distinct(image).alias("images"))
+
+
+def union_of(parts: dict[str, DataFrame]) -> DataFrame:
+    """All rows of some splits, with the split's name; columns that one lacks are null there."""
+    out = None
+    for name, rows in parts.items():
+        x = rows.withColumn("split", F.lit(name))
+        out = x if out is None else out.unionByName(x, allowMissingColumns=True)
+    return out
+
+
+def drop_report(rows: DataFrame, keys: list[str], slot: str) -> DataFrame:
+    """Published, consumed (one a slot, the latest) and dropped rows of each key, and the share that was dropped."""
+    x = rows.groupBy(*keys).agg(F.count("*").alias("published"), F.count_distinct(slot).alias("consumed"))
+    x = x.withColumn("dropped", F.col("published") - F.col("consumed"))
+    return x.withColumn("drop_rate", F.round(guarded(F.col("dropped"), F.col("published")), 6))
+
+
+def component_report(members: DataFrame, all_: int, top: int = 5) -> DataFrame:
+    """Of components (id, component) among so many ids: how many, the share of ids that are repetitions, and the largest sizes."""
+    n = members.groupBy("component").agg(F.count("*").alias("n"))
+    largest = n.orderBy(F.desc("n"), "component").limit(top).agg(F.sort_array(F.collect_list("n"), asc=False).alias("largest"))
+    total = n.agg(F.count("*").alias("clusters"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"))
+    return total.join(largest, F.lit(True)).select("clusters", F.round(guarded(F.col("extra"), F.lit(all_)), 6).alias("duplicate_ratio"), "largest")

@@ -72,21 +72,28 @@ def gaps(df: DataFrame, keys: list[str], at: str, least: float) -> DataFrame:
     return x.select(*keys, "gap_s", F.explode(both).alias("e")).select(*keys, "e.kind", "e.at", "gap_s")
 
 
-def episodes(df: DataFrame, keys: list[str], at: str, spark: str, window: int = 10, needed: int = 3, calm: float = 4.0) -> DataFrame:
-    """Starts of episodes: needed of the last window rows spark, the present one too; calm seconds without rearm."""
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(spark).cast("int").alias("s")))).alias("_rows"))
-    start = F.struct(
-        F.array().cast("array<int>").alias("recent"), F.lit(False).alias("latched"), F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out")
-    )
+def episodes(df: DataFrame, keys: list[str], at: str, spark: str, window: int = 10, needed: int = 3, calm: float = 4.0, y: str | None = None, jump: float = 25.0) -> DataFrame:
+    """Starts of episodes: needed of the last window rows count, the present one sparks, and no episode is on.
+
+    A spark counts unless its y lies over jump above that of the spark before. An episode ends, and what was counted
+    is forgotten, at the first row calm seconds after the last spark; nothing is forgotten while none is on.
+    """
+    height = F.col(y).cast("double") if y else F.lit(0.0)
+    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(spark).cast("int").alias("s"), height.alias("y")))).alias("_rows"))
+    none = F.lit(None).cast("double")
+    start = F.struct(F.array().cast("array<int>").alias("recent"), F.lit(False).alias("latched"), none.alias("last"), none.alias("y"), F.array().cast("array<double>").alias("out"))
 
     def step(acc: Column, r: Column) -> Column:
-        rested = F.coalesce(r["t"] - acc["last"] >= calm, F.lit(False)) & (r["s"] == 0)
-        recent = F.when(rested, F.array().cast("array<int>")).otherwise(acc["recent"])
-        recent = F.concat(F.when(F.size(recent) >= window, F.slice(recent, 2, window - 1)).otherwise(recent), F.array(r["s"]))
-        latched = acc["latched"] & ~rested
-        fires = (F.aggregate(recent, F.lit(0), lambda n, v: n + v) >= needed) & (r["s"] == 1) & ~latched
+        sparks = r["s"] == 1
+        counts = F.when(sparks & ~F.coalesce(r["y"] - acc["y"] < -jump, F.lit(False)), 1).otherwise(0)
+        recent = F.concat(F.when(F.size(acc["recent"]) >= window, F.slice(acc["recent"], 2, window - 1)).otherwise(acc["recent"]), F.array(counts))
+        last = F.when(sparks, r["t"]).otherwise(acc["last"])
+        ends = acc["latched"] & F.coalesce(r["t"] - last >= calm, F.lit(False))
+        recent = F.when(ends, F.array().cast("array<int>")).otherwise(recent)
+        latched = acc["latched"] & ~ends
+        fires = sparks & ~latched & (F.aggregate(recent, F.lit(0), lambda n, v: n + v) >= needed)
         return F.struct(
-            recent.alias("recent"), (latched | fires).alias("latched"), F.when(r["s"] == 1, r["t"]).otherwise(acc["last"]).alias("last"),
+            recent.alias("recent"), (latched | fires).alias("latched"), last.alias("last"), F.when(ends, none).when(sparks, r["y"]).otherwise(acc["y"]).alias("y"),
             F.when(fires, F.array_append(acc["out"], r["t"])).otherwise(acc["out"]).alias("out"),
         )
 
@@ -108,3 +115,26 @@ def resample(index: Column, step: float) -> Column:
 def backoff(attempt: Column, first: float, most: float) -> Column:
     """Seconds before the attempt after this one."""
     return F.least(F.lit(float(first)) * F.pow(F.lit(2.0), attempt - 1), F.lit(float(most)))
+
+
+def marked(df: DataFrame, keys: list[str], order: list[str], sets: Column, tick: str, ttl: int) -> DataFrame:
+    """df with marked: whether a mark was set at most ttl ticks ago."""
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn("marked", F.coalesce(F.col(tick) - F.last(F.when(sets, F.col(tick)), ignorenulls=True).over(w) <= ttl, F.lit(False)))
+
+
+def held(df: DataFrame, keys: list[str], at: str, seconds: float) -> DataFrame:
+    """df with held: rows of the key that a ring of so many seconds holds with this one."""
+    micros = (F.col(at) * 1_000_000).cast("long")
+    return df.withColumn("held", F.count("*").over(W.partitionBy(*keys).orderBy(micros).rangeBetween(-int(seconds * 1_000_000), 0)))
+
+
+def clip_rate(n: Column, span: Column, fallback: float = 10.0) -> Column:
+    """Frames a second of a clip; null for fewer than two frames, the fallback where they have no span."""
+    return F.when(n < 2, None).when(span <= 0, fallback).otherwise((n - 1) / span)
+
+
+def cadence(seq: Column, person_every: int, fire_every: int, fire_offset: int, ppe_every: int) -> dict[str, Column]:
+    """Which detectors run on a frame; protective equipment on every so many runs of the person detector."""
+    person = seq % person_every == 0
+    return {"person": person, "fire": seq % fire_every == fire_offset % fire_every, "ppe": person & (F.floor(seq / person_every) % ppe_every == 0)}

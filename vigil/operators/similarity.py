@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -30,56 +34,63 @@ def overlap(a: tuple, b: tuple) -> float:
 BOX = ["x1", "y1", "x2", "y2"]
 
 
+def shared_part(a: Column, b: Column) -> Column:
+    """Intersection over union of two structs with x1, y1, x2, y2; 0 where they don't meet."""
+    zero = F.lit(0.0)
+    w = F.greatest(F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]), zero)
+    h = F.greatest(F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]), zero)
+    area = lambda q: (q["x2"] - q["x1"]) * (q["y2"] - q["y1"])
+    return F.when(w * h > 0, w * h / (area(a) + area(b) - w * h)).otherwise(zero)
+
+
+def by_score(role: Column | None = None) -> Column:
+    """The boxes of a group as an array, the best first, then by box_id."""
+    box = F.struct((-F.col("score")).alias("s"), "box_id", F.col("class_id").cast("int").alias("class_id"), *[F.col(c).cast("double").alias(c) for c in BOX])
+    return F.sort_array(F.collect_list(box if role is None else F.when(role, box)))
+
+
 def suppress(boxes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """box_id of the boxes that greedy suppression keeps: by score, what overlaps a kept box above the threshold goes.
 
-    A key is one image (and class), so a group is what one frame holds.
+    A key is one image (and class), so a group is what one frame holds; the fold is a SQL aggregate over its array.
     """
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True])
-        kept: list[tuple] = []
-        ids = []
-        for i, *box in pdf[["box_id", *BOX]].itertuples(index=False):
-            if all(overlap(box, k) <= threshold for k in kept):
-                kept.append(box)
-                ids.append(i)
-        return pd.DataFrame({"box_id": ids})
-
-    return boxes.select("box_id", "score", *keys, *BOX).groupBy(*keys).applyInPandas(keep, "box_id long")
+    if "class_id" not in boxes.columns:
+        boxes = boxes.withColumn("class_id", F.lit(0))
+    x = boxes.groupBy(*keys).agg(by_score().alias("b"))
+    none = F.slice("b", 1, 0)
+    kept = F.aggregate("b", none, lambda out, box: F.when(F.exists(out, lambda k: shared_part(k, box) > threshold), out).otherwise(F.concat(out, F.array(box))))
+    return x.select(F.explode(kept).alias("k")).select("k.box_id")
 
 
 def matches(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """box_id of predictions with the ground truth each one takes (null: none): by score, the best free one of its class."""
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        truth = [(i, c, tuple(b)) for i, c, *b in pdf[pdf.role == "gt"].sort_values("box_id")[["box_id", "class_id", *BOX]].itertuples(index=False)]
-        taken: set[int] = set()
-        rows = []
-        for i, c, *box in pdf[pdf.role == "pred"].sort_values(["score", "box_id"], ascending=[False, True])[["box_id", "class_id", *BOX]].itertuples(index=False):
-            best, at = 0.0, None
-            for j, k, other in truth:
-                if k == c and j not in taken and (o := overlap(box, other)) > best:
-                    best, at = o, j
-            if at is not None and best >= threshold:
-                taken.add(at)
-                rows.append((i, c, at))
-            else:
-                rows.append((i, c, None))
-        out = pd.DataFrame(rows, columns=["box_id", "class_id", "truth_id"])
-        return out.astype({"truth_id": "Int64"})
-
-    return boxes.groupBy("image_id").applyInPandas(match, "box_id long, class_id int, truth_id long")
-
-
-def precision_recall(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """class_id, tp, fp, fn, precision, recall; guarded divisions give 0."""
-    m = matches(boxes, threshold).groupBy("class_id").agg(F.count("truth_id").alias("tp"), F.count_if(F.col("truth_id").isNull()).alias("fp"))
-    t = boxes.where("role = 'gt'").groupBy("class_id").agg(F.count("*").alias("truths"))
-    x = t.join(m, "class_id", "full").fillna(0)
+    """box_id of predictions with the ground truth each one takes (null: none): by score, the best free one of its class.
+
+    An image's boxes are one array; the fold over its predictions carries the truths that are taken.
+    """
+    x = boxes.groupBy("image_id").agg(by_score(F.col("role") == "pred").alias("p"), F.array_sort(F.collect_list(F.when(F.col("role") == "gt", F.struct("box_id", F.col("class_id").cast("int").alias("class_id"), *[F.col(c).cast("double").alias(c) for c in BOX])))).alias("g"))
+
+    def step(done: Column, p: Column) -> Column:
+        free = F.filter("g", lambda t: (t["class_id"] == p["class_id"]) & ~F.exists(done, lambda m: m["truth_id"].eqNullSafe(t["box_id"])))
+        likeness = F.transform(free, lambda t: F.struct(shared_part(p, t).alias("o"), (-t["box_id"]).alias("t")))
+        best = F.array_max(F.filter(likeness, lambda c: (c["o"] >= threshold) & (c["o"] > 0)))
+        return F.concat(done, F.array(F.struct(p["box_id"].alias("box_id"), p["class_id"].alias("class_id"), (-best["t"]).alias("truth_id"))))
+
+    none = F.array().cast("array<struct<box_id:bigint,class_id:int,truth_id:bigint>>")
+    return x.select(F.explode(F.aggregate("p", none, step)).alias("m")).select("m.box_id", "m.class_id", "m.truth_id")
+
+
+def precision_recall(boxes: DataFrame, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """class_id (and the columns by, which an image shares), tp, fp, fn, precision, recall; guarded divisions give 0."""
+    keys = ["class_id", *(by or [])]
+    found = matches(boxes, threshold)
+    if by:
+        found = found.join(boxes.select("box_id", *by), "box_id")
+    m = found.groupBy(*keys).agg(F.count("truth_id").alias("tp"), F.count_if(F.col("truth_id").isNull()).alias("fp"))
+    t = boxes.where("role = 'gt'").groupBy(*keys).agg(F.count("*").alias("truths"))
+    x = t.join(m, keys, "full").fillna(0)
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tp = F.col("tp")
-    return x.select("class_id", "tp", "fp", (F.col("truths") - tp).alias("fn"), ratio(tp, tp + F.col("fp")).alias("precision"), ratio(tp, F.col("truths")).alias("recall"))
+    return x.select(*keys, "tp", "fp", (F.col("truths") - tp).alias("fn"), ratio(tp, tp + F.col("fp")).alias("precision"), ratio(tp, F.col("truths")).alias("recall"))
 
 
 def iou_pairs(boxes: DataFrame, least: float) -> DataFrame:
@@ -89,19 +100,50 @@ def iou_pairs(boxes: DataFrame, least: float) -> DataFrame:
     return x.select(F.col("g.box_id").alias("gt_id"), F.col("p.box_id").alias("pred_id"), iou("g", "p").alias("iou")).where(F.col("iou") >= least)
 
 
+#: Poses that go to every task at once; a larger gallery is searched in so many parts.
+MAX_POSES = 16_384
+
+
 def nearest_identity(probes: DataFrame, gallery: DataFrame, threshold: float) -> DataFrame:
     """Each probe's most similar enrolled pose; known where that reaches the threshold; ties to the first person and pose.
 
-    The gallery holds a few poses a person and is what Spark can broadcast; probes stay where they are.
+    Probes stay where they are; a matrix product a batch holds them against a part of the gallery of a checked size.
     """
-    p, g = probes.alias("p"), gallery.alias("g")
-    x = p.join(g, F.lit(True)).select("p.vec_id", "g.person_id", "g.pose_idx", cosine(F.col("p.embedding"), F.col("g.embedding")).alias("similarity"))
-    best = F.max_by(F.struct("person_id", "similarity"), F.struct("similarity", -F.col("person_id"), -F.col("pose_idx"))).alias("b")
-    y = x.where("similarity IS NOT NULL").groupBy("vec_id").agg(best).select("vec_id", "b.person_id", "b.similarity")
+    poses = gallery.where(F.exists("embedding", lambda v: v != 0)).select("person_id", "pose_idx", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    ways = max(1, -(-poses.count() // (MAX_POSES // 2)))  # by hash, so parts differ in size
+    best = None
+    for part in range(ways):
+        some = poses.where(F.pmod(F.xxhash64("person_id", "pose_idx"), F.lit(ways)) == part).limit(MAX_POSES + 1).toPandas()
+        if len(some) > MAX_POSES:
+            raise ValueError("poses with one person_id and pose_idx")
+        found = nearest_of(probes, some)
+        best = found if best is None else best.unionByName(found)
+    y = best.groupBy("vec_id").agg(F.max_by(F.struct("person_id", "similarity"), F.struct("similarity", -F.col("person_id"), -F.col("pose_idx"))).alias("b")).select("vec_id", "b.person_id", "b.similarity")
     known = F.col("similarity") >= threshold
     return y.select("vec_id", F.when(known, F.col("person_id")).alias("person_id"), F.round("similarity", 6).alias("similarity"), F.when(known, "known").otherwise("unknown_face").alias("status"))
 
 
+def nearest_of(probes: DataFrame, poses: pd.DataFrame) -> DataFrame:
+    """vec_id, person_id, pose_idx and similarity of the best of some poses for each probe that isn't zero."""
+    poses = poses.sort_values(["person_id", "pose_idx"])
+    person, pose = poses["person_id"].to_numpy(np.int64), poses["pose_idx"].to_numpy(np.int64)
+    unit = np.array(poses["v"].tolist(), np.float64)
+    unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True)) if len(unit) else unit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(unit) or not batch.num_rows:
+                continue
+            v = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
+            size = np.sqrt((v * v).sum(axis=1))
+            some = np.flatnonzero(size > 0)
+            likeness = v[some] / size[some, None] @ unit.T
+            at = likeness.argmax(axis=1)  # the first of equal ones
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(person[at]), pa.array(pose[at]), pa.array(likeness[np.arange(len(some)), at])], names=["vec_id", "person_id", "pose_idx", "similarity"])
+
+    return probes.where("embedding IS NOT NULL").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, person_id long, pose_idx long, similarity double")
+
+
 def shots(frames: DataFrame, order: str, vector: str, least: float) -> DataFrame:
     """frames with shot: a new one where a frame's likeness to the one before falls below least."""
     w = W.orderBy(order)

@@ -1,85 +1,111 @@
-"""Operators that match greedily in order: K of N gates over boxes, and track association by overlap.
+"""Boxes linked over time: greedy association by overlap inside spells of activity, then windows over the links.
 
-Both are folds over one camera's ticks, so a camera is a group; a step function
-holds the rule, and the same step serves a stream.
+Association depends on what was taken before, so it is a fold over the boxes of
+one camera. A silence longer than links may span ends every link, so a camera's
+boxes are cut there, and each spell is a group by itself. What comes after the
+links (K of N, growth) is window functions. An object is named by its first
+box.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from vigil.operators.similarity import overlap
+from vigil.operators.similarity import BOX, overlap
 
 
-def gate_step(candidates: list[dict], found: list[tuple[str, tuple]], k: int, n: int, least: float) -> list[dict]:
-    """Advance the candidates of one camera by one tick; returns those that this tick confirms.
+def spells(boxes: DataFrame, longest: int) -> DataFrame:
+    """boxes with _spell: a new one of a camera after a silence of more than so many ticks."""
+    w = W.partitionBy("camera_id").orderBy("tick")
+    new = F.when(F.col("tick") - F.lag("tick").over(w) > longest, 1).otherwise(0)
+    return boxes.withColumn("_new", new).withColumn("_spell", F.sum("_new").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("_new")
 
-    Candidates, in the order of their making, take the best overlap of their class, later ones on ties; what is left
-    becomes candidates; one without a hit in the last n ticks is dropped; each is confirmed once.
-    """
-    free, confirmed = list(found), []
-    for c in candidates:
-        best, at = least, None
-        for i, (klass, box) in enumerate(free):
-            if klass == c["klass"] and (o := overlap(c["box"], box)) >= best:
-                best, at = o, i
-        c["hits"] = (c["hits"] + [at is not None])[-n:]
-        if at is not None:
-            c["box"] = free.pop(at)[1]
-            c["areas"] = (c["areas"] + [(c["box"][2] - c["box"][0]) * (c["box"][3] - c["box"][1])])[-8:]
-    for klass, box in free:
-        candidates.append({"klass": klass, "box": box, "hits": [True], "areas": [(box[2] - box[0]) * (box[3] - box[1])], "confirmed": False})
-    candidates[:] = [c for c in candidates if any(c["hits"])]
-    for c in candidates:
-        if not c["confirmed"] and sum(c["hits"]) >= k:
-            c["confirmed"] = True
-            confirmed.append({"klass": c["klass"], "box": c["box"], "growing": len(c["areas"]) >= 3 and c["areas"][-3] < c["areas"][-2] < c["areas"][-1]})
-    return confirmed
 
-
-def k_of_n(boxes: DataFrame, k: int, n: int, least: float = 0.3) -> DataFrame:
-    """Confirmations over boxes (camera_id, tick, klass, det_id, x1, y1, x2, y2); every tick between first and last counts."""
+def linked(boxes: DataFrame, longest: int, assign: Callable[[pd.DataFrame], list[tuple[int, int]]], name: str) -> DataFrame:
+    """camera_id, det_id and the object (its first box) that assign gives the boxes of each spell."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        by_tick = {t: [(r.klass, (r.x1, r.y1, r.x2, r.y2)) for r in p.sort_values("det_id").itertuples()] for t, p in pdf.groupby("tick")}
-        candidates: list[dict] = []
-        rows = []
-        for t in range(int(pdf.tick.min()), int(pdf.tick.max()) + 1):
-            rows += [(key[0], t, c["klass"], *map(float, c["box"]), c["growing"]) for c in gate_step(candidates, by_tick.get(t, []), k, n, least)]
-        return pd.DataFrame(rows, columns=["camera_id", "tick", "klass", "x1", "y1", "x2", "y2", "growing"])
+        return pd.DataFrame([(key[0], d, o) for d, o in assign(pdf.sort_values(["tick", "det_id"]))], columns=["camera_id", "det_id", name])
+
+    return spells(boxes, longest).groupBy("camera_id", "_spell").applyInPandas(run, f"camera_id string, det_id long, {name} long")
 
-    return boxes.groupBy("camera_id").applyInPandas(run, "camera_id string, tick long, klass string, x1 double, y1 double, x2 double, y2 double, growing boolean")
+
+def candidates(boxes: DataFrame, n: int, least: float) -> DataFrame:
+    """camera_id, det_id, candidate: older candidates choose first, of their class the box of most overlap; none is chosen again n ticks after its last box."""
+
+    def assign(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+        latest: dict[int, tuple[int, str, tuple]] = {}  # by first box, in the order of making
+        out = []
+        for tick, part in pdf.groupby("tick"):
+            here = {r.det_id: (r.klass, (r.x1, r.y1, r.x2, r.y2)) for r in part.itertuples()}
+            for first, (seen, klass, box) in list(latest.items()):
+                if tick - seen > n:
+                    del latest[first]
+                    continue
+                likeness = {d: overlap(box, b) for d, (k, b) in here.items() if k == klass}
+                chosen = max(likeness, key=lambda d: (likeness[d], d), default=None)
+                if chosen is not None and likeness[chosen] >= least:
+                    latest[first] = (tick, *here.pop(chosen))
+                    out.append((chosen, first))
+            for d, (klass, box) in here.items():
+                latest[d] = (tick, klass, box)
+                out.append((d, d))
+        return out
+
+    return linked(boxes, n, assign, "candidate")
+
+
+def k_of_n(boxes: DataFrame, k: int, n: int, least: float = 0.3) -> DataFrame:
+    """The first box with which a candidate has k boxes in the last n ticks, and whether its last three areas rise.
+
+    boxes: camera_id, tick, klass, det_id, x1, y1, x2, y2.
+    """
+    x = boxes.join(candidates(boxes, n, least), ["camera_id", "det_id"])
+    own = W.partitionBy("camera_id", "candidate").orderBy("tick")
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    x = x.withColumn("_area", area).withColumn("_hits", F.count("*").over(own.rangeBetween(1 - n, 0)))
+    rises = F.coalesce((F.lag("_area", 2).over(own) < F.lag("_area").over(own)) & (F.lag("_area").over(own) < F.col("_area")), F.lit(False))
+    x = x.withColumn("growing", rises).where(F.col("_hits") >= k)
+    first = x.withColumn("_r", F.row_number().over(own)).where("_r = 1")
+    return first.select("camera_id", F.col("tick").cast("long").alias("tick"), "klass", *[F.col(c).cast("double").alias(c) for c in BOX], "growing")
 
 
 def track(boxes: DataFrame, high: float = 0.5, low: float = 0.1, least: float = 0.3, lost_after: int = 30) -> DataFrame:
     """det_id and track_id: strong boxes meet tracks first, then weak ones meet what is left; only strong ones begin tracks."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tracks: dict[int, tuple[tuple, int]] = {}
-        rows, made = [], 0
-        for t, part in pdf.sort_values(["tick", "det_id"]).groupby("tick"):
-            tracks = {k: v for k, v in tracks.items() if t - v[1] <= lost_after}
+    def assign(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+        tracks: dict[int, tuple[int, tuple]] = {}
+        out = []
+        for tick, part in pdf[pdf.score >= low].groupby("tick"):
+            tracks = {t: x for t, x in tracks.items() if tick - x[0] <= lost_after}
             free = set(tracks)
             for strong in (True, False):
-                some = part[part.score >= high] if strong else part[(part.score < high) & (part.score >= low)]
-                pairs = []
-                for r in some.itertuples():
-                    box = (r.x1, r.y1, r.x2, r.y2)
-                    pairs += [(-o, r.det_id, k, box) for k in free if (o := overlap(box, tracks[k][0])) >= least]
-                done: set[int] = set()
-                for _, d, k, box in sorted(pairs):
-                    if d not in done and k in free:
-                        done.add(d)
-                        free.discard(k)
-                        tracks[k] = (box, t)
-                        rows.append((d, k))
+                here = {r.det_id: (r.x1, r.y1, r.x2, r.y2) for r in part[(part.score >= high) == strong].itertuples()}
+                pairs = sorted((-o, d, t) for d, box in here.items() for t in free if (o := overlap(box, tracks[t][1])) >= least)
+                for _, d, t in pairs:
+                    if d in here and t in free:
+                        free.discard(t)
+                        tracks[t] = (tick, here.pop(d))
+                        out.append((d, t))
                 if strong:
-                    for r in some.itertuples():
-                        if r.det_id not in done:
-                            tracks[made] = ((r.x1, r.y1, r.x2, r.y2), t)
-                            rows.append((r.det_id, made))
-                            made += 1
-        return pd.DataFrame([(key[0], d, k) for d, k in rows], columns=["camera_id", "det_id", "track_id"])
-
-    return boxes.groupBy("camera_id").applyInPandas(run, "camera_id string, det_id long, track_id long")
+                    for d, box in here.items():
+                        tracks[d] = (tick, box)
+                        out.append((d, d))
+        return out
+
+    return linked(boxes, lost_after, assign, "track_id")
+
+
+def confirmed(detections: DataFrame) -> DataFrame:
+    """Detections of tracks that a tracker has confirmed; track 0 is one."""
+    return detections.where("track_id >= 0")
+
+
+def label(masked: Column, small: Column, track: Column) -> Column:
+    """What is written beside a box."""
+    return F.when(masked, "MASKED").when(small, "SMALL").otherwise(F.concat(F.lit("#"), track.cast("string")))

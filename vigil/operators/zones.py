@@ -1,19 +1,25 @@
 """Zones: membership, masks, sensitivity and the events of boundaries and crowds.
 
-Zones are a small dimension of operator-drawn shapes; Spark broadcasts them
-when their size allows. Shapes here are rectangles (x0, y0, x1, y1) or have
-``sides`` (see functions.geometry.edges).
+Zones are a small dimension of operator-drawn shapes, each of one camera, so
+detections meet the zones of their camera by an equi-join on it; Spark
+broadcasts the dimension when its size allows. Shapes here are rectangles
+(x0, y0, x1, y1) or have ``sides`` (see functions.geometry.edges). Where zones
+carry them, ``classes`` limits what a zone applies to, ``days``, ``from_s`` and
+``to_s`` when, ``events`` and ``direction`` which changes it reports, and
+``zone_order`` is the order of the store.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import geometry
+from vigil.functions.schedule import is_active
 from vigil.operators.sequences import confirmed_changes
 
 
@@ -23,22 +29,54 @@ def inside(x: Column, y: Column, zone: str = "z") -> Column:
     return (x >= c("x0")) & (x <= c("x1")) & (y >= c("y0")) & (y <= c("y1"))
 
 
+def applies(zones: DataFrame, d: str = "d", z: str = "z") -> Column:
+    """Same camera, and where zones say so a class and an hour that the zone applies to; a null list means all."""
+    out = F.col(f"{d}.camera_id") == F.col(f"{z}.camera_id")
+    if "classes" in zones.columns:
+        out = out & (F.col(f"{z}.classes").isNull() | F.array_contains(f"{z}.classes", F.col(f"{d}.klass")))
+    if "days" in zones.columns:
+        out = out & (F.col(f"{z}.days").isNull() | is_active(F.col(f"{d}.ts"), F.col(f"{z}.days"), F.col(f"{z}.from_s"), F.col(f"{z}.to_s")))
+    return out
+
+
 def membership(detections: DataFrame, zones: DataFrame) -> DataFrame:
-    """Each detection with each zone and whether its foot is inside."""
+    """Each detection with each zone of its camera that applies to it, and whether its foot is inside."""
     d, z = detections.alias("d"), zones.alias("z")
-    return d.join(z, F.lit(True)).select("d.*", "z.zone_id", "z.severity", "z.min_frames", inside(F.col("d.fx"), F.col("d.fy")).alias("inside"))
+    return d.join(z, applies(zones)).select("d.*", "z.zone_id", "z.severity", "z.min_frames", inside(F.col("d.fx"), F.col("d.fy")).alias("inside"))
 
 
 def membership_polygon(detections: DataFrame, zones: DataFrame) -> DataFrame:
-    """The detections inside each zone of any shape (zone_id, sides)."""
+    """The detections inside each zone of any shape (zone_id, camera_id, sides, and the box x0 to y1 around it, which is tested first)."""
     d, z = detections.alias("d"), zones.alias("z")
-    return d.join(z, geometry.covers(F.col("z.sides"), F.col("d.fx"), F.col("d.fy"))).select("d.*", "z.zone_id")
+    x, y = F.col("d.fx"), F.col("d.fy")
+    return d.join(z, applies(zones) & inside(x, y)).where(geometry.covers(F.col("z.sides"), x, y)).select("d.*", "z.zone_id")
 
 
 def unmasked(detections: DataFrame, zones: DataFrame) -> DataFrame:
-    """Detections that no exclusion zone covers."""
+    """Detections that no exclusion zone which applies to them covers."""
     d, z = detections.alias("d"), zones.where("ztype = 'exclusion'").alias("z")
-    return d.join(z, inside(F.col("d.fx"), F.col("d.fy")), "left_anti")
+    return d.join(z, applies(zones) & inside(F.col("d.fx"), F.col("d.fy")), "left_anti")
+
+
+def reported(events: DataFrame, zones: DataFrame) -> DataFrame:
+    """Events (camera_id, zone_id, kind: entry or exit) that their zone's direction and list of events let through, with its severity.
+
+    Direction in lets entries pass, out exits, both (or null) either.
+    """
+    e, z = events.drop("severity").alias("e"), zones.alias("z")
+    x = e.join(z, (F.col("e.camera_id") == F.col("z.camera_id")) & (F.col("e.zone_id") == F.col("z.zone_id")))
+    way = F.coalesce("z.direction", F.lit("both"))
+    allowed = (way == "both") | ((way == "in") & (F.col("e.kind") == "entry")) | ((way == "out") & (F.col("e.kind") == "exit"))
+    return x.where(allowed & (F.col("z.events").isNull() | F.array_contains("z.events", F.col("e.kind")))).select("e.*", "z.severity")
+
+
+def occupancy(states: DataFrame, zones: DataFrame, latest: DataFrame, within: int = 3) -> DataFrame:
+    """camera_id, zone_id and n: tracks whose last confirmed state is inside and that were seen in the last few updates; 0 for empty zones.
+
+    states: camera_id, zone_id, track_id, inside, last_seen; latest: camera_id and update_no, the newest update of a camera.
+    """
+    fresh = states.where("inside").join(latest, "camera_id").where(F.col("update_no") - F.col("last_seen") < within)
+    return zones.select("camera_id", "zone_id").join(fresh.select("camera_id", "zone_id", "track_id"), ["camera_id", "zone_id"], "left").groupBy("camera_id", "zone_id").agg(F.count("track_id").alias("n"))
 
 
 def boundary_events(detections: DataFrame, zones: DataFrame) -> DataFrame:
@@ -59,14 +97,25 @@ def tripwire_events(detections: DataFrame, wire: tuple[float, float, float, floa
     return e.select("det_id", "camera_id", "track_id", F.when(F.col("side") == "b", "entry").otherwise("exit").alias("kind"))
 
 
-def fire_accepted(detections: DataFrame, zones: DataFrame, base: float, delta: float) -> DataFrame:
-    """Fire and smoke that pass: not masked, score at least base plus the ROI's delta (never above 0, nor below -0.5)."""
-    least = max(min(0.0, delta), -0.5)
-    d = unmasked(detections.where(F.col("klass").isin("fire", "smoke") & (F.col("score") >= base - 0.5)), zones).alias("d")
+def fire_decisions(detections: DataFrame, zones: DataFrame, base: float, band: float = 0.1) -> DataFrame:
+    """Unmasked fire and smoke with roi (the first zone in the order of the store), bar and verdict: accepted, near_miss or below.
+
+    The bar is base plus the lowest delta of the regions of interest around a point, never above 0 nor below -0.5; a
+    near miss is at most band under it.
+    """
+    d = unmasked(detections.where(F.col("klass").isin("fire", "smoke")), zones).alias("d")
     z = zones.where("ztype = 'fire_roi'").alias("z")
-    roi = d.join(z, inside(F.col("d.fx"), F.col("d.fy")), "left").groupBy("d.det_id", "d.camera_id", "d.tick", "d.klass", "d.score").agg(F.min("z.zone_id").alias("roi"))
-    bar = base + F.when(F.col("roi").isNotNull(), least).otherwise(0.0)
-    return roi.where(F.col("score") >= bar)
+    order = F.col("z.zone_order") if "zone_order" in zones.columns else F.col("z.zone_id")
+    roi = d.join(z, applies(zones) & inside(F.col("d.fx"), F.col("d.fy")), "left").groupBy("d.det_id", "d.camera_id", "d.tick", "d.klass", "d.score")
+    x = roi.agg(F.min_by("z.zone_id", F.struct(order)).alias("roi"), F.min("z.conf_delta").alias("delta"))
+    x = x.withColumn("bar", base + F.coalesce(F.greatest(F.least("delta", F.lit(0.0)), F.lit(-0.5)), F.lit(0.0))).drop("delta")
+    verdict = F.when(F.col("score") >= F.col("bar"), "accepted").when(F.col("score") >= F.col("bar") - band, "near_miss").otherwise("below")
+    return x.withColumn("verdict", verdict)
+
+
+def fire_accepted(detections: DataFrame, zones: DataFrame, base: float) -> DataFrame:
+    """Fire and smoke that pass their bar."""
+    return fire_decisions(detections, zones, base).where("verdict = 'accepted'")
 
 
 def strongest(detections: DataFrame) -> DataFrame:
@@ -75,52 +124,103 @@ def strongest(detections: DataFrame) -> DataFrame:
     return detections.groupBy("camera_id", "tick", "klass").agg(best).select("camera_id", "tick", "klass", "b.det_id", "b.score")
 
 
-def largest_cluster(points: DataFrame, keys: list[str], eps: float, min_samples: int = 2) -> DataFrame:
-    """keys and the size of their largest density cluster. A key's points are those of one frame, so groups are small."""
-
-    def sizes(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = pdf[["fx", "fy"]].to_numpy()
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), max(cluster_sizes(xy, eps, min_samples), default=0)]], columns=[*keys, "largest"])
+def largest_cluster(points: DataFrame, keys: list[str], eps: float | Column, min_samples: int = 2) -> DataFrame:
+    """keys and the size of their largest density cluster; eps may differ by row (of one key: the first one's).
 
+    A key's points are those of one frame. Frames lie together in sorted partitions, and a task walks many a batch.
+    """
     kinds = dict(points.dtypes)
-    return points.select(*keys, "fx", "fy").groupBy(*keys).applyInPandas(sizes, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", largest long")
-
-
-def cluster_sizes(xy, eps: float, min_samples: int) -> list[int]:
-    """Sizes of density clusters: cells of eps hold the candidates; border points go to the first cluster that reaches them."""
-    cells: dict[tuple[int, int], list[int]] = {}
-    for i, (x, y) in enumerate(xy):
-        cells.setdefault((math.floor(x / eps), math.floor(y / eps)), []).append(i)
-
-    def near(i: int) -> list[int]:
-        x, y = xy[i]
-        cx, cy = math.floor(x / eps), math.floor(y / eps)
-        around = (j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in cells.get((cx + dx, cy + dy), ()))
-        return [j for j in around if (xy[j][0] - x) ** 2 + (xy[j][1] - y) ** 2 <= eps * eps]
-
-    neighbours = [near(i) for i in range(len(xy))]
-    label, sizes = [-1] * len(xy), []
-    for i in range(len(xy)):
-        if label[i] >= 0 or len(neighbours[i]) < min_samples:
-            continue
-        stack, label[i] = [i], len(sizes)
-        sizes.append(1)
-        while stack:
-            p = stack.pop()
-            if len(neighbours[p]) < min_samples:
+    eps = eps if isinstance(eps, Column) else F.lit(float(eps))
+    x = points.select(*keys, F.col("fx").cast("double").alias("fx"), F.col("fy").cast("double").alias("fy"), eps.cast("double").alias("eps"))
+
+    def frames(part: pa.RecordBatch, starts: list[int]) -> pa.RecordBatch:
+        n = len(keys)
+        xy = np.stack((part.column(n).to_numpy(), part.column(n + 1).to_numpy()), axis=1)
+        reach = part.column(n + 2).to_numpy()
+        largest = [max(cluster_sizes(xy[a:b], reach[a], min_samples), default=0) for a, b in zip(starts, [*starts[1:], len(xy)], strict=True)]
+        at = pa.array(starts)
+        return pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(n)), pa.array(largest, pa.int64())], names=[*keys, "largest"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last frame, which may go on
+        for batch in batches:
+            y = pa.concat_batches([held, batch]) if held is not None else batch
+            if not y.num_rows:
                 continue
-            for j in neighbours[p]:
-                if label[j] < 0:
-                    label[j] = label[i]
-                    sizes[-1] += 1
-                    stack.append(j)
+            change = np.zeros(y.num_rows, bool)
+            change[0] = True
+            for i in range(len(keys)):
+                c = y.column(i).to_pandas().to_numpy()
+                change[1:] |= c[1:] != c[:-1]
+            starts = np.flatnonzero(change).tolist()
+            held = y.slice(starts[-1])
+            if len(starts) > 1:
+                yield frames(y.slice(0, starts[-1]), starts[:-1])
+        if held is not None and held.num_rows:
+            yield frames(held, [0])
+
+    return x.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", largest long")
+
+
+def cluster_sizes(xy: np.ndarray, eps: float, min_samples: int) -> list[int]:
+    """Sizes of the density clusters of one frame: cores within eps of each other are one, border points join one of them."""
+    xy = np.asarray(xy, np.float64).reshape(-1, 2)
+    cells: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(np.floor(xy / eps).astype(np.int64).tolist()):
+        cells.setdefault((x, y), []).append(i)
+    points = xy.tolist()
+    near: list[list[int]] = [[] for _ in points]
+    for (cx, cy), members in cells.items():
+        around = [j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in cells.get((cx + dx, cy + dy), ())]
+        for i in members:
+            x, y = points[i]
+            near[i] = [j for j in around if (points[j][0] - x) ** 2 + (points[j][1] - y) ** 2 <= eps * eps]
+    core = [len(n) >= min_samples for n in near]
+    label, sizes = [-1] * len(points), []
+    for start in range(len(points)):
+        if core[start] and label[start] < 0:
+            reached = {start}
+            todo = [start]
+            while todo:
+                for j in near[todo.pop()]:
+                    if j not in reached and label[j] < 0:
+                        reached.add(j)
+                        if core[j]:
+                            todo.append(j)
+            for j in reached:
+                label[j] = len(sizes)
+            sizes.append(len(reached))
     return sizes
 
 
-def crowd_events(points: DataFrame, ticks: DataFrame, eps: float, threshold: int, frames: int) -> DataFrame:
+def crowd_reach(eps_px: Column, eps_share: Column, frame_height: Column) -> Column:
+    """Radius of a crowd: a share of the frame's height where that is set, else pixels."""
+    return F.coalesce(eps_share * frame_height, eps_px)
+
+
+def crowd_events(points: DataFrame, ticks: DataFrame, eps: float | Column, threshold: int, frames: int) -> DataFrame:
     """Crowds formed and dispersed, over every tick of a camera, also those without anyone."""
     largest = largest_cluster(points, ["camera_id", "tick"], eps)
     x = ticks.join(largest, ["camera_id", "tick"], "left").withColumn("size", F.coalesce("largest", F.lit(0)))
     x = x.withColumn("state", F.when(F.col("size") >= threshold, "formed").otherwise("dispersed"))
     e = confirmed_changes(x, ["camera_id"], ["tick"], "state", F.lit(frames), F.lit("dispersed"))
     return e.select("camera_id", "tick", F.col("state").alias("kind"), F.col("size").cast("long").alias("cluster_size"))
+
+
+def documents(zones: DataFrame, width: float) -> DataFrame:
+    """zone_id and doc: a zone as JSON, numbers to five places, without what is null or the default."""
+    x = F.round(F.col("x0") / width, 5)
+    way = F.when(F.col("direction") != "both", F.col("direction"))
+    return zones.select("zone_id", F.to_json(F.struct(F.col("zone_id").alias("id"), F.col("ztype").alias("type"), x.alias("x"), "min_frames", way.alias("direction"))).alias("doc"))
+
+
+def densest(points: DataFrame, keys: list[str], radius: float, least: int) -> DataFrame:
+    """keys, det_id, n and bounds of what lies within the radius of the point that most do, the first of equal ones, if at least so many do."""
+    cell = lambda c: F.floor(F.col(c) / radius)
+    x = points.select(*keys, "det_id", "fx", "fy", cell("fx").alias("cx"), cell("fy").alias("cy"))
+    around = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    y = x.select(*keys, F.col("fx").alias("qx"), F.col("fy").alias("qy"), F.explode(around).alias("c")).select(*keys, "qx", "qy", "c.cx", "c.cy")
+    near = (F.col("fx") - F.col("qx")) ** 2 + (F.col("fy") - F.col("qy")) ** 2 <= radius * radius
+    z = x.join(y, [*keys, "cx", "cy"]).where(near).groupBy(*keys, "det_id").agg(F.count("*").alias("n"), F.min("qx").alias("min_x"), F.max("qx").alias("max_x"), F.min("qy").alias("min_y"), F.max("qy").alias("max_y"))
+    best = F.max_by(F.struct("det_id", "n", "min_x", "max_x", "min_y", "max_y"), F.struct("n", -F.col("det_id"))).alias("b")
+    return z.groupBy(*keys).agg(best).where(F.col("b.n") >= least).select(*keys, "b.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.plans import catalogue, more  # noqa: F401  more adds its queries to the catalogue
+from vigil.plans import catalogue, control, more  # noqa: F401  control and more add their queries to the catalogue
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -12,6 +12,7 @@ from vigil.operators import alerts as A
 from vigil.operators import datasets as D
 from vigil.operators import sequences as S
 from vigil.operators import similarity as M
+from vigil.operators import validation as V
 from vigil.operators import zones as Z
 from vigil.sources.observations import prelude, table, view
 
@@ -114,11 +115,11 @@ def _(spark, d):
 
 # -- predicates -----------------------------------------------------------------------------------------------------
 
-@query("zone_membership", "SELECT zone_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(det_id) AS BIGINT) AS ids FROM detections JOIN zones ON fx BETWEEN x0 AND x1 AND fy BETWEEN y0 AND y1 GROUP BY zone_id", "detections", "zones")
+@query("zone_membership", "SELECT zone_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(det_id) AS BIGINT) AS ids FROM detections JOIN zones ON zones.camera_id = detections.camera_id AND fx BETWEEN x0 AND x1 AND fy BETWEEN y0 AND y1 GROUP BY zone_id", "detections", "zones")
 def _(spark, d):
     c = F.col
     corners = F.array(*[F.struct(c(x).cast("double").alias("x"), c(y).cast("double").alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
-    shapes = view(spark, d, "zones").select("zone_id", geometry.edges(corners).alias("sides"))
+    shapes = view(spark, d, "zones").select("zone_id", "camera_id", "x0", "y0", "x1", "y1", geometry.edges(corners).alias("sides"))
     return Z.membership_polygon(view(spark, d, "detections"), shapes).groupBy("zone_id").agg(F.count("*").alias("n"), F.sum("det_id").alias("ids"))
 
 
@@ -151,15 +152,29 @@ def _(spark, d):
     "detections",
 )
 def _(spark, d):
-    return Z.strongest(Z.fire_accepted(view(spark, d, "detections"), view(spark, d, "zones"), 0.45, -0.2))
+    return Z.strongest(Z.fire_accepted(view(spark, d, "detections"), view(spark, d, "zones"), 0.45))
 
 
-@query("polygon_validation", "SELECT p_partkey, CAST(p_size AS DOUBLE) / 50 * (CAST(1 AS DOUBLE) - CAST(p_size AS DOUBLE) / 100) AS area, CAST(0 AS INT) AS n_problems FROM part")
+@query(
+    "polygon_validation",
+    """SELECT p_partkey, round(CASE WHEN k IN (0, 3) THEN w * h WHEN k = 6 THEN 0.75e0 * w * h ELSE 0 END, 6) AS area, w * h > 0.8 AND k IN (0, 3) AS large,
+    CASE k WHEN 1 THEN 'crosses itself; no area' WHEN 2 THEN 'too few points; no area' WHEN 3 THEN CASE WHEN w > 0.5 THEN 'outside 0 to 1' ELSE '' END WHEN 4 THEN 'crosses itself; no area' WHEN 5 THEN CASE WHEN w < 0.05 THEN 'too short' ELSE '' END ELSE '' END AS errors
+    FROM (SELECT p_partkey, p_partkey % 7 AS k, CAST(p_size AS DOUBLE) / 50 AS w, CAST(1 AS DOUBLE) - CAST(p_size AS DOUBLE) / 100 AS h FROM part)""",
+)
 def _(spark, d):
-    s = F.col("p_size").cast("double")
-    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    rect = F.array(pt(F.lit(0.0), F.lit(0.0)), pt(s / 50, F.lit(0.0)), pt(s / 50, 1 - s / 100), pt(F.lit(0.0), 1 - s / 100))
-    return table(spark, d, "part").select("p_partkey", geometry.shoelace(rect).alias("area"), F.size(geometry.problems(rect)).alias("n_problems"))
+    """Rectangles, bow ties, two points, shapes beyond the frame, doubled lines, tripwires and notched shapes."""
+    k, w, h = F.col("p_partkey") % 7, F.col("p_size").cast("double") / 50, 1 - F.col("p_size").cast("double") / 100
+    zero = F.lit(0.0)
+    pts = lambda *p: F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in p])
+    shape = (
+        F.when(k == 1, pts((zero, zero), (w, h), (w, zero), (zero, h))).when(k == 2, pts((zero, zero), (w, h))).when(k == 3, pts((w, zero), (w + w, zero), (w + w, h), (w, h)))
+        .when(k == 4, pts((zero, zero), (w, h), (zero, zero), (w / 2, h / 2))).when(k == 5, pts((zero, zero), (w, zero))).when(k == 6, pts((zero, zero), (w, zero), (w, h), (w / 2, h / 2), (zero, h)))
+        .otherwise(pts((zero, zero), (w, zero), (w, h), (zero, h)))
+    )
+    x = table(spark, d, "part").select("p_partkey", k.alias("k"), shape.alias("shape"))
+    errors = F.when(F.col("k") == 5, geometry.problems(F.col("shape"), "tripwire")).otherwise(geometry.problems(F.col("shape")))
+    area = F.when(F.col("k") == 5, 0.0).otherwise(geometry.shoelace(F.col("shape")))
+    return x.select("p_partkey", F.round(area, 6).alias("area"), (F.col("k").isin(0, 3) & V.area_warning(F.col("shape"))).alias("large"), F.concat_ws("; ", errors).alias("errors"))
 
 
 # -- sequences ------------------------------------------------------------------------------------------------------
@@ -173,7 +188,7 @@ def changes_sql(source: str, keys: str, order: str, frames: str, initial: str |
     (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY {keys} ORDER BY {order}) IS DISTINCT FROM state THEN 1 ELSE 0 END AS chg FROM {source}))) WHERE age = {first}) WHERE before <> state"""
 
 
-BOUNDARY = changes_sql("(SELECT d.*, z.zone_id, z.min_frames, z.severity, CASE WHEN fx BETWEEN x0 AND x1 AND fy BETWEEN y0 AND y1 THEN 'entry' ELSE 'exit' END AS state FROM detections d, zones z WHERE ztype = 'polygon')", "camera_id, zone_id, track_id", "obs_no", "min_frames")
+BOUNDARY = changes_sql("(SELECT d.*, z.zone_id, z.min_frames, z.severity, CASE WHEN fx BETWEEN x0 AND x1 AND fy BETWEEN y0 AND y1 THEN 'entry' ELSE 'exit' END AS state FROM detections d JOIN zones z ON z.camera_id = d.camera_id WHERE ztype = 'polygon')", "camera_id, zone_id, track_id", "obs_no", "min_frames")
 
 
 @query("boundary_events", f"SELECT det_id, camera_id, zone_id, track_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, state AS kind, severity, fx / 1000 AS nx, fy / 1000 AS ny FROM ({BOUNDARY})", "detections", "zones")
@@ -193,18 +208,49 @@ def _(spark, d):
     return Z.tripwire_events(view(spark, d, "detections"), (100, 100, 900, 800), 2)
 
 
-@query("zone_occupancy", "SELECT z.zone_id, count(o.track_id) AS n FROM (SELECT zone_id FROM zones WHERE ztype = 'polygon') z LEFT JOIN (SELECT zone_id, track_id FROM (SELECT zone_id, d.camera_id, track_id, obs_no, fx BETWEEN x0 AND x1 AND fy BETWEEN y0 AND y1 AS i, row_number() OVER (PARTITION BY zone_id, d.camera_id, track_id ORDER BY obs_no DESC) AS r FROM detections d, zones WHERE ztype = 'polygon') WHERE r = 1 AND i) o ON o.zone_id = z.zone_id GROUP BY z.zone_id", "detections", "zones")
+OCCUPIED = f"""st AS (SELECT d.*, z.zone_id, z.min_frames, CASE WHEN fx BETWEEN x0 AND x1 AND fy BETWEEN y0 AND y1 THEN 'entry' ELSE 'exit' END AS state FROM detections d JOIN zones z ON z.camera_id = d.camera_id WHERE ztype = 'polygon'),
+rn AS (SELECT *, row_number() OVER (PARTITION BY camera_id, zone_id, track_id, run ORDER BY obs_no) AS age FROM (SELECT *, sum(chg) OVER (PARTITION BY camera_id, zone_id, track_id ORDER BY obs_no ROWS UNBOUNDED PRECEDING) AS run FROM
+ (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY camera_id, zone_id, track_id ORDER BY obs_no) IS DISTINCT FROM state THEN 1 ELSE 0 END AS chg FROM st))),
+ls AS (SELECT camera_id, zone_id, track_id, arg_max(state, obs_no) FILTER (age >= CASE WHEN run = 1 THEN 1 ELSE min_frames END) = 'entry' AS i, max(tick) AS seen FROM rn GROUP BY camera_id, zone_id, track_id),
+nw AS (SELECT camera_id, max(tick) AS u FROM detections GROUP BY camera_id)
+SELECT z.camera_id, z.zone_id, count(ls.track_id) AS n FROM (SELECT camera_id, zone_id FROM zones WHERE ztype = 'polygon') z JOIN nw ON nw.camera_id = z.camera_id LEFT JOIN ls ON ls.camera_id = z.camera_id AND ls.zone_id = z.zone_id AND ls.i AND nw.u - ls.seen < 240 GROUP BY z.camera_id, z.zone_id"""
+
+
+@query("zone_occupancy", f"{prelude('detections', 'zones')}, {OCCUPIED}")
+def _(spark, d):
+    zones, x = view(spark, d, "zones").where("ztype = 'polygon'"), view(spark, d, "detections")
+    y = Z.membership(x, zones).withColumn("state", F.when(F.col("inside"), "entry").otherwise("exit"))
+    r = S.runs(y, ["camera_id", "zone_id", "track_id"], ["obs_no"], "state")
+    sure = F.col("age") >= F.when(F.col("run") == 1, 1).otherwise(F.col("min_frames"))
+    states = r.groupBy("camera_id", "zone_id", "track_id").agg((F.max_by("state", F.when(sure, F.col("obs_no"))) == "entry").alias("inside"), F.max("tick").alias("last_seen"))
+    return Z.occupancy(states, zones, x.groupBy("camera_id").agg(F.max("tick").alias("update_no")), 240)
+
+
+def crowd_sql(reach: str, members: int, frames: int) -> str:
+    """Clusters of two and more as reachability, then confirmed changes; rows: pts with reach as the square of each point's radius."""
+    return f"""pr AS (SELECT a.camera_id, a.tick, a.det_id AS a, b.det_id AS b FROM pts a JOIN pts b ON a.camera_id = b.camera_id AND a.tick = b.tick AND (a.fx - b.fx) * (a.fx - b.fx) + (a.fy - b.fy) * (a.fy - b.fy) <= {reach}),
+    rc AS (SELECT * FROM pr UNION SELECT rc.camera_id, rc.tick, rc.a, pr.b FROM rc JOIN pr ON pr.camera_id = rc.camera_id AND pr.tick = rc.tick AND pr.a = rc.b),
+    sz AS (SELECT camera_id, tick, max(k) AS size FROM (SELECT camera_id, tick, a, count(*) AS k FROM rc GROUP BY camera_id, tick, a) WHERE k >= 2 GROUP BY camera_id, tick),
+    st AS (SELECT c.camera_id, t.tick, coalesce(sz.size, 0) AS size, CASE WHEN coalesce(sz.size, 0) >= {members} THEN 'formed' ELSE 'dispersed' END AS state FROM (SELECT DISTINCT camera_id FROM detections) c CROSS JOIN (SELECT DISTINCT tick FROM detections) t LEFT JOIN sz ON sz.camera_id = c.camera_id AND sz.tick = t.tick)
+    SELECT camera_id, tick, state AS kind, CAST(size AS BIGINT) AS cluster_size FROM ({changes_sql('st', 'camera_id', 'tick', str(frames), "'dispersed'")})"""
+
+
+def all_ticks(x: DataFrame) -> DataFrame:
+    """Every tick of the table for every camera, of which there are few."""
+    return x.select("camera_id").distinct().join(x.select("tick").distinct(), F.lit(True))
+
+
+@query("crowd_events", f"WITH RECURSIVE {prelude('detections')[5:]}, pts AS (SELECT * FROM detections WHERE NOT (fx BETWEEN 600 AND 900 AND fy BETWEEN 600 AND 900)), {crowd_sql('14400', 3, 2)}")
 def _(spark, d):
-    zones = view(spark, d, "zones").where("ztype = 'polygon'")
-    last = Z.membership(view(spark, d, "detections"), zones).groupBy("zone_id", "camera_id", "track_id").agg(F.max_by("inside", "obs_no").alias("inside"))
-    return zones.select("zone_id").join(last.where("inside"), "zone_id", "left").groupBy("zone_id").agg(F.count("track_id").alias("n"))
+    x = view(spark, d, "detections")
+    return Z.crowd_events(Z.unmasked(x, view(spark, d, "zones")), all_ticks(x), 120.0, 3, 2)
 
 
-@query("crowd_events")
+@query("eps_scaling_dbscan", f"WITH RECURSIVE {prelude('detections')[5:]}, pts AS (SELECT * FROM detections), {crowd_sql('CASE WHEN right(a.camera_id, 1) < chr(51) THEN 11664.0 ELSE 22500.0 END', 3, 2)}")
 def _(spark, d):
     x = view(spark, d, "detections")
-    ticks = x.select("camera_id").distinct().join(x.select("tick").distinct(), F.lit(True))
-    return Z.crowd_events(Z.unmasked(x, view(spark, d, "zones")), ticks, 120.0, 3, 2)
+    share = F.when(F.col("camera_id").isin("cam_01", "cam_02"), 0.1)  # the other cameras have no share and use pixels
+    return Z.crowd_events(x, all_ticks(x), Z.crowd_reach(F.lit(150.0), share, F.lit(1080.0)), 3, 2)
 
 
 @query(
@@ -243,10 +289,20 @@ def _(spark, d):
     return A.notifications(view(spark, d, "alerts"), view(spark, d, "alert_rules"))
 
 
-@query("welding_episodes")
+WELDING = """e AS (SELECT user_id % 4 AS camera, CAST(epoch(ts) AS DOUBLE) AS t, event_type = 'click' AS s, CAST(value AS DOUBLE) AS y FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY t, s, y) AS rn FROM e),
+f AS (SELECT DISTINCT camera, CAST(0 AS BIGINT) AS rn, CAST([] AS INT[]) AS recent, FALSE AS latched, CAST(NULL AS DOUBLE) AS last, CAST(NULL AS DOUBLE) AS ly, FALSE AS fires, CAST(NULL AS DOUBLE) AS t FROM e UNION ALL
+ SELECT camera, rn, rec, on_ OR fires, last, CASE WHEN ends THEN NULL WHEN s THEN y ELSE ly END, fires, t FROM (SELECT *, s AND NOT on_ AND coalesce(list_sum(rec), 0) >= 3 AS fires FROM
+ (SELECT camera, rn, s, y, ly, t, last, ends, CASE WHEN ends THEN CAST([] AS INT[]) ELSE rec END AS rec, latched AND NOT ends AS on_ FROM (SELECT *, latched AND coalesce(t - last >= 1800, FALSE) AS ends FROM
+ (SELECT f.camera, o.rn, f.latched, f.ly, o.t, o.s, o.y, CASE WHEN o.s THEN o.t ELSE f.last END AS last, list_append(CASE WHEN len(f.recent) >= 10 THEN f.recent[2:] ELSE f.recent END, CAST(o.s AND NOT coalesce(o.y - f.ly < -25, FALSE) AS INT)) AS rec
+  FROM f JOIN o ON o.camera = f.camera AND o.rn = f.rn + 1)))))
+SELECT camera, t AS started FROM f WHERE fires"""
+
+
+@query("welding_episodes", f"WITH RECURSIVE {WELDING}")
 def _(spark, d):
-    x = table(spark, d, "events").select((F.col("user_id") % 4).alias("camera"), seconds("ts").alias("at"), (F.col("event_type") == "click").alias("spark"))
-    return S.episodes(x, ["camera"], "at", "spark", calm=1800.0)
+    x = table(spark, d, "events").select((F.col("user_id") % 4).alias("camera"), seconds("ts").alias("at"), (F.col("event_type") == "click").alias("spark"), "value")
+    return S.episodes(x, ["camera"], "at", "spark", calm=1800.0, y="value")
 
 
 @query("feed_gaps", "SELECT camera_id, unnest([{'kind': 'feed_lost', 'at': t}, {'kind': 'feed_restored', 'at': n}]).kind AS kind, unnest([t, n]) AS at, n - t AS gap_s FROM (SELECT camera_id, CAST(epoch(ts) AS DOUBLE) AS t, lead(CAST(epoch(ts) AS DOUBLE)) OVER (PARTITION BY camera_id ORDER BY ts) AS n FROM detections) WHERE n - t >= 7200", "detections")
@@ -329,15 +385,20 @@ def _(spark, d):
 
 @query(
     "alert_messages",
-    """SELECT alert_id, CASE kind WHEN 'boundary' THEN CASE identity_status WHEN 'known' THEN 'A known person' WHEN 'unknown_face' THEN 'An unrecognised person' ELSE 'Someone' END || CASE subtype WHEN 'entry' THEN ' entered ' ELSE ' left ' END || coalesce(zone_id, 'the scene')
-    WHEN 'crowd' THEN 'Crowd ' || subtype || ' in ' || coalesce(zone_id, 'the scene') WHEN 'ppe' THEN 'Missing ' || subtype || ' in ' || coalesce(zone_id, 'the scene') WHEN 'fire' THEN 'Fire detected on ' || camera_id ELSE 'Smoke detected on ' || camera_id END AS message FROM alerts""",
+    """SELECT alert_id, CASE kind WHEN 'boundary' THEN who || CASE subtype WHEN 'entry' THEN ' entered ' ELSE ' left ' END || place WHEN 'crowd' THEN CASE subtype WHEN 'dispersed' THEN 'Crowd dispersed in ' ELSE 'Crowd formed in ' END || place WHEN 'ppe' THEN 'Missing ' || subtype || ' in ' || place
+    WHEN 'access' THEN who || ' is not allowed in ' || place WHEN 'welding' THEN 'Welding started on ' || camera_id WHEN 'health' THEN CASE subtype WHEN 'feed_lost' THEN 'Feed lost on ' ELSE 'Feed restored on ' END || camera_id WHEN 'fire' THEN 'Fire detected on ' || camera_id ELSE 'Smoke detected on ' || camera_id END AS message,
+    '[' || upper(severity) || '] ' || upper(kind[1]) || kind[2:] || ' - ' || camera_id AS subject
+    FROM (SELECT * REPLACE (CASE alert_id % 12 WHEN 3 THEN 'access' WHEN 5 THEN 'welding' WHEN 7 THEN 'health' ELSE kind END AS kind, CASE alert_id % 12 WHEN 7 THEN 'feed_lost' ELSE subtype END AS subtype),
+      CASE identity_status WHEN 'known' THEN 'A known person' WHEN 'unknown_face' THEN 'An unrecognised person' ELSE 'Someone' END AS who, coalesce(zone_id, 'the scene') AS place FROM alerts)""",
     "alerts",
 )
 def _(spark, d):
-    return A.message(view(spark, d, "alerts"))
+    k = F.col("alert_id") % 12  # the table has no alerts of three kinds
+    x = view(spark, d, "alerts").withColumns({"kind": F.when(k == 3, "access").when(k == 5, "welding").when(k == 7, "health").otherwise(F.col("kind")), "subtype": F.when(k == 7, "feed_lost").otherwise(F.col("subtype"))})
+    return A.message(x).join(A.subject(x), "alert_id")
 
 
-@query("clip_policy", "SELECT alert_id, CASE kind WHEN 'boundary' THEN coalesce(identity_status <> 'known', TRUE) WHEN 'ppe' THEN FALSE ELSE TRUE END AS record, kind IN ('fire', 'smoke') AS urgent FROM alerts", "alerts")
+@query("clip_policy", "SELECT alert_id, CASE kind WHEN 'boundary' THEN coalesce(identity_status <> 'known', TRUE) WHEN 'ppe' THEN FALSE ELSE TRUE END AS record, kind IN ('fire', 'smoke') AS urgent, CASE kind WHEN 'boundary' THEN CASE WHEN identity_status = 'known' THEN 'registered person' ELSE 'unregistered person' END WHEN 'ppe' THEN 'off' ELSE 'on' END AS reason FROM alerts", "alerts")
 def _(spark, d):
     return A.clip_decision(view(spark, d, "alerts"), {"boundary": "unregistered", "ppe": "off"}, ("fire", "smoke"))
 
@@ -347,14 +408,25 @@ def _(spark, d):
     return A.evidence_key(view(spark, d, "alerts"))
 
 
-@query("identity_exit_asof", "SELECT alert_id, camera_id, track_id, identity FROM (SELECT *, last_value(CASE WHEN subtype = 'entry' THEN identity_status END IGNORE NULLS) OVER (PARTITION BY camera_id, track_id ORDER BY alert_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS identity FROM alerts WHERE kind = 'boundary') WHERE subtype = 'exit'", "alerts")
+@query(
+    "identity_exit_asof",
+    """SELECT alert_id, camera_id, track_id, identity FROM (SELECT *, last_value(CASE WHEN subtype = 'entry' THEN coalesce(identity_status, 'no_face') END IGNORE NULLS) OVER (PARTITION BY camera_id, track_id, visit ORDER BY t, alert_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS identity FROM
+    (SELECT *, sum(CASE WHEN t - before > 21600 THEN 1 ELSE 0 END) OVER (PARTITION BY camera_id, track_id ORDER BY t, alert_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS visit FROM (SELECT *, lag(t) OVER (PARTITION BY camera_id, track_id ORDER BY t, alert_id NULLS FIRST) AS before FROM
+    (SELECT camera_id, track_id, CAST(epoch(ts) AS DOUBLE) AS t, alert_id, subtype, identity_status FROM alerts WHERE kind = 'boundary' UNION ALL SELECT camera_id, track_id, CAST(epoch(ts) AS DOUBLE), NULL, NULL, NULL FROM detections)))) WHERE subtype = 'exit'""",
+    "alerts", "detections",
+)
 def _(spark, d):
-    return A.exit_identities(view(spark, d, "alerts"))
+    return A.exit_identities(view(spark, d, "alerts").where("kind = 'boundary'"), view(spark, d, "detections"), 21600.0)
 
 
-@query("access_control", "SELECT alert_id, camera_id, track_id, 'critical' AS severity FROM alerts WHERE kind = 'boundary' AND subtype = 'entry' AND zone_id = 'zone_3' AND identity_status <> 'known'", "alerts")
+@query(
+    "access_control",
+    """SELECT alert_id, camera_id, track_id, 'critical' AS severity FROM alerts WHERE kind = 'boundary' AND subtype = 'entry' AND zone_id IN ('zone_1', 'zone_3') AND NOT (identity_status = 'known' AND track_id % 10 IN (1, 3, 5))""",
+    "alerts",
+)
 def _(spark, d):
-    return A.access_violations(view(spark, d, "alerts"), "zone_3")
+    lists = spark.sql("SELECT * FROM (VALUES ('zone_1', array(1L, 3L, 5L)), ('zone_2', array()), ('zone_3', array(1L, 3L, 5L))) AS z(zone_id, persons)")
+    return A.access_violations(view(spark, d, "alerts").withColumn("person_id", F.col("track_id") % 10), lists)
 
 
 @query("dedup_alerts", "SELECT DISTINCT camera_id, kind, subtype, severity FROM alerts", "alerts")
@@ -397,16 +469,51 @@ def _(spark, d):
     return x.withColumn("person_id", F.coalesce(F.col("person_id").cast("string"), F.lit("")))
 
 
-@query("nms_class_aware")
+def share_sql(a: str, b: str) -> str:
+    """Intersection over union of two structs or rows."""
+    w, h = (f"greatest(least({a}.{c}2, {b}.{c}2) - greatest({a}.{c}1, {b}.{c}1), 0)" for c in "xy")
+    area = lambda q: f"({q}.x2 - {q}.x1) * ({q}.y2 - {q}.y1)"
+    return f"(CASE WHEN {w} * {h} > 0 THEN {w} * {h} / ({area(a)} + {area(b)} - {w} * {h}) ELSE 0 END)"
+
+
+@query(
+    "nms_class_aware",
+    f"""WITH RECURSIVE {prelude('boxes')[5:]}, o AS (SELECT *, row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, box_id) AS rn FROM boxes),
+    k AS (SELECT image_id, class_id, rn, [struct_pack(id := box_id, x1 := x1, y1 := y1, x2 := x2, y2 := y2)] AS kept FROM o WHERE rn = 1 UNION ALL
+    SELECT k.image_id, k.class_id, o.rn, CASE WHEN len(list_filter(k.kept, lambda q: {share_sql('q', 'o')} > 0.45)) > 0 THEN k.kept ELSE list_append(k.kept, struct_pack(id := o.box_id, x1 := o.x1, y1 := o.y1, x2 := o.x2, y2 := o.y2)) END FROM k JOIN o ON o.image_id = k.image_id AND o.class_id = k.class_id AND o.rn = k.rn + 1)
+    SELECT unnest(kept).id AS box_id FROM (SELECT arg_max(kept, rn) AS kept FROM k GROUP BY image_id, class_id)""",
+)
 def _(spark, d):
     return M.suppress(view(spark, d, "boxes"), ["image_id", "class_id"], 0.45)
 
 
-@query("precision_recall")
+MATCHED = f"""p AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id) AS rn FROM boxes WHERE role = 'pred'), g AS (SELECT * FROM boxes WHERE role = 'gt'),
+    m AS (SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS INT) AS class_id, CAST(NULL AS BIGINT) AS truth FROM p UNION ALL
+    SELECT image_id, rn, CASE WHEN truth IS NULL THEN taken ELSE list_append(taken, truth) END, class_id, truth FROM (SELECT p.image_id, p.rn, m.taken, p.class_id,
+    (SELECT arg_max(g.box_id, struct_pack(o := {share_sql('p', 'g')}, t := -g.box_id)) FROM g WHERE g.image_id = p.image_id AND g.class_id = p.class_id AND NOT list_contains(m.taken, g.box_id) AND {share_sql('p', 'g')} >= 0.5) AS truth
+    FROM m JOIN p ON p.image_id = m.image_id AND p.rn = m.rn + 1))"""
+
+
+@query(
+    "precision_recall",
+    f"""WITH RECURSIVE {prelude('boxes')[5:]}, {MATCHED}, c AS (SELECT class_id, count(truth) AS tp, count(*) - count(truth) AS fp FROM m WHERE rn > 0 GROUP BY class_id), t AS (SELECT class_id, count(*) AS truths FROM g GROUP BY class_id)
+    SELECT class_id, tp, fp, truths - tp AS fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN truths > 0 THEN tp / truths ELSE 0.0 END AS recall
+    FROM (SELECT class_id, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(truths, 0) AS truths FROM c FULL JOIN t USING (class_id))""",
+)
 def _(spark, d):
     return M.precision_recall(view(spark, d, "boxes"))
 
 
+@query(
+    "precision_recall_by_domain",
+    f"""WITH RECURSIVE {prelude('boxes')[5:]}, {MATCHED}, c AS (SELECT class_id, image_id % 3 AS domain, count(truth) AS tp, count(*) - count(truth) AS fp FROM m WHERE rn > 0 GROUP BY ALL), t AS (SELECT class_id, image_id % 3 AS domain, count(*) AS truths FROM g GROUP BY ALL)
+    SELECT class_id, domain, tp, fp, truths - tp AS fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN truths > 0 THEN tp / truths ELSE 0.0 END AS recall
+    FROM (SELECT class_id, domain, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(truths, 0) AS truths FROM c FULL JOIN t USING (class_id, domain))""",
+)
+def _(spark, d):
+    return M.precision_recall(view(spark, d, "boxes").withColumn("domain", F.col("image_id") % 3), by=["domain"])
+
+
 @query("near_dup_pairs")
 def _(spark, d):
     bits = F.aggregate("embedding", F.lit(0).cast("long"), lambda h, v: F.shiftleft(h, 1).bitwiseOR(F.when(v > 0, 1).otherwise(0).cast("long")))

@@ -156,7 +156,7 @@ def _(spark, d):
     return view(spark, d, "alerts").where("alert_id >= 100").groupBy("kind", "severity").agg(F.min("alert_id").alias("alert_id"))
 
 
-@query("zone_state_map", "SELECT zone_id, camera_id, list_sort(list(track_id)) AS tracks FROM (SELECT zone_id, d.camera_id, track_id, arg_max(fx BETWEEN x0 AND x1 AND fy BETWEEN y0 AND y1, obs_no) AS i FROM detections d, zones WHERE ztype = 'polygon' GROUP BY zone_id, d.camera_id, track_id) WHERE i GROUP BY zone_id, camera_id", "detections", "zones")
+@query("zone_state_map", "SELECT zone_id, camera_id, list_sort(list(track_id)) AS tracks FROM (SELECT zone_id, d.camera_id, track_id, arg_max(fx BETWEEN x0 AND x1 AND fy BETWEEN y0 AND y1, obs_no) AS i FROM detections d JOIN zones ON zones.camera_id = d.camera_id WHERE ztype = 'polygon' GROUP BY zone_id, d.camera_id, track_id) WHERE i GROUP BY zone_id, camera_id", "detections", "zones")
 def _(spark, d):
     last = Z.membership(view(spark, d, "detections"), view(spark, d, "zones").where("ztype = 'polygon'")).groupBy("zone_id", "camera_id", "track_id").agg(F.max_by("inside", "obs_no").alias("i"))
     return last.where("i").groupBy("zone_id", "camera_id").agg(F.sort_array(F.collect_list("track_id")).alias("tracks"))

@@ -6,6 +6,7 @@ Every adapter is deterministic and reads only the columns it needs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ADAPTERS = {
     "detections": """
@@ -25,9 +26,20 @@ SELECT event_id AS alert_id, ts, 'cam_0' || CAST(1 + user_id % 4 AS STRING) AS c
  CASE WHEN event_type <> 'view' THEN NULL WHEN event_id % 3 = 0 THEN 'known' WHEN event_id % 3 = 1 THEN 'unknown_face' ELSE 'no_face' END AS identity_status
 FROM events""",
     "zones": """
-SELECT * FROM (VALUES ('bay','polygon',200,200,800,800,4,'high'), ('gate','polygon',0,400,500,900,2,'medium'),
- ('mask','exclusion',600,600,900,900,NULL,'low'), ('server','fire_roi',100,100,400,400,NULL,'critical'))
- AS z(zone_id, ztype, x0, y0, x1, y1, min_frames, severity)""",
+SELECT z.*, c.camera_id FROM (VALUES ('bay','polygon',200,200,800,800,4,'high',NULL), ('gate','polygon',0,400,500,900,2,'medium',NULL),
+ ('mask','exclusion',600,600,900,900,NULL,'low',NULL), ('server','fire_roi',100,100,400,400,NULL,'critical',CAST(-0.2 AS DOUBLE)))
+ AS z(zone_id, ztype, x0, y0, x1, y1, min_frames, severity, conf_delta) CROSS JOIN (VALUES ('cam_01'), ('cam_02'), ('cam_03'), ('cam_04')) AS c(camera_id)""",
+    "site_zones": """
+SELECT * FROM (VALUES ('cam_01',1,'yard','polygon',100,100,700,700,2,'high',NULL,'in','entry,exit','person',NULL,NULL,NULL),
+ ('cam_01',2,'yard_mask','exclusion',500,500,900,900,NULL,'low',NULL,NULL,NULL,'person',NULL,NULL,NULL),
+ ('cam_02',3,'dock','polygon',0,300,600,1000,3,'medium',NULL,'both','exit',NULL,NULL,NULL,NULL),
+ ('cam_02',4,'stove','fire_roi',200,200,800,800,NULL,'critical',CAST(-0.15 AS DOUBLE),NULL,NULL,NULL,NULL,NULL,NULL),
+ ('cam_02',5,'oven','fire_roi',400,0,1000,500,NULL,'critical',CAST(-0.8 AS DOUBLE),NULL,NULL,NULL,NULL,NULL,NULL),
+ ('cam_03',6,'night','polygon',200,200,900,900,2,'high',NULL,'out',NULL,NULL,'0,2,4',79200,21600),
+ ('cam_03',7,'night_mask','exclusion',0,0,500,500,NULL,'low',NULL,NULL,NULL,'fire,smoke','1,3,5',0,43200),
+ ('cam_04',8,'hall','polygon',0,0,1000,500,4,'medium',NULL,NULL,'entry',NULL,NULL,NULL,NULL),
+ ('cam_04',9,'warm','fire_roi',0,0,1000,1000,NULL,'critical',CAST(0.3 AS DOUBLE),NULL,NULL,NULL,NULL,NULL,NULL))
+ AS z(camera_id, zone_order, zone_id, ztype, x0, y0, x1, y1, min_frames, severity, conf_delta, direction, events, classes, days, from_s, to_s)""",
     "alert_rules": """
 SELECT * FROM (VALUES ('r1','medium',3600,'boundary'), ('r2','high',0,''), ('r3','low',86400,'fire'))
  AS r(rule_id, min_severity, cooldown_s, kind_filter)""",
@@ -56,6 +68,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An observation table by its adapter's name."""
+    if name == "site_zones":  # lists are written with commas
+        x = spark.sql(ADAPTERS[name])
+        return x.withColumns({"events": F.split("events", ","), "classes": F.split("classes", ","), "days": F.split("days", ",").cast("array<int>")})
     if name not in READS:
         return spark.sql(ADAPTERS[name])
     return spark.sql(ADAPTERS[name].replace(f"FROM {READS[name]}", "FROM {source}"), source=table(spark, sf_dir, READS[name]))
