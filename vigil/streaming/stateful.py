@@ -6,16 +6,20 @@ Each operator is one step function; the stream and the batch fold both use it.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 #: A track unseen for so many updates at the frame's edge has left; after so many more its state is dropped.
 LEFT_AFTER, EVICT_AFTER = 6, 300
+#: Rows that a dimension read again for each batch may have.
+MAX_DIMENSION = 100_000
 EVENTS = "camera_id string, zone_id string, track_id long, update_no long, kind string"
 
 
@@ -50,9 +54,15 @@ def boundary_step(state: dict[str, Any], update_no: int, seen: dict[int, tuple[b
 
 
 def fold_zone(rows: pd.DataFrame, state: dict[str, Any], frames: int) -> list[tuple[int, int, str]]:
-    """Events (update, track, kind) of one zone's rows (update_no, track_id, inside, at_edge); a null track marks an empty update."""
+    """Events (update, track, kind) of one zone's rows (update_no, track_id, inside, at_edge).
+
+    A null track marks an empty update. A row whose column reset is true (a camera was set up anew, a zone redrawn)
+    forgets all tracks before its update.
+    """
     out = []
     for u, part in rows.sort_values(["update_no", "track_id"]).groupby("update_no", sort=True):
+        if "reset" in part.columns and part["reset"].fillna(False).any():
+            state.clear()
         seen = {int(r.track_id): (bool(r.inside), bool(r.at_edge)) for r in part.itertuples() if pd.notna(r.track_id)}
         out += [(int(u), t, kind) for t, kind in boundary_step(state, int(u), seen, frames)]
     return out
@@ -81,15 +91,28 @@ def boundary_stream(observations: DataFrame, frames: int) -> DataFrame:
     return observations.groupBy("camera_id", "zone_id").applyInPandasWithState(run, EVENTS, "tracks string", "append", GroupStateTimeout.NoTimeout)
 
 
+def throttle_step(last: float | None, at: float, gap: float, followup: bool) -> tuple[bool, float | None]:
+    """Whether an alert passes, and the time that the next one counts from.
+
+    A follow-up passes at once, but only where something was sent before, and doesn't restart the gap.
+    """
+    if followup:
+        return last is not None, last
+    passes = gap <= 0 or last is None or at - last >= gap
+    return passes, at if passes else last
+
+
 def throttle_stream(alerts: DataFrame, gap: float) -> DataFrame:
-    """Alerts (key string, at double, alert_id long) that a throttle of gap seconds lets pass."""
+    """Alerts (key string, at double, alert_id long, and followup boolean if there is one) that a throttle of gap seconds lets pass."""
+    if "followup" not in alerts.columns:
+        alerts = alerts.withColumn("followup", F.lit(False))
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         passed = []
         for r in pd.concat(list(parts)).sort_values(["at", "alert_id"]).itertuples():
-            if gap <= 0 or last is None or r.at - last >= gap:
-                last = r.at
+            passes, last = throttle_step(last, r.at, gap, bool(r.followup))
+            if passes:
                 passed.append((key[0], r.at, r.alert_id))
         if last is not None:
             state.update((float(last),))
@@ -103,16 +126,82 @@ def segment_counts(frames: DataFrame, minutes: int = 15, late: str = "10 seconds
     return frames.withWatermark("ts", late).groupBy(F.window("ts", f"{minutes} minutes").alias("segment"), "camera_id").agg(F.count("*").alias("n"))
 
 
-def write_once(stream: DataFrame, path: str, key: str, checkpoint: str, then: Callable[[DataFrame], None] | None = None):
-    """Append each batch to path without the keys that are there already, so that a repeated batch changes nothing."""
+def event_time(video_s: Column, ts: Column, started: Column) -> Column:
+    """When something happened: its place in a video after the video's start, else its time stamp."""
+    return F.coalesce(F.timestamp_micros(F.unix_micros(started.cast("timestamp")) + (video_s * 1_000_000).cast("long")), ts.cast("timestamp"))
+
+
+def lanes(alerts: DataFrame, urgent: Column) -> tuple[DataFrame, DataFrame]:
+    """Urgent alerts and the others, for a query each, so that neither waits for the other."""
+    sure = F.coalesce(urgent, F.lit(False))
+    return alerts.where(sure), alerts.where(~sure)
+
+
+Sink = Callable[[DataFrame], None]
+
+
+def deliver(batch: DataFrame, sinks: dict[str, Sink], attempts: int = 3, first_s: float = 0.5, most_s: float = 8.0, sleep: Callable[[float], None] = time.sleep) -> dict[str, str]:
+    """Hand a batch to every sink, each as often as it needs, up to so many attempts with doubling waits.
+
+    A sink that fails doesn't keep the batch from the others; returned are the names of those that failed to the last, with the error.
+    """
+    failed: dict[str, str] = {}
+    for name, sink in sinks.items():
+        for attempt in range(1, attempts + 1):
+            try:
+                sink(batch)
+                failed.pop(name, None)
+                break
+            except Exception as e:  # noqa: BLE001  whatever a sink raises is its own failure
+                failed[name] = f"{type(e).__name__}: {e}"
+                if attempt < attempts:
+                    sleep(min(first_s * 2 ** (attempt - 1), most_s))
+    return failed
+
+
+class KeepLastGood:
+    """A small table that is read again for each batch; a version that can't be read or has errors leaves the one before in place."""
+
+    def __init__(self, read: Callable[[], DataFrame], errors: Column):
+        self.read, self.errors, self.good, self.problem = read, errors, None, ""
+
+    def __call__(self) -> DataFrame:
+        try:
+            rows = self.read()
+            bad = rows.where(F.size(self.errors) > 0).limit(1).collect()
+            self.problem = str(bad[0]) if bad else ""
+            if not bad:
+                # rows, not a plan over files that may change: a dimension is small
+                self.good = rows.sparkSession.createDataFrame(rows.limit(MAX_DIMENSION).collect(), rows.schema)
+        except AnalysisException as e:
+            self.problem = str(e)
+        if self.good is None:
+            raise ValueError(f"no good version yet: {self.problem}")
+        return self.good
+
+
+def write_once(stream: DataFrame, path: str, key: str, checkpoint: str, then: dict[str, Sink] | None = None, day: str | None = None):
+    """Append each batch to path without the keys that are there already, so that a repeated batch changes nothing.
+
+    With day (a column of dates) the target is partitioned by it, and only the days of the batch are looked at. What
+    was new goes to the sinks of then, also where the write before was a repeated one.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
         spark, fresh = df.sparkSession, df.dropDuplicates([key])
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)):
-            fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-        fresh.write.mode("append").parquet(path)
-        if then is not None:
-            then(fresh)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        if hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop.Path(path)):
+            there = spark.read.schema(df.schema).parquet(path)
+            if day:
+                there = there.where(F.col(day).isin([r[0] for r in df.select(day).distinct().collect()]))
+            fresh = fresh.join(there.select(key), key, "left_anti").select(*df.columns)
+        fresh = fresh.persist()
+        try:
+            writer = fresh.write.mode("append")
+            (writer.partitionBy(day) if day else writer).parquet(path)
+            if then:
+                deliver(fresh, then)
+        finally:
+            fresh.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
