@@ -180,3 +180,16 @@ def clip_frames(alerts: DataFrame, frames: DataFrame, ring_s: int, after_s: int)
 def stored_as(alerts: DataFrame, folder: Column, extension: Column) -> DataFrame:
     """alert_id and the key of its evidence: folder, camera, date, id and extension."""
     return alerts.select("alert_id", F.concat_ws("/", folder, "camera_id", F.date_format("ts", "yyyy-MM-dd"), F.concat(F.col("alert_id").cast("string"), extension)).alias("key"))
+
+
+def by_config(alerts: DataFrame, config: DataFrame, ident: str) -> DataFrame:
+    """Alerts that the one row of a configuration (id, since, severities) lets through."""
+    c = config.where(F.col("id") == ident).limit(1).select("since", "severities")
+    return alerts.join(c, (F.col("ts") >= F.col("since")) & F.array_contains("severities", F.col("severity"))).drop("since", "severities")
+
+
+def mail_body(alerts: DataFrame) -> DataFrame:
+    """alert_id and the text of its mail, a line for each thing that is known."""
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
+    at = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+    return alerts.select("alert_id", F.concat_ws("\n", line("Kind", F.col("kind")), line("Camera", F.col("camera_id")), line("Time", at), line("Zone", F.col("zone_id"))).alias("body"))

@@ -167,3 +167,17 @@ def component_report(members: DataFrame, all_: int, top: int = 5) -> DataFrame:
     largest = n.orderBy(F.desc("n"), "component").limit(top).agg(F.sort_array(F.collect_list("n"), asc=False).alias("largest"))
     total = n.agg(F.count("*").alias("clusters"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"))
     return total.join(largest, F.lit(True)).select("clusters", F.round(guarded(F.col("extra"), F.lit(all_)), 6).alias("duplicate_ratio"), "largest")
+
+
+def above(values: Column, bar: Column) -> Column:
+    """Up to 64 values as bits of a long, the first one highest: which lie above a bar."""
+    return F.aggregate(values, F.lit(0).cast("long"), lambda h, v: F.shiftleft(h, 1).bitwiseOR(F.when(v > bar, 1).otherwise(0).cast("long")))
+
+
+def mean_bits(values: Column) -> Column:
+    return above(values, F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values))
+
+
+def median_bits(values: Column) -> Column:
+    x, n = F.sort_array(values), F.size(values)
+    return above(values, (F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) / 2)

@@ -138,3 +138,10 @@ def cadence(seq: Column, person_every: int, fire_every: int, fire_offset: int, p
     """Which detectors run on a frame; protective equipment on every so many runs of the person detector."""
     person = seq % person_every == 0
     return {"person": person, "fire": seq % fire_every == fire_offset % fire_every, "ppe": person & (F.floor(seq / person_every) % ppe_every == 0)}
+
+
+def paced(df: DataFrame, keys: list[str], at: str, fps: float, ident: str) -> DataFrame:
+    """The first row of each key in every slot of 1 / fps seconds, counted from 1970."""
+    slot = F.floor(F.col(at) * fps)
+    first = df.groupBy(*keys, slot.alias("_slot")).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(at, ident)).alias("_r"))
+    return first.select(*keys, "_r.*")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vigil.functions.geometry import iou
+from vigil.functions.geometry import helmet_probability, iou
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -173,3 +173,20 @@ def neighbours(points: DataFrame, keys: list[str], radius: float) -> DataFrame:
     y = x.select(*keys, F.col("fx").alias("qx"), F.col("fy").alias("qy"), F.explode(around).alias("c")).select(*keys, "qx", "qy", "c.cx", "c.cy")
     near = (F.col("fx") - F.col("qx")) ** 2 + (F.col("fy") - F.col("qy")) ** 2 <= radius * radius
     return x.join(y, [*keys, "cx", "cy"]).where(near).groupBy(*keys, "det_id").agg(F.count("*").alias("n"))
+
+
+def helmets(persons: DataFrame, heads: DataFrame, most: float, threshold: float) -> DataFrame:
+    """box_id, head_id and p of each person with a head in the upper half of its box.
+
+    Heads of which another class has a better box at the same place go first; of the rest the one nearest the middle
+    stands for the person, and its class and score give the probability of a helmet.
+    """
+    h, o = heads.alias("h"), heads.alias("o")
+    other = (F.col("h.image_id") == F.col("o.image_id")) & (F.col("h.class_id") != F.col("o.class_id")) & (F.col("o.score") > F.col("h.score"))
+    kept = h.join(o, other & (iou("h", "o") > most), "left_anti").alias("h")
+    p = persons.alias("p")
+    mid = lambda t, a, z: (F.col(f"{t}.{a}") + F.col(f"{t}.{z}")) / 2
+    inside = (F.col("p.image_id") == F.col("h.image_id")) & mid("h", "x1", "x2").between(F.col("p.x1"), F.col("p.x2")) & mid("h", "y1", "y2").between(F.col("p.y1"), mid("p", "y1", "y2"))
+    rank = F.struct(F.abs(mid("h", "x1", "x2") - mid("p", "x1", "x2")), -F.col("h.score"), F.col("h.box_id"))
+    best = p.join(kept, inside).groupBy("p.box_id").agg(F.min_by(F.struct("h.box_id", "h.class_id", "h.score"), rank).alias("b"))
+    return best.select("box_id", F.col("b.box_id").alias("head_id"), F.round(helmet_probability(F.col("b.class_id"), F.col("b.score"), threshold), 6).alias("p"))

@@ -514,7 +514,10 @@ def _(spark, d):
     return M.precision_recall(view(spark, d, "boxes").withColumn("domain", F.col("image_id") % 3), by=["domain"])
 
 
-@query("near_dup_pairs")
+NEAR = "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (a.embedding[i] > 0) <> (b.embedding[i] > 0) THEN 1 ELSE 0 END)) <= 15"
+
+
+@query("near_dup_pairs", NEAR)
 def _(spark, d):
     bits = F.aggregate("embedding", F.lit(0).cast("long"), lambda h, v: F.shiftleft(h, 1).bitwiseOR(F.when(v > 0, 1).otherwise(0).cast("long")))
     return M.near_hashes(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), bits.alias("h")), 15)

@@ -10,11 +10,13 @@ from vigil.operators import alerts as A
 from vigil.operators import datasets as D
 from vigil.operators import dimensions as M
 from vigil.operators import sequences as S
+from vigil.operators import similarity as X
 from vigil.operators import tracking as T
 from vigil.operators import validation as V
 from vigil.operators import zones as Z
-from vigil.plans.catalogue import changes_sql, query, seconds
+from vigil.plans.catalogue import changes_sql, query, seconds, share_sql
 from vigil.sources.observations import table, view
+from vigil.streaming import stateful
 
 C = F.col
 HELD = "(z.classes IS NULL OR list_contains(string_split(z.classes, ','), d.klass))"
@@ -429,3 +431,56 @@ def _(spark, d):
 def _(spark, d):
     ext = F.when(C("kind").isin("fire", "smoke"), ".mp4").otherwise(".jpg")
     return A.stored_as(view(spark, d, "alerts"), C("kind"), ext)
+
+
+# -- added to the above ------------------------------------------------------------------------------------------------
+
+@query("live_resample", "SELECT min(det_id) AS det_id FROM detections GROUP BY camera_id, floor(epoch(ts) / 5400)", "detections")
+def _(spark, d):
+    return S.paced(view(spark, d, "detections").withColumn("at", seconds("ts")), ["camera_id"], "at", 1 / 5400, "det_id").select("det_id")
+
+
+@query("alert_config_read", "SELECT alert_id FROM alerts WHERE ts >= TIMESTAMP '2024-01-12' AND severity IN ('high', 'critical')", "alerts")
+def _(spark, d):
+    config = spark.sql("SELECT * FROM (VALUES ('global', TIMESTAMP_NTZ '2024-01-12', array('high', 'critical')), ('other', TIMESTAMP_NTZ '2025-01-01', array())) AS c(id, since, severities)")
+    return A.by_config(view(spark, d, "alerts"), config, "global").select("alert_id")
+
+
+@query("mail_body", "SELECT alert_id, 'Kind: ' || kind || chr(10) || 'Camera: ' || camera_id || chr(10) || 'Time: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' || CASE WHEN zone_id IS NULL THEN '' ELSE chr(10) || 'Zone: ' || zone_id END AS body FROM alerts", "alerts")
+def _(spark, d):
+    return A.mail_body(view(spark, d, "alerts"))
+
+
+@query("hash_bits", "SELECT vec_id, list_sum(list_transform(embedding, lambda v: CASE WHEN v > list_avg(embedding) THEN 1 ELSE 0 END)) AS over_mean, list_sum(list_transform(embedding, lambda v: CASE WHEN v > list_median(embedding) THEN 1 ELSE 0 END)) AS over_median FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)")
+def _(spark, d):
+    v = C("embedding").cast("array<double>")
+    ones = lambda bits: F.bit_count(bits).cast("long")
+    return table(spark, d, "embeddings").select("vec_id", ones(D.mean_bits(v)).alias("over_mean"), ones(D.median_bits(v)).alias("over_median"))
+
+
+@query("urgent_lanes", "SELECT alert_id, kind IN ('fire', 'smoke') AS urgent FROM alerts", "alerts")
+def _(spark, d):
+    fast, rest = stateful.lanes(view(spark, d, "alerts"), C("kind").isin("fire", "smoke"))
+    part = lambda x, v: x.select("alert_id", F.lit(v).alias("urgent"))
+    return part(fast, True).unionByName(part(rest, False))
+
+
+@query("event_time_source", "SELECT event_id, strftime(CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-03-01' + to_seconds(event_id) ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') AS at FROM events")
+def _(spark, d):
+    pos = F.when(C("event_id") % 3 == 0, C("event_id").cast("double"))
+    at = stateful.event_time(pos, C("ts"), F.lit("2024-03-01").cast("timestamp_ntz"))
+    return table(spark, d, "events").select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+HEADS = "h AS (SELECT * FROM boxes o WHERE role = 'pred' AND NOT EXISTS (SELECT 1 FROM boxes p WHERE p.role = 'pred' AND p.image_id = o.image_id AND p.class_id <> o.class_id AND p.score > o.score AND %s > 0.5))" % share_sql("o", "p")
+
+
+@query(
+    "helmet_pipeline",
+    f""", {HEADS} SELECT box_id, head_id, round(CASE class_id WHEN 0 THEN 0.65e0 + 0.35e0 * a WHEN 1 THEN 0.35e0 * (1 - a) ELSE 0.5e0 END, 6) AS p FROM (SELECT box_id, head_id, class_id, least(greatest((score - 0.4e0) / 0.6e0, 0), 1) AS a FROM
+    (SELECT p.box_id, h.box_id AS head_id, h.class_id, h.score, row_number() OVER (PARTITION BY p.box_id ORDER BY abs((h.x1 + h.x2) / 2 - (p.x1 + p.x2) / 2), h.score DESC, h.box_id) AS r FROM boxes p JOIN h ON p.image_id = h.image_id AND p.role = 'gt' AND (h.x1 + h.x2) / 2 BETWEEN p.x1 AND p.x2 AND (h.y1 + h.y2) / 2 BETWEEN p.y1 AND (p.y1 + p.y2) / 2) WHERE r = 1)""",
+    "boxes",
+)
+def _(spark, d):
+    b = view(spark, d, "boxes")
+    return X.helmets(b.where("role = 'gt'"), b.where("role = 'pred'"), 0.5, 0.4)

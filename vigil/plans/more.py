@@ -11,7 +11,7 @@ from vigil.operators import graph
 from vigil.operators import similarity as M
 from vigil.operators import tracking as T
 from vigil.operators import zones as Z
-from vigil.plans.catalogue import COS, query
+from vigil.plans.catalogue import COS, NEAR, query
 from vigil.sources.observations import table, view
 from vigil.streaming import stateful
 
@@ -202,8 +202,20 @@ def _(spark, d):
     return stateful.boundary_batch(seen.unionByName(empty), 2)
 
 
-@query("near_dup_components")
-def _(spark, d):
+REACHED = f"pr AS ({NEAR}), e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), r AS (SELECT a AS id, a AS t FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.t), c AS (SELECT id, min(t) AS component FROM r GROUP BY id)"
+
+
+def near_components(spark, d):
     bits = F.aggregate("embedding", F.lit(0).cast("long"), lambda h, v: F.shiftleft(h, 1).bitwiseOR(F.when(v > 0, 1).otherwise(0).cast("long")))
     hashes = table(spark, d, "embeddings").select(C("vec_id").alias("id"), bits.alias("h"))
     return graph.components(M.near_hashes(hashes, 15))
+
+
+@query("near_dup_components", f"WITH RECURSIVE {REACHED} SELECT id, component FROM c")
+def _(spark, d):
+    return near_components(spark, d)
+
+
+@query("near_dup_report", f"WITH RECURSIVE {REACHED} SELECT count(DISTINCT component) AS clusters, round(coalesce(count(*) - count(DISTINCT component), 0) / (SELECT count(*) FROM embeddings), 6) AS duplicate_ratio, (SELECT list(n ORDER BY n DESC) FROM (SELECT count(*) AS n, component FROM c GROUP BY component ORDER BY n DESC, component LIMIT 5)) AS largest FROM c")
+def _(spark, d):
+    return D.component_report(near_components(spark, d), table(spark, d, "embeddings").count())
