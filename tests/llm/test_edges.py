@@ -74,3 +74,11 @@ def test_line_frequency_of_repeated_rows(spark):
     rows += [(0, rows[0][1], "h"), (0, rows[0][1], "h"), (0, rows[0][1], None), (1, line + "\n" + line + "\n" + " ".join(f"z{k}" for k in range(21)), "h")]
     got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id < 2").collect()
     assert sorted((r.doc_id, r.n_words, r.removed_words, r.kept) for r in got) == [(0, 31, 0, True), (0, 31, 10, True), (0, 31, 10, True), (0, 31, 10, True), (1, 31, 10, True), (1, 41, 20, False)]  # the last for its repeated windows
+
+
+def test_a_line_of_many_documents_of_a_large_host(spark):
+    line = "a line that forty of many documents have, far less than two in a hundred"
+    rows = [(i, "h", (line + "\n" if i < 40 else "") + " ".join(f"x{i}y{k}" for k in range(25))) for i in range(3000)]
+    rows += [(5000, "h", rows[50][2] + "\n" + "\n".join(["twenty-five times one line of one document"] * 25))]
+    got = {r.doc_id: r.removed_words for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got[0] == got[39] == 15 and got[40] == 0 and got[5000] == 0

@@ -32,6 +32,16 @@ def test_nearest_neighbours(spark, tiny):
     assert found >= 0.9 * wanted
 
 
+def test_rows_that_repeat_get_one_verdict(spark, tiny):
+    """The quality query and its SQL agree where ids repeat with one text."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    from vigil.llm import quality
+
+    once = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    twice = quality.quality_rules(docs.unionByName(docs)).collect()
+    assert len(twice) == 2 * len(once) and all(r == once[r.doc_id] for r in twice)
+
+
 def test_language_model(spark, tiny):
     import collections
     import math

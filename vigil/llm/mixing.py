@@ -10,8 +10,8 @@ Defined results: null or wordless text has size 0 and takes 0; a null source is
 a source of its own, last in order; sources of size 0 have target 0; repeated
 rows each count; an empty table gives an empty table; ties between quotients go
 to the first source by code point, then to the first shard; other columns of
-the input stay as they are, and an input that already has a column of the
-output is refused.
+the input stay as they are, and apportion() refuses an input that already has
+one of the columns it adds.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vigil.llm.common import materialise, table
+from vigil.llm.common import free_name, materialise, table
 
 #: Words of a block, documents of a shard (about), and how often a word may be taken.
 BLOCK_WORDS, SHARD_DOCS, MAX_REPEATS = 64, 2048, 3
@@ -90,8 +90,14 @@ def sainte_lague(parties: DataFrame, votes: str, seats: Column, within: list[str
     return y
 
 
+#: Columns that apportion() adds.
+ADDED = ("source_size", "target", "shard", "shard_quota", "taken")
+
+
 def apportion(sizes: DataFrame, seed: int = SEED, block: int = BLOCK_WORDS) -> DataFrame:
-    """sizes (row key _id, source, size) with shard, source_size, target and the words taken of each row."""
+    """sizes (row key _id, source, size) with source_size, target, shard, its quota and the words taken of each row."""
+    if clash := {c.lower() for c in sizes.columns} & set(ADDED):
+        raise ValueError(f"columns exist already: {sorted(clash)}")
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     sources = materialise(capped_targets(cycle_weights(per_source)), "mix-sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
@@ -148,13 +154,16 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fourth stage of the pipeline: each document as often as the mix takes it.
 
     Taken words over size is how many copies a document is worth; a seeded draw rounds that up or down, so each
-    source's words still come near its target. Wordless documents, which weigh nothing, stay once.
+    source's words still come near its target. Rows of one id, repeated or with different texts, are together worth
+    what they take and each get the same number of copies. Wordless documents, which weigh nothing, stay once. Rows
+    without an id are as those of one id.
     """
     sizes = materialise(docs.select(F.col("doc_id").alias("_id"), "source", word_count(F.col("text")).alias("size")), "mix-stage")
-    draw = F.pmod(F.xxhash64(F.lit(SEED + 2), F.col("_id")), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(1).cast("int")
-    # one row an id: repeated rows of an id share its size and source, and so its draw, if they are equal
-    counts = apportion(sizes).groupBy(F.col("_id").alias("_doc")).agg(F.max(copies).alias("_copies")).where("_copies > 0")
+    draw = F.pmod(F.xxhash64(F.lit(SEED + 2), F.col("_doc")), F.lit(1 << 30)) / float(1 << 30)
+    worth = apportion(sizes).groupBy(F.col("_id").alias("_doc")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    copies = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + draw)).otherwise(1).cast("int")
+    counts = worth.select("_doc", copies.alias("_copies")).where("_copies > 0")
+    copy = free_name(docs, "_copy")
     d, c = docs.alias("d"), counts.hint("shuffle_hash").alias("c")
-    out = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c._doc"))).select("d.*", F.explode(F.sequence(F.lit(1), F.col("c._copies"))).alias("_copy"))
-    return out.select(*[F.col(x) for x in docs.columns])
+    out = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c._doc"))).select("d.*", F.explode(F.sequence(F.lit(1), F.col("c._copies"))).alias(copy))
+    return out.drop(copy)

@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 
 from vigil.llm.common import fold, slices, table
 
-#: Bounds of the fit: labelled rows, forms of the model.
-MAX_LABELLED, MAX_FORMS = 20_000, 60_000
-#: A form needs this many toxic documents and this z-score of its log-odds.
+#: Labelled rows of the fit, about.
+MAX_LABELLED = 20_000
+#: What makes a form significant: this many toxic documents and this z-score of its log-odds.
 MIN_TOXIC_DOCS, MIN_Z = 4, 3.2
 #: Mass of the Dirichlet prior in documents, least log-odds of a form, and what each word costs a segment.
 PRIOR, MIN_ODDS, COST = 2.0, 2.5, 0.15
@@ -181,10 +181,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     both = F.col("toxic") + F.col("clean")
     prior = 0.5 + PRIOR * both / (n1 + n0)
     a, b = F.col("toxic") + prior * n1 / (n1 + n0), F.col("clean") + prior * n0 / (n1 + n0)
-    odds = F.log(a / (n1 + PRIOR - a)) - F.log(b / (n0 + PRIOR - b))
+    rest = lambda n, x: F.greatest(n + PRIOR - x, F.lit(0.5))  # noqa: E731  a form may be in every text
+    odds = F.log(a / rest(n1, a)) - F.log(b / rest(n0, b))
     scored = count_forms(sample).where(F.col("toxic") >= MIN_TOXIC_DOCS).select("form", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"), "toxic")
-    kept = scored.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "form").limit(MAX_FORMS)
-    weights = tuple(sorted((r.form, float(r.odds)) for r in kept.collect() if r.odds >= MIN_ODDS))
+    # significant forms of a bounded sample, which are a small part of its words
+    kept = scored.where((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS)).select("form", "odds")
+    weights = tuple(sorted((r.form, float(r.odds)) for r in kept.collect()))
     if not weights:
         return Model()
     return calibrate(sample, weights)
@@ -201,11 +203,13 @@ def calibrate(sample: DataFrame, weights: tuple[tuple[str, float], ...]) -> Mode
                 rows = []
                 for t, k in zip(texts, kinds[at:], strict=False):
                     s = token_scores(t, weights)
-                    rows.append((int(k > 0), len(s), max((x[2] for x in maximal_segments(s)), default=0.0), sum(x > 0 for x in s), sum(x for x in s if x > 0)))
+                    rows.append((int(k > 0), len(s), [x[2] for x in maximal_segments(s)], sum(x > 0 for x in s), float(sum(x for x in s if x > 0))))
                 at += len(texts)
-                yield pa.RecordBatch.from_pydict(dict(zip(("toxic", "n", "top", "hits", "weight"), map(list, zip(*rows, strict=True)), strict=True)))
+                kinds_ = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds_, strict=True)], names=["toxic", "n", "found", "hits", "weight"])
 
-    got = sample.select("text", "toxic").mapInArrow(run, "toxic long, n long, top double, hits long, weight double").toPandas()
+    got = sample.select("text", "toxic").mapInArrow(run, "toxic long, n long, found array<double>, hits long, weight double").toPandas()
+    got["top"] = [max(f, default=0.0) for f in got.found]
     clean = got[(got.toxic == 0) & (got.n > 0)]
     hits, words = clean.hits.sum() + 1.0, clean.n.sum() + 2.0
     p, mean = hits / words, (clean.weight.sum() + 1.0) / hits
@@ -223,9 +227,9 @@ def calibrate(sample: DataFrame, weights: tuple[tuple[str, float], ...]) -> Mode
     size = math.exp(max(-12.0, min(3.0, gumbel - 0.5772156649)))
     model = Model(weights, rate, size)
     floor = np.log(np.maximum(size * got.n, math.e))
-    x, y = np.maximum(0.0, rate * got.top - floor).to_numpy(), got.toxic.to_numpy(float)
-    if x.max() > 0:
-        x = np.minimum(x / x.max(), 1.0) * x.max()
+    # as evidence() sums it: every significant segment
+    x = np.array([np.maximum(0.0, rate * np.asarray(f, float) - e).sum() for f, e in zip(got.found, floor, strict=True)])
+    y = got.toxic.to_numpy(float)
     slope, offset = 1.0, -3.0
     for _ in range(50):  # Newton's steps, lightly ridged
         q = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
