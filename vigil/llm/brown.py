@@ -1,11 +1,19 @@
 """Language-model scores by Brown's class-based bigrams.
 
 Fit, over all training texts: word counts; counts of adjacent symbols, where a
-symbol is one of the TOP most frequent words or else the word's spelling group
-(a hash of its ending); exchange clustering of the symbols into classes, so
-every word has a class. Score: log10 of class transitions, interpolated with
-class frequencies, and of word emissions, discounted for unseen words. A text
-is its words, then one end, which also stands before the first word.
+symbol is one of the MAX_CLASSED most frequent words or else the word's spelling
+group (a hash of its ending); exchange clustering of all symbols into classes.
+The TOP most frequent words are exchanged one by one; then every symbol chooses
+its best class against the table of class bigrams, in parallel and one half of
+the symbols at a time, as long as the likelihood rises. What a symbol needs for
+that, its neighbours' counts, is a row of a table in Spark.
+
+Score: log10 of class transitions, interpolated with class frequencies, and of
+word emissions. In a class with spelling groups every word's count gives up
+DISCOUNT, which is shared among its groups; a word never seen stands for its
+group. So the emissions of a class sum to 1 over its words and groups, and the
+transitions from a class over classes. A text is its words, then one end, which
+also stands before the first word.
 
 Counts of the MAX_KNOWN most frequent words, a fixed bound, go to every task;
 counts of all rarer words are joined.
@@ -24,25 +32,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import as_bytes, fold, materialise, table
+from vigil.llm.common import as_bytes, fold, forget, materialise, table
 
-#: Frequent words that are symbols, spelling groups of the others, classes, passes of the exchange.
+#: Words that are exchanged one by one, spelling groups, classes, passes of the exchange.
 TOP, GROUPS, CLASSES, PASSES = 512, 256, 48, 6
-MAX_KNOWN = 1 << 17
-#: Discount of a count, and weight of class frequencies among transitions.
-DISCOUNT, BACKOFF = 0.5, 4.0
-END = TOP + GROUPS
-SYMBOLS = END + 1
-CACHE_WORDS = 200_000
+#: Words that are symbols of their own, words whose counts go to every task, and passes of each half of the symbols in parallel.
+MAX_CLASSED, MAX_KNOWN, HALVES = 1 << 16, 1 << 17, 2
+#: Discount of a count, weight of class frequencies among transitions, and a floor of masses.
+DISCOUNT, BACKOFF, FLOOR = 0.5, 4.0, 1e-3
+#: Symbols that a task counts before it hands on the sums.
+COUNTED = 4_000_000
 
 
 def spelling_group(word: bytes) -> int:
-    return TOP + xxhash.xxh3_64_intdigest(word[-3:]) % GROUPS
+    return xxhash.xxh3_64_intdigest(word[-3:]) % GROUPS
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -68,57 +77,150 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Symbols:
-    """Symbol of each word, with a bounded memory of the rarer words."""
+@dataclass
+class Vocabulary:
+    """The most frequent words by falling counts; the first MAX_CLASSED are symbols, then come the spelling groups and the end."""
+
+    known: dict[bytes, int]
+    counts: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.classed = min(len(self.counts), MAX_CLASSED)
+        self.symbols = np.array([i if i < self.classed else self.classed + spelling_group(w) for w, i in self.known.items()], np.int64)
 
-    def __init__(self, top: list[bytes]):
-        self.known = {w: i for i, w in enumerate(top)}
-        self.top, self.fixed = top, len(top)
+    @property
+    def end(self) -> int:
+        return self.classed + GROUPS
 
-    def other(self, w: bytes) -> int:
-        if len(self.known) >= CACHE_WORDS + self.fixed:
-            self.known = {w: i for i, w in enumerate(self.top)}
-        s = spelling_group(w)
-        if len(w) <= 64:
-            self.known[w] = s
-        return s
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol of each word, and its place among the known words or -1."""
+        at = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        symbols = np.append(self.symbols, -1)[at]
+        for i in np.flatnonzero(at < 0).tolist():
+            symbols[i] = self.classed + spelling_group(words[i])
+        return symbols, at
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        found = list(map(self.known.get, words))
-        if None in found:
-            found = [self.other(w) if s is None else s for w, s in zip(words, found, strict=True)]
-        return np.array(found, np.int64)
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    # a count that leaves at most MAX_KNOWN words, found from a few sums
+    steps = counts.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
+    left, least = MAX_KNOWN, None
+    for r in steps:
+        if r.k > left:
+            break
+        left, least = left - r.k, r.n
+    found = counts.where(F.col("n") >= least).toPandas() if least is not None else counts.limit(0).toPandas()
+    ranked = sorted(zip(map(bytes, found["word"]), map(int, found["n"]), strict=True), key=lambda x: (-x[1], x[0]))
+    return Vocabulary({w: i for i, (w, _) in enumerate(ranked)}, np.array([n for _, n in ranked], np.int64))
 
 
-def symbol_bigrams(texts: DataFrame, top: list[bytes]) -> np.ndarray:
-    """How often each symbol follows another, over all texts: SYMBOLS x SYMBOLS counts, whatever the texts are."""
+def symbol_bigrams(texts: DataFrame, shared: Broadcast) -> DataFrame:
+    """a, b, n: how often symbol b follows symbol a, over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, counts = Symbols(top), np.zeros(SYMBOLS * SYMBOLS, np.int64)
+        vocabulary, held, total = shared.value, [], 0
+        end = np.array([vocabulary.end])
         for batch in batches:
             for _, part in as_bytes(batch, "text"):
-                codes = []
-                for t in part:
-                    s = np.concatenate(([END], symbols(t.lower().split() if t else []), [END])).astype(np.int64)
-                    codes.append(s[:-1] * SYMBOLS + s[1:])
-                if codes:
-                    code, n = np.unique(np.concatenate(codes), return_counts=True)
-                    counts[code] += n
-        at = np.flatnonzero(counts)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["code", "n"])
+                words = [t.lower().split() if t else [] for t in part]
+                symbols, _ = vocabulary([w for text in words for w in text])
+                ends = np.cumsum([len(w) for w in words])
+                path = np.concatenate((end, np.insert(symbols, ends, vocabulary.end)))
+                held.append(path[:-1] << 32 | path[1:])
+                total += len(path)
+                if total >= COUNTED:
+                    yield counted(held)
+                    held, total = [], 0
+        if held:
+            yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        code, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array((code >> 32).astype(np.int32)), pa.array((code & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
+
+    return texts.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def contexts(bigrams: DataFrame, symbols: int) -> DataFrame:
+    """w, o, n: for each symbol the symbols after it, those before it (plus the number of symbols), and how often; at most 2 x symbols a row."""
+    sides = F.array(F.struct(F.col("a").alias("w"), F.col("b").alias("o")), F.struct(F.col("b").alias("w"), (F.col("a") + symbols).alias("o")))
+    rows = bigrams.select(F.explode(sides).alias("s"), "n").select("s.w", "s.o", "n").repartition("w").sortWithinPartitions("w")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last symbol's rows, which may go on
+        for batch in batches:
+            x = pa.concat_batches([held, batch]) if held is not None else batch
+            w = x.column(0).to_numpy()
+            if not len(w):
+                continue
+            starts = np.concatenate(([0], np.flatnonzero(w[1:] != w[:-1]) + 1))
+            held = x.slice(int(starts[-1]))
+            if len(starts) > 1:
+                yield lists(x.slice(0, int(starts[-1])), starts)
+        if held is not None and held.num_rows:
+            yield lists(held, np.array([0, held.num_rows]))
+
+    def lists(x: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        ends = pa.array(starts.astype(np.int32))
+        return pa.RecordBatch.from_arrays([x.column(0).take(pa.array(starts[:-1])), pa.ListArray.from_arrays(ends, x.column(1)), pa.ListArray.from_arrays(ends, x.column(2))], names=["w", "o", "n"])
+
+    return rows.mapInArrow(run, "w int, o array<int>, n array<long>")
+
+
+def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """w of each row; row, o and n of each of its entries."""
+    o, n = batch.column(1), batch.column(2)
+    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(o).to_numpy(zero_copy_only=False))
+    return batch.column(0).to_numpy(), row, o.flatten().to_numpy(), n.flatten().to_numpy()
+
+
+def class_bigrams(rows: DataFrame, of: np.ndarray) -> np.ndarray:
+    """How often each class follows another: a table as small as the classes, whatever the texts are."""
+    k = CLASSES + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(k * k)
+        for batch in batches:
+            w, row, o, n = flat(batch)
+            after = o < len(of)
+            table += np.bincount(of[w][row[after]] * k + of[o[after]], n[after], k * k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k, dtype=np.int32)), pa.array(table.astype(np.int64))], names=["code", "n"])
 
-    got = texts.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+    got = rows.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(k * k)
     out[got["code"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(SYMBOLS, SYMBOLS)
+    return out.reshape(k, k)
+
+
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """What classes change of the log-likelihood of the bigrams: f over class bigrams less f over left and right totals, f(x) = x log x."""
+    return float(xlogx(table).sum() - xlogx(table.sum(0)).sum() - xlogx(table.sum(1)).sum())
+
+
+def move_gains(table: np.ndarray, row: np.ndarray, col: np.ndarray, own: float) -> np.ndarray:
+    """Gain in likelihood of a symbol's joining each class, but for a constant; table is without it, row and col are its counts by classes after and before, own those of itself."""
+    f, d = xlogx, np.diagonal(table)
+    left, right = table.sum(1) + col, table.sum(0) + row  # its neighbours are counted wherever it goes
+    gain = (f(table + row) - f(table)).sum(1) + (f(table + col[:, None]) - f(table)).sum(0)
+    gain += f(d + row + col + own) - f(d) - (f(d + row) - f(d)) - (f(d + col) - f(d))
+    return gain - (f(left + row.sum() + own) - f(left)) - (f(right + col.sum() + own) - f(right))
+
+
+def without(table: np.ndarray, row: np.ndarray, col: np.ndarray, own: float, old: int) -> None:
+    """Take a symbol out of a class, in place; row and col are without its own counts."""
+    table[old] -= row
+    table[:, old] -= col
+    table[old, old] -= own
 
 
 def exchange(counts: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
     """Class of each symbol: symbols move, one by one, to the class that raises the likelihood of the bigrams most.
 
-    The last symbol, the end, keeps a class of its own. The likelihood is the sum of f over class bigrams less the
-    sums of f over left and right class totals, f(x) = x log x.
+    The last symbol, the end, keeps a class of its own.
     """
     n = len(counts)
     c = counts.astype(np.float64)
@@ -129,57 +231,109 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -
     one = np.zeros((n, k))
     one[np.arange(n), of] = 1
     table = one.T @ c @ one
-    f = lambda x: x * np.log(np.maximum(x, 1))
     for _ in range(passes):
         moved = 0
         for w in order:
             if not c[w].any() and not c[:, w].any():
                 continue
-            row, col, own = np.bincount(of, c[w], k), np.bincount(of, c[:, w], k), c[w, w]
-            old = of[w]
+            row, col, own, old = np.bincount(of, c[w], k), np.bincount(of, c[:, w], k), c[w, w], of[w]
             row[old] -= own
             col[old] -= own
-            table[old] -= row
-            table[:, old] -= col
-            table[old, old] -= own
-            left, right = table.sum(1), table.sum(0)
-            gain = (f(table + row) - f(table)).sum(1) + (f(table + col[:, None]) - f(table)).sum(0)
-            d = np.diagonal(table)
-            gain += f(d + row + col + own) - f(d) - (f(d + row) - f(d)) - (f(d + col) - f(d))
-            gain -= f(left + row.sum() + own) - f(left) + f(right + col.sum() + own) - f(right)
+            without(table, row, col, own, old)
+            gain = move_gains(table, row, col, own)
             new = int(np.argmax(gain[:classes]))
             if gain[new] <= gain[old] + 1e-9:
                 new = old
             moved += new != old
             of[w] = new
-            table[new] += row
-            table[:, new] += col
-            table[new, new] += own
+            without(table, -row, -col, -own, new)
         if not moved:
             break
     return of
 
 
+def moved(rows: DataFrame, of: np.ndarray, table: np.ndarray, first: int, half: int | None) -> np.ndarray:
+    """Classes after the symbols from first on (of one half, by parity) chose the best against a table, each as if it alone moved."""
+    k, size = CLASSES + 1, len(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, row, o, n = flat(batch)
+            counts = np.bincount(row * 2 * k + np.where(o < size, of[o % size], k + of[o % size]), n, len(w) * 2 * k).reshape(-1, 2, k)
+            self_ = o == w[row]
+            own = np.bincount(row[self_], n[self_], len(w))
+            out = []
+            for i, x in enumerate(w.tolist()):
+                if first <= x < size - 1 and (half is None or x % 2 == half):
+                    after, before, old = counts[i, 0], counts[i, 1], of[x]
+                    after[old] -= own[i]
+                    before[old] -= own[i]
+                    t = table.copy()
+                    without(t, after, before, own[i], old)
+                    gain = move_gains(t, after, before, own[i])
+                    new = int(np.argmax(gain[:CLASSES]))
+                    if gain[new] > gain[old] + 1e-9:
+                        out.append((x, new))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([c for _, c in out], pa.int32())], names=["w", "k"])
+
+    got = rows.mapInArrow(run, "w int, k int").toPandas()  # a number for each of at most MAX_CLASSED + GROUPS symbols
+    after = of.copy()
+    after[got["w"].to_numpy()] = got["k"].to_numpy()
+    return after
+
+
+def cluster(rows: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each symbol, and the table of class bigrams."""
+    top, size = min(TOP, vocabulary.classed), vocabulary.end + 1
+    # the most frequent words one by one, all others as one symbol
+    lump = np.minimum(np.arange(size), top)
+    lump[-1] = top + 1
+    n = top + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(n * n)
+        for batch in batches:
+            w, row, o, m = flat(batch)
+            after = o < size
+            counts += np.bincount(lump[w][row[after]] * n + lump[o[after]], m[after], n * n)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["code", "n"])
+
+    got = rows.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(n * n, np.int64)
+    counts[got["code"].to_numpy()] = got["n"].to_numpy()
+    of = exchange(counts.reshape(n, n), CLASSES, PASSES)[lump]
+    table = class_bigrams(rows, of)
+    # then all: those beside the most frequent at once, later half by half, while the likelihood rises
+    for step in [(top, None), *[(0, half) for _ in range(HALVES) for half in (0, 1)]]:
+        next_ = moved(rows, of, table, *step)
+        after = class_bigrams(rows, next_)
+        if likelihood(after) <= likelihood(table) + 1e-6 and step[1] is not None:
+            break
+        of, table = next_, after
+    return of, table
+
+
 @dataclass
 class Model:
-    """Symbols' words, classes, log10 transitions; counts of known words; totals; tokens, words and discount of each class."""
+    """Vocabulary, classes of its symbols, log10 transitions; totals; tokens and words of each class, discount of its words, share of each group in what they give up."""
 
-    top: list[bytes]
+    vocabulary: Vocabulary
     of: np.ndarray
     transitions: np.ndarray
-    known: dict[bytes, int]
     tokens: int
     kinds: int
     ends: int
     class_tokens: np.ndarray
     class_words: np.ndarray
     discount: np.ndarray
+    group_share: np.ndarray
 
-    def emission(self, n: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """log10 probability of words of these counts in their classes."""
-        all_, d = self.class_tokens[k], self.discount[k]
-        unseen = np.where(all_ > 0, (d * self.class_words[k] + 1e-3) / (all_ + 1e-3), 1.0)
-        return np.log10(np.where(n > 0, np.maximum(n - d, 1e-9) / (all_ + 1e-3), unseen))
+    def emission(self, n: np.ndarray, k: np.ndarray, share: np.ndarray | float = 0.0) -> np.ndarray:
+        """log10 probability of words of these counts in their classes; where a count is 0, of a group with such a share."""
+        all_, d = self.class_tokens[k] + FLOOR, self.discount[k]
+        unseen = share * (d * self.class_words[k] + FLOOR) / all_
+        return np.log10(np.where(n > 0, np.maximum(n - d, 1e-9) / all_, np.maximum(unseen, 1e-12)))
 
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 1) / (self.tokens + 1.0 * (self.kinds + 1)))
@@ -187,75 +341,73 @@ class Model:
 
 def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     """The model of all texts (column text), and the counts of all words."""
+    spark = texts.sparkSession
     counts = materialise(word_counts(texts), "lm-counts")
     documents = texts.count()
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # a count that leaves at most MAX_KNOWN words, found from a few sums
-    steps = counts.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
-    left, least = MAX_KNOWN, None
-    for r in steps:
-        if r.k > left:
-            break
-        left, least = left - r.k, r.n
-    frequent = counts.where(F.col("n") >= least).toPandas() if least is not None else counts.limit(0).toPandas()
-    known = {bytes(w): int(n) for w, n in zip(frequent["word"], frequent["n"], strict=True)}
-    top = [w for w, _ in sorted(known.items(), key=lambda x: (-x[1], x[0]))[:TOP]]
-    bigrams = symbol_bigrams(texts, top)
-    of = exchange(bigrams)
-    k = CLASSES + 1
-    one = np.zeros((SYMBOLS, k))
-    one[np.arange(SYMBOLS), of] = 1
-    n = one.T @ bigrams @ one
+    words = vocabulary(counts)
+    shared = spark.sparkContext.broadcast(words)
+    size, k = words.end + 1, CLASSES + 1
+    bigrams = materialise(symbol_bigrams(texts, shared), "lm-bigrams")
+    rows = materialise(contexts(bigrams, size), "lm-contexts")
+    forget(bigrams)
+    of, n = cluster(rows, words)
+    forget(rows)
     share = (n.sum(0) + 0.5) / (n.sum() + 0.5 * k)
     transitions = np.log10((n + BACKOFF * share) / (n.sum(1, keepdims=True) + BACKOFF))
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, words, tokens = Symbols(top), np.zeros(k, np.int64), np.zeros(k, np.int64)
+        vocabulary, tokens, kinds = shared.value, np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
-            at = of[symbols(batch.column(0).to_pylist())]
-            words += np.bincount(at, minlength=k)
-            tokens += np.bincount(at, batch.column(1).to_numpy(), k).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(words), pa.array(tokens)], names=["k", "words", "tokens"])
-
-    sums = counts.select("word", "n").mapInArrow(totals, "k int, words long, tokens long").groupBy("k").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect()
-    words, tokens = np.zeros(k), np.zeros(k)
+            at, _ = vocabulary(batch.column(0).to_pylist())
+            np.add.at(kinds, at, 1)
+            np.add.at(tokens, at, batch.column(1).to_numpy())
+        group = slice(words.classed, words.end)
+        sums = [np.concatenate((np.bincount(of, x, k), x[group])).astype(np.int64) for x in (kinds, tokens)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + GROUPS, dtype=np.int32)), *map(pa.array, sums)], names=["at", "words", "tokens"])
+
+    # by class, then by group
+    sums = counts.select("word", "n").mapInArrow(totals, "at int, words long, tokens long").groupBy("at").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect()
+    all_words, all_tokens = np.zeros(k + GROUPS), np.zeros(k + GROUPS)
     for r in sums:
-        words[r.k], tokens[r.k] = r.words, r.tokens
+        all_words[r["at"]], all_tokens[r["at"]] = r.words, r.tokens
+    class_words, tokens, group_words = all_words[:k], all_tokens[:k], all_words[k:]
+    in_class = of[words.classed : words.end]
     open_ = np.zeros(k)  # only classes with a spelling group have unseen words
-    open_[of[TOP:END]] = DISCOUNT
-    return Model(top, of, transitions, known, int(total) + documents, int(kinds) + (documents > 0), documents, tokens, words, open_), counts
+    open_[in_class] = DISCOUNT
+    weight = group_words + 1
+    return Model(words, of, transitions, int(total) + documents, int(kinds) + (documents > 0), documents, tokens, class_words, open_, weight / np.bincount(in_class, weight, k)[in_class]), counts
 
 
 def parts(docs: DataFrame, key: str, model: Model) -> DataFrame:
     """_row, key, n_tokens and the sums over known words and transitions, with the rarer words that are yet to be counted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32()), ("tf", pa.int32())]))
+    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("g", pa.int32()), ("tf", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        symbols, row = Symbols(m.top), TaskContext.get().partitionId() << 33
-        end_class = np.array([m.of[END]])
+        v, row = m.vocabulary, TaskContext.get().partitionId() << 33
+        end_class = m.of[v.end : v.end + 1]
         end_base = float(m.base(np.array([m.ends]))[0])
+        known_base, known_emission = m.base(v.counts), m.emission(v.counts, m.of[v.symbols])
         for batch in batches:
             for part, texts in as_bytes(batch, "text"):
                 out: list[tuple] = []
                 for t in texts:
                     words = t.lower().split() if t else []
-                    n = np.array([m.known.get(w, -1) for w in words], np.int64)
-                    k = m.of[symbols(words)] if words else np.empty(0, np.int64)
-                    path = np.concatenate((end_class, k, end_class))
-                    have = n >= 0
-                    rare = Counter(words[i] for i in np.flatnonzero(~have))
-                    classes = dict(zip(rare, m.of[symbols(list(rare))].tolist(), strict=True)) if rare else {}
+                    symbols, at = v(words)
+                    path = np.concatenate((end_class, m.of[symbols], end_class))
+                    have = at[at >= 0]
+                    rare = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
                     out.append(
                         (
                             row,
                             len(words) + 1,
-                            int(have.sum()) + (m.ends > 0),
-                            float(m.base(n[have]).sum()) + end_base,
-                            float(m.transitions[path[:-1], path[1:]].sum() + m.emission(n[have], k[have]).sum()),
-                            [{"word": w, "k": classes[w], "tf": c} for w, c in rare.items()],
+                            len(have) + (m.ends > 0),
+                            float(known_base[have].sum()) + end_base,
+                            float(m.transitions[path[:-1], path[1:]].sum() + known_emission[have].sum()),
+                            [{"word": w, "g": spelling_group(w), "tf": c} for w, c in rare.items()],
                         )
                     )
                     row += 1
@@ -263,26 +415,26 @@ def parts(docs: DataFrame, key: str, model: Model) -> DataFrame:
                 columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(key)), *columns], names=[key, "_row", "n_tokens", "_known", "_base", "_score", "_rare"])
 
-    schema = f"`{key}` {kind}, _row long, n_tokens long, _known long, _base double, _score double, _rare array<struct<word:binary,k:int,tf:int>>"
+    schema = f"`{key}` {kind}, _row long, n_tokens long, _known long, _base double, _score double, _rare array<struct<word:binary,g:int,tf:int>>"
     return docs.select(key, "text").mapInArrow(run, schema)
 
 
 def score_texts(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, n_known, base_score, score (log10) of each row of docs (key, text)."""
+    """key, n_tokens, n_known, base_score, score (log10) and perplexity of each row of docs (key, text)."""
     rows = materialise(parts(docs, key, model), "lm-parts")
-    rare = rows.select("_row", F.explode("_rare").alias("r")).select("_row", "r.word", "r.k", "r.tf")
+    rare = rows.select("_row", F.explode("_rare").alias("r")).select("_row", "r.word", "r.g", "r.tf")
     found = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("double"))
-    pick = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("k") + 1)
-    all_, d, words = pick(model.class_tokens), pick(model.discount), pick(model.class_words)
-    unseen = F.when(all_ > 0, (d * words + 1e-3) / (all_ + 1e-3)).otherwise(1.0)
-    emission = F.log10(F.when(F.col("n") > 0, F.greatest(F.col("n") - d, F.lit(1e-9)) / (all_ + 1e-3)).otherwise(unseen))
+    k = model.of[model.vocabulary.classed : model.vocabulary.end]  # of each group
+    pick = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("g") + 1)
+    seen = F.log10(F.greatest(F.col("n") - pick(model.discount[k]), F.lit(1e-9))) - pick(np.log10(model.class_tokens[k] + FLOOR))
+    emission = F.when(F.col("n") > 0, seen).otherwise(pick(model.emission(np.zeros(GROUPS), k, model.group_share)))
     base = F.log10((F.col("n") + 1) / float(model.tokens + model.kinds + 1))
     sums = found.groupBy("_row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("k2"), F.sum(base * F.col("tf")).alias("b2"), F.sum(emission * F.col("tf")).alias("s2")
     )
     out = rows.select(key, "_row", "n_tokens", "_known", "_base", "_score").join(sums, "_row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return out.select(key, "n_tokens", plus("_known", "k2").cast("long").alias("n_known"), plus("_base", "b2").alias("base_score"), plus("_score", "s2").alias("score"))
+    return out.select(key, "n_tokens", plus("_known", "k2").cast("long").alias("n_known"), plus("_base", "b2").alias("base_score"), plus("_score", "s2").alias("score")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def held_out() -> Column:
@@ -293,4 +445,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, counts = fit(docs.where(~held_out()))
     scored = score_texts(docs, model, counts)
-    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
