@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vigil.operators.dimensions import split_of, stem
+from vigil.operators.sequences import with_running_sum
 
 
 def guarded(a: Column, b: Column) -> Column:
@@ -68,8 +69,8 @@ def percentile_nearest(rows: DataFrame, keys: list[str], value: str) -> DataFram
 def coco_annotations(boxes: DataFrame) -> DataFrame:
     """Numbered annotations with x, y, width, height and area, in the order of images and boxes."""
     image = W.partitionBy("image_id").orderBy("box_id")
-    first = boxes.groupBy("image_id").agg(F.count("*").alias("_k"))
-    start = first.withColumn("_start", F.coalesce(F.sum("_k").over(W.orderBy("image_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    counts = with_running_sum(boxes.groupBy("image_id").agg(F.count("*").alias("_k")), "image_id", F.col("_k"), "_end")
+    start = counts.select("image_id", (F.col("_end") - F.col("_k")).alias("_start"))
     x = boxes.withColumn("_n", F.row_number().over(image)).join(start, "image_id")
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     return x.select((F.col("_start") + F.col("_n")).alias("annotation_id"), "image_id", "box_id", "class_id", F.col("x1").alias("x"), F.col("y1").alias("y"), w.alias("w"), h.alias("h"), (w * h).alias("area"))
@@ -181,3 +182,11 @@ def mean_bits(values: Column) -> Column:
 def median_bits(values: Column) -> Column:
     x, n = F.sort_array(values), F.size(values)
     return above(values, (F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) / 2)
+
+
+def largest_angle_group(rows: DataFrame, key: str, angle: str, within: int, turn: int) -> DataFrame:
+    """key and largest: most rows whose angles (whole degrees) lie so near one row's, around a turn; degrees are counted, not pairs."""
+    n = rows.groupBy(key, F.pmod(F.col(angle), F.lit(turn)).cast("int").alias("_a")).agg(F.count("*").alias("_n"))
+    near = n.select(key, "_n", F.explode(F.transform(F.sequence(F.lit(-within), F.lit(within)), lambda o: F.pmod(F.col("_a") + o, F.lit(turn)))).alias("_a"))
+    around = near.groupBy(key, "_a").agg(F.sum("_n").alias("_k"))
+    return around.join(n.select(key, "_a"), [key, "_a"], "left_semi").groupBy(key).agg(F.max("_k").alias("largest"))

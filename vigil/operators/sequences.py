@@ -36,11 +36,16 @@ def confirmed_changes(df: DataFrame, keys: list[str], order: list[str], state: s
 
 
 def throttle(df: DataFrame, keys: list[str], at: str, gap: str, ident: str) -> DataFrame:
-    """The rows that a throttle lets pass: a key's first, then each at least gap after the last that passed.
+    """keys and ident of the rows that pass: the first of a key, then each that is at least its gap after the last that passed.
 
-    Rows are (at: seconds, ident) in that order; a gap of 0 or less lets all pass.
+    Rows are (at: seconds, ident) in that order; a gap of 0 or less lets all pass. A row so long after the one before
+    passes whatever passed earlier, so a key's rows are cut there, and each piece is folded by itself.
     """
-    rows = df.groupBy(*keys).agg(F.max(gap).alias("_gap"), F.sort_array(F.collect_list(F.struct(F.col(at).alias("t"), F.col(ident).alias("i")))).alias("_rows"))
+    w = W.partitionBy(*keys).orderBy(at, ident)
+    whole = df.withColumn("_gap", F.max(gap).over(W.partitionBy(*keys)))
+    cut = whole.withColumn("_cut", F.when(F.col(at) - F.lag(at).over(w) >= F.col("_gap"), 1).otherwise(0))
+    cut = cut.withColumn("_piece", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = cut.groupBy(*keys, "_piece").agg(F.max("_gap").alias("_gap"), F.sort_array(F.collect_list(F.struct(F.col(at).alias("t"), F.col(ident).alias("i")))).alias("_rows"))
     start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("out"))
 
     def step(acc: Column, r: Column) -> Column:
@@ -145,3 +150,33 @@ def paced(df: DataFrame, keys: list[str], at: str, fps: float, ident: str) -> Da
     slot = F.floor(F.col(at) * fps)
     first = df.groupBy(*keys, slot.alias("_slot")).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(at, ident)).alias("_r"))
     return first.select(*keys, "_r.*")
+
+
+#: Stretches that an order without keys is cut into.
+STRETCHES = 64
+
+
+def stretched(df: DataFrame, order: str) -> DataFrame:
+    """df with _p: stretches of about equally many rows, rising with a numeric order."""
+    bounds = df.select(F.col(order).cast("double").alias("o")).approxQuantile("o", [k / STRETCHES for k in range(1, STRETCHES)], 0.002)
+    cuts = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
+    return df.withColumn("_p", F.size(F.filter(cuts, lambda b: b < F.col(order))))
+
+
+def with_previous(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """df with the value of the row before in a numeric order of all rows, stretch by stretch: no task sees more than one."""
+    x = stretched(df, order)
+    last = x.groupBy("_p").agg(F.max_by(value, order).alias("_last"))
+    carried = last.select("_p", F.lag("_last").over(W.orderBy("_p")).alias("_carried"))  # a row a stretch
+    inner = W.partitionBy("_p").orderBy(order)
+    y = x.withColumn("_first", F.row_number().over(inner) == 1).withColumn(name, F.lag(value).over(inner)).join(carried, "_p")
+    return y.withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col(name))).drop("_p", "_first", "_carried")
+
+
+def with_running_sum(df: DataFrame, order: str, amount: Column, name: str) -> DataFrame:
+    """df with the sum of an amount up to each row in a numeric order of all rows, stretch by stretch."""
+    x = stretched(df.withColumn("_amount", amount), order)
+    sums = x.groupBy("_p").agg(F.sum("_amount").alias("_sum"))
+    before = sums.select("_p", F.coalesce(F.sum("_sum").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_sum_before"))
+    own = F.sum("_amount").over(W.partitionBy("_p").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return x.withColumn(name, own).join(before, "_p").withColumn(name, F.col(name) + F.col("_sum_before")).drop("_p", "_amount", "_sum_before")

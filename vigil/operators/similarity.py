@@ -9,9 +9,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from vigil.functions.geometry import helmet_probability, iou
+from vigil.operators.sequences import with_previous, with_running_sum
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -146,9 +146,9 @@ def nearest_of(probes: DataFrame, poses: pd.DataFrame) -> DataFrame:
 
 def shots(frames: DataFrame, order: str, vector: str, least: float) -> DataFrame:
     """frames with shot: a new one where a frame's likeness to the one before falls below least."""
-    w = W.orderBy(order)
-    near = cosine(F.col(vector), F.lag(vector).over(w))
-    return frames.withColumn("shot", F.sum(F.when(near < least, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    x = with_previous(frames, order, vector, "_before")
+    change = F.when(cosine(F.col(vector), F.col("_before")) < least, 1).otherwise(0)
+    return with_running_sum(x, order, change, "shot").drop("_before")
 
 
 def near_hashes(hashes: DataFrame, most: int) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from vigil.functions import geometry
 from vigil.operators import datasets as D
 from vigil.operators import graph
+from vigil.operators import sequences as S
 from vigil.operators import similarity as M
 from vigil.operators import tracking as T
 from vigil.operators import zones as Z
@@ -114,16 +114,14 @@ def _(spark, d):
 
 @query("angle_groups", "SELECT a.p_brand, max(k) AS largest FROM (SELECT a.p_brand, a.p_partkey, count(*) AS k FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs((((a.p_size * 7 - b.p_size * 7 + 90) % 180) + 180) % 180 - 90) <= 10 GROUP BY a.p_brand, a.p_partkey) a GROUP BY a.p_brand")
 def _(spark, d):
-    p = table(spark, d, "part").select("p_brand", "p_partkey", (C("p_size") * 7).alias("angle"))
-    a, b = p.alias("a"), p.alias("b")
-    apart = F.abs(F.pmod(C("a.angle") - C("b.angle") + 90, F.lit(180)) - 90)
-    near = a.join(b, (C("a.p_brand") == C("b.p_brand")) & (apart <= 10)).groupBy("a.p_brand", "a.p_partkey").agg(F.count("*").alias("k"))
-    return near.groupBy("p_brand").agg(F.max("k").alias("largest"))
+    p = table(spark, d, "part").select("p_brand", (C("p_size") * 7 % 180).alias("angle"))
+    return D.largest_angle_group(p, "p_brand", "angle", 10, 180).select("p_brand", "largest")
 
 
 @query("histogram_corr", "SELECT vec_id, round(corr, 6) AS corr FROM (SELECT vec_id, (64 * sxy - sx * sy) / sqrt((64 * sxx - sx * sx) * (64 * syy - sy * sy)) AS corr FROM (SELECT vec_id, list_sum(a) AS sx, list_sum(b) AS sy, list_sum(list_transform(range(1, 65), lambda i: a[i] * b[i])) AS sxy, list_sum(list_transform(a, lambda x: x * x)) AS sxx, list_sum(list_transform(b, lambda x: x * x)) AS syy FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, CAST(lag(embedding) OVER (ORDER BY vec_id) AS DOUBLE[]) AS b FROM embeddings)) WHERE sy IS NOT NULL)")
 def _(spark, d):
-    x = table(spark, d, "embeddings").select("vec_id", C("embedding").cast("array<double>").alias("a")).withColumn("b", F.lag("a").over(W.orderBy("vec_id"))).where("b IS NOT NULL")
+    x = table(spark, d, "embeddings").select("vec_id", C("embedding").cast("array<double>").alias("a"))
+    x = S.with_previous(x, "vec_id", "a", "b").where("b IS NOT NULL")
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, y: s + y)
     sx, sy = total(C("a")), total(C("b"))
     corr = (64 * M.dot(C("a"), C("b")) - sx * sy) / F.sqrt((64 * M.dot(C("a"), C("a")) - sx * sx) * (64 * M.dot(C("b"), C("b")) - sy * sy))
