@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from vigil.operators.graph import shared_folder
+from vigil.operators.graph import remove, shared_folder
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -29,5 +29,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         path = f"{root}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:  # what the stage before wrote is not read again
+            remove(docs)
         docs = spark.read.parquet(path)
     return docs
