@@ -194,7 +194,7 @@ def classes(docs: DataFrame, key: str, text: str, least: int) -> tuple[DataFrame
         return bodies.select("id", "n", *SKETCH), bodies.select("id", "body")
 
     # distinct shingles may be far fewer than characters, so lengths rule nothing out
-    linked = link(sigs, prepare, sets_of, least, 0, "lines")
+    linked = link(sigs, prepare, sets_of, least, 0, True, "lines")
     linked = linked.select(F.col("id").alias("line_id"), "component")
     parts = firsts.join(linked, "line_id", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "line_id"))
     parts = materialise(parts, "line-parts")

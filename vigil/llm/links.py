@@ -187,7 +187,7 @@ def chance_pairs(members: DataFrame, k: int, least: int, ratio: int) -> DataFram
     return order.select(*columns).mapInArrow(run, "a long, b long")
 
 
-def link(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame, DataFrame]], sets_of: Callable[[list[str]], Sets], least: int, ratio: int, name: str) -> DataFrame:
+def link(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame, DataFrame]], sets_of: Callable[[list[str]], Sets], least: int, ratio: int, few: bool, name: str) -> DataFrame:
     """id, component of all ids that links of similarity least % connect. Ids are not negative.
 
     signatures: sig, id, size. Sizes can only be alike if the smaller one is at least ratio % of the larger. For ids
@@ -232,8 +232,12 @@ def link(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame,
             break
 
     # the rest pair by pair, where sizes and sketches allow
+    if few:  # a pair only in the first of the groups that it shares
+        y = y.join(y.groupBy("id").agg(F.sort_array(F.collect_set("sig")).alias("sigs")), "id")
     p, q = y.alias("p"), y.alias("q")
-    rest = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.id") < F.col("q.id")) & alike("p", "q"))
-    links = links.unionByName(verified(rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()))
-    forget(y)
+    meet = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.id") < F.col("q.id")) & alike("p", "q")
+    if few:
+        meet = meet & (F.get(F.array_intersect("p.sigs", "q.sigs"), F.lit(0)) == F.col("p.sig"))
+    rest = p.join(q, meet).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+    links = links.unionByName(verified(rest if few else rest.distinct()))
     return components(links, f"{name}-components")

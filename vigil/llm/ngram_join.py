@@ -289,7 +289,7 @@ def jaccard_parts(docs: DataFrame, key: str, text: str, n: int, least: int) -> D
         bodies = found.dropDuplicates(["_one"]).select("id", "body")  # repeated rows lie in one task already
         return sketch, materialise(bodies, "ngram-bodies")
 
-    linked = link(sigs, prepare, Shingler(n).of_texts, least, least, "ngram")
+    linked = link(sigs, prepare, Shingler(n).of_texts, least, least, False, "ngram")
     linked = linked.select(F.col("id").alias("set_id"), "component")
     return known.join(linked, "set_id", "left").select("_key", "_row", "n_shingles", F.coalesce("component", "set_id").alias("_part"))
 
