@@ -9,9 +9,9 @@ the symbols at a time, as long as the likelihood rises. What a symbol needs for
 that, its neighbours' counts, is a row of a table in Spark.
 
 Score: log10 of class transitions, interpolated with class frequencies, and of
-word emissions. In a class with spelling groups every word's count gives up
-DISCOUNT, which is shared among its groups; a word never seen stands for its
-group. So the emissions of a class sum to 1 over its words and groups, and the
+word emissions. In a class with spelling groups every word's count gives up an
+absolute discount, estimated from how many words occur once and twice, which is
+shared among its groups; a word never seen stands for its group. So the emissions of a class sum to 1 over its words and groups, and the
 transitions from a class over classes. A text is its words, then one end, which
 also stands before the first word.
 
@@ -44,8 +44,8 @@ from vigil.llm.common import as_bytes, fold, forget, materialise, table
 TOP, GROUPS, CLASSES, PASSES = 512, 256, 48, 6
 #: Words that are symbols of their own, words whose counts go to every task, and passes of each half of the symbols in parallel.
 MAX_CLASSED, MAX_KNOWN, HALVES = 1 << 16, 1 << 17, 2
-#: Discount of a count, weight of class frequencies among transitions, and a floor of masses.
-DISCOUNT, BACKOFF, FLOOR = 0.5, 4.0, 1e-3
+#: Least and most discount of a count, weight of class frequencies among transitions, and a floor of masses.
+DISCOUNTS, BACKOFF, FLOOR = (0.1, 0.95), 4.0, 1e-3
 #: Symbols that a task counts before it hands on the sums.
 COUNTED = 4_000_000
 
@@ -344,7 +344,9 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     spark = texts.sparkSession
     counts = materialise(word_counts(texts), "lm-counts")
     documents = texts.count()
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total, kinds, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    # absolute discounting: what a count is too high by, from the words that occur once and twice
+    discount = min(max(once / max(1, once + 2 * twice), DISCOUNTS[0]), DISCOUNTS[1])
     words = vocabulary(counts)
     shared = spark.sparkContext.broadcast(words)
     size, k = words.end + 1, CLASSES + 1
@@ -374,7 +376,7 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     class_words, tokens, group_words = all_words[:k], all_tokens[:k], all_words[k:]
     in_class = of[words.classed : words.end]
     open_ = np.zeros(k)  # only classes with a spelling group have unseen words
-    open_[in_class] = DISCOUNT
+    open_[in_class] = discount
     weight = group_words + 1
     return Model(words, of, transitions, int(total) + documents, int(kinds) + (documents > 0), documents, tokens, class_words, open_, weight / np.bincount(in_class, weight, k)[in_class]), counts
 
