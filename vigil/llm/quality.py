@@ -3,15 +3,17 @@
 A document fails the base rules if it has fewer than 20 words, or if over 30 %
 of its words stand in 8-word windows that the text has twice or more. Lines are
 normalised (lower case, digits as 0, without punctuation) and
-hashed; a line that more distinct documents of its host (here: source) have
-than the limits allow is removed, and a document that keeps less than half of
-its words, or under 20, is rejected as depleted.
+hashed; a line that more than MAX_LINE_DOCS distinct documents of its host
+(here: source) have is removed, and a document that keeps less than half of its
+words, or under 20, is rejected as depleted.
 
 Defined results: null text counts as empty, so it fails for want of words;
 lines without a word are neither counted nor removed; a line counts once a
-document however often it repeats there; a null host is a host of its own;
-repeated rows of one id count apart, and none of them gets another's words; an empty table gives an empty table;
-other columns of the input don't matter and are not returned.
+document however often it repeats there, and rows of one id are one document;
+rows without an id are one document a text; a null host is a host of its own;
+each row gets a verdict by its own text and host, repeated rows the same one; an
+empty table gives an empty table; other columns of the input don't matter and
+are not returned.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import table
+from vigil.llm.common import materialise, table
 
 SPACES = " \t\n\x0b\f\r"
 #: Signs that a normalised line is without.
 MARKS = ".,;:!?()[]{}<>|#*$%&/\\\"'`~^_=+-"
 WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
-#: A line is boilerplate if more documents of its host than both of these have it.
-MAX_LINE_DOCS, MAX_LINE_SHARE = 20, 0.02
+#: A line is boilerplate if more distinct documents of its host have it, however large the host is.
+MAX_LINE_DOCS = 20
 #: A document is depleted if it keeps a smaller share of its words.
 MIN_KEPT_SHARE = 0.5
 #: So many ways the rows of one line are spread.
@@ -78,18 +80,17 @@ def base_features(df: DataFrame) -> DataFrame:
 
 
 def removed_words(rows: DataFrame) -> DataFrame:
-    """_key, _host, _text_hash and how many words of one such row stand in lines above the limits; rows has _key, _host and _text."""
+    """_key, _host, _text_hash and how many words of one such row stand in lines above the limit; rows has _key, _host and _text."""
     lines = F.filter(F.split("_text", "\n"), lambda s: F.char_length(F.translate(s, SPACES, "")) > 0)
     x = rows.select("_key", "_host", F.xxhash64("_text").alias("_text_hash"), lines.alias("_lines"))
-    # the outer forms keep the optimizer from computing the arrays once more, for a filter on their size
-    hashed = x.withColumn("_hashed", F.transform("_lines", lambda s: F.struct(F.xxhash64(normal(s)).alias("h"), F.size(words_of(s)).alias("n"))))
-    once = hashed.select("_host", F.explode_outer(F.array_distinct(F.transform("_hashed", lambda e: e["h"]))).alias("_h"))
-    counted = once.groupBy("_host", "_h").agg(F.count("_h").alias("_docs")).where(F.col("_docs") > MAX_LINE_DOCS)
-    hosts = rows.groupBy(F.col("_host").alias("_of")).agg(F.count("*").alias("_all"))
-    c, o = counted.alias("c"), hosts.alias("o")
-    over = c.join(o, F.col("c._host").eqNullSafe(F.col("o._of"))).where(F.col("_docs") > MAX_LINE_SHARE * F.col("_all"))
+    hashed = x.withColumn("_hashed", F.transform("_lines", lambda s: F.struct(F.xxhash64(normal(s)).alias("h"), F.size(words_of(s)).alias("n")))).drop("_lines")
+    hashed = materialise(hashed, "line-hashes")  # read twice, and much smaller than the texts
+    # a document is an id, or a text where that is null
+    document = F.struct("_key", F.when(F.col("_key").isNull(), F.col("_text_hash")).alias("_text"))
+    once = hashed.select("_host", document.alias("_doc"), F.explode(F.array_distinct(F.transform("_hashed", lambda e: e["h"]))).alias("_h"))
+    over = once.groupBy("_host", "_h").agg(F.count_distinct("_doc").alias("_docs")).where(F.col("_docs") > MAX_LINE_DOCS)
     over = over.select(F.col("_host").alias("_of"), F.col("_h").alias("_line"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    each = hashed.select("_key", "_text_hash", "_host", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).alias("_salted"), F.posexplode_outer("_hashed").alias("_at", "_e"))
+    each = hashed.select("_key", "_text_hash", "_host", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).alias("_salted"), F.posexplode("_hashed").alias("_at", "_e"))
     e, v = each.alias("e"), over.alias("v")
     same = F.col("e._host").eqNullSafe(F.col("v._of")) & (F.col("e._e.h") == F.col("v._line")) & (F.col("e._salted") == F.col("v._salt"))
     # repeated rows have the same lines at the same places: each place counts once
@@ -120,18 +121,17 @@ w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+')
 n AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, ws FROM w),
-ln AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS l FROM d),
-lw AS (SELECT doc_id, source, l, len(list_filter(regexp_split_to_array(l, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS nw FROM ln),
-lk AS (SELECT doc_id, source, l, nw, trim(translate(lower(l), '0123456789' || '{marks}', '0000000000'), ' ') AS k FROM lw WHERE nw > 0),
+ln AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), md5(t)) AS doc, source, unnest(string_split(t, chr(10))) AS l FROM d),
+lw AS (SELECT doc_id, doc, source, l, len(list_filter(regexp_split_to_array(l, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS nw FROM ln),
+lk AS (SELECT doc_id, doc, source, l, nw, trim(translate(lower(l), '0123456789' || '{marks}', '0000000000'), ' ') AS k FROM lw WHERE nw > 0),
 dup AS (SELECT doc_id, CAST(count(*) - count(DISTINCT l) AS BIGINT) AS n_dup_lines FROM lk GROUP BY doc_id),
 wi AS (SELECT doc_id, unnest(range(1, n_words - 6)) AS i, ws FROM n WHERE n_words >= 8),
 win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS s FROM wi),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, CAST(sum(least(8, coalesce(nx - i, 8))) AS BIGINT) AS n_repeat_words FROM
   (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM rep) GROUP BY doc_id),
-lc AS (SELECT source, k, count(DISTINCT doc_id) AS docs FROM lk GROUP BY source, k),
-ho AS (SELECT source, count(*) AS alld FROM d GROUP BY source),
-ov AS (SELECT lc.source, lc.k FROM lc JOIN ho ON lc.source IS NOT DISTINCT FROM ho.source WHERE docs > 20 AND docs > 0.02 * alld),
+lc AS (SELECT source, k, count(DISTINCT doc) AS docs FROM lk GROUP BY source, k),
+ov AS (SELECT source, k FROM lc WHERE docs > 20),
 gone AS (SELECT lk.doc_id, sum(nw) AS g FROM lk JOIN ov ON lk.source IS NOT DISTINCT FROM ov.source AND lk.k = ov.k GROUP BY lk.doc_id),
 x AS (SELECT n.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   CAST(coalesce(g, 0) AS BIGINT) AS removed_words FROM n LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id)),
