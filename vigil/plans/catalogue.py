@@ -465,7 +465,8 @@ COS = "list_sum(list_transform(range(1, len(a) + 1), lambda i: CAST(a[i] AS DOUB
 
 @query("identity_nearest", f"SELECT vec_id, CASE WHEN s >= 0.2 THEN CAST(person_id AS VARCHAR) ELSE '' END AS person_id, round(s, 6) AS similarity, CASE WHEN s >= 0.2 THEN 'known' ELSE 'unknown_face' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, person_id, pose_idx) AS r FROM (SELECT vec_id, person_id, pose_idx, {COS} / sqrt({COS.replace('b[i]', 'a[i]')} * {COS.replace('a[i]', 'b[i]').replace('len(a)', 'len(b)')}) AS s FROM (SELECT p.vec_id, g.person_id, g.pose_idx, p.embedding AS a, g.embedding AS b FROM probes p, gallery g WHERE g.person_id <> 9))) WHERE r = 1", "probes", "gallery")
 def _(spark, d):
-    x = M.nearest_identity(view(spark, d, "probes"), view(spark, d, "gallery").where("person_id <> 9"), 0.2)
+    left = spark.sql("SELECT 9 AS person_id")  # a person who is no longer active
+    x = M.nearest_identity(view(spark, d, "probes"), view(spark, d, "gallery").join(left, "person_id", "left_anti"), 0.2)
     return x.withColumn("person_id", F.coalesce(F.col("person_id").cast("string"), F.lit("")))
 
 
