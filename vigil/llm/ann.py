@@ -4,10 +4,11 @@ Vectors are projected on a few random orthogonal directions, shifted, and put
 in the order of a Hilbert curve, CURVES times. Spark range-partitions each
 order; a query meets the vectors at most ``reach`` places from it in some
 order, block by block, and the nearest of all blocks are merged and ranked by
-the exact inner product. The reach is fitted: a bounded sample of queries is
-searched exactly, and the shortest reach that finds TARGET of their neighbours
-serves all; every vector is indexed. Where data have no structure that a curve
-can follow, the fit ends at a reach of all vectors, which is exact.
+the exact inner product. The reach is fitted, alike at every size: a bounded
+sample of queries is searched exactly, and the shortest reach that finds TARGET
+of their neighbours serves all; every vector is indexed. On clustered data that
+is about a cluster. Random directions in many dimensions have no order that a
+curve could follow; there the reach becomes a share of the table.
 
 Equal vectors are searched once. Of equal vectors only the K + 1 with the
 smallest ids can be among anyone's K nearest, so only those are candidates.
@@ -34,10 +35,11 @@ from pyspark.sql.window import Window as W
 from vigil.llm.common import materialise, table
 
 K = 20
-CURVES, DIRECTIONS, BITS, BLOCK = 8, 8, 4, 2048
-#: Queries and vectors of the fit, and the share of true neighbours that it asks for.
-FIT_QUERIES, FIT_VECTORS, TARGET = 96, 4096, 0.96
-REACHES = (0.002, 0.005, 0.01, 0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.15, 0.2, 0.3, 0.5, 1.0)
+CURVES, DIRECTIONS, BITS, BLOCK = 8, 8, 7, 2048
+#: Queries and vectors of the fit, the share of true neighbours that it asks for, and the least reach.
+FIT_QUERIES, FIT_VECTORS, TARGET, LEAST_REACH = 96, 4096, 0.94, 32
+#: Queries that meet a block in one task, about.
+BLOCK_QUERIES = 4096
 SALTS = 32
 SEED = 11
 
@@ -118,7 +120,7 @@ def nearest_in(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, allowed: np.
     return out
 
 
-def search(vectors: DataFrame, is_query: str, k: int = K) -> DataFrame:
+def search(vectors: DataFrame, is_query: str, k: int = K, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of vectors (vec_id, embedding) that the SQL condition is_query names."""
     e = F.col("embedding")
     usable = e.isNotNull() & ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(e, lambda v: v != 0)
@@ -172,17 +174,21 @@ def search(vectors: DataFrame, is_query: str, k: int = K) -> DataFrame:
     before = order.groupBy("curve", "part").count().withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("curve").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     order = materialise(order.join(before, ["curve", "part"]).select("curve", "vec_id", (F.col("place") + F.col("before")).alias("pos")), "ann-places")
 
-    reach = fit_reach(plain, order, total, dim, k)
+    asking = plain.where("asks").count()
+    reach = fit_reach(plain, order, asking, dim, k)
     at = order.join(plain, "vec_id")
-    blocks = at.select("curve", F.floor(F.col("pos") / BLOCK).alias("block"), "pos", "vec_id", "v")
-    edge = lambda p: F.floor(p / BLOCK)
+    salts = max(1, -(-(block + 2 * reach) * asking // (max(1, total) * BLOCK_QUERIES)))
+    blocks = at.select("curve", F.floor(F.col("pos") / block).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "pos", "vec_id", "v")
+    edge = lambda p: F.floor(p / block)
     touched = F.sequence(edge(F.greatest(F.col("pos") - reach, F.lit(0))), edge(F.least(F.col("pos") + reach, F.lit(total - 1))))
-    near = at.where("asks").select(F.col("curve").alias("to_curve"), F.explode(touched).alias("to_block"), F.col("pos").alias("from_pos"), F.col("h").alias("from_h"), F.col("v").alias("from_v"))
+    near = at.where("asks").select(
+        F.col("curve").alias("to_curve"), F.explode(touched).alias("to_block"), F.pmod(F.col("h"), F.lit(salts)).cast("int").alias("to_salt"), F.col("pos").alias("from_pos"), F.col("h").alias("from_h"), F.col("v").alias("from_v")
+    )
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())]))
         if not left.num_rows or not right.num_rows:
-            return pa.table({"h": pa.array([], pa.int64()), "found": pa.array([], kind)})
+            return pa.table({"h": pa.array([], pa.int64()), "curve": pa.array([], pa.int32()), "found": pa.array([], kind)})
         ids, pos = left["vec_id"].to_numpy(), left["pos"].to_numpy()
         x, q = matrix(left["v"].combine_chunks(), dim), matrix(right["from_v"].combine_chunks(), dim)
         asked, mine, out = right["from_h"].to_numpy(), right["from_pos"].to_numpy(), []
@@ -191,28 +197,30 @@ def search(vectors: DataFrame, is_query: str, k: int = K) -> DataFrame:
             out += nearest_in(ids, x, q[s : s + 256], None if allowed.all() else allowed, k + 1)
         ends = np.cumsum([0, *(len(a) for a, _ in out)])
         flat = pa.StructArray.from_arrays([pa.array(np.concatenate([s for _, s in out])), pa.array(np.concatenate([a for a, _ in out]))], fields=list(kind.value_type))
-        return pa.table({"h": pa.array(asked), "found": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)})
+        return pa.table({"h": pa.array(asked), "curve": right["to_curve"], "found": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)})
 
-    found = blocks.groupBy("curve", "block").cogroup(near.groupBy("to_curve", "to_block")).applyInArrow(scan, "h long, found array<struct<score:double,vec_id:long>>")
-    # merge: an id comes from several curves
-    hits = found.select("h", F.explode("found").alias("f")).groupBy("h", "f.vec_id").agg(F.max("f.score").alias("score"))
-    top = hits.withColumn("n", F.row_number().over(W.partitionBy("h").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
-    lists = top.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
+    schema = "h long, curve int, found array<struct<score:double,vec_id:long>>"
+    found = blocks.groupBy("curve", "block", "salt").cogroup(near.groupBy("to_curve", "to_block", "to_salt")).applyInArrow(scan, schema)
+
+    def merged(lists: DataFrame, *by: str) -> DataFrame:
+        """The k + 1 best of the lists of each group; an id may be in several, with one score."""
+        best = F.array_sort(F.array_distinct(F.flatten(F.collect_list("found"))), lambda p, q: F.when(p["score"] > q["score"], -1).when(p["score"] < q["score"], 1).when(p["vec_id"] < q["vec_id"], -1).when(p["vec_id"] > q["vec_id"], 1).otherwise(0))
+        return lists.groupBy(*by).agg(F.slice(best, 1, k + 1).alias("found"))
+
+    # the blocks of a curve first, then the curves
+    lists = merged(merged(found, "h", "curve"), "h")
     mine = x.where("q").select(F.col("vec_id").alias("query_id"), "h").join(lists, "h")
     others = F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, k)
     out = mine.select("query_id", F.posexplode(others).alias("at", "f"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))
 
 
-def fit_reach(plain: DataFrame, order: DataFrame, total: int, dim: int, k: int) -> int:
+def fit_reach(plain: DataFrame, order: DataFrame, asking: int, dim: int, k: int) -> int:
     """Places on either side of a query that the search looks at, from an exact search for a sample of queries."""
-    if total <= 2 * BLOCK:
-        return total
-    asks = plain.where("asks")
-    share = min(1.0, FIT_QUERIES / max(1, asks.count()))
-    sample = asks.where(F.pmod(F.xxhash64(F.lit("reach"), "vec_id"), F.lit(1 << 20)) < share * (1 << 20)).select("vec_id", "v").toPandas()
+    share = min(1.0, FIT_QUERIES / max(1, asking))
+    sample = plain.where("asks").where(F.pmod(F.xxhash64(F.lit("reach"), "vec_id"), F.lit(1 << 20)) < share * (1 << 20)).select("vec_id", "v").toPandas()
     if not len(sample):
-        return total
+        return LEAST_REACH
     own, queries = sample["vec_id"].to_numpy(), np.array(sample["v"].tolist(), np.float64)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,10 +234,7 @@ def fit_reach(plain: DataFrame, order: DataFrame, total: int, dim: int, k: int)
     a, b = order.alias("a"), order.alias("b")
     pairs = near.alias("n").join(b, F.col("n.vec_id") == F.col("b.vec_id")).join(a, (F.col("n.a") == F.col("a.vec_id")) & (F.col("a.curve") == F.col("b.curve")))
     gaps: pd.DataFrame = pairs.groupBy("n.a", "n.vec_id").agg(F.min(F.abs(F.col("a.pos") - F.col("b.pos"))).alias("gap")).toPandas()
-    for f in REACHES:
-        if len(gaps) and (gaps["gap"] <= f * total).mean() >= TARGET:
-            return max(BLOCK // 2, int(np.ceil(f * total)))
-    return total
+    return max(LEAST_REACH, int(gaps["gap"].quantile(TARGET, "higher"))) if len(gaps) else LEAST_REACH
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
