@@ -23,7 +23,7 @@ null; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -238,13 +238,16 @@ def row_hash(key: Column, text: Column) -> Column:
     return F.xxhash64(key, text)
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, n: int, least: int, frequent: np.ndarray) -> DataFrame:
+#: Makes what gives the signatures of the wanted ones of some sets.
+Signers = Callable[[], Callable[[Sets, np.ndarray], Sets]]
+
+
+def shingle_sets(docs: DataFrame, key: str, text: str, n: int, signers: Signers) -> DataFrame:
     """key, _row (its row_hash()), n_shingles, set_id, sigs and the sketch of each row; of equal sets in a task only the first has signatures and a sketch."""
     kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, signer, seen = Shingler(n), Signer(shared.value, least), set()
+        shingles, signer, seen = Shingler(n), signers(), set()
         for batch in batches:
             for part, texts in as_bytes(batch, text, PART_BYTES):
                 values, ends = sets = shingles(texts)
@@ -270,11 +273,20 @@ def shingle_sets(docs: DataFrame, key: str, text: str, n: int, least: int, frequ
     return rows.mapInArrow(run, f"`{key}` {kind}, _row long, n_shingles long, set_id long, sigs array<long>, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
-def jaccard_parts(docs: DataFrame, key: str, text: str, n: int, least: int) -> DataFrame:
-    """_key, _row, n_shingles and _part (its component under links of similarity least %, null without a word) of each row."""
+def jaccard_parts(docs: DataFrame, key: str, text: str, n: int, least: int, signers: Signers | None = None) -> DataFrame:
+    """_key, _row, n_shingles and _part (its component under links of similarity least %, null without a word) of each row.
+
+    signers give sets their signatures; by default that is by token-combination prefixes. Few of them may be shared by a pair.
+    """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    frequent = frequent_shingles(rows, "_key", "_text", n, least)
-    sets = materialise(shingle_sets(rows, "_key", "_text", n, least, frequent), "ngram-sets")
+    few = signers is not None
+    if signers is None:
+        shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, "_key", "_text", n, least))
+
+        def signers() -> Signer:
+            return Signer(shared.value, least)
+
+    sets = materialise(shingle_sets(rows, "_key", "_text", n, signers), "ngram-sets")
     known = sets.select("_key", "_row", "n_shingles", "set_id")
     sigs = sets.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), F.col("set_id").alias("id"), F.col("n_shingles").alias("size"))
 
@@ -289,14 +301,14 @@ def jaccard_parts(docs: DataFrame, key: str, text: str, n: int, least: int) -> D
         bodies = found.dropDuplicates(["_one"]).select("id", "body")  # repeated rows lie in one task already
         return sketch, materialise(bodies, "ngram-bodies")
 
-    linked = link(sigs, prepare, Shingler(n).of_texts, least, least, False, "ngram")
+    linked = link(sigs, prepare, Shingler(n).of_texts, least, least, few, "ngram")
     linked = linked.select(F.col("id").alias("set_id"), "component")
     return known.join(linked, "set_id", "left").select("_key", "_row", "n_shingles", F.coalesce("component", "set_id").alias("_part"))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, least: int = LEAST) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, least: int = LEAST, signers: Signers | None = None) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable by links of similarity least %) of each row."""
-    placed = jaccard_parts(docs, key, text, n, least)
+    placed = jaccard_parts(docs, key, text, n, least, signers)
     smallest = placed.where(F.col("_part").isNotNull()).groupBy("_part").agg(F.min("_key").alias("_least"))
     out = placed.join(smallest, "_part", "left")
     return out.select(F.col("_key").alias(key), "n_shingles", F.coalesce("_least", "_key").alias("component_id"))

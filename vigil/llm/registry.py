@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import ann, bpe, brown, langid, line_dedup, mixing, ngram_join, quality, toxicity, url_filter
+from vigil.llm import alignment, ann, bpe, brown, langid, line_dedup, minhash, mixing, ngram_join, periods, quality, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_brown_lm": brown.query,
         "op9_url_filters": url_filter.query,
         "op10_line_dedup": line_dedup.query,
+        "op11_minhash": minhash.query,
+        "op12_periodic_runs": periods.query,
+        "op13_token_alignment": alignment.query,
     }
 
 
@@ -29,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_ngram_jaccard_join": ngram_join.ORACLE,
         "op6_quality_rules": quality.ORACLE,
         "op9_url_filters": url_filter.ORACLE,
+        "op11_minhash": minhash.ORACLE,
     }
