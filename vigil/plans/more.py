@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.functions import geometry
+from vigil.operators import boundaries as B
 from vigil.operators import datasets as D
 from vigil.operators import graph
 from vigil.operators import sequences as S
@@ -12,8 +13,7 @@ from vigil.operators import similarity as M
 from vigil.operators import tracking as T
 from vigil.operators import zones as Z
 from vigil.plans.catalogue import COS, NEAR, query
-from vigil.sources.observations import table, view
-from vigil.streaming import stateful
+from vigil.sources.observations import prelude, table, view
 
 C = F.col
 
@@ -190,14 +190,29 @@ def _(spark, d):
     return T.track(with_box(view(spark, d, "detections")), lost_after=48)
 
 
-@query("boundary_events_full")
+#: Boundary events as a recursion over each track's observations: state after each, and what happens in the gap that follows.
+FULL_BOUNDARY = """
+seen AS (SELECT d.camera_id, z.zone_id, d.tick AS u, d.track_id, arg_max(d.fx BETWEEN z.x0 AND z.x1 AND d.fy BETWEEN z.y0 AND z.y1, d.obs_no) AS inside,
+ arg_max(d.fx - 20 <= 20 OR d.fy - 100 <= 20 OR d.fx + 20 >= 980 OR d.fy >= 980, d.obs_no) AS edge FROM detections d JOIN zones z ON z.camera_id = d.camera_id WHERE z.ztype = 'polygon' GROUP BY d.camera_id, z.zone_id, d.tick, d.track_id),
+o AS (SELECT *, row_number() OVER w AS k, coalesce(lead(u) OVER w, (SELECT max(u) FROM seen) + 1) AS nx FROM seen WINDOW w AS (PARTITION BY camera_id, zone_id, track_id ORDER BY u)),
+m AS (SELECT camera_id, zone_id, track_id, k, u, nx, edge, CASE WHEN inside AND edge AND u > 6 THEN false ELSE inside END AS conf, inside AS cand, CAST(CASE WHEN inside AND edge AND u > 6 THEN 1 ELSE 2 END AS BIGINT) AS age, CAST(NULL AS VARCHAR) AS kind FROM o WHERE k = 1
+ UNION ALL SELECT camera_id, zone_id, track_id, k, u, nx, edge, CASE WHEN born THEN CASE WHEN inside AND edge AND u > 6 THEN false ELSE inside END WHEN age >= 2 THEN inside ELSE conf END, inside, CASE WHEN born AND NOT (inside AND edge AND u > 6) THEN 2 ELSE age END,
+  CASE WHEN NOT born AND age >= 2 AND inside <> conf THEN CASE WHEN inside THEN 'entry' ELSE 'exit' END END
+  FROM (SELECT o.camera_id, o.zone_id, o.track_id, o.k, o.u, o.nx, o.edge, o.inside, o.u - m.u > 301 AS born, m.conf AND NOT (m.edge AND m.nx - 1 - m.u >= 6) AS conf,
+   CASE WHEN o.u - m.u > 301 THEN 1 WHEN o.inside = (m.cand AND NOT (m.conf AND m.edge AND m.nx - 1 - m.u >= 6)) THEN m.age + 1 ELSE 1 END AS age
+   FROM m JOIN o ON o.camera_id = m.camera_id AND o.zone_id = m.zone_id AND o.track_id = m.track_id AND o.k = m.k + 1) s)
+SELECT camera_id, zone_id, track_id, u AS update_no, kind FROM m WHERE kind IS NOT NULL
+UNION ALL SELECT camera_id, zone_id, track_id, u + 6, 'exit' FROM m WHERE conf AND edge AND nx - 1 - u >= 6"""
+
+
+@query("boundary_events_full", f"WITH RECURSIVE {prelude('detections', 'zones')[5:]}, {FULL_BOUNDARY}")
 def _(spark, d):
     x = Z.membership(with_box(view(spark, d, "detections")), view(spark, d, "zones").where("ztype = 'polygon'"))
     edge = geometry.touches_edge(C("x1"), C("y1"), C("x2"), C("y2"), 1000, 1000)
     seen = x.groupBy("camera_id", "zone_id", C("tick").alias("update_no"), "track_id").agg(F.max_by("inside", "obs_no").alias("inside"), F.max_by(edge, "obs_no").alias("at_edge"))
-    none = seen.select("camera_id", "zone_id").distinct().join(seen.select("update_no").distinct(), F.lit(True))
-    empty = none.select("camera_id", "zone_id", "update_no", F.lit(None).cast("bigint").alias("track_id"), F.lit(False).alias("inside"), F.lit(False).alias("at_edge"))
-    return stateful.boundary_batch(seen.unionByName(empty), 2)
+    # every camera's clock has come as far as the newest hour
+    newest = seen.agg(F.max("update_no").alias("newest"))
+    return B.boundary_events(seen, 2, seen.select("camera_id").distinct().join(newest, F.lit(True)))
 
 
 REACHED = f"pr AS ({NEAR}), e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), r AS (SELECT a AS id, a AS t FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.t), c AS (SELECT id, min(t) AS component FROM r GROUP BY id)"

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-#: A track unseen for so many updates at the frame's edge has left; after so many more its state is dropped.
-LEFT_AFTER, EVICT_AFTER = 6, 300
+from vigil.operators.boundaries import EVICT_AFTER, LEFT_AFTER
+
 #: Rows that a dimension read again for each batch may have.
 MAX_DIMENSION = 100_000
 EVENTS = "camera_id string, zone_id string, track_id long, update_no long, kind string"
@@ -69,7 +69,7 @@ def fold_zone(rows: pd.DataFrame, state: dict[str, Any], frames: int) -> list[tu
 
 
 def boundary_batch(observations: DataFrame, frames: int) -> DataFrame:
-    """Full boundary events of a table (camera_id, zone_id, update_no, track_id, inside, at_edge)."""
+    """The stream's steps over a table (camera_id, zone_id, update_no, track_id, inside, at_edge), zone by zone; operators.boundaries does the same by windows."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(*key, t, u, kind) for u, t, kind in fold_zone(pdf, {}, frames)]
