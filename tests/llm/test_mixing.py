@@ -37,3 +37,42 @@ def test_mix(spark, docs, nothing):
     s = docs.select(F.col("doc_id").alias("_id"), "source", mixing.word_count(F.col("text")).alias("size"))
     assert mixing.apportion(s).count() == 12
     assert mixing.apportion(s.where("false")).count() == 0
+
+
+def test_small_sources_get_their_share(spark):
+    """Sources of 1, 8 and 30 words beside a large one, and small ones alone."""
+    rows = [(i, "large", 100) for i in range(300)] + [(1000, "one", 1), (1001, "eight", 5), (1002, "eight", 3), (1003, "thirty", 30)]
+    got = mixing.apportion(spark.createDataFrame(rows, "_id long, source string, size long")).toPandas()
+    for name, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= max(2, 0.15 * g.target.iloc[0]), name
+    assert got[got.source == "one"].taken.sum() == 3 and got[got.source == "eight"].taken.sum() >= 20
+    three = spark.createDataFrame([(i, f"s{i}", 8) for i in range(3)] + [(9, "s9", 40)], "_id long, source string, size long")
+    assert all(r.taken > 0 for r in mixing.apportion(three).collect())
+    assert sum(r.taken for r in mixing.apportion(spark.createDataFrame([(1, "a", 9)], "_id long, source string, size long")).collect()) == 9
+
+
+def test_chosen_blocks_are_not_one_run(spark):
+    """A shard of 64 blocks of which a part is taken: with documents of one block each, those taken lie apart."""
+    rows = [(i, "a", 64) for i in range(64)] + [(100 + i, "b", 64) for i in range(64)]
+    got = mixing.apportion(spark.createDataFrame(rows, "_id long, source string, size long")).where("source = 'a'").toPandas()
+    part = got.taken.sum() / 64
+    assert 40 <= part <= 45  # two thirds of 64: weights 1 and 2
+    flags = [t > 32 for _, t in sorted(zip(got["_id"], got.taken, strict=True))]
+    assert sum(a != b for a, b in zip(flags, flags[1:], strict=False)) > 10
+
+
+def test_stage_keeps_every_source_and_tells_null_ids_apart(spark, tmp_path):
+    text = lambda n, w: " ".join(f"{w}{k}" for k in range(n))
+    rows = [(i, text(60, f"a{i}x"), "big") for i in range(200)] + [(900, text(8, "b"), "small"), (901, text(1, "c"), "tiny"), (902, text(400, "d"), None), (903, "", "big"), (904, None, None)]
+    rows += [(None, text(50, f"n{i}x"), "nulls") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.stage(spark, docs, str(tmp_path)).collect()
+    assert {r.source for r in got if r.text} == {"big", "small", "tiny", None, "nulls"}
+    assert sum(r.doc_id == 903 for r in got) == sum(r.doc_id == 904 for r in got) == 1
+    copies = {}
+    for r in got:
+        if r.doc_id is None:
+            copies[r.text] = copies.get(r.text, 0) + 1
+    target = mixing.apportion(docs.select(F.monotonically_increasing_id().alias("_id"), "source", mixing.word_count(F.col("text")).alias("size"))).where("source = 'nulls'").first().target
+    assert abs(50 * sum(copies.values()) - target) < 0.3 * target
+    assert len(set(copies.values())) > 1 or len(copies) < 300

@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-The word total is cut into blocks of equal size. Blocks go to sources by
-highest quotients of their targets, then to each source's shards by highest
-quotients of their sizes, so that every shard has an integer quota. Inside a
-shard documents lie end to end in a seeded order; its quota takes whole passes
-over its words and, for the rest, blocks that a seeded permutation picks.
+The word total is cut into blocks of equal size, small enough for the smallest
+target to be several. Blocks go to sources by highest quotients of their
+targets, then to each source's shards by highest quotients of their sizes, so
+that every shard has an integer quota. Inside a shard documents lie end to end
+in a seeded order; its quota takes whole passes over its words and, for the
+rest, the blocks that come first by a keyed hash.
 
 Defined results: null or wordless text has size 0 and takes 0; a null source is
 a source of its own, last in order; sources of size 0 have target 0; repeated
@@ -22,11 +23,9 @@ from pyspark.sql.window import Window as W
 
 from vigil.llm.common import free_name, materialise, table
 
-#: Words of a block, documents of a shard (about), and how often a word may be taken.
-BLOCK_WORDS, SHARD_DOCS, MAX_REPEATS = 64, 2048, 3
+#: Words of a block at most, blocks of the smallest target at least, documents of a shard (about), and how often a word may be taken.
+BLOCK_WORDS, LEAST_BLOCKS, SHARD_DOCS, MAX_REPEATS = 64, 8, 2048, 3
 SEED = 17
-#: A prime above any number of blocks in a shard, for the permutation of blocks.
-STRIDE = 2_147_483_647
 
 
 def word_count(text: Column) -> Column:
@@ -94,14 +93,15 @@ def sainte_lague(parties: DataFrame, votes: str, seats: Column, within: list[str
 ADDED = ("source_size", "target", "shard", "shard_quota", "taken")
 
 
-def apportion(sizes: DataFrame, seed: int = SEED, block: int = BLOCK_WORDS) -> DataFrame:
-    """sizes (row key _id, source, size) with source_size, target, shard, its quota and the words taken of each row."""
+def apportion(sizes: DataFrame, seed: int = SEED, most: int = BLOCK_WORDS) -> DataFrame:
+    """sizes (row key _id, source, size) with source_size, target, shard, its quota (in blocks) and the words taken of each row."""
     if clash := {c.lower() for c in sizes.columns} & set(ADDED):
         raise ValueError(f"columns exist already: {sorted(clash)}")
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     sources = materialise(capped_targets(cycle_weights(per_source)), "mix-sources")
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
-    seats = F.lit(round(total / block))
+    total, smallest = sources.agg(F.sum("source_size"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
+    block = max(1, min(most, int((smallest or 0) / LEAST_BLOCKS)))
+    seats = F.lit(round((total or 0) / block))
     quotas = sainte_lague(sources, "target", seats, [], ["source"], "quota")
 
     # many rows a source: shards spread a hot one; the small side is repeated for them
@@ -125,20 +125,23 @@ def apportion(sizes: DataFrame, seed: int = SEED, block: int = BLOCK_WORDS) -> D
     shards = shards.withColumn("_blocks", blocks).withColumn("_take", F.when(F.col("_words") > 0, words).otherwise(0))
     shards = shards.withColumn("_passes", F.when(F.col("_words") > 0, F.floor(F.col("_take") / F.col("_words"))).otherwise(0).cast("long"))
     shards = shards.withColumn("_more", F.when(F.col("_words") > 0, F.round((F.col("_take") - F.col("_passes") * F.col("_words")) * F.col("_blocks") / F.col("_words"))).otherwise(0).cast("long"))
+    # the hash up to which a shard's blocks are taken; a shard has few enough blocks for one row
+    hashed = lambda k: F.xxhash64(F.lit(seed + 1), F.col("source"), F.col("shard"), k)
+    in_order = F.sort_array(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), hashed))
+    shards = shards.withColumn("_up_to", F.when(F.col("_more") > 0, F.get(in_order, F.least(F.col("_more"), F.col("_blocks")).cast("int") - 1)))
 
     lay = W.partitionBy("source", "shard").orderBy("_draw", "_id").rowsBetween(W.unboundedPreceding, 0)
     laid = placed.withColumn("_end", F.sum("size").over(lay))
     a, b = laid.alias("a"), shards.alias("b")
-    x = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.shard") == F.col("b.shard"))).select("a.*", "_words", "_blocks", "_passes", "_more", "_quota")
+    x = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.shard") == F.col("b.shard"))).select("a.*", "_words", "_blocks", "_passes", "_more", "_up_to", "_quota")
     start = F.col("_end") - F.col("size")
     edge = lambda k: F.floor(k * F.col("_words") / F.col("_blocks"))  # noqa: E731  first word of block k
     first = F.floor(start * F.col("_blocks") / F.greatest(F.col("_words"), F.lit(1))) - 1
     last = F.floor(F.col("_end") * F.col("_blocks") / F.greatest(F.col("_words"), F.lit(1))) + 1
     lowest, highest = F.greatest(first, F.lit(0)), F.least(last, F.col("_blocks") - 1)
-    offset = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("source"), F.col("shard")), F.col("_blocks"))
-    x = x.withColumn("_offset", offset).withColumn("_low", lowest).withColumn("_high", highest)
+    x = x.withColumn("_low", lowest).withColumn("_high", highest)
     overlap = lambda k: F.greatest(F.lit(0), F.least(F.col("_end"), edge(k + 1)) - F.greatest(start, edge(k)))
-    picked = lambda k: F.pmod(k * STRIDE + F.col("_offset"), F.col("_blocks")) < F.col("_more")
+    picked = lambda k: hashed(k) <= F.col("_up_to")
     part = F.aggregate(F.sequence(F.col("_low"), F.col("_high")), F.lit(0).cast("long"), lambda acc, k: acc + F.when(picked(k), overlap(k)).otherwise(0).cast("long"))
     taken = F.col("_passes") * F.col("size") + F.when((F.col("size") > 0) & (F.col("_more") > 0), part).otherwise(0)
     return x.select(*sizes.columns, "source_size", "target", "shard", F.col("_quota").alias("shard_quota"), taken.cast("long").alias("taken"))
@@ -154,16 +157,23 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fourth stage of the pipeline: each document as often as the mix takes it.
 
     Taken words over size is how many copies a document is worth; a seeded draw rounds that up or down, so each
-    source's words still come near its target. Rows of one id, repeated or with different texts, are together worth
-    what they take and each get the same number of copies. Wordless documents, which weigh nothing, stay once. Rows
-    without an id are as those of one id.
+    source's words still come near its target. A source all of whose documents were rounded down keeps the one that is
+    worth most. Rows of one id, repeated or with different texts, are together worth what they take and each get the
+    same number of copies; rows without an id go by their text. Wordless documents, which weigh nothing, stay once.
     """
-    sizes = materialise(docs.select(F.col("doc_id").alias("_id"), "source", word_count(F.col("text")).alias("size")), "mix-stage")
+    ident = lambda key, text: F.when(key.isNotNull(), F.concat(F.lit("i"), key.cast("string"))).otherwise(F.concat(F.lit("t"), F.xxhash64(text).cast("string")))
+    own = ident(F.col("doc_id"), F.col("text")).alias("_id")
+    sizes = materialise(docs.select(own, "source", word_count(F.col("text")).alias("size")), "mix-stage")
+    mixed = materialise(apportion(sizes), "mix-taken")
     draw = F.pmod(F.xxhash64(F.lit(SEED + 2), F.col("_doc")), F.lit(1 << 30)) / float(1 << 30)
-    worth = apportion(sizes).groupBy(F.col("_id").alias("_doc")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    worth = mixed.groupBy(F.col("_id").alias("_doc")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
     copies = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + draw)).otherwise(1).cast("int")
-    counts = worth.select("_doc", copies.alias("_copies")).where("_copies > 0")
+    counts = worth.select("_doc", copies.alias("_copies"))
+    with_words = mixed.where("size > 0").select("source", F.col("_id").alias("_doc"), (F.col("taken") / F.col("size")).alias("_worth")).join(counts, "_doc")
+    none = with_words.groupBy("source").agg(F.max("_copies").alias("_any"), F.max_by("_doc", F.struct("_worth", "_doc")).alias("_doc")).where("_any = 0")
+    saved = none.select(F.col("_doc").alias("_saved")).distinct()
+    counts = counts.join(saved, F.col("_doc") == F.col("_saved"), "left").select("_doc", F.when(F.col("_saved").isNotNull(), 1).otherwise(F.col("_copies")).alias("_copies")).where("_copies > 0")
     copy = free_name(docs, "_copy")
     d, c = docs.alias("d"), counts.hint("shuffle_hash").alias("c")
-    out = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c._doc"))).select("d.*", F.explode(F.sequence(F.lit(1), F.col("c._copies"))).alias(copy))
+    out = d.join(c, ident(F.col("d.doc_id"), F.col("d.text")) == F.col("c._doc")).select("d.*", F.explode(F.sequence(F.lit(1), F.col("c._copies"))).alias(copy))
     return out.drop(copy)
