@@ -27,3 +27,11 @@ def test_rows_of_one_id(spark):
     rows = [(1, long + "\nshort"), (2, long + "\nanother line that only one of the documents has"), (2, "the other text of this id has no line twice anywhere\nlast"), (2, "the other text of this id has no line twice anywhere\nlast"), (3, "short\n" + long), (3, long + "\nand more of the third")]
     got = sorted(r.text for r in ld.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id > 1").collect())
     assert got == sorted(["another line that only one of the documents has", rows[2][1], rows[3][1], "and more of the third", ""])
+
+
+def test_rows_without_an_id_come_last(spark):
+    line = "one line that stands in several documents, word for word"
+    rows = [(None, line + "\nfirst"), (None, line + "\nsecond"), (2, line + "\nthird"), (None, "only those without an id have this other line\na"), (None, "only those without an id have this other line\nb")]
+    got = sorted(r.text for r in ld.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum(line in t for t in got) == 1 and line + "\nthird" in got and {"first", "second"} < set(got)
+    assert sum("other line" in t for t in got) == 1

@@ -12,8 +12,8 @@ Defined results: lines without a letter or digit are never removed; a null text
 stays null and an empty one empty; of equal lines in one document the first
 stays; a text that loses lines keeps the others in order; repeated rows (equal
 id and text) lose lines alike, and rows of one id with other texts are
-documents of their own; rows with a null id stay as they are; an empty table
-gives an empty table; other columns stay.
+documents of their own; lines of rows with a null id come after all others, by
+their rows' hash; an empty table gives an empty table; other columns stay.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import free_name, materialise, slices, table
@@ -175,14 +175,19 @@ def wanted_lines(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Dat
     return rows.mapInArrow(run, "id long, body string")
 
 
+def place() -> Column:
+    """Where a line stands among all: rows without an id last."""
+    return F.struct(F.col("_key").isNull().alias("none"), "_key", "at", "_row")
+
+
 def classes(docs: DataFrame, key: str, text: str, least: int) -> tuple[DataFrame, DataFrame]:
     """All lines that count, as line_classes() makes them, and line_id, n, place, component, first of the classes that lose a line.
 
     place is the first one of a class, first that of its component.
     """
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_key").isNotNull())
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     lines = materialise(line_classes(rows, "_key", "_text"), "lines")
-    firsts = materialise(lines.groupBy("line_id").agg(F.min(F.struct("_key", "at", "_row")).alias("place"), F.count("*").alias("n")), "line-firsts")
+    firsts = materialise(lines.groupBy("line_id").agg(F.min(place()).alias("place"), F.count("*").alias("n")), "line-firsts")
     sigs = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("sig"), F.col("line_id").alias("id"), "size")
 
     def prepare(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,17 +211,17 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """key, _row, at, line_id, component, first_key, first_at and removed of each line that has a duplicate."""
     lines, parts = classes(docs, key, text, least)
     out = lines.select("_key", "_row", "at", "line_id").join(parts, "line_id")
-    return out.select(F.col("_key").alias(key), "_row", "at", "line_id", "component", F.col("first._key").alias("first_key"), F.col("first.at").alias("first_at"), (F.struct("_key", "at", "_row") != F.col("first")).alias("removed"))
+    return out.select(F.col("_key").alias(key), "_row", "at", "line_id", "component", F.col("first._key").alias("first_key"), F.col("first.at").alias("first_at"), (~place().eqNullSafe(F.col("first"))).alias("removed"))
 
 
 def removed_places(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """_row and the positions that go."""
     lines, parts = classes(docs, key, text, least)
     parts = materialise(parts, "line-components")
-    single = parts.where("n = 1 AND place <> first").select("place._row", "place.at")
+    single = parts.where("n = 1 AND NOT place <=> first").select("place._row", "place.at")
     # the lines of a common class are many: they meet it where they are, by broadcast or in split partitions
     often = lines.select("_key", "_row", "at", "line_id").join(parts.where("n > 1").select("line_id", "first"), "line_id")
-    gone = often.where(F.struct("_key", "at", "_row") != F.col("first")).select("_row", "at").unionByName(single)
+    gone = often.where(~place().eqNullSafe(F.col("first"))).select("_row", "at").unionByName(single)
     return gone.groupBy("_row").agg(F.collect_set("at").alias("_gone"))
 
 
