@@ -29,3 +29,8 @@ def test_dictionaries_learn_from_whole_texts(spark):
     assert len({w.split(b"x")[0] for w in got["header"].split() if w[:1] == b"w" and w[1:2].isdigit()}) > 200
     assert got["twice"] == b"a copy that stands many times"
     langid.classify("a language of one text", langid.compressors(tuple(sorted(got.items())), langid.LEVEL))
+
+
+def test_numerals_are_no_letters():
+    models = langid.compressors((("de", b"das ist ein Wort und noch eines"), ("en", b"this is a word and another")), 6)
+    assert [langid.classify(t, models)[0] for t in ("½ ² 12", "Ⅷ", "_ 3", "")] == ["und"] * 4 and langid.classify("ª", models)[0] != "und"

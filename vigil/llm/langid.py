@@ -15,7 +15,6 @@ column of the output is refused.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +32,6 @@ BLOCK_BYTES = 1024
 LEVEL = 6
 #: A margin below this share of the runner-up's bytes is a rejection.
 MIN_MARGIN = 0.02
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def fit_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
@@ -75,7 +73,7 @@ def compressors(dictionaries: tuple[tuple[str, bytes], ...], level: int) -> list
 
 def classify(text: str | None, models: list, block: int = BLOCK_BYTES) -> tuple[str, float, bool]:
     """Language, score and acceptance of one text."""
-    if not text or not models or not LETTER.search(text):
+    if not text or not models or not any(map(str.isalpha, text)):
         return "und", 0.0, False
     raw = text.lower().encode("utf-8", "surrogatepass")
     blocks = [raw[i : i + block] for i in range(0, len(raw), block)]
