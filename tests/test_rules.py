@@ -152,11 +152,12 @@ def collected(query_of, name, mode="append"):
     return query_of.sparkSession.table(name).collect()
 
 
-def test_throttle_stream_with_follow_ups(spark, tmp_path):
-    rows = [("a", 0.0, 1, False), ("a", 4.0, 2, False), ("a", 5.0, 3, True), ("a", 10.0, 4, False), ("b", 1.0, 5, True), ("b", 2.0, 6, False)]
-    df = spark.createDataFrame(rows, "key string, at double, alert_id long, followup boolean").coalesce(1)
-    got = collected(stateful.throttle_stream(stream(spark, df, str(tmp_path / "in")), 10.0), "throttled")
-    assert sorted(r.alert_id for r in got) == [1, 3, 4, 6]
+def test_follow_ups_go_with_alerts_that_passed(spark, tmp_path):
+    """Alert 2 is suppressed, so its follow-up is too, though alert 1 of the same key went out."""
+    rows = [("a", 0.0, 1, False), ("a", 4.0, 2, False), ("a", 5.0, 1, True), ("a", 6.0, 2, True), ("a", 10.0, 4, False), ("b", 1.0, 5, True), ("b", 2.0, 6, False), ("b", 5000.0, 6, True)]
+    df = spark.createDataFrame(rows, "key string, at double, alert_id long, followup boolean").repartition(4, "at")
+    got = collected(stateful.throttle_stream(stream(spark, df.coalesce(1), str(tmp_path / "in")), 10.0), "throttled")
+    assert sorted((r.at, r.alert_id) for r in got) == [(0.0, 1), (2.0, 6), (5.0, 1), (10.0, 4)]
 
 
 def test_segments(spark, tmp_path):
@@ -200,6 +201,21 @@ def test_bad_versions_leave_the_last_good(spark):
     assert [[r.zone for r in read().collect()] for _ in range(3)] == [[1], [1], [3]]
 
 
+def test_a_dimension_that_is_too_large_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(stateful, "MAX_DIMENSION", 2)
+    with pytest.raises(ValueError, match="over 2 rows"):
+        stateful.KeepLastGood(lambda: spark.range(3).withColumn("errors", F.array().cast("array<string>")), F.col("errors"))()
+
+
+def test_null_keys_and_days_are_written_once(spark, tmp_path):
+    df = spark.createDataFrame([(None, "2024-01-01"), (3, None), (4, "2024-01-01")], "k long, d string").withColumn("d", F.to_date("d")).coalesce(1)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for run in range(2):
+        s = stream(spark, df, src) if not run else spark.readStream.schema(df.schema).parquet(src)
+        stateful.write_once(s, out, "k", str(tmp_path / f"c{run}"), day="d").awaitTermination(120)
+    assert spark.read.parquet(out).count() == 3
+
+
 def test_reset_forgets_tracks(spark):
     seen = [(u, 1, True, False, False) for u in range(1, 4)] + [(4, None, False, False, True)] + [(u, 1, False, False, False) for u in range(5, 8)]
     df = spark.createDataFrame([("c", "z", *r) for r in seen], "camera_id string, zone_id string, update_no long, track_id long, inside boolean, at_edge boolean, reset boolean")

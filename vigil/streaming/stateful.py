@@ -20,6 +20,8 @@ from vigil.operators.boundaries import EVICT_AFTER, LEFT_AFTER
 
 #: Rows that a dimension read again for each batch may have.
 MAX_DIMENSION = 100_000
+#: Seconds in which the follow-up of an alert can come.
+FOLLOW_S = 3600.0
 EVENTS = "camera_id string, zone_id string, track_id long, update_no long, kind string"
 
 
@@ -91,34 +93,39 @@ def boundary_stream(observations: DataFrame, frames: int) -> DataFrame:
     return observations.groupBy("camera_id", "zone_id").applyInPandasWithState(run, EVENTS, "tracks string", "append", GroupStateTimeout.NoTimeout)
 
 
-def throttle_step(last: float | None, at: float, gap: float, followup: bool) -> tuple[bool, float | None]:
-    """Whether an alert passes, and the time that the next one counts from.
-
-    A follow-up passes at once, but only where something was sent before, and doesn't restart the gap.
-    """
-    if followup:
-        return last is not None, last
+def throttle_step(last: float | None, at: float, gap: float) -> tuple[bool, float | None]:
+    """Whether an alert passes, and the time that the next one counts from."""
     passes = gap <= 0 or last is None or at - last >= gap
     return passes, at if passes else last
 
 
-def throttle_stream(alerts: DataFrame, gap: float) -> DataFrame:
-    """Alerts (key string, at double, alert_id long, and followup boolean if there is one) that a throttle of gap seconds lets pass."""
+def throttle_stream(alerts: DataFrame, gap: float, follow_s: float = FOLLOW_S) -> DataFrame:
+    """Alerts (key string, at double, alert_id long, and followup boolean if there is one) that a throttle of gap seconds lets pass.
+
+    A follow-up passes where the very alert that it belongs to (alert_id) passed before, at most follow_s earlier, and
+    doesn't restart the gap; so what was suppressed doesn't come through later.
+    """
     if "followup" not in alerts.columns:
         alerts = alerts.withColumn("followup", F.lit(False))
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        passed = []
-        for r in pd.concat(list(parts)).sort_values(["at", "alert_id"]).itertuples():
-            passes, last = throttle_step(last, r.at, gap, bool(r.followup))
+        last, ids, ats = state.get if state.exists else (None, [], [])
+        sent = dict(zip(ids, ats, strict=True))
+        out = []
+        for r in pd.concat(list(parts)).sort_values(["at", "followup", "alert_id"]).itertuples():
+            sent = {i: t for i, t in sent.items() if r.at - t <= follow_s}
+            if r.followup:
+                passes = r.alert_id in sent
+            else:
+                passes, last = throttle_step(last, r.at, gap)
+                if passes:
+                    sent[int(r.alert_id)] = float(r.at)
             if passes:
-                passed.append((key[0], r.at, r.alert_id))
-        if last is not None:
-            state.update((float(last),))
-        yield pd.DataFrame(passed, columns=["key", "at", "alert_id"])
+                out.append((key[0], r.at, r.alert_id))
+        state.update((last, list(sent), list(sent.values())))
+        yield pd.DataFrame(out, columns=["key", "at", "alert_id"])
 
-    return alerts.groupBy("key").applyInPandasWithState(run, "key string, at double, alert_id long", "last double", "append", GroupStateTimeout.NoTimeout)
+    return alerts.groupBy("key").applyInPandasWithState(run, "key string, at double, alert_id long", "last double, ids array<long>, ats array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def segment_counts(frames: DataFrame, minutes: int = 15, late: str = "10 seconds") -> DataFrame:
@@ -171,8 +178,11 @@ class KeepLastGood:
             bad = rows.where(F.size(self.errors) > 0).limit(1).collect()
             self.problem = str(bad[0]) if bad else ""
             if not bad:
-                # rows, not a plan over files that may change: a dimension is small
-                self.good = rows.sparkSession.createDataFrame(rows.limit(MAX_DIMENSION).collect(), rows.schema)
+                # rows, not a plan over files that may change: a dimension is small, or it is an error
+                held = rows.limit(MAX_DIMENSION + 1).collect()
+                if len(held) > MAX_DIMENSION:
+                    raise ValueError(f"a dimension of over {MAX_DIMENSION} rows")
+                self.good = rows.sparkSession.createDataFrame(held, rows.schema)
         except AnalysisException as e:
             self.problem = str(e)
         if self.good is None:
@@ -193,8 +203,10 @@ def write_once(stream: DataFrame, path: str, key: str, checkpoint: str, then: di
         if hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop.Path(path)):
             there = spark.read.schema(df.schema).parquet(path)
             if day:
-                there = there.where(F.col(day).isin([r[0] for r in df.select(day).distinct().collect()]))
-            fresh = fresh.join(there.select(key), key, "left_anti").select(*df.columns)
+                days = [r[0] for r in df.select(day).distinct().collect()]
+                there = there.where(F.col(day).isin([x for x in days if x is not None]) | (F.lit(None in days) & F.col(day).isNull()))
+            f, t = fresh.alias("f"), there.select(F.col(key).alias("_key")).alias("t")
+            fresh = f.join(t, F.col(f"f.{key}").eqNullSafe(F.col("t._key")), "left_anti")
         fresh = fresh.persist()
         try:
             writer = fresh.write.mode("append")
