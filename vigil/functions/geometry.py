@@ -106,8 +106,15 @@ def meet(e: Column, f: Column) -> Column:
     return ((a * b < 0) & (c * d < 0)) | touch
 
 
+def without_repeats(points: Column) -> Column:
+    """A closed shape's points without those that equal the one before; the last one is before the first."""
+    n = F.size(points)
+    return F.filter(points, lambda p, i: (n == 1) | (p != F.get(points, F.when(i == 0, n - 1).otherwise(i - 1))))
+
+
 def crosses_itself(points: Column) -> Column:
-    """Whether sides of a polygon that aren't next to each other meet."""
+    """Whether sides of a polygon that aren't next to each other meet; a point that is given twice in a row is one."""
+    points = without_repeats(points)
     sides = F.transform(edges(points), lambda e, i: F.struct(e["ax"].alias("ax"), e["ay"].alias("ay"), e["bx"].alias("bx"), e["by"].alias("by"), i.alias("i")))
     n = F.size(points)
     apart = lambda e, f: (f["i"] - e["i"] > 1) & ~((e["i"] == 0) & (f["i"] == n - 1))

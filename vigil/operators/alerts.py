@@ -45,16 +45,32 @@ def summary(alerts: DataFrame, today: Column) -> DataFrame:
 
 
 def routed(alerts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Alerts with the rules that want them: kind named or none named, severity at the floor or above."""
-    a, r = alerts.alias("a"), rules.alias("r")
-    wanted = ((F.col("r.kind_filter") == "") | (F.col("r.kind_filter") == F.col("a.kind"))) & (severity_rank(F.col("a.severity")) >= severity_rank(F.col("r.min_severity")))
-    return a.join(r, wanted).select("a.*", "r.rule_id", "r.cooldown_s")
+    """Alerts with the enabled rules that want them: kind named or none named, severity at the floor or above.
 
+    rules: rule_id, min_severity, cooldown_s, kinds (array; none means all) and enabled. Rules meet alerts on kind and
+    rank of severity, those for all kinds on the rank alone.
+    """
+    ranks = F.sequence(severity_rank(F.col("min_severity")), F.lit(len(SEVERITIES) - 1))
+    r = rules.where("enabled").select("rule_id", "cooldown_s", "kinds", F.explode(ranks).alias("_rank"))
+    named = r.where(F.size("kinds") > 0).withColumn("kind", F.explode(F.array_distinct("kinds"))).drop("kinds")
+    a = alerts.withColumn("_rank", severity_rank(F.col("severity")))
+    columns = [*alerts.columns, "rule_id", "cooldown_s"]
+    return a.join(named, ["kind", "_rank"]).select(columns).unionByName(a.join(r.where(F.size("kinds") == 0).drop("kinds"), "_rank").select(columns))
+
+
+def notifications(alerts: DataFrame, rules: DataFrame, scope: Column | None = None) -> DataFrame:
+    """Routed alerts that their rule's cooldown lets pass, by rule, camera, kind, zone and scope; subtypes share one.
 
-def notifications(alerts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Routed alerts that their rule's cooldown lets pass, by rule, camera, kind and zone; subtypes share one."""
+    Alerts of different scopes (with a clip or without) have clocks of their own.
+    """
     x = routed(alerts, rules).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).withColumn("zone", F.coalesce("zone_id", F.lit("")))
-    return throttle(x, ["rule_id", "camera_id", "kind", "zone"], "at", "cooldown_s", "alert_id")
+    x = x.withColumn("scope", F.lit("") if scope is None else scope)
+    return throttle(x, ["rule_id", "camera_id", "kind", "zone", "scope"], "at", "cooldown_s", "alert_id")
+
+
+def follow_ups(later: DataFrame, sent: DataFrame, rules: DataFrame) -> DataFrame:
+    """rule_id and alert_id of follow-ups (alerts again, as they are now): they skip the cooldown, but go only by rules that still want them and by which the very alert went out (sent)."""
+    return routed(later, rules).join(sent.select("rule_id", "alert_id"), ["rule_id", "alert_id"], "left_semi").select("rule_id", "alert_id")
 
 
 def message(alerts: DataFrame) -> DataFrame:

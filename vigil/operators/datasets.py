@@ -91,10 +91,14 @@ def warped_box(strength: float, width: float, height: float) -> list[Column]:
 
 
 def family_keys(name: Column) -> list[Column]:
-    """Three levels of what a file name says of its source: without hash and extension, without its number, its first letters."""
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z]+$", ""), r"\.rf\.[0-9a-f]+$", ""), "_jpg$", "")
-    stem = F.regexp_replace(plain, r"[-_/]?[0-9]+$", "")
-    return [plain, stem, F.regexp_extract(stem, r"^([A-Za-z]+)", 1)]
+    """What a file name says of its source, from fine to coarse: without extension and hash; without its number at the end; its first letters with the number after them; its first letters.
+
+    The last two are the whole stem where it begins otherwise.
+    """
+    stem = F.regexp_replace(F.regexp_extract(name, r"([^/]+)$", 1), r"(?<=.)\.[^.]+$", "")
+    plain = F.regexp_replace(F.regexp_replace(stem, "(?i)_jpg$", ""), r"(?i)\.rf\.[0-9a-f]{16,}$", "")
+    begins = lambda pattern: F.coalesce(F.nullif(F.regexp_extract(plain, pattern, 1), F.lit("")), plain)
+    return [plain, F.regexp_replace(plain, r"[-_][0-9]+$", ""), begins(r"^([A-Za-z]+[0-9]+)"), begins(r"^([A-Za-z]+)")]
 
 
 def labelled(images: DataFrame, labels: DataFrame, path: str, label_path: str) -> DataFrame:
@@ -136,6 +140,11 @@ def modes(rows: DataFrame, value: str, top: int) -> DataFrame:
     return rows.groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(top)
 
 
+def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, mean, deviation of the population and number of distinct values."""
+    return rows.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("std"), F.count_distinct(value).alias("distinct"))
+
+
 def band(rate: Column, raised: float, high: float) -> Column:
     return F.when(rate >= high, "high").when(rate >= raised, "raised").otherwise("low")
 
@@ -184,9 +193,9 @@ def median_bits(values: Column) -> Column:
     return above(values, (F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) / 2)
 
 
-def largest_angle_group(rows: DataFrame, key: str, angle: str, within: int, turn: int) -> DataFrame:
-    """key and largest: most rows whose angles (whole degrees) lie so near one row's, around a turn; degrees are counted, not pairs."""
-    n = rows.groupBy(key, F.pmod(F.col(angle), F.lit(turn)).cast("int").alias("_a")).agg(F.count("*").alias("_n"))
-    near = n.select(key, "_n", F.explode(F.transform(F.sequence(F.lit(-within), F.lit(within)), lambda o: F.pmod(F.col("_a") + o, F.lit(turn)))).alias("_a"))
-    around = near.groupBy(key, "_a").agg(F.sum("_n").alias("_k"))
-    return around.join(n.select(key, "_a"), [key, "_a"], "left_semi").groupBy(key).agg(F.max("_k").alias("largest"))
+def largest_angle_group(rows: DataFrame, key: str, angle: str, within: float, turn: float) -> DataFrame:
+    """key and largest: most rows whose angles lie so near one row's, around a turn, by a range window over angles that go on past both ends."""
+    x = rows.select(key, F.pmod(F.col(angle).cast("double"), F.lit(float(turn))).alias("_a"))
+    x = x.select(key, F.explode(F.array(*[F.struct((F.col("_a") + k * turn).alias("_a"), F.lit(k == 0).alias("_own")) for k in (-1, 0, 1)])).alias("e")).select(key, "e.*")
+    near = F.expr(f"count(*) OVER (PARTITION BY `{key}` ORDER BY _a RANGE BETWEEN {float(within)}D PRECEDING AND {float(within)}D FOLLOWING)")
+    return x.withColumn("_n", near).where("_own").groupBy(key).agg(F.max("_n").alias("largest"))

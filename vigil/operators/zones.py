@@ -4,9 +4,10 @@ Zones are a small dimension of operator-drawn shapes, each of one camera, so
 detections meet the zones of their camera by an equi-join on it; Spark
 broadcasts the dimension when its size allows. Shapes here are rectangles
 (x0, y0, x1, y1) or have ``sides`` (see functions.geometry.edges). Where zones
-carry them, ``classes`` limits what a zone applies to, ``days``, ``from_s`` and
-``to_s`` when, ``events`` and ``direction`` which changes it reports, and
-``zone_order`` is the order of the store.
+carry them, ``classes`` limits what a zone applies to (a mask without any masks
+nothing), ``days``, ``from_s`` and ``to_s`` when, ``events`` and, for tripwires,
+``direction`` which changes it reports, ``crowd_threshold`` and
+``crowd_min_frames`` its crowds, and ``zone_order`` is the order of the store.
 """
 
 from __future__ import annotations
@@ -53,29 +54,32 @@ def membership_polygon(detections: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def unmasked(detections: DataFrame, zones: DataFrame) -> DataFrame:
-    """Detections that no exclusion zone which applies to them covers."""
-    d, z = detections.alias("d"), zones.where("ztype = 'exclusion'").alias("z")
+    """Detections that no exclusion zone which names their class covers; zones without a column of classes name all."""
+    masks = zones.where("ztype = 'exclusion'")
+    if "classes" in zones.columns:
+        masks = masks.where(F.size("classes") > 0)
+    d, z = detections.alias("d"), masks.alias("z")
     return d.join(z, applies(zones) & inside(F.col("d.fx"), F.col("d.fy")), "left_anti")
 
 
 def reported(events: DataFrame, zones: DataFrame) -> DataFrame:
     """Events (camera_id, zone_id, kind: entry or exit) that their zone's direction and list of events let through, with its severity.
 
-    Direction in lets entries pass, out exits, both (or null) either.
+    Only tripwires have a direction: a_to_b lets entries pass, b_to_a exits, both (or null) either.
     """
     e, z = events.drop("severity").alias("e"), zones.alias("z")
     x = e.join(z, (F.col("e.camera_id") == F.col("z.camera_id")) & (F.col("e.zone_id") == F.col("z.zone_id")))
     way = F.coalesce("z.direction", F.lit("both"))
-    allowed = (way == "both") | ((way == "in") & (F.col("e.kind") == "entry")) | ((way == "out") & (F.col("e.kind") == "exit"))
+    allowed = (F.col("z.ztype") != "tripwire") | (way == "both") | ((way == "a_to_b") & (F.col("e.kind") == "entry")) | ((way == "b_to_a") & (F.col("e.kind") == "exit"))
     return x.where(allowed & (F.col("z.events").isNull() | F.array_contains("z.events", F.col("e.kind")))).select("e.*", "z.severity")
 
 
 def occupancy(states: DataFrame, zones: DataFrame, latest: DataFrame, within: int = 3) -> DataFrame:
-    """camera_id, zone_id and n: tracks whose last confirmed state is inside and that were seen in the last few updates; 0 for empty zones.
+    """camera_id, zone_id and n: tracks whose last confirmed state is inside and that were unseen for a few updates at most; 0 for empty zones.
 
     states: camera_id, zone_id, track_id, inside, last_seen; latest: camera_id and update_no, the newest update of a camera.
     """
-    fresh = states.where("inside").join(latest, "camera_id").where(F.col("update_no") - F.col("last_seen") < within)
+    fresh = states.where("inside").join(latest, "camera_id").where(F.col("update_no") - F.col("last_seen") <= within)
     return zones.select("camera_id", "zone_id").join(fresh.select("camera_id", "zone_id", "track_id"), ["camera_id", "zone_id"], "left").groupBy("camera_id", "zone_id").agg(F.count("track_id").alias("n"))
 
 
@@ -97,6 +101,20 @@ def tripwire_events(detections: DataFrame, wire: tuple[float, float, float, floa
     return e.select("det_id", "camera_id", "track_id", F.when(F.col("side") == "b", "entry").otherwise("exit").alias("kind"))
 
 
+def tripwire_zone_events(detections: DataFrame, zones: DataFrame) -> DataFrame:
+    """Crossings of each camera's tripwires (points of any number): the side of the nearest segment counts, on the line the last side holds."""
+    from pyspark.sql.window import Window as W
+
+    d, z = detections.alias("d"), zones.where("ztype = 'tripwire'").alias("z")
+    keys = ["camera_id", "zone_id", "track_id"]
+    side = geometry.side_of_polyline(F.col("z.points"), F.col("d.fx").cast("double"), F.col("d.fy").cast("double"))
+    x = d.join(z, applies(zones)).select("d.det_id", "d.camera_id", "d.track_id", "d.obs_no", "d.ts", "z.zone_id", "z.severity", "z.min_frames", side.alias("side"))
+    w = W.partitionBy(*keys).orderBy("obs_no").rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumn("side", F.coalesce(F.last(F.when(F.col("side") != "on", F.col("side")), ignorenulls=True).over(w), F.lit("a")))
+    e = confirmed_changes(x, keys, ["obs_no"], "side", F.coalesce("min_frames", F.lit(4)))
+    return e.select("det_id", *keys, F.when(F.col("side") == "b", "entry").otherwise("exit").alias("kind"), "severity")
+
+
 def fire_decisions(detections: DataFrame, zones: DataFrame, base: float, band: float = 0.1) -> DataFrame:
     """Unmasked fire and smoke with roi (the first zone in the order of the store), bar and verdict: accepted, near_miss or below.
 
@@ -207,6 +225,23 @@ def crowd_events(points: DataFrame, ticks: DataFrame, eps: float | Column, thres
     return e.select("camera_id", "tick", F.col("state").alias("kind"), F.col("size").cast("long").alias("cluster_size"))
 
 
+def zone_crowd_events(detections: DataFrame, zones: DataFrame, eps: float | Column, frames: int = 4) -> DataFrame:
+    """Crowds formed and dispersed in each polygon with a crowd_threshold, over the camera's ticks at which the zone is on; crowd_min_frames, or frames, must agree.
+
+    The largest cluster of who is inside counts, 0 where nobody is.
+    """
+    z = zones.where("ztype = 'polygon' AND crowd_threshold IS NOT NULL")
+    keys = ["camera_id", "zone_id"]
+    ticks = detections.groupBy("camera_id", "tick").agg(F.min("ts").alias("ts")).alias("d")  # a camera's own ticks
+    on = ticks.join(z.alias("z"), applies(z.drop("classes"))).select("d.camera_id", "d.tick", "z.zone_id", "z.crowd_threshold", F.coalesce("z.crowd_min_frames", F.lit(frames)).alias("need"))
+    d = detections.alias("d")
+    within = d.join(z.alias("z"), applies(z) & inside(F.col("d.fx"), F.col("d.fy"))).select("d.camera_id", "z.zone_id", "d.tick", "d.fx", "d.fy")
+    x = on.join(largest_cluster(within, [*keys, "tick"], eps), [*keys, "tick"], "left").withColumn("size", F.coalesce("largest", F.lit(0)))
+    x = x.withColumn("state", F.when(F.col("size") >= F.col("crowd_threshold"), "formed").otherwise("dispersed"))
+    e = confirmed_changes(x, keys, ["tick"], "state", F.col("need"), F.lit("dispersed"))
+    return e.select(*keys, "tick", F.col("state").alias("kind"), F.col("size").cast("long").alias("cluster_size"))
+
+
 def documents(zones: DataFrame, width: float) -> DataFrame:
     """zone_id and doc: a zone as JSON, numbers to five places, without what is null or the default."""
     x = F.round(F.col("x0") / width, 5)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from vigil.functions import geometry, schedule
 from vigil.operators import alerts as A
@@ -208,22 +209,26 @@ def _(spark, d):
     return Z.tripwire_events(view(spark, d, "detections"), (100, 100, 900, 800), 2)
 
 
-OCCUPIED = f"""st AS (SELECT d.*, z.zone_id, z.min_frames, CASE WHEN fx BETWEEN x0 AND x1 AND fy BETWEEN y0 AND y1 THEN 'entry' ELSE 'exit' END AS state FROM detections d JOIN zones z ON z.camera_id = d.camera_id WHERE ztype = 'polygon'),
+OCCUPIED = f"""up AS (SELECT *, dense_rank() OVER (PARTITION BY camera_id ORDER BY tick) AS update_no FROM detections),
+st AS (SELECT d.*, z.zone_id, z.min_frames, CASE WHEN fx BETWEEN x0 AND x1 AND fy BETWEEN y0 AND y1 THEN 'entry' ELSE 'exit' END AS state FROM up d JOIN zones z ON z.camera_id = d.camera_id WHERE ztype = 'polygon'),
 rn AS (SELECT *, row_number() OVER (PARTITION BY camera_id, zone_id, track_id, run ORDER BY obs_no) AS age FROM (SELECT *, sum(chg) OVER (PARTITION BY camera_id, zone_id, track_id ORDER BY obs_no ROWS UNBOUNDED PRECEDING) AS run FROM
  (SELECT *, CASE WHEN lag(state) OVER (PARTITION BY camera_id, zone_id, track_id ORDER BY obs_no) IS DISTINCT FROM state THEN 1 ELSE 0 END AS chg FROM st))),
-ls AS (SELECT camera_id, zone_id, track_id, arg_max(state, obs_no) FILTER (age >= CASE WHEN run = 1 THEN 1 ELSE min_frames END) = 'entry' AS i, max(tick) AS seen FROM rn GROUP BY camera_id, zone_id, track_id),
-nw AS (SELECT camera_id, max(tick) AS u FROM detections GROUP BY camera_id)
-SELECT z.camera_id, z.zone_id, count(ls.track_id) AS n FROM (SELECT camera_id, zone_id FROM zones WHERE ztype = 'polygon') z JOIN nw ON nw.camera_id = z.camera_id LEFT JOIN ls ON ls.camera_id = z.camera_id AND ls.zone_id = z.zone_id AND ls.i AND nw.u - ls.seen < 240 GROUP BY z.camera_id, z.zone_id"""
+ls AS (SELECT camera_id, zone_id, track_id, arg_max(state, obs_no) FILTER (age >= CASE WHEN run = 1 THEN 1 ELSE min_frames END) = 'entry' AS i, max(update_no) AS seen FROM rn GROUP BY camera_id, zone_id, track_id),
+nw AS (SELECT camera_id, count(DISTINCT tick) AS u FROM detections GROUP BY camera_id)
+SELECT z.camera_id, z.zone_id, count(ls.track_id) AS n FROM (SELECT camera_id, zone_id FROM zones WHERE ztype = 'polygon') z JOIN nw ON nw.camera_id = z.camera_id LEFT JOIN ls ON ls.camera_id = z.camera_id AND ls.zone_id = z.zone_id AND ls.i AND ls.seen >= nw.u - 3 GROUP BY z.camera_id, z.zone_id"""
 
 
 @query("zone_occupancy", f"{prelude('detections', 'zones')}, {OCCUPIED}")
 def _(spark, d):
     zones, x = view(spark, d, "zones").where("ztype = 'polygon'"), view(spark, d, "detections")
+    updates = x.select("camera_id", "tick").distinct()  # a camera's hours are its updates
+    updates = updates.withColumn("update_no", F.row_number().over(W.partitionBy("camera_id").orderBy("tick")))
+    x = x.join(updates, ["camera_id", "tick"])
     y = Z.membership(x, zones).withColumn("state", F.when(F.col("inside"), "entry").otherwise("exit"))
     r = S.runs(y, ["camera_id", "zone_id", "track_id"], ["obs_no"], "state")
     sure = F.col("age") >= F.when(F.col("run") == 1, 1).otherwise(F.col("min_frames"))
-    states = r.groupBy("camera_id", "zone_id", "track_id").agg((F.max_by("state", F.when(sure, F.col("obs_no"))) == "entry").alias("inside"), F.max("tick").alias("last_seen"))
-    return Z.occupancy(states, zones, x.groupBy("camera_id").agg(F.max("tick").alias("update_no")), 240)
+    states = r.groupBy("camera_id", "zone_id", "track_id").agg((F.max_by("state", F.when(sure, F.col("obs_no"))) == "entry").alias("inside"), F.max("update_no").alias("last_seen"))
+    return Z.occupancy(states, zones, updates.groupBy("camera_id").agg(F.max("update_no").alias("update_no")))
 
 
 def crowd_sql(reach: str, members: int, frames: int) -> str:
@@ -280,13 +285,21 @@ def _(spark, d):
     return S.throttle(x, ["camera_id", "klass"], "at", "gap", "det_id")
 
 
-ROUTED = """SELECT rule_id, camera_id, kind, coalesce(zone_id, '') AS zone, CAST(epoch(ts) AS DOUBLE) AS t, alert_id AS i, CAST(cooldown_s AS DOUBLE) AS gap FROM alerts, alert_rules
- WHERE (kind_filter = '' OR kind_filter = kind) AND CASE severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END >= CASE min_severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END"""
+ROUTED = """SELECT rule_id, camera_id, kind, coalesce(zone_id, '') AS zone, CAST(epoch(ts) AS DOUBLE) AS t, alert_id AS i, CAST(cooldown_s AS DOUBLE) AS gap, CASE WHEN subtype = 'exit' THEN 'plain' ELSE 'clip' END AS scope FROM alerts, alert_rules
+ WHERE enabled AND (kinds = '' OR list_contains(string_split(kinds, ','), kind)) AND CASE severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END >= CASE min_severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END"""
 
 
-@query("alert_cooldown", f"WITH RECURSIVE {prelude('alerts', 'alert_rules')[5:]}, {throttle_sql(ROUTED, ['rule_id', 'camera_id', 'kind', 'zone'])} SELECT rule_id, camera_id, kind, zone, i AS alert_id FROM ps")
+@query("alert_cooldown", f"WITH RECURSIVE {prelude('alerts', 'alert_rules')[5:]}, {throttle_sql(ROUTED, ['rule_id', 'camera_id', 'kind', 'zone', 'scope'])} SELECT rule_id, camera_id, kind, zone, scope, i AS alert_id FROM ps")
+def notified(spark, d):
+    scope = F.when(F.col("subtype") == "exit", "plain").otherwise("clip")
+    return A.notifications(view(spark, d, "alerts"), view(spark, d, "alert_rules"), scope)
+
+
+@query("alert_follow_ups", f"WITH RECURSIVE {prelude('alerts', 'alert_rules')[5:]}, {throttle_sql(ROUTED, ['rule_id', 'camera_id', 'kind', 'zone', 'scope'])} SELECT p.rule_id, p.i AS alert_id FROM ps p JOIN alerts a ON a.alert_id = p.i JOIN alert_rules r ON r.rule_id = p.rule_id WHERE a.alert_id % 3 <> 0 AND (a.alert_id % 5 <> 0 OR r.min_severity = 'low')")
 def _(spark, d):
-    return A.notifications(view(spark, d, "alerts"), view(spark, d, "alert_rules"))
+    """Two thirds of all alerts come again with their clip, some as low by now; only those that went out are followed up."""
+    later = view(spark, d, "alerts").where("alert_id % 3 <> 0").withColumn("severity", F.when(F.col("alert_id") % 5 == 0, "low").otherwise(F.col("severity")))
+    return A.follow_ups(later, notified(spark, d), view(spark, d, "alert_rules"))
 
 
 WELDING = """e AS (SELECT user_id % 4 AS camera, CAST(epoch(ts) AS DOUBLE) AS t, event_type = 'click' AS s, CAST(value AS DOUBLE) AS y FROM events),

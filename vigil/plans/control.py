@@ -9,13 +9,14 @@ from vigil.functions import geometry
 from vigil.operators import alerts as A
 from vigil.operators import datasets as D
 from vigil.operators import dimensions as M
+from vigil.operators import ppe as P
 from vigil.operators import sequences as S
 from vigil.operators import similarity as X
 from vigil.operators import tracking as T
 from vigil.operators import validation as V
 from vigil.operators import zones as Z
 from vigil.plans.catalogue import changes_sql, query, seconds, share_sql
-from vigil.sources.observations import table, view
+from vigil.sources.observations import prelude, table, view
 from vigil.streaming import stateful
 
 C = F.col
@@ -25,12 +26,12 @@ DAYS = "list_transform(string_split(z.days, ','), lambda x: CAST(x AS INT))"
 ON = f"(z.days IS NULL OR CASE WHEN z.from_s <= z.to_s THEN list_contains({DAYS}, {WD}) AND {SEC} >= z.from_s AND {SEC} < z.to_s ELSE list_contains({DAYS}, {WD}) AND {SEC} >= z.from_s OR list_contains({DAYS}, ({WD} + 6) % 7) AND {SEC} < z.to_s END)"
 MEETS = f"d.camera_id = z.camera_id AND {HELD} AND {ON}"
 IN = "d.fx BETWEEN z.x0 AND z.x1 AND d.fy BETWEEN z.y0 AND z.y1"
-FREE = f"un AS (SELECT * FROM detections d WHERE NOT EXISTS (SELECT 1 FROM site_zones z WHERE z.ztype = 'exclusion' AND {MEETS} AND {IN}))"
+FREE = f"un AS (SELECT * FROM detections d WHERE NOT EXISTS (SELECT 1 FROM site_zones z WHERE z.ztype = 'exclusion' AND z.classes IS NOT NULL AND {MEETS} AND {IN}))"
 
 
 # -- zones with cameras, classes, hours, events and directions ---------------------------------------------------------
 
-@query("exclusion_by_rules", f"SELECT camera_id, klass, count(*) AS n FROM detections d WHERE NOT EXISTS (SELECT 1 FROM site_zones z WHERE z.ztype = 'exclusion' AND {MEETS} AND {IN}) GROUP BY camera_id, klass", "detections", "site_zones")
+@query("exclusion_by_rules", f"SELECT camera_id, klass, count(*) AS n FROM detections d WHERE NOT EXISTS (SELECT 1 FROM site_zones z WHERE z.ztype = 'exclusion' AND z.classes IS NOT NULL AND {MEETS} AND {IN}) GROUP BY camera_id, klass", "detections", "site_zones")
 def _(spark, d):
     return Z.unmasked(view(spark, d, "detections"), view(spark, d, "site_zones")).groupBy("camera_id", "klass").agg(F.count("*").alias("n"))
 
@@ -38,15 +39,69 @@ def _(spark, d):
 SITE = changes_sql(f"(SELECT d.*, z.zone_id, z.min_frames, CASE WHEN {IN} THEN 'entry' ELSE 'exit' END AS state FROM detections d JOIN site_zones z ON {MEETS} WHERE z.ztype = 'polygon')", "camera_id, zone_id, track_id", "obs_no", "min_frames")
 
 
+#: Sides of tripwires by their nearest segment, the first of equally near ones.
+WIRES = f"""sg AS (SELECT z.*, i, CAST(string_split(p[i], ',')[1] AS DOUBLE) AS ax, CAST(string_split(p[i], ',')[2] AS DOUBLE) AS ay, CAST(string_split(p[i + 1], ',')[1] AS DOUBLE) AS bx, CAST(string_split(p[i + 1], ',')[2] AS DOUBLE) AS cy
+ FROM (SELECT *, string_split(points, ';') AS p, unnest(range(1, len(string_split(points, ';')))) AS i FROM site_zones WHERE ztype = 'tripwire') z),
+ds AS (SELECT d.det_id, d.camera_id, d.track_id, d.obs_no, z.zone_id, z.min_frames, z.i, z.ax, z.ay, z.bx, z.cy, d.fx, d.fy, greatest(0.0, least(1.0, ((d.fx - z.ax) * (z.bx - z.ax) + (d.fy - z.ay) * (z.cy - z.ay)) / ((z.bx - z.ax) * (z.bx - z.ax) + (z.cy - z.ay) * (z.cy - z.ay)))) AS t FROM detections d JOIN sg z ON {MEETS}),
+nr AS (SELECT *, (fx - (ax + t * (bx - ax))) * (fx - (ax + t * (bx - ax))) + (fy - (ay + t * (cy - ay))) * (fy - (ay + t * (cy - ay))) AS dist, (bx - ax) * (fy - ay) - (cy - ay) * (fx - ax) AS c FROM ds),
+sd AS (SELECT det_id, camera_id, track_id, obs_no, zone_id, min_frames, CASE WHEN c > 0 THEN 'a' WHEN c < 0 THEN 'b' END AS side FROM nr QUALIFY row_number() OVER (PARTITION BY det_id, zone_id ORDER BY dist, i) = 1)"""
+CROSSED = changes_sql("(SELECT *, coalesce(last_value(side IGNORE NULLS) OVER (PARTITION BY camera_id, zone_id, track_id ORDER BY obs_no ROWS UNBOUNDED PRECEDING), 'a') AS state FROM sd)", "camera_id, zone_id, track_id", "obs_no", "min_frames")
+
+
 @query(
     "event_direction_filter",
-    f"""SELECT e.det_id, e.camera_id, e.zone_id, e.track_id, e.state AS kind, z.severity FROM ({SITE}) e JOIN site_zones z ON z.zone_id = e.zone_id
-    WHERE (z.direction IS NULL OR z.direction = 'both' OR z.direction = 'in' AND e.state = 'entry' OR z.direction = 'out' AND e.state = 'exit') AND (z.events IS NULL OR list_contains(string_split(z.events, ','), e.state))""",
+    f""", {WIRES} SELECT e.det_id, e.camera_id, e.zone_id, e.track_id, e.kind, z.severity FROM (SELECT det_id, camera_id, zone_id, track_id, state AS kind FROM ({SITE}) UNION ALL SELECT det_id, camera_id, zone_id, track_id, CASE state WHEN 'b' THEN 'entry' ELSE 'exit' END FROM ({CROSSED})) e JOIN site_zones z ON z.zone_id = e.zone_id
+    WHERE (z.ztype <> 'tripwire' OR z.direction IS NULL OR z.direction = 'both' OR z.direction = 'a_to_b' AND e.kind = 'entry' OR z.direction = 'b_to_a' AND e.kind = 'exit') AND (z.events IS NULL OR list_contains(string_split(z.events, ','), e.kind))""",
     "detections", "site_zones",
 )
 def _(spark, d):
     zones = view(spark, d, "site_zones")
-    return Z.reported(Z.boundary_events(view(spark, d, "detections"), zones), zones).select("det_id", "camera_id", "zone_id", "track_id", "kind", "severity")
+    x, columns = view(spark, d, "detections"), ["det_id", "camera_id", "zone_id", "track_id", "kind", "severity"]
+    return Z.reported(Z.boundary_events(x, zones).select(columns).unionByName(Z.tripwire_zone_events(x, zones).select(columns)), zones).select(columns)
+
+
+@query("tripwire_zone_events", f", {WIRES} SELECT det_id, camera_id, zone_id, track_id, CASE state WHEN 'b' THEN 'entry' ELSE 'exit' END AS kind FROM ({CROSSED})", "detections", "site_zones")
+def _(spark, d):
+    return Z.tripwire_zone_events(view(spark, d, "detections"), view(spark, d, "site_zones")).drop("severity")
+
+
+CROWDED = """cz AS (SELECT z.*, t.crowd_threshold, t.crowd_min_frames FROM site_zones z JOIN (VALUES ('yard', 3, 2), ('dock', 4, NULL), ('night', 2, 1)) AS t(zone_id, crowd_threshold, crowd_min_frames) ON t.zone_id = z.zone_id)"""
+
+
+@query(
+    "zone_crowd_events",
+    f"""WITH RECURSIVE {prelude('detections', 'site_zones')[5:]}, {CROWDED},
+    hr AS (SELECT camera_id, tick, min(ts) AS ts, 'any' AS klass FROM detections GROUP BY camera_id, tick),
+    tk AS (SELECT d.camera_id, d.tick, z.zone_id, z.crowd_threshold, coalesce(z.crowd_min_frames, 4) AS need FROM hr d JOIN cz z ON d.camera_id = z.camera_id AND {ON}),
+    pt AS (SELECT d.camera_id, z.zone_id, d.tick, d.det_id, d.fx, d.fy FROM detections d JOIN cz z ON {MEETS} AND {IN}),
+    pr AS (SELECT a.camera_id, a.zone_id, a.tick, a.det_id AS a, b.det_id AS b FROM pt a JOIN pt b ON a.camera_id = b.camera_id AND a.zone_id = b.zone_id AND a.tick = b.tick AND (a.fx - b.fx) * (a.fx - b.fx) + (a.fy - b.fy) * (a.fy - b.fy) <= 22500),
+    rc AS (SELECT * FROM pr UNION SELECT rc.camera_id, rc.zone_id, rc.tick, rc.a, pr.b FROM rc JOIN pr ON pr.camera_id = rc.camera_id AND pr.zone_id = rc.zone_id AND pr.tick = rc.tick AND pr.a = rc.b),
+    sz AS (SELECT camera_id, zone_id, tick, max(k) AS size FROM (SELECT camera_id, zone_id, tick, a, count(*) AS k FROM rc GROUP BY camera_id, zone_id, tick, a) WHERE k >= 2 GROUP BY camera_id, zone_id, tick),
+    st AS (SELECT tk.camera_id, tk.zone_id, tk.tick, tk.need, coalesce(sz.size, 0) AS size, CASE WHEN coalesce(sz.size, 0) >= crowd_threshold THEN 'formed' ELSE 'dispersed' END AS state FROM tk LEFT JOIN sz ON sz.camera_id = tk.camera_id AND sz.zone_id = tk.zone_id AND sz.tick = tk.tick)
+    SELECT camera_id, zone_id, tick, state AS kind, CAST(size AS BIGINT) AS cluster_size FROM ({changes_sql('st', 'camera_id, zone_id', 'tick', 'need', "'dispersed'")})""",
+)
+def _(spark, d):
+    limits = spark.sql("SELECT * FROM (VALUES ('yard', 3, 2), ('dock', 4, NULL), ('night', 2, 1)) AS t(zone_id, crowd_threshold, crowd_min_frames)")
+    zones = view(spark, d, "site_zones").join(limits, "zone_id", "left")
+    return Z.zone_crowd_events(view(spark, d, "detections"), zones, 150.0)
+
+
+@query(
+    "ppe_violations_by_zone",
+    """, ck AS (SELECT d.camera_id, z.zone_id, d.track_id, i.item, d.det_id AS check_no, CASE WHEN (d.score * 100 + i.k) % 100 >= 65 THEN 'present' WHEN (d.score * 100 + i.k) % 100 <= 55 THEN 'absent' ELSE 'unclear' END AS state
+     FROM detections d JOIN zones z ON z.camera_id = d.camera_id AND z.ztype = 'polygon' CROSS JOIN (VALUES ('helmet', 0), ('vest', 40)) AS i(item, k)),
+    lf AS (SELECT *, sum(CASE WHEN check_no - prev > 3001 THEN 1 ELSE 0 END) OVER (PARTITION BY camera_id, zone_id, track_id, item ORDER BY check_no) AS life FROM (SELECT *, lag(check_no) OVER (PARTITION BY camera_id, zone_id, track_id, item ORDER BY check_no) AS prev FROM ck)),
+    sn AS (SELECT *, sum(CASE WHEN state = 'present' THEN 1 ELSE 0 END) OVER (PARTITION BY camera_id, zone_id, track_id, item, life ORDER BY check_no) AS seen FROM lf WHERE state <> 'unclear')
+    SELECT camera_id, zone_id, track_id, item, check_no FROM (SELECT *, row_number() OVER (PARTITION BY camera_id, zone_id, track_id, item, life, seen ORDER BY check_no) AS age FROM sn WHERE state = 'absent') WHERE age = 3""",
+    "detections", "zones",
+)
+def _(spark, d):
+    """Two items of every person in every zone; a camera's checks are numbered by its detections."""
+    items = F.explode(F.array(*[F.struct(F.lit(i).alias("item"), F.lit(k).alias("k")) for i, k in (("helmet", 0), ("vest", 40))]))
+    x = Z.membership(view(spark, d, "detections"), view(spark, d, "zones").where("ztype = 'polygon'")).select("*", items.alias("i"))
+    clear = (C("score") * 100 + C("i.k")) % 100
+    state = F.when(clear >= 65, "present").when(clear <= 55, "absent").otherwise("unclear")
+    return P.violations(x.select("camera_id", "zone_id", "track_id", "i.item", C("det_id").alias("check_no"), state.alias("state")), 3, 3000)
 
 
 FIRE = f"""{FREE}, fd AS (SELECT d.det_id, d.camera_id, d.tick, d.klass, d.score, arg_min(z.zone_id, z.zone_order) AS roi, CAST(0.45 AS DOUBLE) + coalesce(greatest(least(min(z.conf_delta), 0), -0.5), 0) AS bar
@@ -235,13 +290,19 @@ def _(spark, d):
     return x.select("name", F.row_number().over(W.orderBy(M.number_key(C("name")))).alias("place"))
 
 
-@query("family_keys", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'shop-' || page_id WHEN 1 THEN 'shop' || page_id ELSE '0' || page_id END AS plain, CASE page_id % 3 WHEN 2 THEN '' ELSE 'shop' END AS stem, CASE page_id % 3 WHEN 2 THEN '' ELSE 'shop' END AS first_letters FROM pages")
+#: File names as they come: with a hash, without, in capitals, with a short hash, with digits first.
+NAMES = """CASE page_id % 7 WHEN 0 THEN 'shop-' || page_id || '_jpg.rf.' || md5(CAST(page_id AS VARCHAR)) || '.jpg' WHEN 1 THEN 'shop' || page_id || '.png' WHEN 2 THEN '0' || page_id || '.JPG' WHEN 3 THEN 'Yard_' || page_id || '_JPG.jpg'
+ WHEN 4 THEN 'gate-' || page_id || '.RF.' || upper(md5(CAST(page_id AS VARCHAR))) || '.jpg' WHEN 5 THEN 'a/frame-' || page_id || '.rf.0a1b.jpg' ELSE 'b/lane' || page_id END"""
+
+
+@query(
+    "family_keys",
+    f"""SELECT page_id, plain, regexp_replace(plain, '[-_][0-9]+$', '') AS fine, coalesce(nullif(regexp_extract(plain, '^[A-Za-z]+[0-9]+'), ''), plain) AS token, coalesce(nullif(regexp_extract(plain, '^[A-Za-z]+'), ''), plain) AS coarse FROM
+    (SELECT page_id, regexp_replace(regexp_replace(parse_filename(name, true), '_jpg$', '', 'i'), '\\.rf\\.[0-9a-f]{{16,}}$', '', 'i') AS plain FROM (SELECT page_id, {NAMES} AS name FROM pages))""",
+)
 def _(spark, d):
-    n = C("page_id").cast("string")
-    k = C("page_id") % 3
-    name = F.when(k == 0, F.concat(F.lit("shop-"), n, F.lit("_jpg.rf.0a1b2c.jpg"))).when(k == 1, F.concat(F.lit("shop"), n, F.lit(".png"))).otherwise(F.concat(F.lit("0"), n, F.lit(".jpg")))
-    plain, stem, first = D.family_keys(name)
-    return table(spark, d, "pages").select("page_id", plain.alias("plain"), stem.alias("stem"), first.alias("first_letters"))
+    x = table(spark, d, "pages").select("page_id", F.expr(NAMES.replace("VARCHAR", "STRING")).alias("name"))
+    return x.select("page_id", *[k.alias(n) for k, n in zip(D.family_keys(C("name")), ("plain", "fine", "token", "coarse"), strict=True)])
 
 
 @query("event_time_coercion", "SELECT event_id, strftime(CASE WHEN event_id % 2 = 0 THEN to_timestamp(1700000000 + event_id) AT TIME ZONE 'UTC' ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') AS at FROM events")
@@ -336,6 +397,11 @@ def _(spark, d):
     return D.modes(table(spark, d, "documents").select(F.floor(C("n_chars") / 500).alias("bucket")), "bucket", 3)
 
 
+@query("confound_spread", "SELECT lang, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std, count(DISTINCT n_chars) AS distinct FROM documents GROUP BY lang")
+def _(spark, d):
+    return D.spread(table(spark, d, "documents"), ["lang"], "n_chars")
+
+
 @query("two_signal_bands", "SELECT lang, CASE WHEN rate >= 0.15 THEN 'high' WHEN rate >= 0.1 THEN 'raised' ELSE 'low' END AS band FROM (SELECT lang, count(*) FILTER (n_chars < 500) / count(*) AS rate FROM documents GROUP BY lang)")
 def _(spark, d):
     x = table(spark, d, "documents").groupBy("lang").agg(D.guarded(F.count_if(C("n_chars") < 500), F.count("*")).alias("rate"))

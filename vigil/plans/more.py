@@ -112,10 +112,10 @@ def _(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(both).alias("flagged"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.median("n_chars").alias("median_chars"))
 
 
-@query("angle_groups", "SELECT a.p_brand, max(k) AS largest FROM (SELECT a.p_brand, a.p_partkey, count(*) AS k FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs((((a.p_size * 7 - b.p_size * 7 + 90) % 180) + 180) % 180 - 90) <= 10 GROUP BY a.p_brand, a.p_partkey) a GROUP BY a.p_brand")
+@query("angle_groups", "WITH q AS (SELECT p_brand, p_partkey, (p_size * 7 % 180) + (p_partkey % 4) * 0.25e0 AS a FROM part) SELECT p_brand, max(k) AS largest FROM (SELECT a.p_brand, a.p_partkey, count(*) AS k FROM q a JOIN q b ON a.p_brand = b.p_brand AND least(abs(a.a - b.a), 180 - abs(a.a - b.a)) <= 10.25 GROUP BY a.p_brand, a.p_partkey) GROUP BY p_brand")
 def _(spark, d):
-    p = table(spark, d, "part").select("p_brand", (C("p_size") * 7 % 180).alias("angle"))
-    return D.largest_angle_group(p, "p_brand", "angle", 10, 180).select("p_brand", "largest")
+    p = table(spark, d, "part").select("p_brand", (C("p_size") * 7 % 180 + C("p_partkey") % 4 * 0.25).alias("angle"))
+    return D.largest_angle_group(p, "p_brand", "angle", 10.25, 180).select("p_brand", "largest")
 
 
 @query("histogram_corr", "SELECT vec_id, round(corr, 6) AS corr FROM (SELECT vec_id, (64 * sxy - sx * sy) / sqrt((64 * sxx - sx * sx) * (64 * syy - sy * sy)) AS corr FROM (SELECT vec_id, list_sum(a) AS sx, list_sum(b) AS sy, list_sum(list_transform(range(1, 65), lambda i: a[i] * b[i])) AS sxy, list_sum(list_transform(a, lambda x: x * x)) AS sxx, list_sum(list_transform(b, lambda x: x * x)) AS syy FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, CAST(lag(embedding) OVER (ORDER BY vec_id) AS DOUBLE[]) AS b FROM embeddings)) WHERE sy IS NOT NULL)")
