@@ -95,14 +95,9 @@ def test_gate_confirms_once(spark):
             if c == cam:
                 ticks.setdefault(t, []).append((d, kl, tuple(b)))
         want += [(cam, t, kl) for t, kl in gate_by_hand(ticks, 3, 5, 0.3)]
-    got = tracking.k_of_n(df, 3, 5, 0.3).collect()
-    assert sorted((r.camera_id, r.tick, r.klass) for r in got) == sorted(want) and want
-
-
-def test_tracks_end_after_silence(spark):
-    rows = [("a", t, t, 0.9, float(t), 0.0, float(t + 20), 20.0) for t in range(5)] + [("a", 40, 40, 0.9, 4.0, 0.0, 24.0, 20.0), ("a", 3, 90, 0.2, 200.0, 0.0, 220.0, 20.0)]
-    df = spark.createDataFrame(rows, "camera_id string, tick long, det_id long, score double, x1 double, y1 double, x2 double, y2 double")
-    assert sorted((r.det_id, r.track_id) for r in tracking.track(df).collect()) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (40, 40)]
+    for ticks in (tracking.SLICE, 7):
+        got = tracking.k_of_n(df, 3, 5, 0.3, ticks).collect()
+        assert sorted((r.camera_id, r.tick, r.klass) for r in got) == sorted(want) and want
 
 
 @pytest.mark.parametrize("chunk", [1 << 18, 97])

@@ -1,45 +1,89 @@
-"""Boxes linked over time: greedy association by overlap inside spells of activity, then windows over the links.
+"""Boxes linked over time: association inside spells of activity, slice by slice, then windows over the links.
 
 Association depends on what was taken before, so it is a fold over the boxes of
 one camera. A silence longer than links may span ends every link, so a camera's
-boxes are cut there, and each spell is a group by itself. What comes after the
+boxes are cut there, and spells are folded apart. A long spell is cut into
+slices of so many ticks: what is live at the end of one (a few boxes or tracks)
+is carried to the next, all cameras' slices at a time, so that no group holds
+more than a slice, however long a camera is never silent. What comes after the
 links (K of N, growth) is window functions. An object is named by its first
 box.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from vigil.operators.graph import written
 from vigil.operators.similarity import BOX, overlap
 
+#: Ticks of a slice.
+SLICE = 20_000
 
-def spells(boxes: DataFrame, longest: int) -> DataFrame:
-    """boxes with _spell: a new one of a camera after a silence of more than so many ticks."""
+#: (what is carried or None, boxes by tick) -> (links of box and object, what is carried on)
+Fold = Callable[[Any, pd.DataFrame], tuple[list[tuple[int, int]], Any]]
+
+
+def spells(boxes: DataFrame, longest: int, slice_ticks: int = SLICE) -> DataFrame:
+    """boxes with _spell, a new one of a camera after a silence of more than so many ticks, and _slice, its part."""
     w = W.partitionBy("camera_id").orderBy("tick")
     new = F.when(F.col("tick") - F.lag("tick").over(w) > longest, 1).otherwise(0)
-    return boxes.withColumn("_new", new).withColumn("_spell", F.sum("_new").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("_new")
+    x = boxes.withColumn("_new", new).withColumn("_spell", F.sum("_new").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("_new")
+    return x.withColumn("_slice", F.floor((F.col("tick") - F.min("tick").over(W.partitionBy("camera_id", "_spell"))) / slice_ticks))
+
+
+def linked(boxes: DataFrame, longest: int, fold: Fold, name: str, slice_ticks: int = SLICE) -> DataFrame:
+    """camera_id, det_id and the object (its first box) that fold links the boxes of each spell with, slice after slice."""
+    x = spells(boxes, longest, slice_ticks)
+    last = x.agg(F.max("_slice").alias("k")).first().k or 0
+    keys, out = ["camera_id", "_spell"], f"camera_id string, _spell long, det_id long, {name} long, _carried string"
+    columns = [*keys, "det_id", name, "_carried"]
 
+    def one(key: tuple, pdf: pd.DataFrame, carried: str | None) -> pd.DataFrame:
+        links, after = fold(json.loads(carried) if carried else None, pdf.sort_values(["tick", "det_id"]))
+        rows = [(*key, d, o, None) for d, o in links]
+        if last:
+            rows.append((*key, None, None, json.dumps(after)))
+        return pd.DataFrame(rows, columns=columns).astype({"det_id": "Int64", name: "Int64"})
 
-def linked(boxes: DataFrame, longest: int, assign: Callable[[pd.DataFrame], list[tuple[int, int]]], name: str) -> DataFrame:
-    """camera_id, det_id and the object (its first box) that assign gives the boxes of each spell."""
+    def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return one(key, pdf, None)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], d, o) for d, o in assign(pdf.sort_values(["tick", "det_id"]))], columns=["camera_id", "det_id", name])
+    def later(key: tuple, carried: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        before = carried["_carried"].iloc[0] if len(carried) else None
+        if not len(pdf):  # nothing in this slice: what was carried waits, and is too old if it has waited too long
+            return pd.DataFrame([(*key, None, None, before)], columns=columns).astype({"det_id": "Int64", name: "Int64"})
+        return one(key, pdf, before)
 
-    return spells(boxes, longest).groupBy("camera_id", "_spell").applyInPandas(run, f"camera_id string, det_id long, {name} long")
+    if not last:
+        return x.groupBy(*keys).applyInPandas(first, out).select("camera_id", "det_id", name)
+    x = written(x, "boxes")
+    parts = [written(x.where("_slice = 0").groupBy(*keys).applyInPandas(first, out), "links")]
+    for k in range(1, last + 1):
+        carried = parts[-1].where("_carried IS NOT NULL").select(F.col("camera_id").alias("_camera"), F.col("_spell").alias("_of"), "_carried")
+        here = x.where(F.col("_slice") == k)
+        goes_on = x.where(F.col("_slice") >= k).select(F.col("camera_id").alias("_camera"), F.col("_spell").alias("_of")).distinct()
+        carried = carried.join(goes_on, ["_camera", "_of"], "left_semi")
+        parts.append(written(carried.groupBy("_camera", "_of").cogroup(here.groupBy(*keys)).applyInPandas(later, out), "links"))
+    links = parts[0]
+    for p in parts[1:]:
+        links = links.unionByName(p)
+    return links.where("_carried IS NULL").select("camera_id", "det_id", name)
 
 
-def candidates(boxes: DataFrame, n: int, least: float) -> DataFrame:
+def candidates(boxes: DataFrame, n: int, least: float, slice_ticks: int = SLICE) -> DataFrame:
     """camera_id, det_id, candidate: older candidates choose first, of their class the box of most overlap; none is chosen again n ticks after its last box."""
 
-    def assign(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-        latest: dict[int, tuple[int, str, tuple]] = {}  # by first box, in the order of making
+    def fold(carried: list | None, pdf: pd.DataFrame) -> tuple[list[tuple[int, int]], list]:
+        latest: dict[int, tuple[int, str, tuple]] = {first: (seen, klass, tuple(box)) for first, seen, klass, box in carried or []}  # in the order of making
         out = []
         for tick, part in pdf.groupby("tick"):
             here = {r.det_id: (r.klass, (r.x1, r.y1, r.x2, r.y2)) for r in part.itertuples()}
@@ -50,22 +94,22 @@ def candidates(boxes: DataFrame, n: int, least: float) -> DataFrame:
                 likeness = {d: overlap(box, b) for d, (k, b) in here.items() if k == klass}
                 chosen = max(likeness, key=lambda d: (likeness[d], d), default=None)
                 if chosen is not None and likeness[chosen] >= least:
-                    latest[first] = (tick, *here.pop(chosen))
+                    latest[first] = (int(tick), *here.pop(chosen))
                     out.append((chosen, first))
             for d, (klass, box) in here.items():
-                latest[d] = (tick, klass, box)
+                latest[d] = (int(tick), klass, box)
                 out.append((d, d))
-        return out
+        return out, [(int(first), seen, klass, list(map(float, box))) for first, (seen, klass, box) in latest.items()]
 
-    return linked(boxes, n, assign, "candidate")
+    return linked(boxes, n, fold, "candidate", slice_ticks)
 
 
-def k_of_n(boxes: DataFrame, k: int, n: int, least: float = 0.3) -> DataFrame:
+def k_of_n(boxes: DataFrame, k: int, n: int, least: float = 0.3, slice_ticks: int = SLICE) -> DataFrame:
     """The first box with which a candidate has k boxes in the last n ticks, and whether its last three areas rise.
 
     boxes: camera_id, tick, klass, det_id, x1, y1, x2, y2.
     """
-    x = boxes.join(candidates(boxes, n, least), ["camera_id", "det_id"])
+    x = boxes.join(candidates(boxes, n, least, slice_ticks), ["camera_id", "det_id"])
     own = W.partitionBy("camera_id", "candidate").orderBy("tick")
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     x = x.withColumn("_area", area).withColumn("_hits", F.count("*").over(own.rangeBetween(1 - n, 0)))
@@ -75,30 +119,135 @@ def k_of_n(boxes: DataFrame, k: int, n: int, least: float = 0.3) -> DataFrame:
     return first.select("camera_id", F.col("tick").cast("long").alias("tick"), "klass", *[F.col(c).cast("double").alias(c) for c in BOX], "growing")
 
 
-def track(boxes: DataFrame, high: float = 0.5, low: float = 0.1, least: float = 0.3, lost_after: int = 30) -> DataFrame:
-    """det_id and track_id: strong boxes meet tracks first, then weak ones meet what is left; only strong ones begin tracks."""
+#: Deviations of position and speed, as shares of a box's height, and of its shape and the shape's change.
+POSITION, SPEED, SHAPE, SHAPE_SPEED, SHAPE_SEEN = 1 / 20, 1 / 160, 1e-2, 1e-5, 1e-1
 
-    def assign(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-        tracks: dict[int, tuple[int, tuple]] = {}
-        out = []
+
+class Motion:
+    """Constant-velocity Kalman filters of many boxes: centre, shape (width over height) and height, each with its speed.
+
+    Noise of the four is independent, so each is a filter of two states of its own: x and v are n x 4, and p, q, r the
+    entries of their covariances.
+    """
+
+    def __init__(self, seen: np.ndarray):
+        h = seen[:, 3:4]
+        self.x, self.v = seen.copy(), np.zeros_like(seen)
+        self.p, self.q, self.r = (2 * self.spread(h, POSITION, SHAPE / 2)) ** 2, np.zeros_like(seen), (10 * self.spread(h, SPEED, SHAPE_SPEED / 10)) ** 2
+
+    @staticmethod
+    def spread(h: np.ndarray, share: float, shape: float) -> np.ndarray:
+        return np.concatenate((share * h, share * h, np.full_like(h, shape), share * h), axis=1)
+
+    def predict(self) -> None:
+        h = np.abs(self.x[:, 3:4])
+        self.x = self.x + self.v
+        self.p = self.p + 2 * self.q + self.r + self.spread(h, POSITION, SHAPE) ** 2
+        self.q = self.q + self.r
+        self.r = self.r + self.spread(h, SPEED, SHAPE_SPEED) ** 2
+
+    def update(self, at: np.ndarray, seen: np.ndarray) -> None:
+        """Correct the filters at these places by what was seen."""
+        s = self.p[at] + self.spread(np.abs(self.x[at, 3:4]), POSITION, SHAPE_SEEN) ** 2
+        gain, drift, off = self.p[at] / s, self.q[at] / s, seen - self.x[at]
+        self.x[at] += gain * off
+        self.v[at] += drift * off
+        self.r[at] -= drift * self.q[at]
+        self.q[at] -= gain * self.q[at]
+        self.p[at] -= gain * self.p[at]
+
+    def boxes(self) -> np.ndarray:
+        w, h = self.x[:, 2] * self.x[:, 3] / 2, self.x[:, 3] / 2
+        return np.stack((self.x[:, 0] - w, self.x[:, 1] - h, self.x[:, 0] + w, self.x[:, 1] + h), axis=1)
+
+    def take(self, at: np.ndarray) -> None:
+        for name in "xvpqr":
+            setattr(self, name, getattr(self, name)[at])
+
+    def add(self, other: Motion) -> None:
+        for name in "xvpqr":
+            setattr(self, name, np.concatenate((getattr(self, name), getattr(other, name))))
+
+
+def measured(boxes: np.ndarray) -> np.ndarray:
+    """Centre, shape and height of boxes."""
+    w, h = boxes[:, 2] - boxes[:, 0], np.maximum(boxes[:, 3] - boxes[:, 1], 1e-9)
+    return np.stack((boxes[:, 0] + w / 2, boxes[:, 1] + h / 2, w / h, h), axis=1)
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of all boxes of one frame with all of some tracks."""
+    size = lambda x: np.maximum(x[..., 2] - x[..., 0], 0) * np.maximum(x[..., 3] - x[..., 1], 0)
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    both = np.prod(np.maximum(high - low, 0), axis=2)
+    union = size(a)[:, None] + size(b)[None, :] - both
+    return np.where(union > 0, both / np.maximum(union, 1e-12), 0.0)
+
+
+def matched(likeness: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Rows and columns that go together, the most alike first, then by row and column."""
+    rows, columns = np.nonzero(likeness >= least)
+    out, used_rows, used_columns = [], set(), set()
+    for k in np.lexsort((columns, rows, -likeness[rows, columns])).tolist():
+        i, j = int(rows[k]), int(columns[k])
+        if i not in used_rows and j not in used_columns:
+            used_rows.add(i)
+            used_columns.add(j)
+            out.append((i, j))
+    return out
+
+
+def track(boxes: DataFrame, high: float = 0.5, low: float = 0.1, least: float = 0.2, lost_after: int = 30, sure_after: int = 2, slice_ticks: int = SLICE) -> DataFrame:
+    """camera_id, det_id and track_id (its first box) of the boxes of sure tracks.
+
+    Tracks move on as they did (a constant-velocity filter) until they are seen again, for lost_after ticks. Boxes of
+    high score meet all tracks by overlap with where these should be; then boxes down to low meet what is left. Only
+    high ones begin tracks. A track is sure once it was seen in sure_after ticks in a row; before, its boxes have no
+    track, and it ends with the first tick that misses it. Ticks are the frames on which the detector ran.
+    """
+
+    def fold(carried: dict | None, pdf: pd.DataFrame) -> tuple[list[tuple[int, int]], dict]:
+        motion, ids, hits, seen, now = Motion(np.zeros((0, 4))), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        if carried:
+            for name in "xvpqr":
+                setattr(motion, name, np.array(carried[name], float).reshape(-1, 4))
+            ids, hits, seen, now = (np.array(carried[k], np.int64) for k in ("ids", "hits", "seen", "now"))
+        out: list[tuple[int, int]] = []
         for tick, part in pdf[pdf.score >= low].groupby("tick"):
-            tracks = {t: x for t, x in tracks.items() if tick - x[0] <= lost_after}
-            free = set(tracks)
-            for strong in (True, False):
-                here = {r.det_id: (r.x1, r.y1, r.x2, r.y2) for r in part[(part.score >= high) == strong].itertuples()}
-                pairs = sorted((-o, d, t) for d, box in here.items() for t in free if (o := overlap(box, tracks[t][1])) >= least)
-                for _, d, t in pairs:
-                    if d in here and t in free:
-                        free.discard(t)
-                        tracks[t] = (tick, here.pop(d))
-                        out.append((d, t))
-                if strong:
-                    for d, box in here.items():
-                        tracks[d] = (tick, box)
-                        out.append((d, d))
-        return out
-
-    return linked(boxes, lost_after, assign, "track_id")
+            for _ in range(int(tick - now) if now is not None else 0):
+                if not len(ids):
+                    break
+                motion.predict()
+            now = int(tick)
+            live = (now - seen <= lost_after) & ((hits >= sure_after) | (now - seen == 1))
+            motion.take(live)
+            ids, hits, seen = ids[live], hits[live], seen[live]
+            at = part[["x1", "y1", "x2", "y2"]].to_numpy(float)
+            dets, strong = part["det_id"].to_numpy(np.int64), part["score"].to_numpy(float) >= high
+            free, taken = np.arange(len(ids)), np.zeros(len(dets), bool)
+            for group in (np.flatnonzero(strong), np.flatnonzero(~strong)):
+                if not len(group) or not len(free):
+                    continue
+                pairs = matched(overlaps(at[group], motion.boxes()[free]), least)
+                if not pairs:
+                    continue
+                mine, theirs = group[[i for i, _ in pairs]], free[[j for _, j in pairs]]
+                motion.update(theirs, measured(at[mine]))
+                hits[theirs] = np.where(now - seen[theirs] == 1, hits[theirs] + 1, np.maximum(hits[theirs], 1))
+                seen[theirs] = now
+                taken[mine] = True
+                out += [(int(dets[i]), int(ids[j])) for i, j in zip(mine, theirs, strict=True) if hits[j] >= sure_after]
+                free = np.setdiff1d(free, theirs)
+            new = np.flatnonzero(strong & ~taken)
+            if len(new):
+                motion.add(Motion(measured(at[new])))
+                ids, hits, seen = np.concatenate((ids, dets[new])), np.concatenate((hits, np.ones(len(new), np.int64))), np.concatenate((seen, np.full(len(new), now)))
+                if sure_after <= 1:
+                    out += [(int(d), int(d)) for d in dets[new]]
+        state = {name: getattr(motion, name).tolist() for name in "xvpqr"} | {"ids": ids.tolist(), "hits": hits.tolist(), "seen": seen.tolist(), "now": now if now is None else int(now)}
+        return out, state
+
+    return linked(boxes, lost_after, fold, "track_id", slice_ticks)
 
 
 def confirmed(detections: DataFrame) -> DataFrame:

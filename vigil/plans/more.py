@@ -187,7 +187,9 @@ def _(spark, d):
 
 @query("track_association")
 def _(spark, d):
-    return T.track(with_box(view(spark, d, "detections")), lost_after=48)
+    """People of all cameras, frame by frame: each walks on by 60 and 40 pixels, in boxes of 300 by 200, and turns at the edges."""
+    x = view(spark, d, "detections").select("camera_id", "det_id", "score", C("obs_no").alias("tick"), (C("fx") - 150).alias("x1"), (C("fy") - 200).alias("y1"), (C("fx") + 150).alias("x2"), C("fy").alias("y2"))
+    return T.track(x, high=0.3, lost_after=6)
 
 
 #: Boundary events as a recursion over each track's observations: state after each, and what happens in the gap that follows.
