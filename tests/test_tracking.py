@@ -1,4 +1,4 @@
-"""Tracks: motion, confirmation, loss, and slices that carry what is live."""
+"""Tracks: motion, confirmation, loss, and batches that carry what is live."""
 
 import random
 
@@ -78,8 +78,8 @@ def test_tracks_end_after_silence(spark):
     assert tracks(spark, rows, lost_after=30) == {1: 0, 2: 0, 3: 0, 4: 0, 20: 0, 21: 0, 61: 60}
 
 
-def test_slices_carry_what_is_live(spark):
-    """A camera that is never silent, in slices of few ticks, and another with gaps: the same tracks as in one piece."""
+def test_batches_carry_what_is_live(spark):
+    """A camera that is never silent, in batches of few rows, and another with gaps: the same tracks as in one piece."""
     rng, rows = random.Random(6), []
     for camera in "ab":
         people = [[rng.random() * 800, rng.random() * 400, rng.uniform(-6, 6), rng.uniform(-3, 3)] for _ in range(6)]
@@ -94,4 +94,9 @@ def test_slices_carry_what_is_live(spark):
                 if rng.random() < 0.02:
                     people[k] = [rng.random() * 800, rng.random() * 400, 3.0, 1.0]
     whole = tracks(spark, rows, lost_after=8)
-    assert whole == tracks(spark, rows, lost_after=8, slice_ticks=25) and 6 < len(set(whole.values())) < 60
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "37")
+    try:
+        assert whole == tracks(spark, rows, lost_after=8) and 6 < len(set(whole.values())) < 60
+    finally:
+        spark.conf.unset(size)

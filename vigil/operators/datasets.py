@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -149,6 +152,12 @@ def band(rate: Column, raised: float, high: float) -> Column:
     return F.when(rate >= high, "high").when(rate >= raised, "raised").otherwise("low")
 
 
+def flag_report(rows: DataFrame, keys: list[str], value: str, flagged: Column, raised: float, high: float) -> DataFrame:
+    """keys, mean and median of a value, the share of flagged rows, and its band."""
+    x = rows.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), F.median(value).alias("median"), guarded(F.count_if(flagged), F.count("*")).alias("rate"))
+    return x.select(*keys, "mean", "median", F.round("rate", 6).alias("flag_rate"), band(F.col("rate"), raised, high).alias("band"))
+
+
 def blanks(rows: DataFrame, image: str, blank: Column, unreadable: Column) -> DataFrame:
     """Distinct images that are blank, that can't be read, and all."""
     some = lambda c: F.count_distinct(F.when(c, F.col(image)))
@@ -184,13 +193,38 @@ def above(values: Column, bar: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda h, v: F.shiftleft(h, 1).bitwiseOR(F.when(v > bar, 1).otherwise(0).cast("long")))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What use makes of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def mean_bits(values: Column) -> Column:
-    return above(values, F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values))
+    return bound(F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values), lambda bar: above(values, bar))
 
 
 def median_bits(values: Column) -> Column:
-    x, n = F.sort_array(values), F.size(values)
-    return above(values, (F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) / 2)
+    n = F.size(values)
+    middle = lambda x: (F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) / 2
+    return bound(bound(F.sort_array(values), middle), lambda bar: above(values, bar))
+
+
+def dct_matrix(n: int, keep: int) -> list[list[float]]:
+    """The first rows of the orthonormal cosine transform of n values."""
+    return [[math.cos((2 * x + 1) * u * math.pi / (2 * n)) * math.sqrt((1 if u == 0 else 2) / n) for x in range(n)] for u in range(keep)]
+
+
+def dct_low(image: Column, n: int, keep: int) -> Column:
+    """The keep x keep lowest frequencies of an image of n x n values (an array, row by row), as the product of the transform, the image and the transform again."""
+    rows = F.array(*[F.array(*[F.lit(v) for v in r]) for r in dct_matrix(n, keep)])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    lines = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: F.transform(rows, lambda c: dot(F.slice(image, x * n + 1, n), c)))
+    columns = lambda y: F.transform(F.sequence(F.lit(0), F.lit(keep - 1)), lambda v: F.transform(y, lambda line: F.get(line, v)))
+    return bound(lines, lambda y: bound(columns(y), lambda cs: F.flatten(F.transform(rows, lambda c: F.transform(cs, lambda column: dot(column, c))))))
+
+
+def dct_bits(image: Column, n: int, keep: int) -> Column:
+    """Which low frequencies lie above their median, as bits of a long, the first one highest."""
+    return bound(dct_low(image, n, keep), median_bits)
 
 
 def largest_angle_group(rows: DataFrame, key: str, angle: str, within: float, turn: float) -> DataFrame:

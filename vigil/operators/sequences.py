@@ -2,8 +2,8 @@
 
 Window forms use one partition and order specification each, so Spark sorts
 once for all their columns. Folds, whose state depends on what they emitted,
-run as SQL aggregates over a key's ordered array; for unbounded streams the
-same step functions are in vigil.streaming.
+walk sorted partitions (operators.folds); for unbounded streams the same steps
+are in vigil.streaming.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from vigil.operators.folds import folded
+
 
 def runs(df: DataFrame, keys: list[str], order: list[str], state: str) -> DataFrame:
     """df with run (number of the state's run) and age (place in it), from 1."""
@@ -42,18 +44,44 @@ def throttle(df: DataFrame, keys: list[str], at: str, gap: str, ident: str) -> D
     passes whatever passed earlier, so a key's rows are cut there, and each piece is folded by itself.
     """
     w = W.partitionBy(*keys).orderBy(at, ident)
-    whole = df.withColumn("_gap", F.max(gap).over(W.partitionBy(*keys)))
-    cut = whole.withColumn("_cut", F.when(F.col(at) - F.lag(at).over(w) >= F.col("_gap"), 1).otherwise(0))
+    whole = df.withColumn("_gap", F.max(gap).over(W.partitionBy(*keys)).cast("double"))
+    free = whole.where("_gap <= 0").select(*keys, F.col(ident).cast("long").alias(ident))
+    cut = whole.where("_gap > 0").withColumn("_cut", F.when(F.col(at) - F.lag(at).over(w) >= F.col("_gap"), 1).otherwise(0))
     cut = cut.withColumn("_piece", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    rows = cut.groupBy(*keys, "_piece").agg(F.max("_gap").alias("_gap"), F.sort_array(F.collect_list(F.struct(F.col(at).alias("t"), F.col(ident).alias("i")))).alias("_rows"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        passes = acc["last"].isNull() | (r["t"] - acc["last"] >= F.col("_gap"))
-        return F.when(passes, F.struct(r["t"].cast("double").alias("last"), F.array_append(acc["out"], r["i"].cast("long")).alias("out"))).otherwise(acc)
+    def fold(last: float | None, rows: dict[str, list]) -> tuple[list[tuple], float | None]:
+        out = []
+        for t, i, least in zip(rows[at], rows[ident], rows["_gap"], strict=True):
+            if last is None or t - last >= least:
+                last = float(t)
+                out.append((int(i),))
+        return out, last
+
+    # the second piece and those after it begin with a row that passes, so each is a key of its own
+    kept = folded(cut.select(*keys, "_piece", F.col(at).cast("double").alias(at), F.col(ident).cast("long").alias(ident), "_gap"), [*keys, "_piece"], [at, ident], f"{ident} long", fold)
+    return kept.drop("_piece").unionByName(free)
+
+
+def scheduled(df: DataFrame, keys: list[str], at: str, step: float, ident: str) -> DataFrame:
+    """keys and ident of the rows that a schedule of one each step seconds publishes.
+
+    A row passes from the next planned time on. The one after that is planned a step later than planned, so jitter
+    doesn't wear the rate down, but no more than a step behind the row: after a stall it starts anew. A row three steps
+    after the one before is such a start, so keys are cut there.
+    """
+    w = W.partitionBy(*keys).orderBy(at, ident)
+    x = df.select(*keys, F.col(at).cast("double").alias(at), F.col(ident).cast("long").alias(ident))
+    x = x.withColumn("_piece", F.sum(F.when(F.col(at) - F.lag(at).over(w) >= 3 * step, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+    def fold(planned: float | None, rows: dict[str, list]) -> tuple[list[tuple], float | None]:
+        out = []
+        for t, i in zip(rows[at], rows[ident], strict=True):
+            if planned is None or t >= planned:
+                planned = float(t - step if planned is None else max(planned + step, t - step))
+                out.append((int(i),))
+        return out, planned
 
-    kept = F.when(F.col("_gap") <= 0, F.transform("_rows", lambda r: r["i"].cast("long"))).otherwise(F.aggregate("_rows", start, step)["out"])
-    return rows.select(*keys, F.explode(kept).alias(ident))
+    return folded(x, [*keys, "_piece"], [at, ident], f"{ident} long", fold).drop("_piece")
 
 
 def rolling_hits(df: DataFrame, keys: list[str], order: list[str], hit: Column, n: int) -> DataFrame:
@@ -81,35 +109,39 @@ def episodes(df: DataFrame, keys: list[str], at: str, spark: str, window: int =
     """Starts of episodes: needed of the last window rows count, the present one sparks, and no episode is on.
 
     A spark counts unless its y lies over jump above that of the spark before. An episode ends, and what was counted
-    is forgotten, at the first row calm seconds after the last spark; nothing is forgotten while none is on.
+    is forgotten, at the first row calm seconds after the last spark; nothing is forgotten while none is on. Of rows at
+    one time those that don't spark come first, then by y.
     """
     height = F.col(y).cast("double") if y else F.lit(0.0)
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(spark).cast("int").alias("s"), height.alias("y")))).alias("_rows"))
-    none = F.lit(None).cast("double")
-    start = F.struct(F.array().cast("array<int>").alias("recent"), F.lit(False).alias("latched"), none.alias("last"), none.alias("y"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        sparks = r["s"] == 1
-        counts = F.when(sparks & ~F.coalesce(r["y"] - acc["y"] < -jump, F.lit(False)), 1).otherwise(0)
-        recent = F.concat(F.when(F.size(acc["recent"]) >= window, F.slice(acc["recent"], 2, window - 1)).otherwise(acc["recent"]), F.array(counts))
-        last = F.when(sparks, r["t"]).otherwise(acc["last"])
-        ends = acc["latched"] & F.coalesce(r["t"] - last >= calm, F.lit(False))
-        recent = F.when(ends, F.array().cast("array<int>")).otherwise(recent)
-        latched = acc["latched"] & ~ends
-        fires = sparks & ~latched & (F.aggregate(recent, F.lit(0), lambda n, v: n + v) >= needed)
-        return F.struct(
-            recent.alias("recent"), (latched | fires).alias("latched"), last.alias("last"), F.when(ends, none).when(sparks, r["y"]).otherwise(acc["y"]).alias("y"),
-            F.when(fires, F.array_append(acc["out"], r["t"])).otherwise(acc["out"]).alias("out"),
-        )
-
-    return rows.select(*keys, F.explode(F.aggregate("_rows", start, step)["out"]).alias("started"))
+    x = df.select(*keys, F.col(at).cast("double").alias("_t"), F.col(spark).cast("int").alias("_s"), height.alias("_y"))
+
+    def fold(carried: list | None, rows: dict[str, list]) -> tuple[list[tuple], list]:
+        recent, latched, last, high = carried or ([], False, None, None)
+        out = []
+        for t, s, v in zip(rows["_t"], rows["_s"], rows["_y"], strict=True):
+            counts = s == 1 and not (high is not None and v - high < -jump)
+            if s == 1:
+                last, high = t, v
+            recent = [*recent, int(counts)][-window:]
+            if latched and last is not None and t - last >= calm:
+                latched, recent, high = False, [], None
+            if s == 1 and not latched and sum(recent) >= needed:
+                latched = True
+                out.append((t,))
+        return out, [recent, latched, last, high]
+
+    return folded(x, keys, ["_t", "_s", "_y"], "started double", fold)
 
 
 def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str, keep: float = 0.9) -> DataFrame:
-    """keys and ema: keep times the old mean, the rest of it the new value; the first value starts it."""
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("_rows"))
-    fold = F.aggregate("_rows", F.lit(None).cast("double"), lambda m, r: F.when(m.isNull(), r["_v"]).otherwise(keep * m + (1 - keep) * r["_v"]))
-    return rows.select(*keys, fold.alias("ema"))
+    """keys and ema: keep times the old mean, the rest of it the new value; the first value starts it.
+
+    Written out, each value has the weight that later ones left it, so it is one weighted sum.
+    """
+    backwards = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    x = df.withColumn("_later", F.row_number().over(backwards) - 1).withColumn("_first", F.lead(F.lit(1)).over(backwards).isNull())
+    weight = F.pow(F.lit(float(keep)), F.col("_later")) * F.when(F.col("_first"), 1.0).otherwise(1.0 - keep)
+    return x.groupBy(*keys).agg(F.sum(weight * F.col(value).cast("double")).alias("ema"))
 
 
 def resample(index: Column, step: float) -> Column:

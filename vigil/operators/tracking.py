@@ -1,91 +1,43 @@
-"""Boxes linked over time: association inside spells of activity, slice by slice, then windows over the links.
+"""Boxes linked over time: association inside spells of activity, then windows over the links.
 
 Association depends on what was taken before, so it is a fold over the boxes of
 one camera. A silence longer than links may span ends every link, so a camera's
-boxes are cut there, and spells are folded apart. A long spell is cut into
-slices of so many ticks: what is live at the end of one (a few boxes or tracks)
-is carried to the next, all cameras' slices at a time, so that no group holds
-more than a slice, however long a camera is never silent. What comes after the
-links (K of N, growth) is window functions. An object is named by its first
-box.
+boxes are cut there, and spells are folded apart. A fold walks its boxes batch
+by batch and carries what is live (a few boxes or tracks), so no task holds a
+camera's history, however long it is never silent. What comes after the links
+(K of N, growth) is window functions. An object is named by its first box.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-from typing import Any
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vigil.operators.graph import written
+from vigil.operators.folds import Fold, folded
 from vigil.operators.similarity import BOX, overlap
 
-#: Ticks of a slice.
-SLICE = 20_000
+def spells(boxes: DataFrame, longest: int) -> DataFrame:
+    """boxes with _spell: a new one of a camera after a silence of more than so many ticks."""
+    w = W.partitionBy("camera_id").orderBy("tick")
+    new = F.when(F.col("tick") - F.lag("tick").over(w) > longest, 1).otherwise(0)
+    return boxes.withColumn("_new", new).withColumn("_spell", F.sum("_new").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("_new")
+
 
-#: (what is carried or None, boxes by tick) -> (links of box and object, what is carried on)
-Fold = Callable[[Any, pd.DataFrame], tuple[list[tuple[int, int]], Any]]
+def linked(boxes: DataFrame, longest: int, fold: Fold, name: str) -> DataFrame:
+    """camera_id, det_id and the object (its first box) that fold links the boxes of each spell with."""
+    x = spells(boxes, longest).select("camera_id", "_spell", F.col("tick").cast("long").alias("tick"), F.col("det_id").cast("long").alias("det_id"), *[c for c in ("klass", "score") if c in boxes.columns], *[F.col(c).cast("double").alias(c) for c in BOX])
+    return folded(x, ["camera_id", "_spell"], ["tick", "det_id"], f"det_id long, {name} long", fold, "tick").drop("_spell")
 
 
-def spells(boxes: DataFrame, longest: int, slice_ticks: int = SLICE) -> DataFrame:
-    """boxes with _spell, a new one of a camera after a silence of more than so many ticks, and _slice, its part."""
-    w = W.partitionBy("camera_id").orderBy("tick")
-    new = F.when(F.col("tick") - F.lag("tick").over(w) > longest, 1).otherwise(0)
-    x = boxes.withColumn("_new", new).withColumn("_spell", F.sum("_new").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("_new")
-    return x.withColumn("_slice", F.floor((F.col("tick") - F.min("tick").over(W.partitionBy("camera_id", "_spell"))) / slice_ticks))
-
-
-def linked(boxes: DataFrame, longest: int, fold: Fold, name: str, slice_ticks: int = SLICE) -> DataFrame:
-    """camera_id, det_id and the object (its first box) that fold links the boxes of each spell with, slice after slice."""
-    x = spells(boxes, longest, slice_ticks)
-    last = x.agg(F.max("_slice").alias("k")).first().k or 0
-    keys, out = ["camera_id", "_spell"], f"camera_id string, _spell long, det_id long, {name} long, _carried string"
-    columns = [*keys, "det_id", name, "_carried"]
-
-    def one(key: tuple, pdf: pd.DataFrame, carried: str | None) -> pd.DataFrame:
-        links, after = fold(json.loads(carried) if carried else None, pdf.sort_values(["tick", "det_id"]))
-        rows = [(*key, d, o, None) for d, o in links]
-        if last:
-            rows.append((*key, None, None, json.dumps(after)))
-        return pd.DataFrame(rows, columns=columns).astype({"det_id": "Int64", name: "Int64"})
-
-    def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return one(key, pdf, None)
-
-    def later(key: tuple, carried: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        before = carried["_carried"].iloc[0] if len(carried) else None
-        if not len(pdf):  # nothing in this slice: what was carried waits, and is too old if it has waited too long
-            return pd.DataFrame([(*key, None, None, before)], columns=columns).astype({"det_id": "Int64", name: "Int64"})
-        return one(key, pdf, before)
-
-    if not last:
-        return x.groupBy(*keys).applyInPandas(first, out).select("camera_id", "det_id", name)
-    x = written(x, "boxes")
-    parts = [written(x.where("_slice = 0").groupBy(*keys).applyInPandas(first, out), "links")]
-    for k in range(1, last + 1):
-        carried = parts[-1].where("_carried IS NOT NULL").select(F.col("camera_id").alias("_camera"), F.col("_spell").alias("_of"), "_carried")
-        here = x.where(F.col("_slice") == k)
-        goes_on = x.where(F.col("_slice") >= k).select(F.col("camera_id").alias("_camera"), F.col("_spell").alias("_of")).distinct()
-        carried = carried.join(goes_on, ["_camera", "_of"], "left_semi")
-        parts.append(written(carried.groupBy("_camera", "_of").cogroup(here.groupBy(*keys)).applyInPandas(later, out), "links"))
-    links = parts[0]
-    for p in parts[1:]:
-        links = links.unionByName(p)
-    return links.where("_carried IS NULL").select("camera_id", "det_id", name)
-
-
-def candidates(boxes: DataFrame, n: int, least: float, slice_ticks: int = SLICE) -> DataFrame:
+def candidates(boxes: DataFrame, n: int, least: float) -> DataFrame:
     """camera_id, det_id, candidate: older candidates choose first, of their class the box of most overlap; none is chosen again n ticks after its last box."""
 
-    def fold(carried: list | None, pdf: pd.DataFrame) -> tuple[list[tuple[int, int]], list]:
-        latest: dict[int, tuple[int, str, tuple]] = {first: (seen, klass, tuple(box)) for first, seen, klass, box in carried or []}  # in the order of making
-        out = []
-        for tick, part in pdf.groupby("tick"):
+    def fold(latest: dict[int, tuple[int, str, tuple]] | None, rows: dict[str, list]) -> tuple[list[tuple[int, int]], dict]:
+        latest, out = latest or {}, []  # by first box, in the order of making
+        for tick, part in pd.DataFrame(rows).groupby("tick"):
             here = {r.det_id: (r.klass, (r.x1, r.y1, r.x2, r.y2)) for r in part.itertuples()}
             for first, (seen, klass, box) in list(latest.items()):
                 if tick - seen > n:
@@ -99,17 +51,17 @@ def candidates(boxes: DataFrame, n: int, least: float, slice_ticks: int = SLICE)
             for d, (klass, box) in here.items():
                 latest[d] = (int(tick), klass, box)
                 out.append((d, d))
-        return out, [(int(first), seen, klass, list(map(float, box))) for first, (seen, klass, box) in latest.items()]
+        return out, latest
 
-    return linked(boxes, n, fold, "candidate", slice_ticks)
+    return linked(boxes, n, fold, "candidate")
 
 
-def k_of_n(boxes: DataFrame, k: int, n: int, least: float = 0.3, slice_ticks: int = SLICE) -> DataFrame:
+def k_of_n(boxes: DataFrame, k: int, n: int, least: float = 0.3) -> DataFrame:
     """The first box with which a candidate has k boxes in the last n ticks, and whether its last three areas rise.
 
     boxes: camera_id, tick, klass, det_id, x1, y1, x2, y2.
     """
-    x = boxes.join(candidates(boxes, n, least, slice_ticks), ["camera_id", "det_id"])
+    x = boxes.join(candidates(boxes, n, least), ["camera_id", "det_id"])
     own = W.partitionBy("camera_id", "candidate").orderBy("tick")
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     x = x.withColumn("_area", area).withColumn("_hits", F.count("*").over(own.rangeBetween(1 - n, 0)))
@@ -197,7 +149,7 @@ def matched(likeness: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def track(boxes: DataFrame, high: float = 0.5, low: float = 0.1, least: float = 0.2, lost_after: int = 30, sure_after: int = 2, slice_ticks: int = SLICE) -> DataFrame:
+def track(boxes: DataFrame, high: float = 0.5, low: float = 0.1, least: float = 0.2, lost_after: int = 30, sure_after: int = 2) -> DataFrame:
     """camera_id, det_id and track_id (its first box) of the boxes of sure tracks.
 
     Tracks move on as they did (a constant-velocity filter) until they are seen again, for lost_after ticks. Boxes of
@@ -206,13 +158,11 @@ def track(boxes: DataFrame, high: float = 0.5, low: float = 0.1, least: float =
     track, and it ends with the first tick that misses it. Ticks are the frames on which the detector ran.
     """
 
-    def fold(carried: dict | None, pdf: pd.DataFrame) -> tuple[list[tuple[int, int]], dict]:
-        motion, ids, hits, seen, now = Motion(np.zeros((0, 4))), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), None
-        if carried:
-            for name in "xvpqr":
-                setattr(motion, name, np.array(carried[name], float).reshape(-1, 4))
-            ids, hits, seen, now = (np.array(carried[k], np.int64) for k in ("ids", "hits", "seen", "now"))
+    def fold(carried: tuple | None, rows: dict[str, list]) -> tuple[list[tuple[int, int]], tuple]:
+        none = np.zeros(0, np.int64)
+        motion, ids, hits, seen, now = carried or (Motion(np.zeros((0, 4))), none, none, none, None)
         out: list[tuple[int, int]] = []
+        pdf = pd.DataFrame(rows)
         for tick, part in pdf[pdf.score >= low].groupby("tick"):
             for _ in range(int(tick - now) if now is not None else 0):
                 if not len(ids):
@@ -244,10 +194,9 @@ def track(boxes: DataFrame, high: float = 0.5, low: float = 0.1, least: float =
                 ids, hits, seen = np.concatenate((ids, dets[new])), np.concatenate((hits, np.ones(len(new), np.int64))), np.concatenate((seen, np.full(len(new), now)))
                 if sure_after <= 1:
                     out += [(int(d), int(d)) for d in dets[new]]
-        state = {name: getattr(motion, name).tolist() for name in "xvpqr"} | {"ids": ids.tolist(), "hits": hits.tolist(), "seen": seen.tolist(), "now": now if now is None else int(now)}
-        return out, state
+        return out, (motion, ids, hits, seen, now)
 
-    return linked(boxes, lost_after, fold, "track_id", slice_ticks)
+    return linked(boxes, lost_after, fold, "track_id")
 
 
 def confirmed(detections: DataFrame) -> DataFrame:

@@ -402,10 +402,9 @@ def _(spark, d):
     return D.spread(table(spark, d, "documents"), ["lang"], "n_chars")
 
 
-@query("two_signal_bands", "SELECT lang, CASE WHEN rate >= 0.15 THEN 'high' WHEN rate >= 0.1 THEN 'raised' ELSE 'low' END AS band FROM (SELECT lang, count(*) FILTER (n_chars < 500) / count(*) AS rate FROM documents GROUP BY lang)")
+@query("two_signal_bands", "SELECT lang, mean, median, round(rate, 6) AS flag_rate, CASE WHEN rate >= 0.15 THEN 'high' WHEN rate >= 0.1 THEN 'raised' ELSE 'low' END AS band FROM (SELECT lang, round(avg(n_chars), 6) AS mean, median(n_chars) AS median, count(*) FILTER (n_chars < 500) / count(*) AS rate FROM documents GROUP BY lang)")
 def _(spark, d):
-    x = table(spark, d, "documents").groupBy("lang").agg(D.guarded(F.count_if(C("n_chars") < 500), F.count("*")).alias("rate"))
-    return x.select("lang", D.band(C("rate"), 0.1, 0.15).alias("band"))
+    return D.flag_report(table(spark, d, "documents"), ["lang"], "n_chars", C("n_chars") < 500, 0.1, 0.15)
 
 
 @query("blank_images", "SELECT count(DISTINCT doc_id) FILTER (n_chars < 200) AS blank, count(DISTINCT doc_id) FILTER (n_chars IS NULL) AS unreadable, count(DISTINCT doc_id) AS images FROM documents JOIN (VALUES (1), (2)) AS t(copy) ON true")
@@ -501,7 +500,19 @@ def _(spark, d):
 
 # -- added to the above ------------------------------------------------------------------------------------------------
 
-@query("live_resample", "SELECT min(det_id) AS det_id FROM detections GROUP BY camera_id, floor(epoch(ts) / 5400)", "detections")
+@query(
+    "live_resample",
+    """WITH RECURSIVE o AS (SELECT user_id % 4 AS k, event_id, CAST(epoch(ts) AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS rn FROM events),
+    r AS (SELECT k, rn, t - 1800.0 AS planned, event_id AS pub FROM o WHERE rn = 1
+     UNION ALL SELECT r.k, o.rn, CASE WHEN o.t >= r.planned THEN greatest(r.planned + 1800.0, o.t - 1800.0) ELSE r.planned END, CASE WHEN o.t >= r.planned THEN o.event_id END FROM r JOIN o ON o.k = r.k AND o.rn = r.rn + 1)
+    SELECT k, pub AS event_id FROM r WHERE pub IS NOT NULL""",
+)
+def _(spark, d):
+    x = table(spark, d, "events").select((C("user_id") % 4).alias("k"), "event_id", seconds("ts").alias("at"))
+    return S.scheduled(x, ["k"], "at", 1800.0, "event_id")
+
+
+@query("slot_resample", "SELECT min(det_id) AS det_id FROM detections GROUP BY camera_id, floor(epoch(ts) / 5400)", "detections")
 def _(spark, d):
     return S.paced(view(spark, d, "detections").withColumn("at", seconds("ts")), ["camera_id"], "at", 1 / 5400, "det_id").select("det_id")
 
@@ -524,6 +535,19 @@ def _(spark, d):
     return table(spark, d, "embeddings").select("vec_id", ones(D.mean_bits(v)).alias("over_mean"), ones(D.median_bits(v)).alias("over_median"))
 
 
+@query(
+    "dct_hash_bits",
+    """WITH f AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    c AS (SELECT vec_id, u, v, sum(e[8 * x + y + 1] * cos((2 * x + 1) * u * pi() / 16) * cos((2 * y + 1) * v * pi() / 16)) * CASE WHEN u = 0 THEN sqrt(0.125e0) ELSE 0.5e0 END * CASE WHEN v = 0 THEN sqrt(0.125e0) ELSE 0.5e0 END AS k
+     FROM f, range(0, 4) AS a(u), range(0, 4) AS b(v), range(0, 8) AS p(x), range(0, 8) AS q(y) GROUP BY vec_id, u, v)
+    SELECT vec_id, sum(CASE WHEN k > md THEN 1 ELSE 0 END)::BIGINT AS ones, sum(CASE WHEN k > md THEN CAST(pow(2, 15 - 4 * u - v) AS BIGINT) ELSE 0 END)::BIGINT AS bits FROM (SELECT *, median(k) OVER (PARTITION BY vec_id) AS md FROM c) GROUP BY vec_id""",
+)
+def _(spark, d):
+    """Each vector as an image of 8 by 8."""
+    bits = D.dct_bits(C("embedding").cast("array<double>"), 8, 4)
+    return table(spark, d, "embeddings").select("vec_id", F.bit_count(bits).cast("long").alias("ones"), bits.alias("bits"))
+
+
 @query("urgent_lanes", "SELECT alert_id, kind IN ('fire', 'smoke') AS urgent FROM alerts", "alerts")
 def _(spark, d):
     fast, rest = stateful.lanes(view(spark, d, "alerts"), C("kind").isin("fire", "smoke"))
