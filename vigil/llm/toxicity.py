@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.llm.common import as_bytes, fold, slices, table
+from vigil.llm.links import PART_BYTES
 from vigil.llm.ngram_join import Shingler
 
 #: Labelled rows of the fit, about.
@@ -51,7 +52,7 @@ FOLDS = 3
 FORM = regex.compile(r"[^\W_]+")
 #: Runs of scripts without spaces.
 DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+")
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -165,7 +166,7 @@ def apart(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(4)
         for batch in batches:
-            for part, texts in as_bytes(batch, "text"):
+            for part, texts in as_bytes(batch, "text", PART_BYTES):
                 values, ends = shingles(texts)
                 least = [int(values[a]) >> 1 if b > a else -1 for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), part.column(1).cast(pa.string()), part.column(2), part.column(0)], names=["key", "text", "toxic", "doc_id"])
@@ -346,7 +347,7 @@ def score_documents(df: DataFrame, model: Model, text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for part, texts in slices(batch, text):
+            for part, texts in slices(batch, text, 1 << 20):
                 got = [normalised(scorer.scores(t), scorer.model) for t in texts]
                 spans = pa.array([[{"start": a, "stop": b, "score": s} for a, b, s in g] for g in got], kind)
                 new = [pa.array([probability(sum(s for *_, s in g), scorer.model) for g in got], pa.float64()), pa.array(list(map(len, got)), pa.int32()), spans]
