@@ -10,9 +10,17 @@ from vigil.functions import geometry
 KINDS = ("polygon", "tripwire", "exclusion", "fire_roi")
 SEVERITIES = ("low", "medium", "high", "critical")
 EVENTS = ("entry", "exit")
-DIRECTIONS = ("in", "out", "both")
+DIRECTIONS = ("a_to_b", "b_to_a", "both")
+DAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
+CLASSES = ("person", "fire", "smoke")
+ITEMS = ("helmet", "vest", "gloves", "shoes", "glasses")
+ALERTS = ("boundary", "crowd", "ppe", "access", "fire", "smoke", "phone", "welding")
+SINKS = ("smtp",)
+#: Longest cooldown, in seconds.
+LONGEST = 7 * 24 * 3600
 ROLES = ("admin", "operator", "viewer")
-EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+EMAIL = r"^[^@\s,;<>]+@[^@\s,;<>]+\.[^@\s,;<>]+$"
+TIME = r"^([01]?[0-9]|2[0-3]):[0-5]?[0-9](:[0-5]?[0-9])?$"
 #: Modules that work on tracked persons in zones, and the module that does the tracking.
 NEED_BOUNDARY, BOUNDARY = ("crowd", "ppe", "phone", "identity"), "boundary"
 #: A shape over this share of the frame is suspicious.
@@ -28,18 +36,58 @@ def one_of(value: Column, allowed: tuple[str, ...]) -> Column:
     return F.coalesce(value.isin(*allowed), F.lit(False))
 
 
-def zone_errors(kind: Column, points: Column, severity: Column, direction: Column, events: Column, frames: Column, delta: Column) -> Column:
-    """A zone's messages: its fields, then those of its shape."""
-    line = kind == "tripwire"
+def name(value: Column) -> Column:
+    """A word of a document as it is compared: in lower case, without white space at its ends."""
+    return F.lower(F.trim(value))
+
+
+def unknown(values: Column, allowed: tuple[str, ...]) -> Column:
+    """Whether a list, which may be null, names something else."""
+    return F.size(F.array_except(F.transform(F.coalesce(values, F.array().cast("array<string>")), name), F.array(*map(F.lit, allowed)))) > 0
+
+
+def empty(values: Column) -> Column:
+    return F.coalesce(F.size(values), F.lit(0)) < 1
+
+
+def schedule_errors(days: Column, start: Column, stop: Column) -> Column:
+    """Messages of a schedule: days by their first three letters, times as HH:MM or HH:MM:SS, both or neither and not the same."""
+    short = F.transform(F.coalesce(days, F.array().cast("array<string>")), lambda d: F.substring(name(d), 1, 3))
+    bad = lambda t: t.isNotNull() & ~F.trim(t).rlike(TIME)
+    clock = lambda t: F.aggregate(F.split(F.trim(t), ":"), F.lit(0), lambda s, p: s * 60 + F.try_to_number(p, F.lit("99")).cast("int")) * F.when(F.size(F.split(t, ":")) == 2, 60).otherwise(1)
+    one = start.isNull() != stop.isNull()
+    return messages(
+        (F.size(F.array_except(short, F.array(*map(F.lit, DAYS)))) > 0, "unknown day"),
+        (one, "one of two times"),
+        (bad(start) | bad(stop), "bad time"),
+        (~one & ~bad(start) & ~bad(stop) & (clock(start) == clock(stop)), "times are the same"),
+    )
+
+
+def zone_errors(zone: str) -> Column:
+    """Messages of a zone document (a struct column: id, type, points, severity, direction, events, detect, min_frames, applies_to, days, from, to, crowd_threshold, crowd_min_frames, ppe_required): its fields, then its schedule, then its shape.
+
+    Fields that are null have their defaults: a polygon of medium severity for persons, both directions and events.
+    """
+    f = lambda c: F.col(f"{zone}.{c}")
+    kind = F.coalesce(name(f("type")), F.lit("polygon"))
+    given = lambda c, allowed: f(c).isNotNull() & ~one_of(name(f(c)), allowed)
     own = messages(
+        (F.coalesce(F.trim(f("id")), F.lit("")) == "", "no id"),
         (~one_of(kind, KINDS), "unknown type"),
-        (~one_of(severity, SEVERITIES), "unknown severity"),
-        (direction.isNotNull() & ~one_of(direction, DIRECTIONS), "unknown direction"),
-        (events.isNotNull() & (F.size(F.array_except(events, F.array(*map(F.lit, EVENTS)))) > 0), "unknown event"),
-        (frames < 1, "min_frames below 1"),
-        ((delta > 0) | (delta < -0.5), "conf_delta outside -0.5 to 0"),
+        (given("severity", SEVERITIES), "unknown severity"),
+        (given("direction", DIRECTIONS), "unknown direction"),
+        (unknown(f("events"), EVENTS), "unknown event"),
+        (unknown(f("detect"), CLASSES), "unknown class to detect"),
+        (f("min_frames") < 1, "min_frames below 1"),
+        (unknown(f("applies_to"), CLASSES), "unknown class to apply to"),
+        (kind.isin("exclusion", "fire_roi") & empty(f("applies_to")), "applies to nothing"),
+        (f("crowd_threshold") < 1, "crowd_threshold below 1"),
+        (f("crowd_min_frames") < 1, "crowd_min_frames below 1"),
+        (unknown(f("ppe_required"), ITEMS), "unknown item"),
     )
-    return F.concat(own, F.when(line, geometry.problems(points, "tripwire")).otherwise(geometry.problems(points)))
+    shape = F.when(kind == "tripwire", geometry.problems(f("points"), "tripwire")).otherwise(geometry.problems(f("points")))
+    return F.concat(own, schedule_errors(f("days"), f("from"), f("to")), shape)
 
 
 def area_warning(points: Column) -> Column:
@@ -56,8 +104,21 @@ def camera_errors(camera: Column, source: Column, fps: Column, modules: Column,
     )
 
 
-def rule_errors(email: Column, severity: Column, cooldown: Column) -> Column:
-    return messages((~F.coalesce(email.rlike(EMAIL), F.lit(False)), "bad e-mail"), (~one_of(severity, SEVERITIES), "unknown severity"), (~F.coalesce(cooldown >= 0, F.lit(False)), "cooldown below 0"))
+def rule_errors(rule: str) -> Column:
+    """Messages of an alert rule (a struct column: type, min_severity, cooldown_seconds (text), to, kinds)."""
+    f = lambda c: F.col(f"{rule}.{c}")
+    to = F.filter(F.transform(F.coalesce(f("to"), F.array().cast("array<string>")), F.trim), lambda t: t != "")
+    wait = F.when(F.coalesce(F.trim(f("cooldown_seconds")), F.lit("")) == "", 0.0).otherwise(f("cooldown_seconds").try_cast("double"))
+    kinds = F.filter(F.coalesce(f("kinds"), F.array().cast("array<string>")), lambda k: F.trim(k) != "")
+    return messages(
+        (~one_of(name(F.coalesce(f("type"), F.lit(""))), SINKS), "unknown type"),
+        (f("min_severity").isNotNull() & ~one_of(name(f("min_severity")), SEVERITIES), "unknown severity"),
+        (wait.isNull(), "cooldown is no number"),
+        (~wait.between(0, LONGEST), "cooldown out of range"),
+        (F.size(to) < 1, "no recipient"),
+        (F.exists(to, lambda t: ~t.rlike(EMAIL)), "bad recipient"),
+        (unknown(kinds, ALERTS), "unknown kind"),
+    )
 
 
 def user_errors(name: Column, role: Column, password: Column) -> Column:

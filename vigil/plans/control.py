@@ -156,21 +156,35 @@ def _(spark, d):
 
 # -- validation --------------------------------------------------------------------------------------------------------
 
+#: Parts of zone documents by a number of their own, of which any may be wrong at once.
+ZONE_PARTS = """p_partkey AS n, CASE WHEN p_partkey % 23 = 7 THEN '  ' WHEN p_partkey % 29 = 3 THEN 'same' ELSE 'z' || CAST(p_partkey AS VARCHAR) END AS id,
+ CASE p_partkey % 8 WHEN 0 THEN 'circle' WHEN 1 THEN ' Exclusion' WHEN 2 THEN 'fire_roi' WHEN 3 THEN NULL ELSE 'polygon' END AS type, CASE WHEN p_size % 9 = 0 THEN 'urgent' WHEN p_size % 9 < 5 THEN 'HIGH' END AS severity,
+ CASE p_partkey % 11 WHEN 0 THEN 'in' WHEN 1 THEN 'a_to_b' END AS direction, CASE p_size % 7 WHEN 0 THEN 'entry,jump' WHEN 1 THEN 'Exit' END AS events, CASE p_partkey % 9 WHEN 2 THEN 'person,cat' WHEN 3 THEN 'Fire' END AS detect,
+ CASE p_partkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 3 END AS min_frames, CASE p_size % 5 WHEN 0 THEN 'person,dust' WHEN 1 THEN 'smoke' END AS applies_to, CASE p_partkey % 12 WHEN 0 THEN 'Monday,fri' WHEN 1 THEN 'mon,noday' END AS days,
+ CASE p_size % 11 WHEN 0 THEN '22:00' WHEN 1 THEN '8:61' WHEN 2 THEN '07:30' WHEN 3 THEN '06:00' END AS start, CASE p_size % 11 WHEN 0 THEN '06:00' WHEN 1 THEN '10:00' WHEN 2 THEN '07:30:00' END AS stop,
+ CASE p_partkey % 13 WHEN 0 THEN 0 WHEN 1 THEN 5 END AS crowd_threshold, CASE p_partkey % 17 WHEN 0 THEN -1 END AS crowd_min_frames, CASE p_partkey % 10 WHEN 4 THEN 'helmet,hat' WHEN 5 THEN 'Vest' END AS ppe_required"""
+NOT_IN = lambda c, allowed: f"len(list_filter(string_split({c}, ','), lambda x: NOT list_contains({list(allowed)}, lower(trim(x))))) > 0"
+
+
 @query(
     "zone_validation",
-    """SELECT p_partkey, concat_ws('; ', CASE WHEN k = 0 THEN 'unknown type' END, CASE WHEN k = 1 THEN 'unknown severity' END, CASE WHEN k = 2 THEN 'unknown direction' END, CASE WHEN k = 3 THEN 'unknown event' END, CASE WHEN k = 4 THEN 'min_frames below 1' END,
-    CASE WHEN k = 5 THEN 'conf_delta outside -0.5 to 0' END, CASE WHEN k = 6 THEN 'no points' END, CASE WHEN k = 7 THEN 'crosses itself; no area' END, CASE WHEN k = 8 THEN 'duplicate id' END) AS errors FROM (SELECT *, p_partkey % 11 AS k FROM part)""",
+    f"""WITH z AS (SELECT {ZONE_PARTS}, p_partkey % 15 AS shape FROM part), k AS (SELECT *, coalesce(lower(trim(type)), 'polygon') AS kind, count(*) OVER (PARTITION BY id) AS same FROM z)
+    SELECT n, concat_ws('; ', CASE WHEN trim(id) = '' THEN 'no id' END, CASE WHEN kind NOT IN ('polygon', 'exclusion', 'fire_roi') THEN 'unknown type' END, CASE WHEN severity = 'urgent' THEN 'unknown severity' END, CASE WHEN direction = 'in' THEN 'unknown direction' END,
+     CASE WHEN {NOT_IN('events', V.EVENTS)} THEN 'unknown event' END, CASE WHEN {NOT_IN('detect', V.CLASSES)} THEN 'unknown class to detect' END, CASE WHEN min_frames < 1 THEN 'min_frames below 1' END, CASE WHEN {NOT_IN('applies_to', V.CLASSES)} THEN 'unknown class to apply to' END,
+     CASE WHEN kind IN ('exclusion', 'fire_roi') AND applies_to IS NULL THEN 'applies to nothing' END, CASE WHEN crowd_threshold < 1 THEN 'crowd_threshold below 1' END, CASE WHEN crowd_min_frames < 1 THEN 'crowd_min_frames below 1' END, CASE WHEN {NOT_IN('ppe_required', V.ITEMS)} THEN 'unknown item' END,
+     CASE WHEN days = 'mon,noday' THEN 'unknown day' END, CASE WHEN start = '06:00' THEN 'one of two times' END, CASE WHEN start = '8:61' THEN 'bad time' END, CASE WHEN start = '07:30' THEN 'times are the same' END,
+     CASE shape WHEN 1 THEN 'no points' WHEN 2 THEN 'crosses itself; no area' WHEN 3 THEN 'outside 0 to 1' END, CASE WHEN same > 1 THEN 'duplicate id' END) AS errors FROM k""",
 )
 def _(spark, d):
-    """One fault a zone, by its number; numbers of one kind share an id."""
-    k = C("k")
-    pick = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
+    """Documents with any of their parts wrong, several at once; a doubled point is no fault."""
     pts = lambda *p: geometry.polygon(list(p))
-    shape = F.when(k == 6, None).when(k == 7, pts((0, 0), (1, 1), (1, 0), (0, 1))).otherwise(pts((0, 0), (1, 0), (1, 1), (0, 1)))
-    x = table(spark, d, "part").select("p_partkey", (C("p_partkey") % 11).alias("k")).withColumn("points", shape)
-    errors = V.zone_errors(pick(0, "circle", "polygon"), C("points"), pick(1, "urgent", "high"), pick(2, "up", "in"), F.array(pick(3, "jump", "entry")), pick(4, F.lit(0), F.lit(2)), pick(5, F.lit(0.2), F.lit(-0.1)))
-    y = V.checked(x.withColumn("zone_id", F.when(k == 8, "same").otherwise(C("p_partkey").cast("string"))), "zone_id", errors)
-    return y.select("p_partkey", F.concat_ws("; ", "errors").alias("errors"))
+    k = C("p_partkey") % 15
+    shape = F.when(k == 1, None).when(k == 2, pts((0, 0), (1, 1), (1, 0), (0, 1))).when(k == 3, pts((0, 0), (2, 0), (0, 1))).when(k == 4, pts((0, 0), (0, 0), (1, 0), (1, 1), (0, 1))).otherwise(pts((0, 0), (1, 0), (1, 1), (0, 1)))
+    x = spark.sql("SELECT p_partkey, " + ZONE_PARTS.replace("VARCHAR", "STRING") + " FROM {source}", source=table(spark, d, "part")).withColumn("points", shape)
+    listed = lambda c: F.split(c, ",").alias(c)
+    z = F.struct("id", "type", "points", "severity", "direction", listed("events"), listed("detect"), "min_frames", listed("applies_to"), listed("days"), C("start").alias("from"), C("stop").alias("to"), "crowd_threshold", "crowd_min_frames", listed("ppe_required"))
+    y = V.checked(x.select("n", "id", z.alias("z")), "id", V.zone_errors("z"))
+    return y.select("n", F.concat_ws("; ", "errors").alias("errors"))
 
 
 @query("zones_keep_last_good", "SELECT p_partkey, p_brand, v FROM (SELECT *, max(v) FILTER (ok) OVER (PARTITION BY p_brand) AS newest FROM (SELECT p_partkey, p_brand, p_size % 5 AS v, bool_and(p_size % 35 <> 4) OVER (PARTITION BY p_brand, p_size % 5) AS ok FROM part)) WHERE v = newest")
@@ -182,7 +196,8 @@ def _(spark, d):
 @query(
     "config_validation",
     """SELECT c_custkey, concat_ws('; ', CASE WHEN c_custkey % 5 = 1 THEN 'bad id' END, CASE WHEN c_custkey % 7 = 2 THEN 'no source' END, CASE WHEN c_acctbal <= 0 THEN 'fps not above 0' END, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'unknown module' END) AS camera,
-    concat_ws('; ', CASE WHEN c_custkey % 4 = 1 THEN 'bad e-mail' END, CASE WHEN c_custkey % 6 = 0 THEN 'unknown severity' END, CASE WHEN c_acctbal < 0 THEN 'cooldown below 0' END) AS rule,
+    concat_ws('; ', CASE WHEN c_custkey % 13 = 0 THEN 'unknown type' END, CASE WHEN c_custkey % 6 = 0 THEN 'unknown severity' END, CASE WHEN c_custkey % 10 = 3 THEN 'cooldown is no number' END, CASE WHEN c_custkey % 10 = 4 OR c_custkey % 10 > 4 AND c_acctbal < 0 THEN 'cooldown out of range' END,
+     CASE WHEN c_custkey % 4 = 0 THEN 'no recipient' END, CASE WHEN c_custkey % 4 = 1 THEN 'bad recipient' END, CASE WHEN c_custkey % 7 = 5 THEN 'unknown kind' END) AS rule,
     concat_ws('; ', CASE WHEN c_custkey % 9 = 4 THEN 'bad name' END, CASE WHEN c_custkey % 8 = 3 THEN 'unknown role' END, CASE WHEN c_custkey % 3 = 0 THEN 'short password' END) AS account FROM customer""",
 )
 def _(spark, d):
@@ -190,7 +205,11 @@ def _(spark, d):
     x = table(spark, d, "customer")
     modules = F.array(F.when(C("c_mktsegment") == "MACHINERY", "laser").otherwise("crowd"))
     camera = V.camera_errors(F.when(n % 5 == 1, "Bad Id").otherwise(F.concat(F.lit("cam_"), n.cast("string"))), F.when(n % 7 == 2, "  ").otherwise("rtsp://x"), C("c_acctbal"), modules, ("boundary", "crowd", "ppe", "fire"))
-    rule = V.rule_errors(F.when(n % 4 == 1, "nobody at home").otherwise("a@b.example"), F.when(n % 6 == 0, "loud").otherwise("low"), C("c_acctbal"))
+    to = F.when(n % 4 == 0, F.array(F.lit(" "))).when(n % 4 == 1, F.array(F.lit("a@b.example"), F.lit("b@c.example,d@e.example"))).otherwise(F.array(F.lit("a@b.example")))
+    wait = F.when(n % 10 == 3, "soon").when(n % 10 == 4, "604801").when(n % 10 > 4, C("c_acctbal").cast("string")).when(n % 10 == 2, "604800")
+    kinds = F.when(n % 7 == 5, F.array(F.lit("fire"), F.lit("flood"))).when(n % 7 == 6, F.array(F.lit(" Crowd "), F.lit("")))
+    x = x.withColumn("rule", F.struct(F.when(n % 13 == 0, "pager").otherwise("SMTP").alias("type"), F.when(n % 6 == 0, "loud").when(n % 6 == 1, "Low").alias("min_severity"), wait.alias("cooldown_seconds"), to.alias("to"), kinds.alias("kinds")))
+    rule = V.rule_errors("rule")
     user = V.user_errors(F.when(n % 9 == 4, "x").otherwise(C("c_name")), F.when(n % 8 == 3, "guest").otherwise("viewer"), F.when(n % 3 == 0, "short").otherwise("long enough"))
     return x.select("c_custkey", *[F.concat_ws("; ", e).alias(a) for e, a in ((camera, "camera"), (rule, "rule"), (user, "account"))])
 
