@@ -51,6 +51,33 @@ def capped(rows: DataFrame, keys: list[str], order: list[str], most: int) -> Dat
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
+def file_places(names: DataFrame, name: str, number: Column) -> DataFrame:
+    """name and its place, from 1, by the number in it (null last), then by name: places of numbers are sums over all smaller ones."""
+    x = names.select(name, F.coalesce(number.cast("double"), F.lit(1e300)).alias("_key"))
+    sizes = with_running_sum(x.groupBy("_key").agg(F.count("*").alias("_n")), "_key", F.col("_n"), "_up_to")
+    own = F.row_number().over(W.partitionBy("_key").orderBy(name))
+    y = x.withColumn("_own", own).join(sizes, "_key")
+    return y.select(name, (F.col("_up_to") - F.col("_n") + F.col("_own")).cast("int").alias("place"))
+
+
+def burst_filtered(rows: DataFrame, key: str, feature: str, references: DataFrame, least: float, keep: int, seed: str = "burst") -> DataFrame:
+    """key of the rows that stay: those whose feature (an array) correlates with no reference above the bar, and a seeded choice of so many others.
+
+    references: key and feature of a few named rows; without any, all stay.
+    """
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, y: s + y)
+    dot = lambda a, b: total(F.zip_with(a, b, lambda p, q: p * q))
+    r = references.select(F.col(feature).cast("array<double>").alias("_r"))
+    x = rows.select(key, F.col(feature).cast("array<double>").alias("_f")).join(r, F.lit(True), "left")  # a few references
+    n, sx, sy = F.size("_f"), total(F.col("_f")), total(F.col("_r"))
+    corr = (n * dot(F.col("_f"), F.col("_r")) - sx * sy) / F.sqrt((n * dot(F.col("_f"), F.col("_f")) - sx * sx) * (n * dot(F.col("_r"), F.col("_r")) - sy * sy))
+    likeness = x.groupBy(key).agg(F.max(corr).alias("_corr"))
+    flagged = F.coalesce(F.col("_corr") > least, F.lit(False))
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    chosen = likeness.where(flagged).orderBy(draw, key).limit(keep).select(key)
+    return likeness.where(~flagged).select(key).unionByName(chosen)
+
+
 def track_stability(detections: DataFrame, fps: int) -> DataFrame:
     """Tracks of each camera: number, lengths, share of fragments, peak at a time, churn, and whether that is stable."""
     lengths = detections.groupBy("camera_id", "track_id").agg(F.count("*").alias("n"))

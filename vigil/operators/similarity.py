@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,18 +153,30 @@ def shots(frames: DataFrame, order: str, vector: str, least: float) -> DataFrame
     return with_running_sum(x, order, change, "shot").drop("_before")
 
 
+#: Bits of a chunk of a hash.
+CHUNK = 16
+
+
 def near_hashes(hashes: DataFrame, most: int) -> DataFrame:
     """Pairs (a, b) of 64-bit hashes (id, h) at most so many bits apart.
 
-    Of most + 1 chunks of the bits at least one is equal in such a pair, so pairs meet on equal chunks, not all on all.
+    In one of the four chunks of 16 bits such a pair differs by a quarter of that at most. So one side lists, for each
+    chunk, all values that near, the other its own, and pairs meet on equal ones: chunks are wide, so few meet by
+    chance. A pair counts in the first chunk in which it is that near; then all bits decide.
     """
-    n = most + 1
-    width = -(-64 // n)
-    chunk = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(n) if i * width < 64]
-    x = hashes.select("id", "h", F.explode(F.array(*chunk)).alias("c"))
-    a, b = x.alias("a"), x.alias("b")
-    close = F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h"))) <= most
-    return a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.id") < F.col("b.id")) & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    parts, off = 64 // CHUNK, most // (64 // CHUNK)
+    if off > 4:
+        raise ValueError("at most 19 bits")
+    masks = [sum(1 << i for i in c) for n in range(off + 1) for c in combinations(range(CHUNK), n)]
+    chunk = lambda h, i: F.shiftrightunsigned(h, i * CHUNK).bitwiseAND((1 << CHUNK) - 1).cast("int")
+    own = hashes.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), chunk(F.col("h"), i).alias("v")) for i in range(parts)])).alias("c")).select("b", "hb", "c.*")
+    all_near = hashes.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.posexplode(F.array(*[chunk(F.col("h"), i) for i in range(parts)])).alias("i", "own"))
+    all_near = all_near.select("a", "ha", "i", F.explode(F.transform(F.lit(masks), lambda m: F.col("own").bitwiseXOR(m))).alias("v"))
+    apart = F.col("ha").bitwiseXOR(F.col("hb"))
+    first = F.lit(True)
+    for k in range(parts - 1):
+        first = first & ((F.col("i") <= k) | (F.bit_count(chunk(apart, k)) > off))
+    return all_near.join(own, ["i", "v"]).where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most) & first).select("a", "b")
 
 
 def neighbours(points: DataFrame, keys: list[str], radius: float) -> DataFrame:

@@ -216,6 +216,12 @@ def crowd_reach(eps_px: Column, eps_share: Column, frame_height: Column) -> Colu
     return F.coalesce(eps_share * frame_height, eps_px)
 
 
+def clock(rows: DataFrame) -> DataFrame:
+    """camera_id and every tick from a camera's first to its last, also those without rows."""
+    ends = rows.groupBy("camera_id").agg(F.min("tick").alias("a"), F.max("tick").alias("b"))
+    return ends.select("camera_id", F.explode(F.sequence("a", "b")).alias("tick"))
+
+
 def crowd_events(points: DataFrame, ticks: DataFrame, eps: float | Column, threshold: int, frames: int) -> DataFrame:
     """Crowds formed and dispersed, over every tick of a camera, also those without anyone."""
     largest = largest_cluster(points, ["camera_id", "tick"], eps)

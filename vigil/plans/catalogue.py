@@ -236,26 +236,21 @@ def crowd_sql(reach: str, members: int, frames: int) -> str:
     return f"""pr AS (SELECT a.camera_id, a.tick, a.det_id AS a, b.det_id AS b FROM pts a JOIN pts b ON a.camera_id = b.camera_id AND a.tick = b.tick AND (a.fx - b.fx) * (a.fx - b.fx) + (a.fy - b.fy) * (a.fy - b.fy) <= {reach}),
     rc AS (SELECT * FROM pr UNION SELECT rc.camera_id, rc.tick, rc.a, pr.b FROM rc JOIN pr ON pr.camera_id = rc.camera_id AND pr.tick = rc.tick AND pr.a = rc.b),
     sz AS (SELECT camera_id, tick, max(k) AS size FROM (SELECT camera_id, tick, a, count(*) AS k FROM rc GROUP BY camera_id, tick, a) WHERE k >= 2 GROUP BY camera_id, tick),
-    st AS (SELECT c.camera_id, t.tick, coalesce(sz.size, 0) AS size, CASE WHEN coalesce(sz.size, 0) >= {members} THEN 'formed' ELSE 'dispersed' END AS state FROM (SELECT DISTINCT camera_id FROM detections) c CROSS JOIN (SELECT DISTINCT tick FROM detections) t LEFT JOIN sz ON sz.camera_id = c.camera_id AND sz.tick = t.tick)
+    st AS (SELECT c.camera_id, t.tick, coalesce(sz.size, 0) AS size, CASE WHEN coalesce(sz.size, 0) >= {members} THEN 'formed' ELSE 'dispersed' END AS state FROM (SELECT camera_id, unnest(range(min(tick), max(tick) + 1)) AS tick FROM detections GROUP BY camera_id) t JOIN (SELECT DISTINCT camera_id FROM detections) c ON c.camera_id = t.camera_id LEFT JOIN sz ON sz.camera_id = t.camera_id AND sz.tick = t.tick)
     SELECT camera_id, tick, state AS kind, CAST(size AS BIGINT) AS cluster_size FROM ({changes_sql('st', 'camera_id', 'tick', str(frames), "'dispersed'")})"""
 
 
-def all_ticks(x: DataFrame) -> DataFrame:
-    """Every tick of the table for every camera, of which there are few."""
-    return x.select("camera_id").distinct().join(x.select("tick").distinct(), F.lit(True))
-
-
 @query("crowd_events", f"WITH RECURSIVE {prelude('detections')[5:]}, pts AS (SELECT * FROM detections WHERE NOT (fx BETWEEN 600 AND 900 AND fy BETWEEN 600 AND 900)), {crowd_sql('14400', 3, 2)}")
 def _(spark, d):
     x = view(spark, d, "detections")
-    return Z.crowd_events(Z.unmasked(x, view(spark, d, "zones")), all_ticks(x), 120.0, 3, 2)
+    return Z.crowd_events(Z.unmasked(x, view(spark, d, "zones")), Z.clock(x), 120.0, 3, 2)
 
 
 @query("eps_scaling_dbscan", f"WITH RECURSIVE {prelude('detections')[5:]}, pts AS (SELECT * FROM detections), {crowd_sql('CASE WHEN right(a.camera_id, 1) < chr(51) THEN 11664.0 ELSE 22500.0 END', 3, 2)}")
 def _(spark, d):
     x = view(spark, d, "detections")
     share = F.when(F.col("camera_id").isin("cam_01", "cam_02"), 0.1)  # the other cameras have no share and use pixels
-    return Z.crowd_events(x, all_ticks(x), Z.crowd_reach(F.lit(150.0), share, F.lit(1080.0)), 3, 2)
+    return Z.crowd_events(x, Z.clock(x), Z.crowd_reach(F.lit(150.0), share, F.lit(1080.0)), 3, 2)
 
 
 @query(

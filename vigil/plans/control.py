@@ -306,7 +306,7 @@ def _(spark, d):
     n = C("p_partkey")
     name = F.when(n % 9 == 0, F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.char(97 + n % 26))).otherwise(F.concat(F.lit("frame"), (n * 7919 % 1000).cast("string"), F.lit("_"), C("p_brand")))
     x = table(spark, d, "part").select(name.alias("name")).distinct()
-    return x.select("name", F.row_number().over(W.orderBy(M.number_key(C("name")))).alias("place"))
+    return D.file_places(x, "name", F.nullif(F.regexp_extract("name", "([0-9]+)", 1), F.lit("")).cast("long"))
 
 
 #: File names as they come: with a hash, without, in capitals, with a short hash, with digits first.
@@ -469,6 +469,17 @@ def _(spark, d):
     return D.capped(D.capped(x, ["source", "shot"], [F.desc("n_chars"), "doc_id"], 1), ["source"], [F.desc("n_chars"), "doc_id"], 10).select("doc_id")
 
 
+@query(
+    "burst_filter",
+    """WITH f AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), r AS (SELECT e AS g FROM f WHERE vec_id IN (0, 7)),
+    c AS (SELECT vec_id, max((64 * sxy - sx * sy) / sqrt((64 * sxx - sx * sx) * (64 * syy - sy * sy))) AS corr FROM (SELECT vec_id, list_sum(e) AS sx, list_sum(g) AS sy, list_sum(list_transform(range(1, 65), lambda i: e[i] * g[i])) AS sxy, list_sum(list_transform(e, lambda x: x * x)) AS sxx, list_sum(list_transform(g, lambda x: x * x)) AS syy FROM f, r) GROUP BY vec_id)
+    SELECT vec_id FROM c WHERE NOT corr > 0.1 UNION ALL (SELECT vec_id FROM c WHERE corr > 0.1 ORDER BY md5('burst:' || vec_id), vec_id LIMIT 20)""",
+)
+def _(spark, d):
+    x = table(spark, d, "embeddings")
+    return D.burst_filtered(x, "vec_id", "embedding", x.where("vec_id IN (0, 7)"), 0.1, 20)
+
+
 # -- boxes -------------------------------------------------------------------------------------------------------------
 
 @query(

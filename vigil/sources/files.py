@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.operators import validation
+from vigil.streaming.stateful import KeepLastGood
+
 MANIFEST = "image string, source string, instances array<struct<class:string,domain:string>>"
 ALERTS = (
     "alert_id long, ts timestamp, camera_id string, kind string, subtype string, zone_id string, zone_name string, track_id long, message string, severity string, confidence double, "
@@ -57,3 +60,24 @@ def coco_records(annotations: DataFrame) -> DataFrame:
     """One JSON text an image: its annotations in order (from operators.datasets.coco_annotations)."""
     row = F.struct("annotation_id", F.col("class_id").alias("category_id"), F.array("x", "y", "w", "h").alias("bbox"), "area")
     return annotations.groupBy("image_id").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("annotations"))
+
+
+ZONES = (
+    "id string, type string, points array<struct<x:double,y:double>>, severity string, direction string, events array<string>, detect array<string>, min_frames int, applies_to array<string>, days array<string>, `from` string, `to` string, "
+    "crowd_threshold int, crowd_min_frames int, ppe_required array<string>, camera_id string"
+)
+
+
+def zone_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Zone documents (JSON, one a line) with errors: what is wrong with each, broken lines and repeated ids included."""
+    x = spark.read.schema(f"{ZONES}, _broken string").json(path, columnNameOfCorruptRecord="_broken").withColumn("zone", F.struct("id", "type", "points", "severity", "direction", "events", "detect", "min_frames", "applies_to", "days", "from", "to", "crowd_threshold", "crowd_min_frames", "ppe_required"))
+    faults = F.concat(validation.messages((F.col("_broken").isNotNull(), "no document")), validation.zone_errors("zone"))
+    return validation.checked(x, "id", faults).drop("_broken")
+
+
+def zone_feed(spark: SparkSession, path: str) -> KeepLastGood:
+    """The zones of a folder of documents as they are at each call; a version with any fault leaves the one before in place.
+
+    Call it in each batch of a stream, and join the batch with what it gives.
+    """
+    return KeepLastGood(lambda: zone_documents(spark, path), F.col("errors"))
