@@ -2,7 +2,6 @@
 
 import json
 
-
 from vigil.sources import files
 
 SQUARE = [{"x": x, "y": y} for x, y in ((0.1, 0.1), (0.6, 0.1), (0.6, 0.6), (0.1, 0.6))]
@@ -36,19 +35,3 @@ def test_a_bad_version_leaves_the_last_good_one_to_the_stream(spark, tmp_path):
     s = spark.readStream.schema("camera_id string, n int").option("maxFilesPerTrigger", 1).parquet(str(rows))
     s.writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
     assert out == [["v1"], ["v1"], ["v3"]] and feed.problem == ""
-
-
-def test_near_hashes_against_all_pairs(spark):
-    import random
-
-    from vigil.operators import similarity
-
-    rng = random.Random(1)
-    base = [rng.getrandbits(64) for _ in range(60)]
-    values = base + [b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(9))) for b in base for _ in range(3)]
-    values = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
-    df = spark.createDataFrame(list(enumerate(values)), "id long, h long")
-    for most in (0, 3, 5, 8):
-        want = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if ((values[i] ^ values[j]) & (1 << 64) - 1).bit_count() <= most}
-        got = [(r.a, r.b) for r in similarity.near_hashes(df, most).collect()]
-        assert len(got) == len(set(got)) and set(got) == want

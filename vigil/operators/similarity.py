@@ -102,48 +102,77 @@ def iou_pairs(boxes: DataFrame, least: float) -> DataFrame:
     return x.select(F.col("g.box_id").alias("gt_id"), F.col("p.box_id").alias("pred_id"), iou("g", "p").alias("iou")).where(F.col("iou") >= least)
 
 
-#: Poses that go to every task at once; a larger gallery is searched in so many parts.
-MAX_POSES = 16_384
+#: Poses of a block; up to so many go to every task at once. Probes of a group, and of a product.
+MAX_POSES, GROUP, PRODUCT = 16_384, 65_536, 1024
 
 
 def nearest_identity(probes: DataFrame, gallery: DataFrame, threshold: float) -> DataFrame:
     """Each probe's most similar enrolled pose; known where that reaches the threshold; ties to the first person and pose.
 
-    Probes stay where they are; a matrix product a batch holds them against a part of the gallery of a checked size.
+    A small gallery goes to the probes as a matrix of checked size. A larger one lies in blocks by hash; groups of
+    probes meet each block, and no part of it passes through the driver.
     """
-    poses = gallery.where(F.exists("embedding", lambda v: v != 0)).select("person_id", "pose_idx", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
-    ways = max(1, -(-poses.count() // (MAX_POSES // 2)))  # by hash, so parts differ in size
-    best = None
-    for part in range(ways):
-        some = poses.where(F.pmod(F.xxhash64("person_id", "pose_idx"), F.lit(ways)) == part).limit(MAX_POSES + 1).toPandas()
-        if len(some) > MAX_POSES:
-            raise ValueError("poses with one person_id and pose_idx")
-        found = nearest_of(probes, some)
-        best = found if best is None else best.unionByName(found)
+    poses = gallery.where(F.exists("embedding", lambda v: v != 0)).select(F.col("person_id").cast("long").alias("person_id"), F.col("pose_idx").cast("long").alias("pose_idx"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    some = probes.where("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    held = poses.limit(MAX_POSES + 1).toArrow()
+    best = of_matrix(some, held) if held.num_rows <= MAX_POSES else of_blocks(some, poses)
     y = best.groupBy("vec_id").agg(F.max_by(F.struct("person_id", "similarity"), F.struct("similarity", -F.col("person_id"), -F.col("pose_idx"))).alias("b")).select("vec_id", "b.person_id", "b.similarity")
     known = F.col("similarity") >= threshold
     return y.select("vec_id", F.when(known, F.col("person_id")).alias("person_id"), F.round("similarity", 6).alias("similarity"), F.when(known, "known").otherwise("unknown_face").alias("status"))
 
 
-def nearest_of(probes: DataFrame, poses: pd.DataFrame) -> DataFrame:
-    """vec_id, person_id, pose_idx and similarity of the best of some poses for each probe that isn't zero."""
-    poses = poses.sort_values(["person_id", "pose_idx"])
-    person, pose = poses["person_id"].to_numpy(np.int64), poses["pose_idx"].to_numpy(np.int64)
-    unit = np.array(poses["v"].tolist(), np.float64)
-    unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True)) if len(unit) else unit
+BEST = "vec_id long, person_id long, pose_idx long, similarity double"
+
+
+def vectors(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(rows, -1)
+
+
+class Gallery:
+    """Poses in order, as unit vectors."""
+
+    def __init__(self, poses: pa.Table):
+        order = poses.sort_by([("person_id", "ascending"), ("pose_idx", "ascending")]) if poses.num_rows else poses
+        self.person, self.pose = (order.column(c).to_numpy() for c in ("person_id", "pose_idx"))
+        unit = vectors(order.column("v"), order.num_rows) if order.num_rows else np.zeros((0, 0))
+        self.unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True)) if len(unit) else unit
+
+    def nearest(self, ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The best pose of each probe that isn't zero, the first of equal ones."""
+        for k in range(0, len(ids) if len(self.unit) else 0, PRODUCT):
+            part, own = v[k : k + PRODUCT], ids[k : k + PRODUCT]
+            size = np.sqrt((part * part).sum(axis=1))
+            some = np.flatnonzero(size > 0)
+            likeness = part[some] / size[some, None] @ self.unit.T
+            at = likeness.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(self.person[at]), pa.array(self.pose[at]), pa.array(likeness[np.arange(len(some)), at])], names=["vec_id", "person_id", "pose_idx", "similarity"])
+
+
+def of_matrix(probes: DataFrame, poses: pa.Table) -> DataFrame:
+    gallery = Gallery(poses)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(unit) or not batch.num_rows:
-                continue
-            v = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-            size = np.sqrt((v * v).sum(axis=1))
-            some = np.flatnonzero(size > 0)
-            likeness = v[some] / size[some, None] @ unit.T
-            at = likeness.argmax(axis=1)  # the first of equal ones
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(person[at]), pa.array(pose[at]), pa.array(likeness[np.arange(len(some)), at])], names=["vec_id", "person_id", "pose_idx", "similarity"])
+            if batch.num_rows:
+                yield from gallery.nearest(batch.column(0).to_numpy(), vectors(batch.column(1), batch.num_rows))
+
+    return probes.mapInArrow(run, BEST)
+
+
+def of_blocks(probes: DataFrame, poses: DataFrame) -> DataFrame:
+    """The best pose of each block for each probe."""
+    blocks, groups = -(-poses.count() // (MAX_POSES // 2)), max(1, -(-probes.count() // GROUP))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = probes.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("_group"), every(blocks).alias("_block"))
+    g = poses.select("person_id", "pose_idx", "v", F.pmod(F.xxhash64("person_id", "pose_idx"), F.lit(blocks)).cast("int").alias("_of"), every(groups).alias("_for"))
+    schema = pa.schema([("vec_id", pa.int64()), ("person_id", pa.int64()), ("pose_idx", pa.int64()), ("similarity", pa.float64())])
+
+    def run(some: pa.Table, block: pa.Table) -> pa.Table:
+        found = list(Gallery(block).nearest(some.column("vec_id").to_numpy(), vectors(some.column("v"), some.num_rows))) if some.num_rows and block.num_rows else []
+        return pa.Table.from_batches([f.cast(schema) for f in found], schema)
 
-    return probes.where("embedding IS NOT NULL").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, person_id long, pose_idx long, similarity double")
+    return p.groupBy("_block", "_group").cogroup(g.groupBy("_of", "_for")).applyInArrow(run, BEST)
 
 
 def shots(frames: DataFrame, order: str, vector: str, least: float) -> DataFrame:
