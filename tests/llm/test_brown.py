@@ -126,3 +126,19 @@ def test_no_text(spark):
     model, counts = brown.fit(none)
     got = brown.score_texts(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), model, counts).collect()
     assert model.tokens == 0 and all(r.n_known == 0 and r.score < 0 for r in got)
+
+
+def test_every_accepted_step_raises_the_likelihood(spark, monkeypatch):
+    """Words of three kinds that follow one another: the exchange ends by its rule, and what it keeps never falls."""
+    import random
+
+    rng = random.Random(3)
+    kinds = [[f"{k}{i}" for i in range(40)] for k in "abc"]
+    texts = spark.createDataFrame([(" ".join(rng.choice(kinds[(i + rng.choice([0, 0, 0, 1])) % 3]) for i in range(60)),) for _ in range(200)], "text string")
+    seen, real = [], brown.likelihood
+    monkeypatch.setattr(brown, "likelihood", lambda t: seen.append(real(t)) or seen[-1])
+    monkeypatch.setattr(brown, "TOP", 8)
+    brown.fit(texts)
+    best = [max(seen[: i + 1]) for i in range(len(seen))]
+    assert len(seen) >= 5 and best[-1] > seen[0]
+    assert best[-1] - best[-3] <= brown.ENOUGH * abs(best[-1])  # the last round

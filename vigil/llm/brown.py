@@ -5,8 +5,9 @@ symbol is one of the MAX_CLASSED most frequent words or else the word's spelling
 group (a hash of its ending); exchange clustering of all symbols into classes.
 The TOP most frequent words are exchanged one by one; then every symbol chooses
 its best class against the table of class bigrams, in parallel and one half of
-the symbols at a time, as long as the likelihood rises. What a symbol needs for
-that, its neighbours' counts, is a row of a table in Spark.
+the symbols at a time; a half moves only where the likelihood rises, and rounds
+end when one raises it by under half a percent. What a symbol needs for that,
+its neighbours' counts, is a row of a table in Spark.
 
 Score: log10 of class transitions, interpolated with class frequencies, and of
 word emissions. In a class with spelling groups every word's count gives up an
@@ -42,8 +43,10 @@ from vigil.llm.common import as_bytes, fold, forget, materialise, table
 
 #: Words that are exchanged one by one, spelling groups, classes, passes of the exchange.
 TOP, GROUPS, CLASSES, PASSES = 512, 256, 48, 6
-#: Words that are symbols of their own, words whose counts go to every task, and passes of each half of the symbols in parallel.
-MAX_CLASSED, MAX_KNOWN, HALVES = 1 << 16, 1 << 17, 2
+#: Words that are symbols of their own, words whose counts go to every task.
+MAX_CLASSED, MAX_KNOWN = 1 << 16, 1 << 17
+#: The exchange ends with a round of both halves that raises the log-likelihood by no more than this share.
+ENOUGH = 0.005
 #: Least and most discount of a count, weight of class frequencies among transitions, and a floor of masses.
 DISCOUNTS, BACKOFF, FLOOR = (0.1, 0.95), 4.0, 1e-3
 #: Symbols that a task counts before it hands on the sums.
@@ -304,14 +307,18 @@ def cluster(rows: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nda
     counts[got["code"].to_numpy()] = got["n"].to_numpy()
     of = exchange(counts.reshape(n, n), CLASSES, PASSES)[lump]
     table = class_bigrams(rows, of)
-    # then all: those beside the most frequent at once, later half by half, while the likelihood rises
-    for step in [(top, None), *[(0, half) for _ in range(HALVES) for half in (0, 1)]]:
-        next_ = moved(rows, of, table, *step)
-        after = class_bigrams(rows, next_)
-        if likelihood(after) <= likelihood(table) + 1e-6 and step[1] is not None:
-            break
-        of, table = next_, after
-    return of, table
+    # then all, half by half, first those beside the most frequent; a half moves only where that gains
+    first, known = top, likelihood(table)
+    while True:
+        before = known
+        for half in (0, 1):
+            next_ = moved(rows, of, table, first, half)
+            after = class_bigrams(rows, next_)
+            if (gained := likelihood(after)) > known:
+                of, table, known = next_, after, gained
+        if first == 0 and known - before <= ENOUGH * abs(known):
+            return of, table
+        first = 0
 
 
 @dataclass
