@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -235,6 +235,13 @@ def median_bits(values: Column) -> Column:
     return bound(bound(F.sort_array(values), middle), lambda bar: above(values, bar))
 
 
+def anchor_grid(spark: SparkSession, side: int, strides: tuple[int, ...]) -> DataFrame:
+    """stride, x, y: the cells of a detector's grids over a square image."""
+    s = spark.range(1).select(F.explode(F.array(*map(F.lit, strides))).alias("stride"))
+    cells = F.sequence(F.lit(0), F.floor(F.lit(side) / F.col("stride")).cast("int") - 1)
+    return s.select("stride", F.explode(cells).alias("x")).select("stride", "x", F.explode(cells).alias("y"))
+
+
 def dct_matrix(n: int, keep: int) -> list[list[float]]:
     """The first rows of the orthonormal cosine transform of n values."""
     return [[math.cos((2 * x + 1) * u * math.pi / (2 * n)) * math.sqrt((1 if u == 0 else 2) / n) for x in range(n)] for u in range(keep)]

@@ -91,3 +91,8 @@ def utc(epoch_s: Column, stamp: Column) -> Column:
 def redacted(url: Column) -> Column:
     """A URL without the name and password in it."""
     return F.regexp_replace(F.regexp_replace(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://)[^/@]*@", "$1***@"), r"[?].*$", "?***")
+
+
+def counted(owners: DataFrame, rows: DataFrame, key: str, member: str) -> DataFrame:
+    """key and n of every owner: how many members it has, 0 where it has none."""
+    return owners.select(key).distinct().join(rows.select(key, member), key, "left").groupBy(key).agg(F.count(member).alias("n"))

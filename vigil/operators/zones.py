@@ -249,10 +249,11 @@ def zone_crowd_events(detections: DataFrame, zones: DataFrame, eps: float | Colu
 
 
 def documents(zones: DataFrame, width: float) -> DataFrame:
-    """zone_id and doc: a zone as JSON, numbers to five places, without what is null or the default."""
-    x = F.round(F.col("x0") / width, 5)
+    """zone_id and doc: a zone's rectangle as a JSON document with its corners as shares of the frame to five places, without what is null or the default."""
+    v = lambda c: F.round(F.col(c) / width, 5)
+    points = F.array(*[F.array(v(x), v(y)) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
     way = F.when(F.col("direction") != "both", F.col("direction"))
-    return zones.select("zone_id", F.to_json(F.struct(F.col("zone_id").alias("id"), F.col("ztype").alias("type"), x.alias("x"), "min_frames", way.alias("direction"))).alias("doc"))
+    return zones.select("zone_id", F.to_json(F.struct(F.col("zone_id").alias("id"), F.col("ztype").alias("type"), points.alias("points"), "min_frames", way.alias("direction"))).alias("doc"))
 
 
 def densest(points: DataFrame, keys: list[str], radius: float, least: int) -> DataFrame:

@@ -86,12 +86,23 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(r, 6).alias("ratio"), a.alias("w"), b.alias("h"))
 
 
-@query("anchor_grid", "SELECT CAST(s AS INT) AS stride, CAST(count(*) AS BIGINT) AS n, CAST(sum(x * s) AS BIGINT) AS sum_x, CAST(sum(y * s) AS BIGINT) AS sum_y FROM (SELECT s, unnest(range(0, 416 // s)) AS x FROM (VALUES (8), (16), (32)) v(s)) a JOIN (SELECT s AS t, unnest(range(0, 416 // s)) AS y FROM (VALUES (8), (16), (32)) w(s)) b ON s = t GROUP BY s")
+@query(
+    "anchor_grid",
+    """, gt AS (SELECT s AS stride, floor((x1 + x2) / 2 / s) AS x, floor((y1 + y2) / 2 / s) AS y FROM boxes, (VALUES (8), (16), (32)) v(s) WHERE role = 'gt'),
+    gr AS (SELECT s AS stride, x, y FROM (VALUES (8), (16), (32)) v(s), LATERAL (SELECT unnest(range(0, 416 // s)) AS x) a, LATERAL (SELECT unnest(range(0, 416 // s)) AS y) b)
+    SELECT CAST(gr.stride AS INT) AS stride, CAST(count(*) AS BIGINT) AS n, CAST(sum(gr.x * gr.stride) AS BIGINT) AS sum_x, CAST(sum(gr.y * gr.stride) AS BIGINT) AS sum_y, CAST(count(c.k) AS BIGINT) AS used, CAST(coalesce(sum(c.k), 0) AS BIGINT) AS truths
+    FROM gr LEFT JOIN (SELECT stride, x, y, count(*) AS k FROM gt GROUP BY stride, x, y) c ON c.stride = gr.stride AND c.x = gr.x AND c.y = gr.y GROUP BY gr.stride""",
+    "boxes",
+)
 def _(spark, d):
-    s = spark.range(1).select(F.explode(F.array(F.lit(8), F.lit(16), F.lit(32))).alias("stride"))
-    cells = lambda: F.sequence(F.lit(0), (F.lit(416) / F.col("stride")).cast("int") - 1)
-    g = s.select("stride", F.explode(cells()).alias("x")).select("stride", "x", F.explode(cells()).alias("y"))
-    return g.groupBy("stride").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("stride")).alias("sum_x"), F.sum(F.col("y") * F.col("stride")).alias("sum_y"))
+    """The grid of anchors of each stride, with how many ground-truth boxes have their centre there."""
+    grid = D.anchor_grid(spark, 416, (8, 16, 32))
+    truths = view(spark, d, "boxes").where("role = 'gt'").select(F.explode(F.array(*[F.lit(s) for s in (8, 16, 32)])).alias("stride"), "x1", "y1", "x2", "y2")
+    centre = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2 / F.col("stride")).cast("int")
+    hits = truths.groupBy("stride", centre("x1", "x2").alias("x"), centre("y1", "y2").alias("y")).agg(F.count("*").alias("k"))
+    g = grid.join(hits, ["stride", "x", "y"], "left")
+    place = lambda c: F.sum(F.col(c).cast("long") * F.col("stride"))
+    return g.groupBy("stride").agg(F.count("*").alias("n"), place("x").alias("sum_x"), place("y").alias("sum_y"), F.count("k").alias("used"), F.coalesce(F.sum("k"), F.lit(0)).alias("truths"))
 
 
 @query("box_format_convert", "SELECT box_id, (x1 + x2) / 2 / 1000 AS cx, (y1 + y2) / 2 / 1000 AS cy, (x2 - x1) / 1000 AS w, (y2 - y1) / 1000 AS h FROM boxes", "boxes")

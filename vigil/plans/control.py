@@ -149,9 +149,17 @@ def _(spark, d):
     return y.select("det_id", T.label(C("no").isNull(), C("fy") < 100, C("track_id")).alias("label"))
 
 
-@query("zone_documents", "SELECT zone_id, '{\"id\":\"' || zone_id || '\",\"type\":\"' || ztype || '\",\"x\":' || x0 / 1000.0 || CASE WHEN min_frames IS NULL THEN '' ELSE ',\"min_frames\":' || min_frames END || CASE WHEN direction IS NULL OR direction = 'both' THEN '' ELSE ',\"direction\":\"' || direction || '\"' END || '}' AS doc FROM site_zones", "site_zones")
+@query(
+    "zone_documents",
+    """, z AS (SELECT camera_id || '_' || klass AS zone_id, min(fx) / 1000 AS x0, min(fy) / 1000 AS y0, max(fx) / 1000 AS x1, max(fy) / 1000 AS y1, CASE WHEN count(*) % 2 = 0 THEN CAST(count(*) % 5 AS INT) END AS m FROM detections WHERE score >= 0.9 GROUP BY camera_id, klass)
+    SELECT zone_id, '{"id":"' || zone_id || '","type":"polygon","points":[[' || round(x0, 5) || ',' || round(y0, 5) || '],[' || round(x1, 5) || ',' || round(y0, 5) || '],[' || round(x1, 5) || ',' || round(y1, 5) || '],[' || round(x0, 5) || ',' || round(y1, 5) || ']]' || CASE WHEN m IS NULL THEN '' ELSE ',"min_frames":' || m END || '}' AS doc FROM z""",
+    "detections",
+)
 def _(spark, d):
-    return Z.documents(view(spark, d, "site_zones"), 1000.0)
+    """A zone around the sure detections of each class and camera."""
+    x = view(spark, d, "detections").where("score >= 0.9").groupBy("camera_id", "klass").agg(F.min("fx").alias("x0"), F.min("fy").alias("y0"), F.max("fx").alias("x1"), F.max("fy").alias("y1"), F.count("*").alias("n"))
+    x = x.select(F.concat_ws("_", "camera_id", "klass").alias("zone_id"), F.lit("polygon").alias("ztype"), "x0", "y0", "x1", "y1", F.when(C("n") % 2 == 0, (C("n") % 5).cast("int")).alias("min_frames"), F.lit("both").alias("direction"))
+    return Z.documents(x, 1000.0)
 
 
 # -- validation --------------------------------------------------------------------------------------------------------
@@ -447,9 +455,11 @@ def _(spark, d):
     return D.drop_report(view(spark, d, "detections"), ["camera_id"], "tick")
 
 
-@query("zones_per_camera", "SELECT camera_id, count(*) AS n FROM site_zones GROUP BY camera_id", "site_zones")
+@query("zones_per_camera", "SELECT c.camera_id, CAST(count(z.zone_id) AS BIGINT) AS n FROM (SELECT DISTINCT 'cam_0' || CAST(1 + user_id % 6 AS VARCHAR) AS camera_id FROM events) c LEFT JOIN (SELECT camera_id, zone_id FROM site_zones) z ON z.camera_id = c.camera_id GROUP BY c.camera_id", "site_zones")
 def _(spark, d):
-    return view(spark, d, "site_zones").groupBy("camera_id").agg(F.count("*").alias("n"))
+    """Six cameras that have events, of which four have zones."""
+    cameras = table(spark, d, "events").select(F.concat(F.lit("cam_0"), (1 + C("user_id") % 6).cast("string")).alias("camera_id")).distinct()
+    return M.counted(cameras, view(spark, d, "site_zones"), "camera_id", "zone_id")
 
 
 @query("active_admins", "SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0")
