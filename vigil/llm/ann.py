@@ -16,8 +16,8 @@ smallest ids can be among anyone's K nearest, so only those are candidates.
 Defined results: vectors that are null, zero, or hold a null or a component
 that isn't finite take no part, nor do vectors of another length than most;
 ties go to the smaller id; with fewer candidates than K all are returned;
-repeated ids count as different vectors with one id; an empty table gives an
-empty table; other columns don't matter.
+rows of one id with other vectors count as different, rows equal in both once; an
+empty table gives an empty table; other columns don't matter.
 """
 
 from __future__ import annotations
