@@ -214,3 +214,17 @@ def test_reset_forgets_tracks(spark):
     seen = [(u, 1, True, False, False) for u in range(1, 4)] + [(4, None, False, False, True)] + [(u, 1, False, False, False) for u in range(5, 8)]
     df = spark.createDataFrame([("c", "z", *r) for r in seen], "camera_id string, zone_id string, update_no long, track_id long, inside boolean, at_edge boolean, reset boolean")
     assert stateful.boundary_batch(df, 2).count() == 0 and stateful.boundary_batch(df.drop("reset"), 2).count() == 1
+
+
+def test_gate_on_the_tables(spark, tiny):
+    """The registered query against the gate walked tick by tick."""
+    from vigil import plans
+    from vigil.plans.more import with_box
+    from vigil.sources.observations import view
+
+    ticks = {}
+    for r in with_box(view(spark, tiny, "detections").where("klass IN ('fire', 'smoke')")).collect():
+        ticks.setdefault(r.camera_id, {}).setdefault(r.tick, []).append((r.det_id, r.klass, (r.x1, r.y1, r.x2, r.y2)))
+    want = sorted((c, t, k) for c, x in ticks.items() for t, k in gate_by_hand({t: sorted(b) for t, b in x.items()}, 2, 48, 0.1))
+    got = sorted((r.camera_id, r.tick, r.klass) for r in plans.queries()["kofn_gate"](spark, tiny).collect())
+    assert got == want and want
