@@ -52,7 +52,7 @@ FOLDS = 3
 FORM = regex.compile(r"[^\W_]+")
 #: Runs of scripts without spaces.
 DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+")
-CACHE_WORDS = 50_000
+CACHE_WORDS = 100_000
 
 
 def tokens(text: str | None) -> list[str]:
