@@ -83,3 +83,13 @@ def test_a_line_of_many_documents_of_a_large_host(spark):
     rows += [(5000, "h", rows[50][2] + "\n" + "\n".join(["twenty-five times one line of one document"] * 25))]
     got = {r.doc_id: r.removed_words for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     assert got[0] == got[39] == 15 and got[40] == 0 and got[5000] == 0
+
+
+def test_quality_lines_of_signs_alone(spark):
+    """Lines of different signs are different lines; the same signs in more than 20 documents of a host are one."""
+    name = lambda n: "".join(chr(97 + int(c)) for c in str(n))  # noqa: E731  digits are all alike to the rule
+    signs = ["***", "| |", "-- --", "#"]
+    words = lambda i: " ".join(f"x{name(i)}y{name(k)}" for k in range(25))
+    rows = [(i, "h", f"{words(i)}\n{signs[i % 4]}") for i in range(60)] + [(60 + i, "g", f"{words(60 + i)}\n *** \n***") for i in range(21)]
+    got = {r.doc_id: r.removed_words for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert {got[i] for i in range(60)} == {0} and {got[60 + i] for i in range(21)} == {2}

@@ -2,8 +2,8 @@
 
 A document fails the base rules if it has fewer than 20 words, or if over 30 %
 of its words stand in 8-word windows that the text has twice or more. Lines are
-normalised (lower case, digits as 0, without punctuation) and
-hashed; a line that more than MAX_LINE_DOCS distinct documents of its host
+normalised (lower case, digits as 0, without punctuation; a line of
+punctuation alone is itself) and hashed; a line that more than MAX_LINE_DOCS distinct documents of its host
 (here: source) have is removed, and a document that keeps less than half of its
 words, or under 20, is rejected as depleted.
 
@@ -45,7 +45,8 @@ def count_of(text: Column, signs: str) -> Column:
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.translate(F.lower(line), "0123456789" + MARKS, "0000000000"))
+    bare = F.trim(F.translate(F.lower(line), "0123456789" + MARKS, "0000000000"))
+    return F.when(bare == "", F.trim(line)).otherwise(bare)
 
 
 def base_features(df: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ n AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, ws FROM w),
 ln AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), md5(t)) AS doc, source, unnest(string_split(t, chr(10))) AS l FROM d),
 lw AS (SELECT doc_id, doc, source, l, len(list_filter(regexp_split_to_array(l, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS nw FROM ln),
-lk AS (SELECT doc_id, doc, source, l, nw, trim(translate(lower(l), '0123456789' || '{marks}', '0000000000'), ' ') AS k FROM lw WHERE nw > 0),
+lk AS (SELECT doc_id, doc, source, l, nw, coalesce(nullif(trim(translate(lower(l), '0123456789' || '{marks}', '0000000000'), ' '), ''), trim(l, ' ')) AS k FROM lw WHERE nw > 0),
 dup AS (SELECT doc_id, CAST(count(*) - count(DISTINCT l) AS BIGINT) AS n_dup_lines FROM lk GROUP BY doc_id),
 wi AS (SELECT doc_id, unnest(range(1, n_words - 6)) AS i, ws FROM n WHERE n_words >= 8),
 win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS s FROM wi),
