@@ -64,3 +64,30 @@ def test_schedules_by_hand(spark, batches):
             want.append(i)
     got = sequences.scheduled(spark.createDataFrame(rows, "k string, t double, i long"), ["k"], "t", 1.0, "i").collect()
     assert sorted(r.i for r in got) == want and 50 < len(want) < 400
+
+
+def recorded_by_hand(times, interval, segment, still, lost):
+    out, written, began, kept, before = [], None, None, None, None
+    for i, t in enumerate(times):
+        if before is not None and t - before >= lost:
+            began = None
+        before = t
+        if written is None or t - written >= interval:
+            written = t
+            began = t if began is None or t - began >= segment else began
+            due = still > 0 and (kept is None or t - kept >= still)
+            kept = t if due else kept
+            out.append((i, began, due))
+    return out
+
+
+@pytest.mark.parametrize("still", [9.0, 0.0])
+def test_recorder(spark, batches, still):
+    draw = random.Random(5)
+    times = {"a": [0.0], "b": [3.0, 3.0, 3.0], "c": []}
+    for _ in range(300):
+        times["a"].append(times["a"][-1] + draw.choice([0.0, 0.5, 1.0, 1.5, 1.5, 4.0, 7.0, 30.0]))
+    df = spark.createDataFrame([(k, t, i) for k, ts in times.items() for i, t in enumerate(ts)], "camera_id string, at double, i long").orderBy(F.rand(2))
+    got = sequences.recorded(df, ["camera_id"], "at", "i", 2.0, 20.0, still, 6.0).collect()
+    for k, ts in times.items():
+        assert sorted((r.i, r.segment, r.still) for r in got if r.camera_id == k) == recorded_by_hand(ts, 2.0, 20.0, still, 6.0)

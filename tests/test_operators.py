@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.functions import geometry, schedule
-from vigil.operators import sequences, similarity, zones
+from vigil.operators import alerts, sequences, similarity, zones
 from vigil.streaming import stateful
 
 
@@ -110,3 +110,12 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.table("got").toPandas()
     order = ["update_no", "track_id", "kind"]
     pd.testing.assert_frame_equal(got.sort_values(order).reset_index(drop=True), batch.sort_values(order).reset_index(drop=True))
+
+
+def test_stored_alerts_have_defaults(spark):
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    given = spark.sql("SELECT 1L AS alert_id, 'cam' AS camera_id, 'fire' AS kind, 'm' AS message, TIMESTAMP '2024-01-02 03:04:05' AS ts, 'high' AS severity, true AS delivered UNION ALL SELECT 2L, 'cam', 'fire', 'm', NULL, NULL, true")
+    a, b = alerts.inserted(given, now).orderBy("alert_id").collect()
+    assert (str(a.ts), a.severity, a.delivered, a.delivery_attempts, a.bbox) == ("2024-01-02 03:04:05", "high", False, 0, None)
+    assert (str(b.ts), b.severity, b.zone_id) == ("2024-06-01 00:00:00", "medium", None)
+    assert "zone_name" in alerts.inserted(given.where("false"), now).columns

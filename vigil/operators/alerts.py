@@ -204,6 +204,18 @@ def by_config(alerts: DataFrame, config: DataFrame, ident: str) -> DataFrame:
     return alerts.join(c, (F.col("ts") >= F.col("since")) & F.array_contains("severities", F.col("severity"))).drop("since", "severities")
 
 
+def inserted(alerts: DataFrame, now: Column) -> DataFrame:
+    """Alerts as they are stored: now where they have no time, a middle severity by default, not delivered and never tried; fields that they lack are null."""
+    have = lambda name, kind: F.col(name).cast(kind) if name in alerts.columns else F.lit(None).cast(kind)
+    fresh = {"delivered": F.lit(False), "delivery_attempts": F.lit(0), "last_attempt_ts": F.lit(None).cast("timestamp"), "delivery_error": F.lit(None).cast("string"), "created_at": now}
+    optional = {n: have(n, "string") for n in ("subtype", "zone_id", "zone_name", "person_id", "identity_status", "identity_name", "snapshot_path", "clip_path")}
+    numbers = {"track_id": have("track_id", "long"), "confidence": have("confidence", "double"), "identity_confidence": have("identity_confidence", "double")}
+    numbers |= {n: have(n, "array<double>") for n in ("bbox", "foot_point")}
+    given = {"ts": F.coalesce(have("ts", "timestamp"), now), "severity": F.coalesce(have("severity", "string"), F.lit("medium"))}
+    columns = given | optional | numbers | fresh
+    return alerts.select("alert_id", "camera_id", "kind", "message", *[c.alias(n) for n, c in columns.items()])
+
+
 def mail_body(alerts: DataFrame) -> DataFrame:
     """alert_id and the text of its mail, a line for each thing that is known."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value)

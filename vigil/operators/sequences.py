@@ -84,6 +84,38 @@ def scheduled(df: DataFrame, keys: list[str], at: str, step: float, ident: str)
     return folded(x, [*keys, "_piece"], [at, ident], f"{ident} long", fold).drop("_piece")
 
 
+def recorded(df: DataFrame, keys: list[str], at: str, ident: str, interval: float, segment: float, still: float, lost: float) -> DataFrame:
+    """keys, ident, segment (seconds at which it began) and still of the rows that a recorder writes.
+
+    A row is written when the last one written lies interval seconds back. Segments begin with a row written, the first
+    that comes so long after their beginning, or after lost seconds without a row; a written row is kept as a still too
+    when the last still lies so far back (0: no stills). Rows are (at: seconds, ident) in that order. A row after a
+    silence as long as all of these begins anew whatever was before it, so a key's rows are cut there.
+    """
+    w = W.partitionBy(*keys).orderBy(at, ident)
+    x = df.select(*keys, F.col(at).cast("double").alias(at), F.col(ident).cast("long").alias(ident)).withColumn("_silence", F.col(at) - F.lag(at).over(w))
+    x = x.withColumn("_piece", F.sum(F.when(F.col("_silence") >= max(interval, still, lost), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+    def fold(state: list | None, rows: dict[str, list]) -> tuple[list[tuple], list]:
+        written, began, kept = state or (None, None, None)
+        out = []
+        for t, i, silence in zip(rows[at], rows[ident], rows["_silence"], strict=True):
+            if silence is not None and silence >= lost:
+                began = None
+            if written is not None and t - written < interval:
+                continue
+            written = t
+            if began is None or t - began >= segment:
+                began = t
+            as_still = still > 0 and (kept is None or t - kept >= still)
+            if as_still:
+                kept = t
+            out.append((i, began, as_still))
+        return out, [written, began, kept]
+
+    return folded(x, [*keys, "_piece"], [at, ident], f"{ident} long, segment double, still boolean", fold).drop("_piece")
+
+
 def rolling_hits(df: DataFrame, keys: list[str], order: list[str], hit: Column, n: int) -> DataFrame:
     """df with hits: how many of the last n rows hit."""
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)

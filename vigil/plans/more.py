@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from vigil.functions import geometry
+from vigil.operators import alerts as A
 from vigil.operators import boundaries as B
 from vigil.operators import datasets as D
 from vigil.operators import graph
@@ -12,7 +16,8 @@ from vigil.operators import sequences as S
 from vigil.operators import similarity as M
 from vigil.operators import tracking as T
 from vigil.operators import zones as Z
-from vigil.plans.catalogue import COS, NEAR, query
+from vigil.plans.catalogue import COS, NEAR, query, seconds
+from vigil.sources import files
 from vigil.sources.observations import prelude, table, view
 
 C = F.col
@@ -234,3 +239,62 @@ def _(spark, d):
 @query("near_dup_report", f"WITH RECURSIVE {REACHED} SELECT count(DISTINCT component) AS clusters, round(coalesce(count(*) - count(DISTINCT component), 0) / (SELECT count(*) FROM embeddings), 6) AS duplicate_ratio, (SELECT list(n ORDER BY n DESC) FROM (SELECT count(*) AS n, component FROM c GROUP BY component ORDER BY n DESC, component LIMIT 5)) AS largest FROM c")
 def _(spark, d):
     return D.component_report(near_components(spark, d), table(spark, d, "embeddings").count())
+
+
+# -- recorder, stored alerts, files -------------------------------------------------------------------------------------
+
+#: Written frames as a recursion over each camera's frames.
+RECORDED = """o AS (SELECT camera_id, det_id, CAST(epoch(ts) AS DOUBLE) AS t, row_number() OVER w AS k, coalesce(epoch(ts) - epoch(lag(ts) OVER w) >= 10800, false) AS cut FROM detections WINDOW w AS (PARTITION BY camera_id ORDER BY ts, det_id)),
+m AS (SELECT camera_id, det_id, k, true AS hit, t AS lw, t AS sg, t AS sl, true AS still FROM o WHERE k = 1
+ UNION ALL SELECT camera_id, det_id, k, hit, CASE WHEN hit THEN t ELSE lw END, CASE WHEN NOT hit THEN sg WHEN sg IS NULL OR t - sg >= 259200 THEN t ELSE sg END,
+  CASE WHEN hit AND t - sl >= 172800 THEN t ELSE sl END, hit AND t - sl >= 172800
+  FROM (SELECT o.camera_id, o.det_id, o.k, o.t, o.t - m.lw >= 7200 AS hit, m.lw, CASE WHEN o.cut THEN NULL ELSE m.sg END AS sg, m.sl FROM m JOIN o ON o.camera_id = m.camera_id AND o.k = m.k + 1) s)
+SELECT camera_id, det_id, sg AS segment, still FROM m WHERE hit"""
+
+
+@query("recorder_segments", f"WITH RECURSIVE {prelude('detections')[5:]}, {RECORDED}")
+def _(spark, d):
+    """Every camera's frames, one in 2 hours; segments of 3 days, stills 2 days apart, the feed lost after 3 hours."""
+    x = view(spark, d, "detections").select("camera_id", "det_id", seconds("ts").alias("at"))
+    return S.recorded(x, ["camera_id"], "at", "det_id", 7200.0, 259200.0, 172800.0, 10800.0)
+
+
+@query("event_insert", """SELECT alert_id, camera_id, strftime(CASE WHEN alert_id % 4 = 1 THEN TIMESTAMP '2024-06-01' ELSE ts END, '%Y-%m-%d %H:%M') AS at, CASE WHEN alert_id % 3 = 2 THEN 'medium' ELSE severity END AS severity,
+ zone_id, subtype, CAST(NULL AS VARCHAR) AS zone_name, false AS delivered, 0 AS delivery_attempts FROM alerts""", "alerts")
+def _(spark, d):
+    """Every fourth alert comes without a time and every third without a severity; no alert has a zone's name."""
+    x = view(spark, d, "alerts").withColumn("message", C("kind"))
+    x = x.withColumns({"ts": F.when(C("alert_id") % 4 != 1, C("ts")), "severity": F.when(C("alert_id") % 3 != 2, C("severity"))})
+    stored = A.inserted(x, F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    return stored.select("alert_id", "camera_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), "severity", "zone_id", "subtype", "zone_name", "delivered", "delivery_attempts")
+
+
+@query("label_text_scan", """SELECT image_id, class_id, count(*) AS n, round(sum(x1), 3) AS x1, round(sum(y1), 3) AS y1, round(sum(x2), 3) AS x2, round(sum(y2), 3) AS y2
+ FROM boxes WHERE box_id % 7 <> 3 AND box_id % 11 <> 5 GROUP BY image_id, class_id""", "boxes")
+def _(spark, d):
+    """Boxes as label lines and back to corners; some lines lack a field, some name no class."""
+    mid = lambda a, z, size: (C(a) + C(z)) / 2 / size
+    share = lambda a, z, size: (C(z) - C(a)) / size
+    fields = [F.when(C("box_id") % 11 == 5, "x").otherwise(C("class_id").cast("string")), mid("x1", "x2", 640), mid("y1", "y2", 480), share("x1", "x2", 640)]
+    line = F.concat_ws(" ", *[f.cast("string") for f in fields], F.when(C("box_id") % 7 != 3, share("y1", "y2", 480).cast("string")))
+    x = files.corners(files.label_lines(view(spark, d, "boxes").select(C("image_id").alias("stem"), line.alias("value"))), 640, 480)
+    return x.groupBy(C("stem").alias("image_id"), "class_id").agg(F.count("*").alias("n"), *[F.round(F.sum(c), 3).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query("manifest_scan", """SELECT image_id AS image, role AS source, class_id AS klass, count(*) AS n, count(*) FILTER (score >= 0.5) AS sure FROM boxes WHERE image_id % 9 <> 4 GROUP BY image_id, role, class_id""", "boxes")
+def _(spark, d):
+    """A manifest written from the boxes, with blank and broken lines, and read again."""
+    instance = F.struct(C("class_id").cast("string").alias("class"), F.when(C("score") >= 0.5, "sure").alias("domain"))
+    x = view(spark, d, "boxes").groupBy("image_id", "role").agg(F.collect_list(instance).alias("instances"))
+    text = F.to_json(F.struct(C("image_id").cast("string").alias("image"), C("role").alias("source"), "instances"))
+    path = os.path.join(graph.shared_folder(spark), "vigil", f"manifest-{uuid.uuid4().hex}")
+    x.select(F.when(C("image_id") % 9 != 4, text).when(C("image_id") % 2 == 0, "").otherwise(F.concat(F.lit("cut "), text)).alias("value")).write.text(path)
+    return files.manifest(spark, path).groupBy(C("image").cast("long").alias("image"), "source", C("class").cast("int").alias("klass")).agg(F.count("*").alias("n"), F.count("domain").alias("sure"))
+
+
+@query("box_format_back", "SELECT box_id, round(x1, 6) AS x, round(y1, 6) AS y, round(x2 - x1, 6) AS w, round(y2 - y1, 6) AS h, round((x2 - x1) * (y2 - y1), 3) AS area FROM boxes", "boxes")
+def _(spark, d):
+    """Normalised centre boxes as corners, and these as corner, size and area."""
+    b = view(spark, d, "boxes").select(C("box_id").alias("stem"), "class_id", ((C("x1") + C("x2")) / 2 / 640).alias("cx"), ((C("y1") + C("y2")) / 2 / 480).alias("cy"), ((C("x2") - C("x1")) / 640).alias("w"), ((C("y2") - C("y1")) / 480).alias("h"))
+    c, w, h = files.corners(b, 640, 480), C("x2") - C("x1"), C("y2") - C("y1")
+    return c.select(C("stem").alias("box_id"), F.round("x1", 6).alias("x"), F.round("y1", 6).alias("y"), F.round(w, 6).alias("w"), F.round(h, 6).alias("h"), F.round(w * h, 3).alias("area"))

@@ -22,7 +22,12 @@ def stem(path: F.Column) -> F.Column:
 
 def label_boxes(spark: SparkSession, path: str) -> DataFrame:
     """stem, class_id, cx, cy, w, h of label files with a box a line; lines without five fields are skipped."""
-    x = spark.read.text(path).select(stem(F.col("_metadata.file_path")).alias("stem"), F.split(F.trim("value"), r"\s+").alias("v")).where(F.size("v") == 5)
+    return label_lines(spark.read.text(path).select(stem(F.col("_metadata.file_path")).alias("stem"), "value"))
+
+
+def label_lines(lines: DataFrame) -> DataFrame:
+    """The same of lines (stem, value)."""
+    x = lines.select("stem", F.split(F.trim("value"), r"\s+").alias("v")).where(F.size("v") == 5)
     number = lambda i: F.expr(f"try_cast(v[{i}] AS double)")
     return x.select("stem", F.expr("try_cast(v[0] AS int)").alias("class_id"), *[number(i).alias(n) for i, n in enumerate(("cx", "cy", "w", "h"), 1)]).where("class_id IS NOT NULL")
 
