@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import free_name, materialise, slices, table
+from vigil.llm.common import bucketed, free_name, materialise, slices, table
 from vigil.llm.links import SKETCH, Sets, link, with_sketches
 from vigil.llm.ngram_join import mixed, row_hash
 
@@ -195,7 +195,7 @@ def classes(docs: DataFrame, key: str, text: str, least: int) -> tuple[DataFrame
         one = firsts.join(ids, F.col("line_id") == F.col("id"))
         wanted = one.groupBy(F.col("place._row").alias("_row")).agg(F.collect_set(F.struct(F.col("place.at").alias("at"), "line_id")).alias("places"))
         found = wanted_lines(rows, wanted, "_key", "_text").dropDuplicates(["id"])  # repeated rows give their lines again
-        bodies = materialise(with_sketches(found, sets_of), "line-bodies")
+        bodies = bucketed(with_sketches(found, sets_of), "id", "line-bodies")
         return bodies.select("id", "n", *SKETCH), bodies.select("id", "body")
 
     # distinct shingles may be far fewer than characters, so lengths rule nothing out

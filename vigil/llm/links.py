@@ -191,7 +191,8 @@ def link(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame,
     """id, component of all ids that links of similarity least % connect. Ids are not negative.
 
     signatures: sig, id, size. Sizes can only be alike if the smaller one is at least ratio % of the larger. For ids
-    that share a signature, prepare writes id, n and sketch, and id and body; sets_of makes sets of bodies.
+    that share a signature, prepare writes id, n and sketch, and id and body; sets_of makes sets of bodies. Each
+    verification meets the bodies, so these had better be bucketed() by id.
     """
     shared = materialise(neighbours(signatures, lambda x, y: 100 * np.minimum(x, y).astype(np.int64) >= ratio * np.maximum(x, y).astype(np.int64)), f"{name}-shared")
     sketch, bodies = prepare(shared.select("id").distinct())

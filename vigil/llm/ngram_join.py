@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import as_bytes, forget, free_name, materialise, table
+from vigil.llm.common import as_bytes, bucketed, forget, free_name, materialise, table
 from vigil.llm.links import PART_BYTES, SKETCH, Sets, link, sketches
 
 WORDS = 4
@@ -299,7 +299,7 @@ def jaccard_parts(docs: DataFrame, key: str, text: str, n: int, least: int, sign
         r, o = rows.withColumn("_row", row_hash(F.col("_key"), F.col("_text"))).alias("r"), one.hint("shuffle_hash").alias("o")
         found = r.join(o, F.col("r._row") == F.col("o._one")).select("id", F.col("_text").alias("body"), F.col("o._one").alias("_one"))
         bodies = found.dropDuplicates(["_one"]).select("id", "body")  # repeated rows lie in one task already
-        return sketch, materialise(bodies, "ngram-bodies")
+        return sketch, bucketed(bodies, "id", "ngram-bodies")
 
     linked = link(sigs, prepare, Shingler(n).of_texts, least, least, few, "ngram")
     linked = linked.select(F.col("id").alias("set_id"), "component")
