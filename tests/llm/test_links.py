@@ -42,3 +42,18 @@ def test_buckets_hold_what_was_written(spark):
     assert sorted(kept.collect()) == sorted(rows.collect())
     assert not any(t.name.startswith("vigil_") for t in spark.catalog.listTables())
     assert bucketed(rows.where("false"), "id").count() == 0
+
+
+def test_signatures_of_one_id_go(spark):
+    rng = random.Random(5)
+    rows = [(i % 900, 5 + i % 3, [rng.randint(-3000, 3000) for _ in range(rng.randint(1, 6))]) for i in range(1000)] + [(7, 5, [77_777, 77_777]), (7, 5, [77_777]), (8, 5, [-(1 << 63), (1 << 63) - 1])]
+    sets = spark.createDataFrame(rows, "id long, size long, sigs array<long>").repartition(5)
+    ids = {}
+    for i, _, sigs in rows:
+        for s in sigs:
+            ids.setdefault(s, set()).add(i)
+    every = sorted((s, i, n) for i, n, sigs in rows for s in sigs)
+    got = sorted(tuple(r) for r in links.shared_signatures(sets).collect())
+    assert got == [x for x in every if len(ids[x[0]]) > 1] and len(got) < len(every)
+    assert sorted(tuple(r) for r in links.shared_signatures(sets, most=10).collect()) == every
+    assert links.shared_signatures(sets.where("false")).count() == 0

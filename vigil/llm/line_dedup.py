@@ -188,7 +188,7 @@ def classes(docs: DataFrame, key: str, text: str, least: int) -> tuple[DataFrame
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     lines = materialise(line_classes(rows, "_key", "_text"), "lines")
     firsts = materialise(lines.groupBy("line_id").agg(F.min(place()).alias("place"), F.count("*").alias("n")), "line-firsts")
-    sigs = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("sig"), F.col("line_id").alias("id"), "size")
+    sigs = lines.where(F.size("bands") > 0).select(F.col("bands").alias("sigs"), F.col("line_id").alias("id"), "size")
 
     def prepare(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Sketches and forms of some lines, from the first place of each."""

@@ -1,7 +1,9 @@
 """From shared signatures to verified links and connected components, as Spark jobs.
 
-Signatures are rows (sig, id, size). Two ids that share a signature may be
-alike; the similarity of their sets decides. Every id is first verified against
+Two ids that share a signature may be alike; the similarity of their sets
+decides. Most signatures belong to one id alone, and go first: they are packed
+into blocks by a hash, and each task sorts its blocks as arrays. What stays are
+rows (sig, id, size). Every id is first verified against
 one partner: of those next to it in the order of its groups, the one it stands
 next to most often. Then members of a group that are still apart are verified against
 the most alike of those near them in a few chance orders. That connects groups of near
@@ -21,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,10 @@ SKETCH = [f"s{k}" for k in range(SKETCH_LONGS)]
 SKETCH_BITS = 64 * SKETCH_LONGS
 #: Chance orders at most; members ahead in an order that each is held against, by stretches; links for each row below which no further order is worth it.
 ROUNDS, AHEAD, STRETCH, FEW = 3, 64, 16, 0.004
+#: A signature of an id, and what spreads signatures over partitions.
+SIGNATURE, SPREAD = np.dtype([("sig", np.int64), ("id", np.int64), ("size", np.int32)]), np.uint64(0x9E3779B97F4A7C15)
+#: Signatures that a task packs at once, those (and rows of lists) of a block at most, and those that a task sorts at once.
+PACKED, BLOCK, HELD = 1 << 19, 1 << 10, 1 << 22
 #: Bytes of text that are made into sets at once.
 PART_BYTES = 1 << 18
 
@@ -108,6 +115,74 @@ def similar_pairs(pairs: DataFrame, bodies: DataFrame, sets_of: Callable[[list[s
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def shared_signatures(sets: DataFrame, most: int = HELD) -> DataFrame:
+    """sig, id, size of the signatures that several ids have; sets: sigs (an array without nulls), id, size.
+
+    A task that gets more than so many rows passes all of them on, which loses none, so that its memory is bounded.
+    """
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = list(SIGNATURE.names)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in (b.slice(k, BLOCK) for b in batches for k in range(0, b.num_rows, BLOCK)):
+            sigs, ids, size = batch.columns
+            counts = pc.list_value_length(sigs).to_numpy()
+            x = np.empty(int(counts.sum()), SIGNATURE)
+            x["sig"], x["id"], x["size"] = sigs.flatten().to_numpy(), np.repeat(ids.to_numpy(), counts), np.repeat(size.to_numpy(), counts)
+            held.append(x)
+            total += len(x)
+            if total >= PACKED:
+                yield blocks(np.concatenate(held))
+                held, total = [], 0
+        if total:
+            yield blocks(np.concatenate(held))
+
+    def blocks(x: np.ndarray) -> pa.RecordBatch:
+        part = ((x["sig"].view(np.uint64) * SPREAD >> np.uint64(32)) % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.int32)
+        order = np.argsort(part, kind="stable")
+        x, part = x[order], part[order]
+        starts = np.union1d(np.arange(0, len(x), BLOCK), np.flatnonzero(part[1:] != part[:-1]) + 1)
+        at = np.append(starts, len(x)).astype(np.int32) * SIGNATURE.itemsize
+        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(x.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), packed], names=["part", "rows"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            held.append(np.frombuffer(b"".join(batch.column(0).to_pylist()), SIGNATURE))
+            total += len(held[-1])
+            if total > most:
+                yield from map(rows, held)
+                held = []
+        if held:
+            yield rows(several(np.concatenate(held)) if total <= most else np.concatenate(held))
+
+    def several(x: np.ndarray) -> np.ndarray:
+        """Those of x whose signature has another id too."""
+        x = x[np.argsort(x["sig"])]
+        sig = x["sig"]
+        same = sig[1:] == sig[:-1]
+        other = np.zeros(len(x), bool)
+        other[1:] = same
+        other[:-1] |= same
+        x = x[other]
+        if not len(x):
+            return x
+        new = np.ones(len(x), bool)
+        new[1:] = x["sig"][1:] != x["sig"][:-1]
+        differs = np.zeros(len(x), bool)
+        differs[1:] = ~new[1:] & (x["id"][1:] != x["id"][:-1])
+        return x[np.logical_or.reduceat(differs, np.flatnonzero(new))[np.cumsum(new) - 1]]
+
+    def rows(x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[c])) for c in names], names=names)
+
+    wide = sets.select("sigs", "id", F.col("size").cast("int").alias("size"))
+    packed = wide.mapInArrow(pack, "part int, rows binary").repartitionById(n, F.col("part"))
+    return packed.select("rows").mapInArrow(unpack, "sig long, id long, size int")
+
+
 def neighbours(signatures: DataFrame, similar_size: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """sig, id, size, before of the ids that may have a partner in some group; before: the one ahead in the order of sizes, if alike in size.
 
@@ -190,11 +265,13 @@ def chance_pairs(members: DataFrame, k: int, least: int, ratio: int) -> DataFram
 def link(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame, DataFrame]], sets_of: Callable[[list[str]], Sets], least: int, ratio: int, few: bool, name: str) -> DataFrame:
     """id, component of all ids that links of similarity least % connect. Ids are not negative.
 
-    signatures: sig, id, size. Sizes can only be alike if the smaller one is at least ratio % of the larger. For ids
+    signatures: sigs (an array), id, size. Sizes can only be alike if the smaller one is at least ratio % of the larger. For ids
     that share a signature, prepare writes id, n and sketch, and id and body; sets_of makes sets of bodies. Each
     verification meets the bodies, so these had better be bucketed() by id.
     """
-    shared = materialise(neighbours(signatures, lambda x, y: 100 * np.minimum(x, y).astype(np.int64) >= ratio * np.maximum(x, y).astype(np.int64)), f"{name}-shared")
+    several = materialise(shared_signatures(signatures), f"{name}-several")
+    shared = materialise(neighbours(several, lambda x, y: 100 * np.minimum(x, y).astype(np.int64) >= ratio * np.maximum(x, y).astype(np.int64)), f"{name}-shared")
+    forget(several)
     sketch, bodies = prepare(shared.select("id").distinct())
 
     def apart(members: DataFrame, parts: DataFrame) -> DataFrame:

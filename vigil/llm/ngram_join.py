@@ -288,7 +288,7 @@ def jaccard_parts(docs: DataFrame, key: str, text: str, n: int, least: int, sign
 
     sets = materialise(shingle_sets(rows, "_key", "_text", n, signers), "ngram-sets")
     known = sets.select("_key", "_row", "n_shingles", "set_id")
-    sigs = sets.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), F.col("set_id").alias("id"), F.col("n_shingles").alias("size"))
+    sigs = sets.where(F.size("sigs") > 0).select("sigs", F.col("set_id").alias("id"), F.col("n_shingles").alias("size"))
 
     def prepare(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Sketches and texts of some sets, each of one document, which need not have an id."""
