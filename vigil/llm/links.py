@@ -280,6 +280,10 @@ def link(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame,
         mixed = x.groupBy("sig").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("sig")
         return x.join(mixed, "sig", "left_semi")
 
+    def sketched(members: DataFrame) -> DataFrame:
+        """Members with their sketches, which are far larger: they join where they are compared, not before."""
+        return members.join(sketch.select("id", "n", *SKETCH), "id")
+
     def alike(p: str, q: str) -> Column:
         sizes = (100 * F.col(f"{p}.size") >= ratio * F.col(f"{q}.size")) & (100 * F.col(f"{q}.size") >= ratio * F.col(f"{p}.size"))
         return (F.col(f"{p}.part") != F.col(f"{q}.part")) & sizes & may_be_similar(p, q, least)
@@ -295,10 +299,10 @@ def link(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame,
     parts = components(links, f"{name}-parts")
 
     # members of a group with those near them in chance orders, until that hardly connects any more
-    y = materialise(apart(shared.select("sig", "id", "size"), parts).join(sketch.select("id", "n", *SKETCH), "id"), f"{name}-apart")
+    y = materialise(apart(shared.select("sig", "id", "size"), parts), f"{name}-apart")
     forget(shared)
     for k in range(ROUNDS):
-        more = verified(chance_pairs(y, k, least, ratio).distinct())
+        more = verified(chance_pairs(sketched(y), k, least, ratio).distinct())
         found = more.count()
         if found:
             links = links.unionByName(more)
@@ -312,6 +316,7 @@ def link(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame,
     # the rest pair by pair, where sizes and sketches allow
     if few:  # a pair only in the first of the groups that it shares
         y = y.join(y.groupBy("id").agg(F.sort_array(F.collect_set("sig")).alias("sigs")), "id")
+    y = sketched(y)
     p, q = y.alias("p"), y.alias("q")
     meet = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.id") < F.col("q.id")) & alike("p", "q")
     if few:
