@@ -14,7 +14,9 @@ are verified on whole sets, so none of the groups' links is lost.
 A sketch is the parity of how many elements of a set fall on each of its
 places. Where two sketches differ, exactly one of the sets has an element, so
 the number of such places never exceeds what the sets differ in: dropping a
-pair for that loses no link.
+pair for that loses no link. In a sketch of SKETCH_BITS places large sets are all
+alike, so they have a wide one too, of as many places as elements, which the pairs
+that the first leaves open meet before any text does.
 """
 
 from __future__ import annotations
@@ -57,6 +59,24 @@ def sketches(sets: Sets) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(packed[:, k])) for k in range(SKETCH_LONGS)]
 
 
+def wide_sketches(sets: Sets) -> list[bytes | None]:
+    """The parities of each set of more than SKETCH_BITS elements, by a power of two of places that is at least their number."""
+    values, ends = sets
+    out: list[bytes | None] = [None] * (len(ends) - 1)
+    for i in np.flatnonzero(np.diff(ends) > SKETCH_BITS).tolist():
+        places = 1 << int(ends[i + 1] - ends[i] - 1).bit_length()
+        at = ((values[ends[i] : ends[i + 1]] >> np.uint64(23)) % np.uint64(places)).astype(np.int64)
+        out[i] = np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8)).tobytes()
+    return out
+
+
+def places_apart(p: bytes, q: bytes) -> int:
+    """Places where two wide sketches differ; the longer one is folded to the length of the other."""
+    x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+    m = min(len(x), len(y))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(np.concatenate((x, y)).reshape(-1, m))).sum())
+
+
 def in_parts(texts: list, size: Callable[..., int] = len) -> Iterator[list]:
     """Runs of texts (or what else has a size) of about PART_BYTES."""
     start, held = 0, 0
@@ -90,10 +110,32 @@ def may_be_similar(a: str, b: str, least: int) -> Column:
     return (100 + least) * apart <= (100 - least) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def open_pairs(pairs: DataFrame, sketch: DataFrame, least: int) -> DataFrame:
+    """Those pairs (a, b) that wide sketches leave open, with row_a and row_b, the ids of their bodies; sketch: id, n, wide, row."""
+    x, y = (sketch.select(F.col("id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "wide", "row"))) for k in ("a", "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, p, q = batch.column("n").to_numpy(), batch.column("wide_a"), batch.column("wide_b")
+            keep = np.ones(batch.num_rows, bool)
+            for i in np.flatnonzero(pc.and_(p.is_valid(), q.is_valid()).to_numpy(zero_copy_only=False)).tolist():
+                keep[i] = (100 + least) * places_apart(p[i].as_py(), q[i].as_py()) <= (100 - least) * n[i]
+            yield batch.select(["a", "b", "row_a", "row_b"]).filter(pa.array(keep))
+
+    both = pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "row_a", "row_b", (F.col("n_a") + F.col("n_b")).alias("n"), "wide_a", "wide_b")
+    return both.mapInArrow(run, "a long, b long, row_a long, row_b long")
+
+
 def similar_pairs(pairs: DataFrame, bodies: DataFrame, sets_of: Callable[[list[str]], Sets], least: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar by least %, on their whole texts; bodies: id, body."""
-    x = bodies.select(F.col("id").alias("a"), F.col("body").alias("x"))
-    y = bodies.select(F.col("id").alias("b"), F.col("body").alias("y"))
+    """Those pairs (a, b) whose sets are similar by least %, on their whole texts; bodies: id, body, or row, body where pairs have row_a and row_b."""
+    if "row" in bodies.columns:
+        x = bodies.select(F.col("row").alias("row_a"), F.col("body").alias("x"))
+        y = bodies.select(F.col("row").alias("row_b"), F.col("body").alias("y"))
+        both = pairs.join(y, "row_b").join(x, "row_a")
+    else:
+        x = bodies.select(F.col("id").alias("a"), F.col("body").alias("x"))
+        y = bodies.select(F.col("id").alias("b"), F.col("body").alias("y"))
+        both = pairs.join(y, "b").join(x, "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +154,7 @@ def similar_pairs(pairs: DataFrame, bodies: DataFrame, sets_of: Callable[[list[s
                 first += len(some)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def shared_signatures(sets: DataFrame, most: int = HELD) -> DataFrame:
@@ -266,8 +308,9 @@ def link(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame,
     """id, component of all ids that links of similarity least % connect. Ids are not negative.
 
     signatures: sigs (an array), id, size. Sizes can only be alike if the smaller one is at least ratio % of the larger. For ids
-    that share a signature, prepare writes id, n and sketch, and id and body; sets_of makes sets of bodies. Each
-    verification meets the bodies, so these had better be bucketed() by id.
+    that share a signature, prepare writes id, n and sketch, and id and body; sets_of makes sets of bodies. Where sets may
+    be large, the sketches have wide ones and row too, and bodies are row, body. Each verification meets the bodies, so
+    these had better be bucketed() by their id.
     """
     several = materialise(shared_signatures(signatures), f"{name}-several")
     shared = materialise(neighbours(several, lambda x, y: 100 * np.minimum(x, y).astype(np.int64) >= ratio * np.maximum(x, y).astype(np.int64)), f"{name}-shared")
@@ -289,6 +332,7 @@ def link(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame,
         return (F.col(f"{p}.part") != F.col(f"{q}.part")) & sizes & may_be_similar(p, q, least)
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = open_pairs(pairs, sketch, least) if "wide" in sketch.columns else pairs
         return materialise(similar_pairs(pairs, bodies, sets_of, least), f"{name}-links")
 
     # each id with the neighbour that most of its groups give it

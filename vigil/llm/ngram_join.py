@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import as_bytes, bucketed, forget, free_name, materialise, table
-from vigil.llm.links import PART_BYTES, SKETCH, Sets, link, sketches
+from vigil.llm.links import PART_BYTES, SKETCH, Sets, link, sketches, wide_sketches
 
 WORDS = 4
 #: Similarity in per cent.
@@ -243,7 +243,7 @@ Signers = Callable[[], Callable[[Sets, np.ndarray], Sets]]
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, n: int, signers: Signers) -> DataFrame:
-    """key, _row (its row_hash()), n_shingles, set_id, sigs and the sketch of each row; of equal sets in a task only the first has signatures and a sketch."""
+    """key, _row (its row_hash()), n_shingles, set_id, sigs and the sketches of each row; of equal sets in a task only the first has signatures and sketches."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,14 +263,16 @@ def shingle_sets(docs: DataFrame, key: str, text: str, n: int, signers: Signers)
                 sigs, at = signer(sets, fresh)
                 some = pa.array(np.flatnonzero(fresh))
                 back = np.cumsum(fresh) - 1
-                sketch = [c.take(pa.array(back, mask=~fresh)) for c in sketches((values[np.repeat(fresh, sizes)], np.concatenate(([0], np.cumsum(sizes[fresh])))))] if len(some) else [pa.nulls(len(texts), pa.int64())] * len(SKETCH)
+                of_fresh = (values[np.repeat(fresh, sizes)], np.concatenate(([0], np.cumsum(sizes[fresh]))))
+                made = [*sketches(of_fresh), pa.array(wide_sketches(of_fresh), pa.binary())] if len(some) else []
+                sketch = [c.take(pa.array(back, mask=~fresh)) for c in made] or [*[pa.nulls(len(texts), pa.int64())] * len(SKETCH), pa.nulls(len(texts), pa.binary())]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(part.schema.get_field_index(c)) for c in (key, "_row")), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sigs.view(np.int64))), *sketch],
-                    names=[key, "_row", "n_shingles", "set_id", "sigs", *SKETCH],
+                    names=[key, "_row", "n_shingles", "set_id", "sigs", *SKETCH, "wide"],
                 )
 
     rows = docs.select(key, row_hash(F.col(key), F.col(text)).alias("_row"), text)
-    return rows.mapInArrow(run, f"`{key}` {kind}, _row long, n_shingles long, set_id long, sigs array<long>, " + ", ".join(f"{s} long" for s in SKETCH))
+    return rows.mapInArrow(run, f"`{key}` {kind}, _row long, n_shingles long, set_id long, sigs array<long>, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide binary")
 
 
 def jaccard_parts(docs: DataFrame, key: str, text: str, n: int, least: int, signers: Signers | None = None) -> DataFrame:
@@ -292,14 +294,12 @@ def jaccard_parts(docs: DataFrame, key: str, text: str, n: int, least: int, sign
 
     def prepare(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Sketches and texts of some sets, each of one document, which need not have an id."""
-        made = sets.where(F.col(SKETCH[0]).isNotNull()).select(F.col("set_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), *SKETCH)
-        sketch = materialise(made.join(ids, "id", "left_semi").dropDuplicates(["id"]), "ngram-sketches")
-        one = known.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("_row").alias("_one"))
-        one = one.join(ids, F.col("set_id") == F.col("id")).select("id", "_one")
-        r, o = rows.withColumn("_row", row_hash(F.col("_key"), F.col("_text"))).alias("r"), one.hint("shuffle_hash").alias("o")
-        found = r.join(o, F.col("r._row") == F.col("o._one")).select("id", F.col("_text").alias("body"), F.col("o._one").alias("_one"))
-        bodies = found.dropDuplicates(["_one"]).select("id", "body")  # repeated rows lie in one task already
-        return sketch, bucketed(bodies, "id", "ngram-bodies")
+        made = sets.where(F.col(SKETCH[0]).isNotNull()).select(F.col("set_id").alias("id"), F.col("_row").alias("row"), F.col("n_shingles").cast("int").alias("n"), *SKETCH, "wide")
+        sketch = bucketed(made.join(ids, "id", "left_semi").dropDuplicates(["id"]), "id", "ngram-sketches", deal=False)
+        texts = rows.select(row_hash(F.col("_key"), F.col("_text")).alias("row"), F.col("_text").alias("body"))
+        # the texts move once: they stay where they met the wanted rows; repeated rows lie in one task
+        bodies = texts.join(sketch.select("row").hint("shuffle_hash"), "row", "left_semi").dropDuplicates(["row"])
+        return sketch, bucketed(bodies, "row", "ngram-bodies", deal=False)
 
     linked = link(sigs, prepare, Shingler(n).of_texts, least, least, few, "ngram")
     linked = linked.select(F.col("id").alias("set_id"), "component")
