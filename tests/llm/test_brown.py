@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vigil.llm import brown
@@ -142,3 +143,32 @@ def test_every_accepted_step_raises_the_likelihood(spark, monkeypatch):
     best = [max(seen[: i + 1]) for i in range(len(seen))]
     assert len(seen) >= 5 and best[-1] > seen[0]
     assert best[-1] - best[-3] <= brown.ENOUGH * abs(best[-1])  # the last round
+
+
+def test_contexts_are_counted_in_one_shuffle_and_whatever_is_held_at_once(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    words = brown.vocabulary(brown.word_counts(df))
+    shared, size = spark.sparkContext.broadcast(words), words.end + 1
+    want = {}
+    for t in texts:
+        path = [words.end, *words((t or "").encode().split())[0].tolist(), words.end]
+        for a, b in itertools.pairwise(path):
+            want[a, b] = want.get((a, b), 0) + 1
+            want[b, a + size] = want.get((b, a + size), 0) + 1
+    for bounds in ({}, {"counted": 40, "merged": 30, "written": 20}):
+        rows = brown.contexts(df, shared, **bounds)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") - plan.count("RoundRobin") == 1, plan
+        got = [(r.w, o, n) for r in rows.collect() for o, n in zip(np.frombuffer(r.o, np.int32).tolist(), np.frombuffer(r.n, np.int32).tolist(), strict=True)]
+        assert {(w, o): n for w, o, n in got} == want and len(got) == len(want)
+
+
+def test_counts_of_64_bits_stay():
+    small, large = np.array([1, 2], np.int32), np.array([1 << 40, 3, 4])
+    columns = [[5, 6], [np.array([7, 8], np.int32).tobytes(), np.array([1, 2, 3], np.int32).tobytes()], [small.tobytes(), large.tobytes()]]
+    batch = pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1]), pa.array(columns[2])], names=["w", "o", "n"])
+    w, row, o, n = brown.flat(batch)
+    assert (w.tolist(), row.tolist(), o.tolist(), n.tolist()) == ([5, 6], [0, 0, 1, 1, 1], [7, 8, 1, 2, 3], [1, 2, 1 << 40, 3, 4])
+    assert all(not len(c) for c in brown.flat(batch.slice(2)))

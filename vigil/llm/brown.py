@@ -7,7 +7,8 @@ The TOP most frequent words are exchanged one by one; then every symbol chooses
 its best class against the table of class bigrams, in parallel and one half of
 the symbols at a time; a half moves only where the likelihood rises, and rounds
 end when one raises it by under half a percent. What a symbol needs for that,
-its neighbours' counts, is a row of a table in Spark.
+its neighbours' counts, is a row of a table in Spark, which is made in one
+shuffle: tasks deal what they counted, packed, by symbol, and others add it up.
 
 Score: log10 of class transitions, interpolated with class frequencies, and of
 word emissions. In a class with spelling groups every word's count gives up an
@@ -30,6 +31,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +51,27 @@ MAX_CLASSED, MAX_KNOWN = 1 << 16, 1 << 17
 ENOUGH = 0.005
 #: Least and most discount of a count, weight of class frequencies among transitions, and a floor of masses.
 DISCOUNTS, BACKOFF, FLOOR = (0.1, 0.95), 4.0, 1e-3
-#: Symbols that a task counts before it hands on the sums.
-COUNTED = 4_000_000
+#: Symbols that a task counts before it hands on the sums; sums that a task adds up at once, and entries of the rows that it writes at once.
+COUNTED, MERGED, WRITTEN = 4_000_000, 8_000_000, 1_000_000
+#: What spreads symbols over partitions.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Endings(dict):
+    """The spelling group of each ending; so many are remembered."""
+
+    def __missing__(self, end: bytes) -> int:
+        group = xxhash.xxh3_64_intdigest(end) % GROUPS
+        if len(self) < 1 << 16:
+            self[end] = group
+        return group
+
+
+ENDINGS = Endings()
 
 
 def spelling_group(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word[-3:]) % GROUPS
+    return ENDINGS[word[-3:]]
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -97,10 +114,10 @@ class Vocabulary:
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The symbol of each word, and its place among the known words or -1."""
-        at = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         symbols = np.append(self.symbols, -1)[at]
-        for i in np.flatnonzero(at < 0).tolist():
-            symbols[i] = self.classed + spelling_group(words[i])
+        rare = np.flatnonzero(at < 0)
+        symbols[rare] = self.classed + np.fromiter((ENDINGS[words[i][-3:]] for i in rare.tolist()), np.int64, len(rare))
         return symbols, at
 
 
@@ -117,10 +134,14 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary({w: i for i, (w, _) in enumerate(ranked)}, np.array([n for _, n in ranked], np.int64))
 
 
-def symbol_bigrams(texts: DataFrame, shared: Broadcast) -> DataFrame:
-    """a, b, n: how often symbol b follows symbol a, over all texts."""
+def contexts(texts: DataFrame, shared: Broadcast, counted: int = COUNTED, merged: int = MERGED, written: int = WRITTEN) -> DataFrame:
+    """w, o, n over all texts: for each symbol the symbols after it, those before it (plus the number of symbols), and how often.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A row has at most 2 x symbols entries, as the bytes of 32-bit numbers; n of 64-bit ones where one needs them.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, held, total = shared.value, [], 0
         end = np.array([vocabulary.end])
         for batch in batches:
@@ -131,50 +152,69 @@ def symbol_bigrams(texts: DataFrame, shared: Broadcast) -> DataFrame:
                 path = np.concatenate((end, np.insert(symbols, ends, vocabulary.end)))
                 held.append(path[:-1] << 32 | path[1:])
                 total += len(path)
-                if total >= COUNTED:
-                    yield counted(held)
+                if total >= counted:
+                    yield dealt(np.concatenate(held), vocabulary.end + 1)
                     held, total = [], 0
         if held:
-            yield counted(held)
-
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        code, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array((code >> 32).astype(np.int32)), pa.array((code & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
-
-    return texts.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-
-
-def contexts(bigrams: DataFrame, symbols: int) -> DataFrame:
-    """w, o, n: for each symbol the symbols after it, those before it (plus the number of symbols), and how often; at most 2 x symbols a row."""
-    sides = F.array(F.struct(F.col("a").alias("w"), F.col("b").alias("o")), F.struct(F.col("b").alias("w"), (F.col("a") + symbols).alias("o")))
-    rows = bigrams.select(F.explode(sides).alias("s"), "n").select("s.w", "s.o", "n").repartition("w").sortWithinPartitions("w")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last symbol's rows, which may go on
+            yield dealt(np.concatenate(held), vocabulary.end + 1)
+
+    def dealt(codes: np.ndarray, symbols: int) -> pa.RecordBatch:
+        """What was counted, a block for each partition."""
+        code, n = np.unique(codes, return_counts=True)
+        a, b = (code >> 32).astype(np.int32), (code & 0xFFFFFFFF).astype(np.int32)
+        w = np.concatenate((a, b))
+        part = ((w.astype(np.uint64) * SPREAD >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
+        order = np.argsort(part, kind="stable")
+        columns = [x[order] for x in (w, np.concatenate((b, a + np.int32(symbols))), np.tile(n.astype(np.int32), 2))]
+        part = part[order]
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        blocks = [b"".join(x[p:q].tobytes() for x in columns) for p, q in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(blocks, pa.binary())], names=["part", "rows"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, held, fresh, done = 2 * (shared.value.end + 1), [], 0, 0
         for batch in batches:
-            x = pa.concat_batches([held, batch]) if held is not None else batch
-            w = x.column(0).to_numpy()
-            if not len(w):
-                continue
-            starts = np.concatenate(([0], np.flatnonzero(w[1:] != w[:-1]) + 1))
-            held = x.slice(int(starts[-1]))
-            if len(starts) > 1:
-                yield lists(x.slice(0, int(starts[-1])), starts)
-        if held is not None and held.num_rows:
-            yield lists(held, np.array([0, held.num_rows]))
-
-    def lists(x: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
-        ends = pa.array(starts.astype(np.int32))
-        return pa.RecordBatch.from_arrays([x.column(0).take(pa.array(starts[:-1])), pa.ListArray.from_arrays(ends, x.column(1)), pa.ListArray.from_arrays(ends, x.column(2))], names=["w", "o", "n"])
-
-    return rows.mapInArrow(run, "w int, o array<int>, n array<long>")
+            for block in batch.column(0).to_pylist():
+                w, o, n = np.frombuffer(block, np.int32).reshape(3, -1)
+                held.append((w.astype(np.int64) * width + o, n.astype(np.int64)))
+                fresh += len(w)
+                if fresh > max(merged, done):
+                    held, fresh = [summed(held)], 0
+                    done = len(held[0][0])
+        if held:
+            yield from rows(*summed(held), width)
+
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        code, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(code)
+        code, n = code[order], n[order]
+        starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        return code[starts], np.add.reduceat(n, starts)
+
+    def rows(code: np.ndarray, n: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+        w, o = code // width, (code % width).astype(np.int32)
+        starts = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        edges, first = np.append(starts, len(w)), 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(edges, edges[first] + written, side="right")) - 1)
+            some = slice(int(edges[first]), int(edges[last]))
+            many = n[some].astype(np.int32 if n[some].max() < 1 << 31 else np.int64)
+            ends = (edges[first : last + 1] - edges[first]).astype(np.int32)
+            packed = [pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x.tobytes())]) for x in (o[some], many)]
+            yield pa.RecordBatch.from_arrays([pa.array(w[starts[first:last]].astype(np.int32)), *packed], names=["w", "o", "n"])
+            first = last
+
+    blocks = texts.select("text").mapInArrow(count, "part int, rows binary").repartitionById(parts, F.col("part"))
+    return blocks.select("rows").mapInArrow(add_up, "w int, o binary, n binary")
 
 
 def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """w of each row; row, o and n of each of its entries."""
-    o, n = batch.column(1), batch.column(2)
-    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(o).to_numpy(zero_copy_only=False))
-    return batch.column(0).to_numpy(), row, o.flatten().to_numpy(), n.flatten().to_numpy()
+    o, n = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+    sizes = np.fromiter(map(len, o), np.int64, len(o)) // 4
+    wide = np.fromiter(map(len, n), np.int64, len(n)) > 4 * sizes
+    many = np.concatenate([np.frombuffer(x, np.int64 if y else np.int32) for x, y in zip(n, wide.tolist(), strict=True)]) if wide.any() else np.frombuffer(b"".join(n), np.int32)
+    return batch.column(0).to_numpy(), np.repeat(np.arange(batch.num_rows), sizes), np.frombuffer(b"".join(o), np.int32), many
 
 
 def class_bigrams(rows: DataFrame, of: np.ndarray) -> np.ndarray:
@@ -357,9 +397,7 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     words = vocabulary(counts)
     shared = spark.sparkContext.broadcast(words)
     size, k = words.end + 1, CLASSES + 1
-    bigrams = materialise(symbol_bigrams(texts, shared), "lm-bigrams")
-    rows = materialise(contexts(bigrams, size), "lm-contexts")
-    forget(bigrams)
+    rows = materialise(contexts(texts, shared), "lm-contexts")
     of, n = cluster(rows, words)
     forget(rows)
     share = (n.sum(0) + 0.5) / (n.sum() + 0.5 * k)
@@ -392,36 +430,40 @@ def parts(docs: DataFrame, key: str, model: Model) -> DataFrame:
     """_row, key, n_tokens and the sums over known words and transitions, with the rarer words that are yet to be counted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("g", pa.int32()), ("tf", pa.int32())]))
+    rare_type = pa.struct([("word", pa.binary()), ("g", pa.int32()), ("tf", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         v, row = m.vocabulary, TaskContext.get().partitionId() << 33
         end_class = m.of[v.end : v.end + 1]
         end_base = float(m.base(np.array([m.ends]))[0])
-        known_base, known_emission = m.base(v.counts), m.emission(v.counts, m.of[v.symbols])
+        known_base, known_emission = (np.append(x, 0.0) for x in (m.base(v.counts), m.emission(v.counts, m.of[v.symbols])))
         for batch in batches:
             for part, texts in as_bytes(batch, "text"):
-                out: list[tuple] = []
-                for t in texts:
-                    words = t.lower().split() if t else []
-                    symbols, at = v(words)
-                    path = np.concatenate((end_class, m.of[symbols], end_class))
-                    have = at[at >= 0]
-                    rare = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
-                    out.append(
-                        (
-                            row,
-                            len(words) + 1,
-                            len(have) + (m.ends > 0),
-                            float(known_base[have].sum()) + end_base,
-                            float(m.transitions[path[:-1], path[1:]].sum() + known_emission[have].sum()),
-                            [{"word": w, "g": spelling_group(w), "tf": c} for w, c in rare.items()],
-                        )
-                    )
-                    row += 1
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type)
-                columns = [pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+                split = [t.lower().split() if t else [] for t in texts]
+                words = [w for text in split for w in text]
+                symbols, at = v(words)
+                sizes = np.fromiter(map(len, split), np.int64, len(split))
+                ends, text = np.cumsum(sizes), np.repeat(np.arange(len(split)), sizes)
+                path = np.concatenate((end_class, np.insert(m.of[symbols], ends, end_class[0])))
+                moves = np.add.reduceat(m.transitions[path[:-1], path[1:]], ends - sizes + np.arange(len(split)))  # every text has its end
+                known, base, emission = (np.bincount(text, x, len(split)) for x in (at >= 0, known_base[at], known_emission[at]))
+                rare, tfs, groups, held = [], [], [], [0]
+                where = np.flatnonzero(at < 0)
+                cuts = np.searchsorted(where, ends).tolist()
+                others, marks = [words[i] for i in where.tolist()], (symbols[where] - v.classed).tolist()
+                for p, q in zip([0, *cuts], cuts, strict=False):
+                    tf = Counter(others[p:q])
+                    rare.extend(tf)
+                    tfs.extend(tf.values())
+                    groups.extend(dict(zip(others[p:q], marks[p:q], strict=True)).values())  # in the order of first occurrence, as in the Counter
+                    held.append(len(rare))
+                entries = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(groups, pa.int32()), pa.array(tfs, pa.int32())], fields=list(rare_type))
+                columns = [
+                    pa.array(row + np.arange(len(split))), pa.array(sizes + 1), pa.array(known.astype(np.int64) + (m.ends > 0)), pa.array(base + end_base), pa.array(moves + emission),
+                    pa.ListArray.from_arrays(pa.array(held, pa.int32()), entries),
+                ]
+                row += len(split)
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(key)), *columns], names=[key, "_row", "n_tokens", "_known", "_base", "_score", "_rare"])
 
     schema = f"`{key}` {kind}, _row long, n_tokens long, _known long, _base double, _score double, _rare array<struct<word:binary,g:int,tf:int>>"
