@@ -1,3 +1,5 @@
+import numpy as np
+
 from vigil.llm import line_dedup as ld
 
 
@@ -35,3 +37,32 @@ def test_rows_without_an_id_come_last(spark):
     got = sorted(r.text for r in ld.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert sum(line in t for t in got) == 1 and line + "\nthird" in got and {"first", "second"} < set(got)
     assert sum("other line" in t for t in got) == 1
+
+
+def test_empty_bins_are_filled_as_step_by_step():
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 1 << 63, (300, ld.BINS), dtype=np.uint64)
+    for i in range(299):  # from one full bin to all
+        bins[i, rng.permutation(ld.BINS)[i % ld.BINS + 1 :]] = ld.EMPTY
+    want = bins.copy()
+    while (empty := want == ld.EMPTY).any():
+        moved = np.roll(want, -1, axis=1)
+        want = np.where(empty & (moved != ld.EMPTY), moved + ld.STEP, want)
+    ld.fill(bins)
+    assert (bins == want).all()
+    ld.fill(bins[:0])
+
+
+def test_wanted_lines_move_once_on_their_way_to_buckets(spark, monkeypatch):
+    seen = []
+
+    def watched(df, by, name="table", deal=True, plain=ld.bucketed):
+        seen.append((name, deal))
+        return plain(df, by, name, deal)
+
+    monkeypatch.setattr(ld, "bucketed", watched)
+    line = "the quick brown fox jumps over the lazy dog and goes home again"
+    rows = [(i, f"{line} {'x' * i}\nother line number {i} " + "abcdefghij"[i] * 30) for i in range(6)]
+    got = ld.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if line in r.text} == {0}
+    assert seen == [("line-bodies", False)]

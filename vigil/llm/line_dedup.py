@@ -42,8 +42,8 @@ BINS = BANDS * ROWS
 STEP = np.uint64(0x9E3779B97F4A7C15)
 STEP2 = np.uint64(0x9E3779B97F4A7C15**2 % 2**64)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Characters whose hashes are in memory at once.
-PART_CHARS = 400_000
+#: Characters whose hashes are in memory at once: so few that arrays of them stay in a core's cache.
+PART_CHARS = 64_000
 
 
 def line_form(line: str) -> str:
@@ -87,18 +87,23 @@ def part_bands(forms: list[str]) -> np.ndarray:
     at = np.repeat(np.arange(len(forms)) * BINS, n) + ((h >> np.uint64(40)) * np.uint64(BINS) >> np.uint64(24)).astype(np.int64)
     np.minimum.at(bins, at, h * STEP)
     bins = bins.reshape(len(forms), BINS)
-    for _ in range(BINS):
-        empty = bins == EMPTY
-        if not empty.any():
-            break
-        moved = np.roll(bins, -1, axis=1)
-        bins = np.where(empty & (moved != EMPTY), moved + STEP, bins)
+    fill(bins)
     keys = np.zeros((len(forms), BANDS), np.uint64)
     for k in range(ROWS):
         keys = mixed(keys * STEP + bins[:, k::ROWS])
     return mixed(keys + np.arange(BANDS, dtype=np.uint64))
 
 
+def fill(bins: np.ndarray) -> None:
+    """Give each empty bin, in place, the value of the next full one in the circle of its row, plus STEP for each bin on the way."""
+    rows = np.flatnonzero((bins == EMPTY).any(axis=1))
+    some = bins[rows]
+    place = np.where(some != EMPTY, np.arange(BINS), 2 * BINS)
+    place = np.concatenate((place, place + BINS), axis=1)
+    full = np.minimum.accumulate(place[:, ::-1], axis=1)[:, : BINS - 1 : -1]
+    bins[rows] = np.take_along_axis(some, full % BINS, axis=1) + (full - np.arange(BINS)).astype(np.uint64) * STEP
+
+
 def sets_of(forms: list[str]) -> Sets:
     """Sorted distinct shingle hashes of lines."""
     h, n = shingle_hashes(forms)
@@ -195,7 +200,7 @@ def classes(docs: DataFrame, key: str, text: str, least: int) -> tuple[DataFrame
         one = firsts.join(ids, F.col("line_id") == F.col("id"))
         wanted = one.groupBy(F.col("place._row").alias("_row")).agg(F.collect_set(F.struct(F.col("place.at").alias("at"), "line_id")).alias("places"))
         found = wanted_lines(rows, wanted, "_key", "_text").dropDuplicates(["id"])  # repeated rows give their lines again
-        bodies = bucketed(with_sketches(found, sets_of), "id", "line-bodies")
+        bodies = bucketed(with_sketches(found, sets_of), "id", "line-bodies", deal=False)
         return bodies.select("id", "n", *SKETCH), bodies.select("id", "body")
 
     # distinct shingles may be far fewer than characters, so lengths rule nothing out
