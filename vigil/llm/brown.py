@@ -52,7 +52,7 @@ ENOUGH = 0.005
 #: Least and most discount of a count, weight of class frequencies among transitions, and a floor of masses.
 DISCOUNTS, BACKOFF, FLOOR = (0.1, 0.95), 4.0, 1e-3
 #: Symbols that a task counts before it hands on the sums; sums that a task adds up at once, and entries of the rows that it writes at once.
-COUNTED, MERGED, WRITTEN = 4_000_000, 8_000_000, 1_000_000
+COUNTED, MERGED, WRITTEN = 2_000_000, 4_000_000, 1_000_000
 #: What spreads symbols over partitions.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
