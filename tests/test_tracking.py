@@ -1,6 +1,7 @@
 """Tracks: motion, confirmation, loss, and batches that carry what is live."""
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -100,3 +101,44 @@ def test_batches_carry_what_is_live(spark):
         assert whole == tracks(spark, rows, lost_after=8) and 6 < len(set(whole.values())) < 60
     finally:
         spark.conf.unset(size)
+
+
+def by_matrix(a, b, least):
+    """All pairs, sorted: the most overlap first, then by row and column."""
+    pairs = [(-tracking.overlap(tuple(x), tuple(y)), i, j) for i, x in enumerate(a.tolist()) for j, y in enumerate(b.tolist())]
+    out, rows, columns = [], set(), set()
+    for share, i, j in sorted(pairs):
+        if -share >= least and i not in rows and j not in columns:
+            rows.add(i)
+            columns.add(j)
+            out.append((i, j))
+    return out
+
+
+def test_matching_equals_all_pairs(monkeypatch):
+    """Boxes on a lattice, with many ties and many at one place; chance boxes; few pairs or comparisons at once; flat boxes."""
+    rng = np.random.default_rng(3)
+    for k in range(45):
+        n, m, step = rng.integers(0, 40), rng.integers(0, 40), [1, 10, 40][k % 3]
+        make = lambda size: np.concatenate((xy := rng.integers(0, 160 // step, (size, 2)) * step * (1.0 if k % 2 else 0.9), xy + rng.integers(0 if k % 5 == 0 else 1, 4, (size, 2)) * 20), axis=1)
+        a, b = make(n), make(m)
+        for chunk, pairs in ((1 << 20, 1 << 21), (7, 3)):
+            monkeypatch.setattr(tracking, "CHUNK", chunk)
+            monkeypatch.setattr(tracking, "PAIRS", pairs)
+            for least in (0.2, 0.5, 0.0):
+                assert sorted(tracking.matched(a, b, least)) == sorted(by_matrix(a, b, least))
+
+
+def test_a_crowded_frame_makes_no_matrix():
+    """12,000 boxes of 600 places against as many tracks: a matrix alone would hold over 1 GB."""
+    rng = np.random.default_rng(5)
+    at = np.repeat(rng.integers(0, 900, (600, 2)).astype(float), 20, axis=0)
+    a = np.concatenate((at, at + [300.0, 200.0]), axis=1)
+    b = a[rng.permutation(len(a))] + np.repeat(rng.normal(0, 3, (3000, 1)), 4, axis=0)
+    tracemalloc.start()
+    try:
+        pairs = tracking.matched(a, b, 0.2)
+        assert tracemalloc.get_traced_memory()[1] < 600e6
+    finally:
+        tracemalloc.stop()
+    assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs) == len(a)

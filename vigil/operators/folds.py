@@ -7,6 +7,7 @@ history, however long it is, and many small keys cost no more than their rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -53,11 +54,9 @@ def folded(df: DataFrame, keys: list[str], order: list[str], output: str, fold:
             if held is not None:
                 rows = pa.concat_tables([held, rows])
             if together:  # the last rows that belong together may go on
-                last = rows.num_rows - 1
-                ends = [rows.column(c) for c in whole]
-                cut = last
-                while cut > 0 and all(c[cut - 1].as_py() == c[last].as_py() for c in ends):
-                    cut -= 1
+                ends = [rows.column(c).combine_chunks() for c in whole]
+                end = [c[len(c) - 1].as_py() for c in ends] if rows.num_rows else []
+                cut = bisect_left(range(rows.num_rows), True, key=lambda i: all(c[i].as_py() == e for c, e in zip(ends, end, strict=True)))
                 held, rows = rows.slice(cut), rows.slice(0, cut)
             if rows.num_rows:
                 yield cast(walk(rows))

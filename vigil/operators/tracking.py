@@ -10,6 +10,8 @@ camera's history, however long it is never silent. What comes after the links
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -127,28 +129,130 @@ def measured(boxes: np.ndarray) -> np.ndarray:
     return np.stack((boxes[:, 0] + w / 2, boxes[:, 1] + h / 2, w / h, h), axis=1)
 
 
-def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Intersection over union of all boxes of one frame with all of some tracks."""
-    size = lambda x: np.maximum(x[..., 2] - x[..., 0], 0) * np.maximum(x[..., 3] - x[..., 1], 0)
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    both = np.prod(np.maximum(high - low, 0), axis=2)
-    union = size(a)[:, None] + size(b)[None, :] - both
+#: Comparisons at once, and pairs of different boxes that are sorted at once.
+CHUNK, PAIRS = 1 << 20, 1 << 21
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float, below: float, most: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Rows, columns and overlaps of at least least and under below of boxes a with boxes b; None for more than most.
+
+    Two boxes overlap no more than their sides along x do. So the left end of a box lies at most (1 - least) widths
+    after that of a, and (1 - least) / least widths before it: b is walked in that order, some comparisons at a time.
+    """
+    order = np.argsort(b[:, 0], kind="stable")
+    b, width = b[order], np.maximum(a[:, 2] - a[:, 0], 0)
+    if least > 0:
+        spare = 1e-6 * width + 1e-9 * np.abs(a[:, 0]) + 1e-9
+        with np.errstate(over="ignore"):
+            low = np.searchsorted(b[:, 0], a[:, 0] - width * (1 - least) / least - spare)
+        high = np.searchsorted(b[:, 0], a[:, 0] + width * (1 - least) + spare, side="right")
+    else:
+        low, high = np.zeros(len(a), np.int64), np.full(len(a), len(b))
+    many = np.maximum(high - low, 0)
+    ends, found, count, at = np.concatenate(([0], np.cumsum(many))), [], 0, 0
+    while at < ends[-1]:
+        upto = min(at + CHUNK, int(ends[-1]))
+        k = np.arange(at, upto)
+        i = np.searchsorted(ends, k, side="right") - 1
+        j = low[i] + k - ends[i]
+        share = overlap_of(a[i], b[j])
+        kept = np.flatnonzero((share >= least) & (share < below))
+        found.append((i[kept], order[j[kept]], share[kept]))
+        count, at = count + len(kept), upto
+        if count > most:
+            return None
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def overlap_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of boxes side by side."""
+    size = lambda x: np.maximum(x[:, 2] - x[:, 0], 0) * np.maximum(x[:, 3] - x[:, 1], 0)
+    side = lambda k: np.maximum(np.minimum(a[:, k + 2], b[:, k + 2]) - np.maximum(a[:, k], b[:, k]), 0)
+    both = side(0) * side(1)
+    union = size(a) + size(b) - both
     return np.where(union > 0, both / np.maximum(union, 1e-12), 0.0)
 
 
-def matched(likeness: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Rows and columns that go together, the most alike first, then by row and column."""
-    rows, columns = np.nonzero(likeness >= least)
-    out, used_rows, used_columns = [], set(), set()
-    for k in np.lexsort((columns, rows, -likeness[rows, columns])).tolist():
-        i, j = int(rows[k]), int(columns[k])
-        if i not in used_rows and j not in used_columns:
-            used_rows.add(i)
-            used_columns.add(j)
-            out.append((i, j))
+class Places:
+    """Different boxes, each with the numbers that are still free of those that lie there."""
+
+    def __init__(self, boxes: np.ndarray):
+        order = np.lexsort(boxes.T[::-1])  # stable, so numbers rise at each place
+        new = np.ones(len(order), bool)
+        new[1:] = (boxes[order[1:]] != boxes[order[:-1]]).any(axis=1)
+        starts = np.flatnonzero(new)
+        self.boxes, self.order = boxes[order[starts]], order.tolist()
+        self.next, self.end = starts.tolist(), [*starts[1:].tolist(), len(order)]
+
+    def free(self) -> np.ndarray:
+        return np.flatnonzero(np.asarray(self.next) < np.asarray(self.end))
+
+    def first(self, place: int) -> int:
+        return self.order[self.next[place]]
+
+    def left(self, place: int) -> int:
+        return self.end[place] - self.next[place]
+
+    def take(self, place: int, n: int) -> list[int]:
+        at = self.next[place]
+        self.next[place] = at + n
+        return self.order[at : at + n]
+
+
+def matched(a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Boxes of a and b that go together, the pair of most overlap first, then by number in a and in b.
+
+    Boxes at one place count once and are taken by number. Pairs are made in bands of overlap, from the top, of what no
+    band above took: a band that would hold too many is made narrower. So neither all pairs nor a matrix of them exist.
+    """
+    rows, columns, out = Places(a), Places(b), []
+    below = np.inf
+    while below > least:
+        p, q = rows.free(), columns.free()
+        if not len(p) or not len(q):
+            break
+        floor = max(least, 0.9 if below > 1 else 2 * below - 1 if below > 0.75 else below - 0.25)
+        top = min(below, 1.0 + 1e-9)
+        found = alike(rows.boxes[p], columns.boxes[q], floor, below, PAIRS)
+        while found is None:
+            floor = (floor + top) / 2
+            found = alike(rows.boxes[p], columns.boxes[q], floor, below, PAIRS if top - floor > 1e-9 else np.inf)
+        greedy(p[found[0]], q[found[1]], found[2], rows, columns, out)
+        below = floor
     return out
 
 
+def greedy(p: np.ndarray, q: np.ndarray, share: np.ndarray, rows: Places, columns: Places, out: list[tuple[int, int]]) -> None:
+    """Take pairs of places by falling overlap; where overlaps are equal, by row and then by column."""
+    if not len(share):
+        return
+    order = np.argsort(-share, kind="stable")
+    share = share[order]
+    starts = np.flatnonzero(np.concatenate(([True], share[1:] != share[:-1]))).tolist()
+    p, q = p[order].tolist(), q[order].tolist()
+    for lo, hi in zip(starts, [*starts[1:], len(p)], strict=True):
+        if hi - lo == 1:
+            n = min(rows.left(p[lo]), columns.left(q[lo]))
+            if n:
+                out += zip(rows.take(p[lo], n), columns.take(q[lo], n), strict=True)
+            continue
+        near: dict[int, list[int]] = {}
+        for k in range(lo, hi):
+            if rows.left(p[k]) and columns.left(q[k]):
+                near.setdefault(p[k], []).append(q[k])
+        heap = [(rows.first(place), place) for place in near]
+        heapify(heap)
+        while heap:
+            row, place = heappop(heap)
+            near[place] = [c for c in near[place] if columns.left(c)]
+            if near[place]:
+                column = min(near[place], key=columns.first)
+                rows.take(place, 1)
+                out.append((row, columns.take(column, 1)[0]))
+                if rows.left(place):
+                    heappush(heap, (rows.first(place), place))
+
+
 def track(boxes: DataFrame, high: float = 0.5, low: float = 0.1, least: float = 0.2, lost_after: int = 30, sure_after: int = 2) -> DataFrame:
     """camera_id, det_id and track_id (its first box) of the boxes of sure tracks.
 
@@ -178,7 +282,7 @@ def track(boxes: DataFrame, high: float = 0.5, low: float = 0.1, least: float =
             for group in (np.flatnonzero(strong), np.flatnonzero(~strong)):
                 if not len(group) or not len(free):
                     continue
-                pairs = matched(overlaps(at[group], motion.boxes()[free]), least)
+                pairs = matched(at[group], motion.boxes()[free], least)
                 if not pairs:
                     continue
                 mine, theirs = group[[i for i, _ in pairs]], free[[j for _, j in pairs]]
