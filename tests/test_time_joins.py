@@ -59,3 +59,16 @@ def test_nearest_frames_make_no_pairs(spark, tiny):
     from vigil import plans
 
     assert joins(plans.queries()["snapshot_nearest"](spark, tiny)) == 0
+
+
+def test_clip_counts_equal_sql(spark):
+    frames, alerts = odd_rows()
+    text = """SELECT a.alert_id, count(d.det_id) FROM alerts a LEFT JOIN detections d ON d.camera_id = a.camera_id
+     AND epoch(d.ts) BETWEEN epoch(a.ts) + 1800 - 5400 AND epoch(a.ts) + 1800 GROUP BY a.alert_id"""
+    assert sorted(tuple(r) for r in A.clip_counts(*of(spark, frames, alerts), 5400, 1800).collect()) == sql(frames, alerts, text)
+
+
+def test_clip_counts_make_no_pairs(spark, tiny):
+    from vigil import plans
+
+    assert joins(plans.queries()["clip_ring_join"](spark, tiny)) == 0

@@ -393,7 +393,7 @@ def _(spark, d):
 
 @query("clip_ring_join", "SELECT a.alert_id, count(d.det_id) AS frames FROM (SELECT * FROM alerts WHERE kind = 'fire') a LEFT JOIN detections d ON d.camera_id = a.camera_id AND epoch(d.ts) BETWEEN epoch(a.ts) + 1800 - 5400 AND epoch(a.ts) + 1800 GROUP BY a.alert_id", "alerts", "detections")
 def _(spark, d):
-    return A.clip_frames(view(spark, d, "alerts").where("kind = 'fire'"), view(spark, d, "detections"), 5400, 1800).groupBy("alert_id").agg(F.count("det_id").alias("frames"))
+    return A.clip_counts(view(spark, d, "alerts").where("kind = 'fire'"), view(spark, d, "detections"), 5400, 1800)
 
 
 @query("track_report", "SELECT camera_id, tracks, median_len, round(mean_at_once, 6) AS mean_at_once FROM (SELECT camera_id, count(*) AS tracks, median(n) AS median_len FROM (SELECT camera_id, track_id, count(*) AS n FROM detections GROUP BY ALL) GROUP BY camera_id) JOIN (SELECT camera_id, avg(k) AS mean_at_once FROM (SELECT camera_id, tick, count(DISTINCT track_id) AS k FROM detections GROUP BY ALL) GROUP BY camera_id) USING (camera_id)", "detections")
