@@ -72,3 +72,16 @@ def test_clip_counts_make_no_pairs(spark, tiny):
     from vigil import plans
 
     assert joins(plans.queries()["clip_ring_join"](spark, tiny)) == 0
+
+
+def test_clip_windows_make_no_pairs(spark, tiny):
+    from vigil import plans
+
+    assert joins(plans.queries()["clip_window_join"](spark, tiny)) == 0
+
+
+def test_clip_windows_equal_sql(spark):
+    frames, alerts = odd_rows()
+    text = """SELECT a.alert_id, count(d.det_id) FROM alerts a JOIN detections d ON d.camera_id = a.camera_id
+     AND d.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts + INTERVAL 1 HOUR GROUP BY a.alert_id"""
+    assert sorted(tuple(r) for r in A.clip_counts(*of(spark, frames, alerts), 7200, 3600).where("frames > 0").collect()) == sql(frames, alerts, text)

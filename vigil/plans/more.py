@@ -177,11 +177,8 @@ def _(spark, d):
 
 @query("clip_window_join", "SELECT a.alert_id, count(d.det_id) AS frames FROM (SELECT * FROM alerts WHERE kind = 'fire') a JOIN detections d ON d.camera_id = a.camera_id AND d.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts + INTERVAL 1 HOUR GROUP BY a.alert_id", "alerts", "detections")
 def _(spark, d):
-    hour = lambda c: F.floor(F.unix_seconds(C(c).cast("timestamp")) / 3600)
-    a = view(spark, d, "alerts").where("kind = 'fire'").select("alert_id", "camera_id", C("ts").alias("t"), F.explode(F.array(hour("ts") - 1, hour("ts"), hour("ts") + 1)).alias("slot"))
-    b = view(spark, d, "detections").select("camera_id", "det_id", "ts", hour("ts").alias("slot"))
-    gap = F.abs(F.unix_micros(C("t").cast("timestamp")) - F.unix_micros(C("ts").cast("timestamp")))
-    return a.join(b, ["camera_id", "slot"]).where(gap <= 3_600_000_000).groupBy("alert_id").agg(F.count("det_id").alias("frames"))
+    # an hour to both sides is what a ring of two hours holds an hour later; alerts without frames are no rows
+    return A.clip_counts(view(spark, d, "alerts").where("kind = 'fire'"), view(spark, d, "detections"), 7200, 3600).where("frames > 0")
 
 
 @query("kofn_gate")
