@@ -5,9 +5,10 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pandas as pd
-import pytest
 
 from vigil.operators import alerts as A
+from vigil.operators import sequences as S
+from vigil.plans.catalogue import seconds
 
 START = datetime(2024, 1, 1, 5, 0, 0)
 FRAMES, ALERTS = "camera_id string, det_id long, ts timestamp_ntz", "camera_id string, alert_id long, ts timestamp_ntz"
@@ -85,3 +86,21 @@ def test_clip_windows_equal_sql(spark):
     text = """SELECT a.alert_id, count(d.det_id) FROM alerts a JOIN detections d ON d.camera_id = a.camera_id
      AND d.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts + INTERVAL 1 HOUR GROUP BY a.alert_id"""
     assert sorted(tuple(r) for r in A.clip_counts(*of(spark, frames, alerts), 7200, 3600).where("frames > 0").collect()) == sql(frames, alerts, text)
+
+
+RING = "SELECT det_id, count(*) OVER (PARTITION BY camera_id ORDER BY epoch(ts) RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) FROM detections"
+
+
+def test_rings_equal_sql(spark):
+    """Rows that are exactly the ring's length apart count, at whatever microsecond; rows that are equal stay apart; rows without camera or time are rings of their own."""
+    frames = odd_rows()[0]
+    frames += [("r", 5000 + k, START + timedelta(seconds=7200 * (k % 2), microseconds=172_411 + 29 * (k // 2))) for k in range(80)] + frames[:5]
+    x = spark.createDataFrame(frames, FRAMES).withColumn("at", seconds("ts"))
+    assert sorted(tuple(r) for r in S.held(x, ["camera_id"], "at", 7200.0).select("det_id", "held").collect()) == sql(frames, [("a", 1, START)], RING)
+
+
+def test_rings_do_not_walk_a_camera_in_one_task(spark, tiny):
+    from vigil import plans
+
+    plan = plans.queries()["ring_buffer"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert "-7200000000" not in plan and "_stretch" in plan
