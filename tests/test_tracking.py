@@ -1,11 +1,13 @@
 """Tracks: motion, confirmation, loss, and batches that carry what is live."""
 
 import random
+import time
 import tracemalloc
 
 import numpy as np
 
 from vigil.operators import tracking
+from vigil.operators.similarity import overlap
 
 SCHEMA = "camera_id string, tick long, det_id long, score double, x1 double, y1 double, x2 double, y2 double"
 
@@ -105,7 +107,7 @@ def test_batches_carry_what_is_live(spark):
 
 def by_matrix(a, b, least):
     """All pairs, sorted: the most overlap first, then by row and column."""
-    pairs = [(-tracking.overlap(tuple(x), tuple(y)), i, j) for i, x in enumerate(a.tolist()) for j, y in enumerate(b.tolist())]
+    pairs = [(-overlap(tuple(x), tuple(y)), i, j) for i, x in enumerate(a.tolist()) for j, y in enumerate(b.tolist())]
     out, rows, columns = [], set(), set()
     for share, i, j in sorted(pairs):
         if -share >= least and i not in rows and j not in columns:
@@ -142,3 +144,33 @@ def test_a_crowded_frame_makes_no_matrix():
     finally:
         tracemalloc.stop()
     assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs) == len(a)
+
+
+def test_choices_equal_one_by_one(monkeypatch):
+    """Each candidate in turn against all free boxes, on lattices with many ties; few choosers, comparisons or pairs at once."""
+    rng = np.random.default_rng(9)
+    for k in range(60):
+        step = [1, 10, 40][k % 3]
+        make = lambda n: np.concatenate((xy := rng.integers(0, 160 // step, (n, 2)) * float(step), xy + rng.integers(0 if k % 5 == 0 else 1, 4, (n, 2)) * [10.0, 30.0]), axis=1)
+        a, b = make(rng.integers(0, 50)), make(rng.integers(0, 30))
+        for least in (0.1, 0.4, 0.0):
+            free, want = list(range(len(b))), []
+            for i, x in enumerate(a.tolist()):
+                best = max(((overlap(tuple(x), tuple(b[j].tolist())), j) for j in free), default=(-1.0, -1))
+                if best[0] >= least:
+                    want.append((i, best[1]))
+                    free.remove(best[1])
+            for choosers, chunk, pairs in ((4096, 1 << 20, 1 << 21), (5, 7, 3)):
+                for name, value in (("CHOOSERS", choosers), ("CHUNK", chunk), ("PAIRS", pairs)):
+                    monkeypatch.setattr(tracking, name, value)
+                assert list(zip(*(x.tolist() for x in tracking.chosen(a, b, least)), strict=True)) == want
+
+
+def test_a_crowded_gate_is_quick(spark):
+    """Four frames of 6,000 boxes: one by one, each candidate would be held against up to 6,000 boxes a frame."""
+    rng = np.random.default_rng(2)
+    xy = rng.integers(0, 1000, (24_000, 2)).tolist()
+    x = spark.createDataFrame([("a", k // 6000, "fire", k, float(p), float(q), p + 40.0, q + 100.0) for k, (p, q) in enumerate(xy)], "camera_id string, tick long, klass string, det_id long, x1 double, y1 double, x2 double, y2 double")
+    began = time.monotonic()
+    got = tracking.candidates(x, 48, 0.1).collect()
+    assert time.monotonic() - began < 10 and len(got) == 24_000

@@ -1,7 +1,7 @@
 """Boxes linked over time: association inside spells of activity, then windows over the links.
 
 Association depends on what was taken before, so it is a fold over the boxes of
-one camera. A silence longer than links may span ends every link, so a camera's
+one camera (or of one of its classes). A silence longer than links may span ends every link, so a camera's
 boxes are cut there, and spells are folded apart. A fold walks its boxes batch
 by batch and carries what is live (a few boxes or tracks), so no task holds a
 camera's history, however long it is never silent. What comes after the links
@@ -19,43 +19,73 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from vigil.operators.folds import Fold, folded
-from vigil.operators.similarity import BOX, overlap
+from vigil.operators.similarity import BOX
 
-def spells(boxes: DataFrame, longest: int) -> DataFrame:
-    """boxes with _spell: a new one of a camera after a silence of more than so many ticks."""
-    w = W.partitionBy("camera_id").orderBy("tick")
+
+def spells(boxes: DataFrame, longest: int, keys: tuple[str, ...]) -> DataFrame:
+    """boxes with _spell: a new one of a key after a silence of more than so many ticks."""
+    w = W.partitionBy(*keys).orderBy("tick")
     new = F.when(F.col("tick") - F.lag("tick").over(w) > longest, 1).otherwise(0)
     return boxes.withColumn("_new", new).withColumn("_spell", F.sum("_new").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
-def linked(boxes: DataFrame, longest: int, fold: Fold, name: str) -> DataFrame:
-    """camera_id, det_id and the object (its first box) that fold links the boxes of each spell with."""
-    x = spells(boxes, longest).select("camera_id", "_spell", F.col("tick").cast("long").alias("tick"), F.col("det_id").cast("long").alias("det_id"), *[c for c in ("klass", "score") if c in boxes.columns], *[F.col(c).cast("double").alias(c) for c in BOX])
-    return folded(x, ["camera_id", "_spell"], ["tick", "det_id"], f"det_id long, {name} long", fold, "tick").drop("_spell")
+def linked(boxes: DataFrame, longest: int, fold: Fold, name: str, keys: tuple[str, ...] = ("camera_id",)) -> DataFrame:
+    """keys, det_id and the object (its first box) that fold links the boxes of each spell of a key with."""
+    x = spells(boxes, longest, keys).select(*keys, "_spell", F.col("tick").cast("long").alias("tick"), F.col("det_id").cast("long").alias("det_id"), *[c for c in ["score"] if c in boxes.columns], *[F.col(c).cast("double").alias(c) for c in BOX])
+    return folded(x, [*keys, "_spell"], ["tick", "det_id"], f"det_id long, {name} long", fold, "tick").drop("_spell")
+
+
+#: Candidates that choose at once.
+CHOOSERS = 4096
+
+
+def chosen(candidates: np.ndarray, boxes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates that choose a box, and which: one after the other takes the free box of most overlap, of equal ones the last.
+
+    Some candidates at a time meet the boxes that are free then, and only pairs of enough overlap are made.
+    """
+    free, at, many, mine, theirs = np.arange(len(boxes)), 0, CHOOSERS, [], []
+    while at < len(candidates) and len(free):
+        found = alike(candidates[at : at + many], boxes[free], least, np.inf, PAIRS if many > 1 else np.inf)
+        if found is None:
+            many = max(1, many // 2)
+            continue
+        who, box, share = found
+        order = np.lexsort((-box, -share, who))
+        taken, last = bytearray(len(free)), -1
+        for i, j in zip(who[order].tolist(), box[order].tolist(), strict=True):
+            if i != last and not taken[j]:
+                taken[j], last = 1, i
+                mine.append(at + i)
+                theirs.append(int(free[j]))
+        free, at = free[np.frombuffer(taken, np.uint8) == 0], at + many
+    return np.array(mine, np.int64), np.array(theirs, np.int64)
 
 
 def candidates(boxes: DataFrame, n: int, least: float) -> DataFrame:
-    """camera_id, det_id, candidate: older candidates choose first, of their class the box of most overlap; none is chosen again n ticks after its last box."""
-
-    def fold(latest: dict[int, tuple[int, str, tuple]] | None, rows: dict[str, list]) -> tuple[list[tuple[int, int]], dict]:
-        latest, out = latest or {}, []  # by first box, in the order of making
-        for tick, part in pd.DataFrame(rows).groupby("tick"):
-            here = {r.det_id: (r.klass, (r.x1, r.y1, r.x2, r.y2)) for r in part.itertuples()}
-            for first, (seen, klass, box) in list(latest.items()):
-                if tick - seen > n:
-                    del latest[first]
-                    continue
-                likeness = {d: overlap(box, b) for d, (k, b) in here.items() if k == klass}
-                chosen = max(likeness, key=lambda d: (likeness[d], d), default=None)
-                if chosen is not None and likeness[chosen] >= least:
-                    latest[first] = (int(tick), *here.pop(chosen))
-                    out.append((chosen, first))
-            for d, (klass, box) in here.items():
-                latest[d] = (int(tick), klass, box)
-                out.append((d, d))
-        return out, latest
+    """camera_id, det_id, candidate: older candidates choose first, of their class the box of most overlap; none is chosen again n ticks after its last box.
+
+    Candidates meet boxes of their class alone, so a camera's classes are folded apart.
+    """
 
-    return linked(boxes, n, fold, "candidate")
+    def fold(carried: tuple | None, rows: dict[str, list]) -> tuple[list[tuple[int, int]], tuple]:
+        none = np.zeros(0, np.int64)
+        first, seen, latest = carried or (none, none, np.zeros((0, 4)))  # in the order of making
+        ticks, dets, at = np.array(rows["tick"], np.int64), np.array(rows["det_id"], np.int64), np.stack([np.array(rows[c], np.float64) for c in BOX], axis=1)
+        starts, out = np.flatnonzero(np.concatenate(([True], ticks[1:] != ticks[:-1]))).tolist(), []
+        for a, b in zip(starts, [*starts[1:], len(ticks)], strict=True):
+            live = ticks[a] - seen <= n
+            first, seen, latest = first[live], seen[live], latest[live]
+            here = a + np.flatnonzero(np.concatenate((dets[a + 1 : b] != dets[a : b - 1], [True])))
+            mine, theirs = chosen(latest, at[here], least)
+            seen[mine], latest[mine] = ticks[a], at[here[theirs]]
+            out += zip(dets[here[theirs]].tolist(), first[mine].tolist(), strict=True)
+            new = np.delete(here, theirs)
+            first, seen, latest = np.concatenate((first, dets[new])), np.concatenate((seen, ticks[new])), np.concatenate((latest, at[new]))
+            out += zip(dets[new].tolist(), dets[new].tolist(), strict=True)
+        return out, (first, seen, latest)
+
+    return linked(boxes, n, fold, "candidate", ("camera_id", "klass")).drop("klass")
 
 
 def k_of_n(boxes: DataFrame, k: int, n: int, least: float = 0.3) -> DataFrame:
@@ -137,14 +167,16 @@ def alike(a: np.ndarray, b: np.ndarray, least: float, below: float, most: float
     """Rows, columns and overlaps of at least least and under below of boxes a with boxes b; None for more than most.
 
     Two boxes overlap no more than their sides along x do. So the left end of a box lies at most (1 - least) widths
-    after that of a, and (1 - least) / least widths before it: b is walked in that order, some comparisons at a time.
+    after that of a, and (1 - least) / least widths before it, where also least widths of a must lie in that of b: b is
+    walked in that order, some comparisons at a time.
     """
     order = np.argsort(b[:, 0], kind="stable")
     b, width = b[order], np.maximum(a[:, 2] - a[:, 0], 0)
     if least > 0:
         spare = 1e-6 * width + 1e-9 * np.abs(a[:, 0]) + 1e-9
         with np.errstate(over="ignore"):
-            low = np.searchsorted(b[:, 0], a[:, 0] - width * (1 - least) / least - spare)
+            before = np.minimum(width * (1 - least) / least, np.fmax.reduce(b[:, 2] - b[:, 0], initial=0.0) - width * least)
+        low = np.searchsorted(b[:, 0], a[:, 0] - before - spare)
         high = np.searchsorted(b[:, 0], a[:, 0] + width * (1 - least) + spare, side="right")
     else:
         low, high = np.zeros(len(a), np.int64), np.full(len(a), len(b))
