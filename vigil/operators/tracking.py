@@ -36,7 +36,7 @@ def linked(boxes: DataFrame, longest: int, fold: Fold, name: str, keys: tuple[st
 
 
 #: Candidates that choose at once.
-CHOOSERS = 4096
+CHOOSERS = 512
 
 
 def chosen(candidates: np.ndarray, boxes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
